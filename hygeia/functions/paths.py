@@ -6,7 +6,7 @@ it holds null); otherwise descend objects key by key; arrays are not traversed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hygeia.functions.text import py_strip
@@ -42,40 +42,43 @@ def node_at(v: Column, path: str) -> Column:
     return F.when(literal.isNotNull(), literal).otherwise(nested)
 
 
-def _node_text(n: Column) -> Column:
-    """Python ``str()`` of the node's value (NULL for missing / JSON null)."""
-    t = F.schema_of_variant(n)
-    return (F.when(n.isNull() | F.is_variant_null(n), F.lit(None).cast("string"))
-            .when(t == "BOOLEAN", F.when(F.try_variant_get(n, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-            .when(t == "STRING", F.try_variant_get(n, "$", "string"))
-            .when(t.startswith("ARRAY") | t.startswith("OBJECT"), F.to_json(n))
-            # numbers: integers print plainly; fractional values keep their JSON text
-            .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
-                  F.when(F.try_variant_get(n, "$", "double") == F.floor(F.try_variant_get(n, "$", "double")),
-                         F.concat(F.try_variant_get(n, "$", "bigint").cast("string"), F.lit(".0")))
-                  .otherwise(F.try_variant_get(n, "$", "string")))
-            .otherwise(F.try_variant_get(n, "$", "string")))
-
-
-def _is_falsy(n: Column) -> Column:
-    t = F.schema_of_variant(n)
-    return (n.isNull() | F.is_variant_null(n)
-            | ((t == "BOOLEAN") & ~F.try_variant_get(n, "$", "boolean"))
-            | ((t == "STRING") & (F.try_variant_get(n, "$", "string") == ""))
-            | ((t.startswith("ARRAY") | t.startswith("OBJECT")) & F.to_json(n).isin("[]", "{}"))
-            | (~t.isin("STRING", "BOOLEAN") & ~t.startswith("ARRAY") & ~t.startswith("OBJECT")
-               & (F.try_variant_get(n, "$", "double") == 0)))
-
-
-def value_text(v: Column, path: str) -> Column:
-    """Validation text: ``str(get(doc, path) or '').strip()`` (falsy values become '')."""
-    if not path:
-        return F.lit("")
-    n = node_at(v, path)
-    return F.coalesce(py_strip(F.when(_is_falsy(n), F.lit("")).otherwise(_node_text(n))), F.lit(""))
-
-
-def infer_text(v: Column, path: str) -> Column:
-    """Type-inference text: ``str(raw).strip()`` without the falsy rule; NULL when missing."""
-    n = node_at(v, path)
-    return py_strip(_node_text(n))
+def _text_from(t: Column, s: Column, d: Column) -> Column:
+    """Python ``str()`` of a node from its variant type name ``t``, string form ``s``, double ``d``."""
+    return (F.when(t == "BOOLEAN", F.when(s == "true", F.lit("True")).otherwise(F.lit("False")))
+            .when((t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")) & (d == F.floor(d)),
+                  F.concat(F.floor(d).cast("decimal(38,0)").cast("string"), F.lit(".0")))
+            .otherwise(s))
+
+
+def _falsy_from(t: Column, s: Column, d: Column) -> Column:
+    return (F.when(t.isNull() | (t == "VOID"), F.lit(True))
+            .when(t == "STRING", s == "")
+            .when(t == "BOOLEAN", s == "false")
+            .when(t.startswith("ARRAY") | t.startswith("OBJECT"), s.isin("[]", "{}"))
+            .otherwise(F.coalesce(d == 0, F.lit(False))))
+
+
+def add_path_texts(df: DataFrame, doc: Column, paths: list[str], prefix: str = "_pv",
+                   infer: bool = False) -> DataFrame:
+    """Adds one text column per path: ``{prefix}{i}``.
+
+    Validation text (default): ``str(get(doc, path) or '').strip()``.
+    Inference text (``infer=True``): ``str(raw).strip()``; NULL when missing or null.
+    Built in staged projections (node, then type/string, then text) so each
+    variant lookup runs once per row and generated code stays small.
+    """
+    df = df.withColumn("_docv", doc)
+    df = df.select("*", *[node_at(F.col("_docv"), p).alias(f"_n{i}") for i, p in enumerate(paths)]).drop("_docv")
+    df = df.select("*", *[F.schema_of_variant(F.col(f"_n{i}")).alias(f"_t{i}") for i in range(len(paths))],
+                   *[F.try_variant_get(F.col(f"_n{i}"), "$", "string").alias(f"_s{i}") for i in range(len(paths))],
+                   *[F.try_variant_get(F.col(f"_n{i}"), "$", "double").alias(f"_d{i}") for i in range(len(paths))])
+    outs = []
+    for i in range(len(paths)):
+        t, s_, d = F.col(f"_t{i}"), F.col(f"_s{i}"), F.col(f"_d{i}")
+        if infer:
+            txt = F.when(t.isNull() | (t == "VOID"), F.lit(None).cast("string")).otherwise(py_strip(_text_from(t, s_, d)))
+        else:
+            txt = F.when(_falsy_from(t, s_, d), F.lit("")).otherwise(F.coalesce(py_strip(_text_from(t, s_, d)), F.lit("")))
+        outs.append(txt.alias(f"{prefix}{i}"))
+    drop = [f"_{k}{i}" for i in range(len(paths)) for k in ("n", "t", "s", "d")]
+    return df.select("*", *outs).drop(*drop)

@@ -102,3 +102,36 @@ QUERIES = {
     "validation_counts": q_validation_counts,
     "validity_totals": q_validity_totals,
 }
+
+
+# --- suggestions -----------------------------------------------------------
+from hygeia.plans import suggest as SG  # noqa: E402
+
+
+def _record_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    if "rec_sug" not in run.__dict__:
+        run.__dict__["rec_sug"] = SG.record_suggestions(run.rules, run.validated)
+    return run.__dict__["rec_sug"]
+
+
+def q_suggest_record_knn(spark: SparkSession, sf: str) -> DataFrame:
+    return _record_suggestions(spark, sf).select("exec_id", "field", "rank", "ml_id", "primary_value",
+                                                 "overall_score")
+
+
+def q_snapshot_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return SG.suggestion_items(_record_suggestions(spark, sf)).drop("field_pos", "item_pos")
+
+
+def q_suggest_field_knn(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    ps = V.primary_status(run.validated).where((F.col("status") == "invalid") & ~F.col("empty"))
+    return SG.field_suggestions(run.rules, ps.select("field", "value"))
+
+
+QUERIES.update({
+    "suggest_record_knn": q_suggest_record_knn,
+    "snapshot_suggestions": q_snapshot_suggestions,
+    "suggest_field_knn": q_suggest_field_knn,
+})

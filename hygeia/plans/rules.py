@@ -123,13 +123,15 @@ def infer_types(executions: DataFrame, doc: Column, fields: list[tuple[str, str]
     """
     if not fields:
         return {}
+    df = P.add_path_texts(executions.select(doc.alias("_doc0")), F.col("_doc0"), [p for _, p in fields],
+                          prefix="_it", infer=True)
     aggs = []
-    for i, (_, path) in enumerate(fields):
-        t = P.infer_text(doc, path)
+    for i in range(len(fields)):
+        t = F.col(f"_it{i}")
         nonempty = t.isNotNull() & (t != "") & ~F.lower(t).isin(*T.INFER_IGNORED)
         aggs.append(F.sum(F.when(nonempty, 1).otherwise(0)).alias(f"n{i}"))
         aggs.append(F.sum(F.when(nonempty & ~T.is_int_text(t), 1).otherwise(0)).alias(f"bad{i}"))
-    row = executions.agg(*aggs).first()
+    row = df.agg(*aggs).first()
     out = {}
     for i, (name, _) in enumerate(fields):
         n, bad = row[f"n{i}"] or 0, row[f"bad{i}"] or 0

@@ -35,11 +35,12 @@ def with_values(rules: RuleSet, executions: DataFrame, doc: Column, meta_paths:
     if meta_paths is None:
         meta_paths = metadata_paths(rules)
     paths = rules.doc_paths(meta_paths)
+    df = P.add_path_texts(executions, doc, paths, prefix="_pv")
     kv = []
-    for p in paths:
-        kv += [F.lit(p), P.value_text(F.col("_doc"), p)]
+    for i, p in enumerate(paths):
+        kv += [F.lit(p), F.col(f"_pv{i}")]
     vals = F.create_map(*kv) if kv else F.create_map().cast("map<string,string>")
-    df = executions.withColumn("_doc", doc).withColumn("_vals", vals).drop("_doc")
+    df = df.withColumn("_vals", vals).drop(*[f"_pv{i}" for i in range(len(paths))])
     needs_proc = rules.processor is not None and (
         any(p.startswith(PROCESSOR_PREFIX) for p in meta_paths)
         or any(p.startswith(PROCESSOR_PREFIX) for lst in rules.meta_paths.values() for _, p in lst))
@@ -161,12 +162,14 @@ def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "
 def field_values(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "exec_id") -> DataFrame:
     """Long table (exec_id, field, path, value) for every mapped field, values normalised (V2)."""
     tmap = types_map_col(rules.types)
-    items = [F.struct(F.lit(m.field).alias("field"), F.lit(m.path).alias("path"),
-                      T.normalize_value(P.value_text(F.col("_doc"), m.path),
-                                        is_integer_field(tmap, F.lit(m.field))).alias("value"))
-             for m in rules.mappings]
-    return (executions.select(id_col, doc.alias("_doc"))
-            .select(id_col, F.inline(F.array(*items))))
+    paths = [m.path for m in rules.mappings if m.path]
+    df = P.add_path_texts(executions.select(id_col, doc.alias("_doc0")), F.col("_doc0"), paths, prefix="_fv")
+    items = []
+    for m in rules.mappings:
+        raw = F.col(f"_fv{paths.index(m.path)}") if m.path else F.lit("")
+        items.append(F.struct(F.lit(m.field).alias("field"), F.lit(m.path).alias("path"),
+                              T.normalize_value(raw, is_integer_field(tmap, F.lit(m.field))).alias("value")))
+    return df.select(id_col, F.inline(F.array(*items)))
 
 
 def payload_flat(validated: DataFrame, id_col: str = "exec_id") -> DataFrame:

@@ -69,3 +69,31 @@ left join (select name, count(distinct exec_id) as n from inv_names group by nam
 SQL["validity_totals"] = FULL + """
 select count(*) filter (where is_valid) as valid, count(*) filter (where not is_valid) as invalid,
        count(*) as processed from verdict"""
+
+from oracles.suggest import RECORD, ratio, tfidf_knn  # noqa: E402
+
+SUG = with_ctes(FIXTURE, RULES, VALIDATE, RECORD)
+
+SQL["suggest_record_knn"] = SUG + """
+select exec_id, field, cast(rank as integer) as rank, ml_id, primary_value, overall_score from rec_sug"""
+
+SQL["snapshot_suggestions"] = SUG + """,
+items as (
+  select r.exec_id, r.field, 'primary' as item, r.field as name, r.rank, r.primary_value as suggestion,
+         lower(s.value) as a, lower(r.primary_value) as b, r.overall_score, r.ml_id
+  from rec_sug r join pstatus s on s.exec_id = r.exec_id and s.field = r.field
+  union all
+  select r.exec_id, r.field, 'metadata', p.meta_name, r.rank, coalesce(c.required, ''),
+         lower(coalesce(p.meta_value, '')), lower(coalesce(c.required, '')), r.overall_score, r.ml_id
+  from rec_sug r join payload p on p.exec_id = r.exec_id and p.field = r.field and p.meta_name is not null
+  left join configs c on c.ordinal = r.ordinal and c.name = p.meta_name)
+select exec_id, field, item, name, cast(rank as integer) as rank, suggestion,
+       """ + ratio("a", "b") + """ as score, overall_score, 'PENDING' as status, ml_id
+from items"""
+
+SQL["suggest_field_knn"] = with_ctes(FIXTURE, RULES, VALIDATE) + """,
+fq as (select distinct field as grp, value as q from pstatus where status = 'invalid' and not empty),
+fd as (select field as grp, hash(field, value) as doc_id, value as txt, value as ord, ml_id from valid_set),
+""" + tfidf_knn("fk", "fq", "fd") + """
+select t.grp as field, t.q as value, cast(t.rank as integer) as rank, d.txt as suggestion, d.ml_id, t.score
+from fk_top t join fd d on d.grp = t.grp and d.doc_id = t.doc_id"""
