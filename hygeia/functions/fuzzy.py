@@ -8,13 +8,19 @@ pandas UDF running the same recurrence on Python integers (no length limit).
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 MAX_SQL_LCS = 62
 
+# ship the UDF bodies by value: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def lcs_sql(a: Column, b: Column) -> Column:
     """LCS length of ``a`` and ``b`` where 1 <= len(a) <= 62 (JVM-side)."""

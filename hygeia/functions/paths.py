@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as PT
 
 from hygeia.functions.text import py_strip
 
@@ -58,6 +59,43 @@ def _falsy_from(t: Column, s: Column, d: Column) -> Column:
             .otherwise(F.coalesce(d == 0, F.lit(False))))
 
 
+def _resolve_struct(dt: PT.StructType, path: str):
+    """Column path and leaf type of ``path`` inside a struct schema (None when absent)."""
+    names = {f.name: f for f in dt.fields}
+    if "." in path and path in names:
+        return [path], names[path].dataType
+    cur, out = dt, []
+    for seg in path.split("."):
+        if not isinstance(cur, PT.StructType):
+            return None
+        fs = {f.name: f for f in cur.fields}
+        if seg not in fs:
+            return None
+        out.append(seg)
+        cur = fs[seg].dataType
+    return out, cur
+
+
+def _struct_text(c: Column, dt) -> tuple[Column, Column]:
+    """(Python str() text, falsy flag) for a typed leaf column."""
+    if isinstance(dt, PT.StringType):
+        return c, c.isNull() | (c == "")
+    if isinstance(dt, PT.BooleanType):
+        return F.when(c, F.lit("True")).otherwise(F.lit("False")), c.isNull() | ~c
+    if isinstance(dt, (PT.ByteType, PT.ShortType, PT.IntegerType, PT.LongType)):
+        return c.cast("string"), c.isNull() | (c == 0)
+    if isinstance(dt, (PT.FloatType, PT.DoubleType, PT.DecimalType)):
+        d = c.cast("double")
+        txt = F.when(d == F.floor(d), F.concat(F.floor(d).cast("decimal(38,0)").cast("string"), F.lit(".0"))) \
+            .otherwise(d.cast("string"))
+        return txt, c.isNull() | (d == 0)
+    if isinstance(dt, (PT.ArrayType, PT.MapType)):
+        return F.to_json(c), c.isNull() | (F.size(c) == 0)
+    if isinstance(dt, PT.StructType):
+        return F.to_json(c), c.isNull()
+    return c.cast("string"), c.isNull()
+
+
 def add_path_texts(df: DataFrame, doc: Column, paths: list[str], prefix: str = "_pv",
                    infer: bool = False) -> DataFrame:
     """Adds one text column per path: ``{prefix}{i}``.
@@ -68,6 +106,26 @@ def add_path_texts(df: DataFrame, doc: Column, paths: list[str], prefix: str = "
     variant lookup runs once per row and generated code stays small.
     """
     df = df.withColumn("_docv", doc)
+    dt = df.schema["_docv"].dataType
+    if isinstance(dt, PT.StructType):
+        # typed documents: paths are resolved against the schema at plan time
+        outs = []
+        for i, p in enumerate(paths):
+            hit = _resolve_struct(dt, p)
+            if hit is None:
+                txt = F.lit(None).cast("string") if infer else F.lit("")
+            else:
+                segs, leaf = hit
+                c = F.col("_docv")
+                for sg in segs:
+                    c = c.getField(sg)
+                t, falsy = _struct_text(c, leaf)
+                if infer:
+                    txt = F.when(c.isNull(), F.lit(None).cast("string")).otherwise(py_strip(t))
+                else:
+                    txt = F.when(falsy, F.lit("")).otherwise(F.coalesce(py_strip(t), F.lit("")))
+            outs.append(txt.alias(f"{prefix}{i}"))
+        return df.select("*", *outs).drop("_docv")
     df = df.select("*", *[node_at(F.col("_docv"), p).alias(f"_n{i}") for i, p in enumerate(paths)]).drop("_docv")
     df = df.select("*", *[F.schema_of_variant(F.col(f"_n{i}")).alias(f"_t{i}") for i in range(len(paths))],
                    *[F.try_variant_get(F.col(f"_n{i}"), "$", "string").alias(f"_s{i}") for i in range(len(paths))],

@@ -6,6 +6,7 @@ DuckDB oracle; scores are rounded half-even to 4 decimals.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +112,8 @@ from hygeia.plans import suggest as SG  # noqa: E402
 def _record_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
     if "rec_sug" not in run.__dict__:
-        run.__dict__["rec_sug"] = SG.record_suggestions(run.rules, run.validated)
+        run.__dict__["rec_sug"] = SG.record_suggestions(run.rules, run.validated).persist(
+            StorageLevel.MEMORY_AND_DISK)
     return run.__dict__["rec_sug"]
 
 
@@ -135,3 +137,39 @@ QUERIES.update({
     "snapshot_suggestions": q_snapshot_suggestions,
     "suggest_field_knn": q_suggest_field_knn,
 })
+
+
+# --- snapshots -------------------------------------------------------------
+from hygeia.plans import snapshot as SN  # noqa: E402
+from hygeia.sources import fixtures as FX  # noqa: E402
+
+AS_OF = "2001-08-10T00:00:00.000000Z"
+
+
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    if "snaps" not in run.__dict__:
+        prev = SN.seed_snapshots(FX.snapshot_seed(spark, run.sf_dir))
+        items = SG.suggestion_items(_record_suggestions(spark, sf))
+        run.__dict__["snaps"] = SN.upsert_snapshots(prev, run.validated, items, AS_OF, "hygiene-batch")
+    return run.__dict__["snaps"]
+
+
+def q_snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return SN.snapshot_flat(_snapshots(spark, sf))
+
+
+def q_auto_accept(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    prev = FX.snapshot_seed(spark, run.sf_dir).select(F.col("exec_id").cast("string").alias("execution_id"),
+                                                      F.col("status").alias("old_status"))
+    new = SN.snapshot_flat(_snapshots(spark, sf)).select("execution_id", "snapshot_id",
+                                                        F.col("status").alias("new_status"), "last_modified_on")
+    valid = run.validated.where("isValid").select(F.col("exec_id").cast("string").alias("execution_id"))
+    return valid.join(prev, "execution_id").join(new, "execution_id")
+
+
+QUERIES.update({
+    "snapshot_upsert": q_snapshot_upsert,
+    "auto_accept": q_auto_accept,
+})

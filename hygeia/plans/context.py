@@ -56,7 +56,9 @@ class HygieneRun:
 
     @cached_property
     def validated(self) -> DataFrame:
-        return V.validate(self.rules, self.executions, self.doc, meta_paths=self.meta_paths)
+        # reused by every report, the suggestions and the snapshot upsert
+        return V.validate(self.rules, self.executions, self.doc,
+                          meta_paths=self.meta_paths).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def run_for(spark: SparkSession, sf_dir: str) -> HygieneRun:

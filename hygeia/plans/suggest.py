@@ -40,7 +40,8 @@ def record_suggestions(rules: RuleSet, validated: DataFrame, n: int = 3, id_col:
                   doc_id="ordinal", d_text="signature", order="ordinal", n=n, min_score=min_score)
     nn = nn.join(sigs.select("field", "ordinal", "ml_id", "primary_value",
                              F.col("metadata").alias("sug_metadata")), ["field", "ordinal"])
-    return (entries.join(sized_broadcast(nn), ["field", "qsig"])
+    # nn is derived data: AQE broadcasts it at run time when its measured size allows
+    return (entries.join(nn, ["field", "qsig"])
             .select(id_col, "field_pos", "field", "value", "metadata", "rank", "ml_id", "primary_value",
                     "sug_metadata", F.col("score").alias("overall_score")))
 

@@ -24,47 +24,75 @@ def empty_meta() -> Column:
     return F.array().cast(f"array<{META_T}>")
 
 
-def metadata_paths(rules: RuleSet) -> list[str]:
+def metadata_pairs(rules: RuleSet) -> list[tuple[str, str]]:
+    """Distinct (metadata name, path) pairs that configurations require (small rule metadata)."""
     rows = (rules.configs.select(F.explode("cfgs").alias("c")).select(F.explode("c.reqs").alias("r"))
-            .select("r.path").distinct().limit(100_000).collect())
-    return sorted(r["path"] for r in rows if r["path"])
+            .select("r.name", "r.path").distinct().limit(100_001).collect())
+    if len(rows) > 100_000:
+        raise ValueError("too many distinct metadata requirements for one validation plan")
+    pairs = {(r["name"], r["path"]) for r in rows}
+    for lst in rules.meta_paths.values():
+        pairs.update(lst)
+    return sorted(pairs)
+
+
+def metadata_paths(rules: RuleSet) -> list[str]:
+    return sorted({p for _, p in metadata_pairs(rules) if p})
+
+
+def _pair_key(name: Column, path: Column) -> Column:
+    return F.concat(name, F.lit("\u0001"), path)
+
+
+class Values:
+    """Per-row observed texts: one column per document / processor path (no map, so
+    Catalyst never re-inlines the extraction expressions at each access)."""
+
+    def __init__(self, cols: dict[str, str]):
+        self.cols = cols
+
+    def get(self, path: str) -> Column:
+        c = self.cols.get(path)
+        return F.col(c) if c else F.lit("")
+
+    def dynamic(self) -> Column:
+        """map path -> text built from column references only (for lookups inside lambdas)."""
+        kv = []
+        for p, c in self.cols.items():
+            kv += [F.lit(p), F.col(c)]
+        return F.create_map(*kv) if kv else F.create_map().cast("map<string,string>")
 
 
-def with_values(rules: RuleSet, executions: DataFrame, doc: Column, meta_paths: list[str] | None = None) -> DataFrame:
-    """Adds ``_vals``: map path -> validation text for every path the rules read."""
+def with_values(rules: RuleSet, executions: DataFrame, doc: Column, meta_paths: list[str] | None = None
+                ) -> tuple[DataFrame, Values]:
+    """Adds ``_pv{i}`` columns: validation text of every path the rules read."""
     if meta_paths is None:
         meta_paths = metadata_paths(rules)
     paths = rules.doc_paths(meta_paths)
     df = P.add_path_texts(executions, doc, paths, prefix="_pv")
-    kv = []
-    for i, p in enumerate(paths):
-        kv += [F.lit(p), F.col(f"_pv{i}")]
-    vals = F.create_map(*kv) if kv else F.create_map().cast("map<string,string>")
-    df = df.withColumn("_vals", vals).drop(*[f"_pv{i}" for i in range(len(paths))])
-    needs_proc = rules.processor is not None and (
-        any(p.startswith(PROCESSOR_PREFIX) for p in meta_paths)
-        or any(p.startswith(PROCESSOR_PREFIX) for lst in rules.meta_paths.values() for _, p in lst))
-    if needs_proc:
-        tmap = types_map_col(rules.types)
+    cols = {p: f"_pv{i}" for i, p in enumerate(paths)}
+    proc_paths = sorted({p for p in meta_paths if p.startswith(PROCESSOR_PREFIX)}
+                        | {p for lst in rules.meta_paths.values() for _, p in lst if p.startswith(PROCESSOR_PREFIX)})
+    if rules.processor is not None and proc_paths:
         key_path = rules.path_of(PROCESSOR_KEY_FIELD)
-        raw = F.coalesce(F.col("_vals")[F.lit(key_path)], F.lit("")) if key_path else F.lit("")
-        cpu = T.normalize_value(raw, is_integer_field(tmap, F.lit(PROCESSOR_KEY_FIELD)))
+        raw = F.col(cols[key_path]) if key_path in cols else F.lit("")
+        cpu = T.normalize_value(raw, F.lit(rules.types.get(PROCESSOR_KEY_FIELD) == T.INTEGER))
         proc = sized_broadcast(rules.processor)
-        df = (df.withColumn("_cpu", cpu)
-              .join(proc, F.col("_cpu") == proc["_proc_key"], "left")
-              .withColumn("_vals", F.map_concat(
-                  "_vals", F.transform_keys(F.coalesce("_proc_attrs", F.create_map().cast("map<string,string>")),
-                                            lambda k, v: F.concat(F.lit(PROCESSOR_PREFIX), k))))
-              .drop("_cpu", "_proc_key", "_proc_attrs"))
-    return df
+        df = df.withColumn("_cpu", cpu).join(proc, F.col("_cpu") == proc["_proc_key"], "left")
+        for j, p in enumerate(proc_paths):
+            df = df.withColumn(f"_pp{j}", F.coalesce(F.col("_proc_attrs")[F.lit(p[len(PROCESSOR_PREFIX):])],
+                                                     F.lit("")))
+            cols[p] = f"_pp{j}"
+        df = df.drop("_cpu", "_proc_key", "_proc_attrs")
+    return df, Values(cols)
 
 
-def _applicable(rules: RuleSet, field: str) -> Column:
+def _applicable(rules: RuleSet, field: str, vals: Values) -> Column:
     cond = F.lit(True)
     for f, path, op, value in rules.conditional:
         if f != field:
             continue
-        got = F.lower(F.coalesce(F.col("_vals")[F.lit(path)], F.lit("")))
+        got = F.lower(vals.get(path))
         if op == "equals":
             cond = cond & (got == F.lit(value))
         elif op == "not_equals":
@@ -72,11 +100,6 @@ def _applicable(rules: RuleSet, field: str) -> Column:
     return cond
 
 
-def _meta_value(name: Column, path: Column, tmap: Column) -> Column:
-    raw = F.coalesce(F.col("_vals")[path], F.lit(""))
-    return T.normalize_value(raw, is_integer_field(tmap, name))
-
-
 def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "exec_id",
              meta_paths: list[str] | None = None) -> DataFrame:
     """Returns executions with isValid, invalidPayload, fieldStatus and invalid_names.
@@ -85,29 +108,45 @@ def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "
     for the long-form reports.
     """
     tmap = types_map_col(rules.types)
-    df = with_values(rules, executions, doc, meta_paths)
+    pairs = metadata_pairs(rules)
+    if meta_paths is None:
+        meta_paths = sorted({p for _, p in pairs if p})
+    df, vals = with_values(rules, executions, doc, meta_paths)
+    # observed value of every (metadata name, path) pair, normalised by the name's type, computed once per row
+    mcols, mv = [], []
+    for j, (n, p) in enumerate(pairs):
+        v = T.normalize_value(vals.get(p), F.lit(rules.types.get(n) == T.INTEGER))
+        mcols += [v.alias(f"_mvv{j}"), T.default_process(v).alias(f"_mvp{j}")]
+        mv += [_pair_key(F.lit(n), F.lit(p)),
+               F.struct(F.col(f"_mvv{j}").alias("value"), F.col(f"_mvp{j}").alias("proc"))]
+    df = df.select("*", *mcols)
+    pair_col = {pr: f"_mvv{j}" for j, pr in enumerate(pairs)}
+    df = df.withColumn("_mv", F.create_map(*mv) if mv else
+                       F.create_map().cast("map<string,struct<value:string,proc:string>>"))
     entries, statuses, longs = [], [], []
     for i, m in enumerate(rules.primary_fields):
-        raw = F.coalesce(F.col("_vals")[F.lit(m.path)], F.lit(""))
-        value = T.normalize_value(raw, F.lit(rules.types.get(m.field) == T.INTEGER))
+        value = T.normalize_value(vals.get(m.path), F.lit(rules.types.get(m.field) == T.INTEGER))
         df = df.withColumn(f"_val{i}", value)
         cfg = sized_broadcast(rules.configs.where(F.col("field") == m.field)
                               .select(F.col("value").alias(f"_hit{i}"), F.col("cfgs").alias(f"_cfgs{i}")))
         df = df.join(cfg, F.col(f"_val{i}") == F.col(f"_hit{i}"), "left")
         v = F.col(f"_val{i}")
-        applicable = _applicable(rules, m.field)
+        df = df.withColumn(f"_app{i}", _applicable(rules, m.field, vals))
+        applicable = F.col(f"_app{i}")
         empty = T.is_empty(v)
         prim_invalid = applicable & (empty | F.col(f"_hit{i}").isNull())
         valid_branch = applicable & ~prim_invalid
 
-        def eval_cfg(c: Column) -> Column:
-            metas = F.transform(c["reqs"], lambda r: F.struct(
-                r["name"].alias("name"),
-                _meta_value(r["name"], r["path"], tmap).alias("value"),
-                F.when(T.is_empty(_meta_value(r["name"], r["path"], tmap))
-                       | (T.default_process(_meta_value(r["name"], r["path"], tmap)) != r["required_proc"]),
+        def req_eval(r: Column) -> Column:
+            o = F.col("_mv")[_pair_key(r["name"], r["path"])]
+            return F.struct(
+                r["name"].alias("name"), o["value"].alias("value"),
+                F.when(T.is_empty(o["value"]) | (o["proc"] != r["required_proc"]),
                        F.lit("invalid")).otherwise(F.lit("valid")).alias("validation_status"),
-                r["path"].alias("mapping")))
+                r["path"].alias("mapping"))
+
+        def eval_cfg(c: Column) -> Column:
+            metas = F.transform(c["reqs"], req_eval)
             errors = F.size(F.filter(metas, lambda x: x["validation_status"] == "invalid"))
             return F.struct(errors.alias("errors"), c["ordinal"].alias("ordinal"), c["ml_id"].alias("ml_id"),
                             metas.alias("metas"))
@@ -116,7 +155,7 @@ def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "
         inv_list = rules.meta_paths.get(m.field, [])
         if inv_list:
             inv_meta = F.array(*[F.struct(F.lit(n).alias("name"),
-                                          _meta_value(F.lit(n), F.lit(p), tmap).alias("value"),
+                                          F.col(pair_col[(n, p)]).alias("value"),
                                           F.lit("invalid").alias("validation_status"),
                                           F.lit(p).alias("mapping")) for n, p in inv_list])
         else:
@@ -146,15 +185,15 @@ def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "
                                  f"mapping:string,metadata:array<{META_T}>>>")
         field_status = F.create_map().cast("map<string,string>")
         fields_long = F.array()
-    names = F.array_sort(F.array_distinct(F.concat(
-        F.transform(F.filter(payload, lambda e: e["validation_status"] == "invalid"), lambda e: e["field"]),
-        F.flatten(F.transform(payload, lambda e: F.transform(
-            F.filter(e["metadata"], lambda x: x["validation_status"] == "invalid"), lambda x: x["name"]))))))
     out = (df.withColumn("invalidPayload", payload)
            .withColumn("fieldStatus", field_status)
-           .withColumn("isValid", F.size("invalidPayload") == 0)
-           .withColumn("invalid_names", names)
            .withColumn("_fields", fields_long))
+    names = F.array_sort(F.array_distinct(F.concat(
+        F.transform(F.filter("invalidPayload", lambda e: e["validation_status"] == "invalid"), lambda e: e["field"]),
+        F.flatten(F.transform("invalidPayload", lambda e: F.transform(
+            F.filter(e["metadata"], lambda x: x["validation_status"] == "invalid"), lambda x: x["name"]))))))
+    out = (out.withColumn("isValid", F.size("invalidPayload") == 0)
+           .withColumn("invalid_names", names))
     drop = [c for c in out.columns if c.startswith("_") and c != "_fields"]
     return out.drop(*drop)
 

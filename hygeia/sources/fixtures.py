@@ -81,7 +81,7 @@ def processor_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(exec_id, doc VARIANT, benchmarkType, benchmarkCategory, createdOn)."""
+    """(exec_id, doc STRUCT (typed nested document), benchmarkType, benchmarkCategory, createdOn)."""
     part = read(spark, sf_dir, "part")
     orders = read(spark, sf_dir, "orders")
     n_part = part.agg(F.count(F.lit(1))).scalar()  # uncorrelated scalar subquery: |part|
@@ -112,7 +112,7 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("benchmarkExecutionID"))
     joined = (orders.withColumn("_pk", k % n_part)
               .join(part, F.col("p_partkey") == F.col("_pk")))
-    return joined.select(k.alias("exec_id"), F.to_variant_object(doc).alias("doc"),
+    return joined.select(k.alias("exec_id"), doc.alias("doc"),
                          F.col("o_orderstatus").alias("benchmarkType"),
                          F.col("o_orderpriority").alias("benchmarkCategory"),
                          F.col("o_orderdate").alias("createdOn"))

@@ -97,3 +97,44 @@ fd as (select field as grp, hash(field, value) as doc_id, value as txt, value as
 """ + tfidf_knn("fk", "fq", "fd") + """
 select t.grp as field, t.q as value, cast(t.rank as integer) as rank, d.txt as suggestion, d.ml_id, t.score
 from fk_top t join fd d on d.grp = t.grp and d.doc_id = t.doc_id"""
+
+SNAP = """,
+seed as (
+  select cast(o_orderkey as varchar) as execution_id, 'S' || cast(o_orderkey as varchar) as snapshot_id,
+    case o_orderkey % 5 when 0 then 'PENDING' when 1 then 'pending' when 2 then 'REJECTED' when 3 then 'ON HOLD'
+         else 'ACCEPTED' end as status,
+    case when o_orderkey % 17 = 0 then 'not-a-date' when o_orderkey % 19 = 0 then null
+         else strftime(timestamp '2001-08-10 00:00:00' - (o_orderkey % 10) * interval '1' day
+                       - (o_orderkey % 24) * interval '1' hour, '%Y-%m-%dT%H:%M:%S.%fZ') end as updated_on
+  from orders where o_orderstatus <> 'F'),
+cnt as (
+  select exec_id, count(*) as n from (
+    select r.exec_id from rec_sug r
+    union all
+    select r.exec_id from rec_sug r join payload p on p.exec_id = r.exec_id and p.field = r.field
+    where p.meta_name is not null) group by exec_id),
+vd as (select cast(exec_id as varchar) as execution_id, * from verdict),
+snaps as (
+  select coalesce(s.snapshot_id, sha256('snap:' || v.execution_id)) as snapshot_id, v.execution_id,
+         case when coalesce(s.status, '') <> '' then upper(s.status) else 'PENDING' end as status,
+         v.invalid_names as invalid_fields, v.n_invalid_fields as n_invalid_values,
+         coalesce(c.n, 0) as n_comparing,
+         case when s.snapshot_id is not null then s.updated_on else '2001-08-10T00:00:00.000000Z' end as history_updated_on,
+         null::varchar as last_modified_on
+  from vd v left join seed s using (execution_id) left join cnt c on c.exec_id = v.exec_id
+  where not v.is_valid
+  union all
+  select s.snapshot_id, s.execution_id,
+         case when upper(s.status) in ('ACCEPTED', 'REJECTED', 'ON HOLD') then s.status else 'ACCEPTED' end,
+         '', 0, 0, s.updated_on,
+         case when upper(s.status) in ('ACCEPTED', 'REJECTED', 'ON HOLD') then null else '2001-08-10T00:00:00.000000Z' end
+  from vd v join seed s using (execution_id) where v.is_valid)
+"""
+
+SQL["snapshot_upsert"] = SUG + SNAP + """
+select execution_id, snapshot_id, status, invalid_fields, n_invalid_values, n_comparing,
+       history_updated_on, last_modified_on from snaps"""
+
+SQL["auto_accept"] = SUG + SNAP + """
+select v.execution_id, s.status as old_status, n.snapshot_id, n.status as new_status, n.last_modified_on
+from vd v join seed s using (execution_id) join snaps n using (execution_id) where v.is_valid"""
