@@ -126,17 +126,17 @@ def add_path_texts(df: DataFrame, doc: Column, paths: list[str], prefix: str = "
                     txt = F.when(falsy, F.lit("")).otherwise(F.coalesce(py_strip(t), F.lit("")))
             outs.append(txt.alias(f"{prefix}{i}"))
         return df.select("*", *outs).drop("_docv")
-    df = df.select("*", *[node_at(F.col("_docv"), p).alias(f"_n{i}") for i, p in enumerate(paths)]).drop("_docv")
-    df = df.select("*", *[F.schema_of_variant(F.col(f"_n{i}")).alias(f"_t{i}") for i in range(len(paths))],
-                   *[F.try_variant_get(F.col(f"_n{i}"), "$", "string").alias(f"_s{i}") for i in range(len(paths))],
-                   *[F.try_variant_get(F.col(f"_n{i}"), "$", "double").alias(f"_d{i}") for i in range(len(paths))])
+    df = df.select("*", *[node_at(F.col("_docv"), p).alias(f"__vn{i}") for i, p in enumerate(paths)]).drop("_docv")
+    df = df.select("*", *[F.schema_of_variant(F.col(f"__vn{i}")).alias(f"__vt{i}") for i in range(len(paths))],
+                   *[F.try_variant_get(F.col(f"__vn{i}"), "$", "string").alias(f"__vs{i}") for i in range(len(paths))],
+                   *[F.try_variant_get(F.col(f"__vn{i}"), "$", "double").alias(f"__vd{i}") for i in range(len(paths))])
     outs = []
     for i in range(len(paths)):
-        t, s_, d = F.col(f"_t{i}"), F.col(f"_s{i}"), F.col(f"_d{i}")
+        t, s_, d = F.col(f"__vt{i}"), F.col(f"__vs{i}"), F.col(f"__vd{i}")
         if infer:
             txt = F.when(t.isNull() | (t == "VOID"), F.lit(None).cast("string")).otherwise(py_strip(_text_from(t, s_, d)))
         else:
             txt = F.when(_falsy_from(t, s_, d), F.lit("")).otherwise(F.coalesce(py_strip(_text_from(t, s_, d)), F.lit("")))
         outs.append(txt.alias(f"{prefix}{i}"))
-    drop = [f"_{k}{i}" for i in range(len(paths)) for k in ("n", "t", "s", "d")]
+    drop = [f"__v{k}{i}" for i in range(len(paths)) for k in ("n", "t", "s", "d")]
     return df.select("*", *outs).drop(*drop)
