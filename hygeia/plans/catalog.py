@@ -173,3 +173,52 @@ QUERIES.update({
     "snapshot_upsert": q_snapshot_upsert,
     "auto_accept": q_auto_accept,
 })
+
+
+# --- reports ---------------------------------------------------------------
+AS_OF_TS = "2001-08-10 00:00:00"
+
+
+def q_ageing_pending(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.ageing_pending(SN.seed_snapshots(FX.snapshot_seed(spark, sf)), AS_OF_TS)
+
+
+def q_ageing_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.ageing_filtered(SN.seed_snapshots(FX.snapshot_seed(spark, sf)), AS_OF_TS)
+
+
+def q_invalid_records_page(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.invalid_records_page(run_for(spark, sf).validated, "PENDING", None, 1, 50)
+
+
+def q_invalid_records_search(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.invalid_records_page(run_for(spark, sf).validated, "PENDING", "urgent", 2, 20)
+
+
+def q_invalid_summary(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return RP.invalid_summary(_snapshots(spark, sf), run.executions, None, None, 1, 50)
+
+
+def q_unique_values(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    types = [r["type"] for r in run.masterlist.where("status = 'Published'").select("type").distinct().collect()]
+    return RP.unique_values(run.masterlist, [m.field for m in run.rules.mappings], types)
+
+
+def q_metadata_values(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    req = (run.masterlist.where("status = 'Published'")
+           .select(F.col("type").alias("req_type"), F.col("data.value").alias("req_value")).distinct())
+    return RP.metadata_values(run.masterlist, req)
+
+
+QUERIES.update({
+    "ageing_pending": q_ageing_pending,
+    "ageing_filtered": q_ageing_filtered,
+    "invalid_records_page": q_invalid_records_page,
+    "invalid_records_search": q_invalid_records_search,
+    "invalid_summary": q_invalid_summary,
+    "unique_values": q_unique_values,
+    "metadata_values": q_metadata_values,
+})

@@ -34,3 +34,157 @@ def validation_counts(validated: DataFrame, fields: list[str], id_col: str = "ex
     return (fdf.join(inv, "field", "left")
             .select("field", (total - F.coalesce("invalid", F.lit(0))).alias("valid"),
                     F.coalesce("invalid", F.lit(0)).alias("invalid"), total.alias("total")))
+
+
+AGE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+DEFAULT_STATUSES = ["PENDING", "REJECTED", "ON HOLD", "ACCEPTED"]
+BUCKETS = ["green", "yellow", "red"]
+
+
+def _age_bucket(ts: Column, as_of: str) -> Column:
+    days = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(ts)) / F.lit(86400e6)
+    return F.when(days < 3, F.lit("green")).when(days <= 6, F.lit("yellow")).otherwise(F.lit("red"))
+
+
+def _bucket_counts(df: DataFrame, bucket: Column) -> DataFrame:
+    spark = df.sparkSession
+    got = df.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    fixed = spark.createDataFrame([(b,) for b in BUCKETS], "bucket string")
+    return fixed.join(got, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def ageing_pending(snapshots: DataFrame, as_of: str) -> DataFrame:
+    """A5/R2: PENDING (first element, any case) snapshots by age of history.updatedOn.
+
+    Missing / empty timestamps are skipped; text that does not parse with the
+    fixed format counts as yellow.  ``as_of`` replaces the wall clock.
+    """
+    d0 = F.get(F.col("data"), 0)
+    s = snapshots.where(F.upper(d0["standardization_status"]) == "PENDING") \
+        .select(d0["history"]["updatedOn"].alias("u")).where(F.col("u").isNotNull() & (F.col("u") != ""))
+    ts = F.try_to_timestamp(F.col("u"), F.lit(AGE_FORMAT))
+    return _bucket_counts(s, F.when(ts.isNull(), F.lit("yellow")).otherwise(_age_bucket(ts, as_of)))
+
+
+def status_filter(statuses: list[str] | None = None) -> Column:
+    """Any data element whose status equals one of the list (case-insensitive)."""
+    wanted = [x.strip().upper() for x in (statuses or DEFAULT_STATUSES) if x.strip()]
+    return F.exists(F.col("data"), lambda d: F.upper(d["standardization_status"]).isin(*wanted))
+
+
+def ageing_filtered(snapshots: DataFrame, as_of: str, cond: Column | None = None) -> DataFrame:
+    """Same buckets over a filtered set; first non-missing updatedOn; unparseable dropped."""
+    cond = status_filter() if cond is None else cond
+    first = F.get(F.filter(F.transform("data", lambda d: d["history"]["updatedOn"]), lambda u: u.isNotNull()), 0)
+    ts = first.try_cast("timestamp")
+    s = snapshots.where(cond).select(ts.alias("ts")).where(F.col("ts").isNotNull())
+    return _bucket_counts(s, _age_bucket(F.col("ts"), as_of))
+
+
+def search_filter(term: str | None, cols: list[str], resolved: dict[str, str] | None = None,
+                  literal: bool = False) -> Column:
+    """Case-insensitive regex on the id / type / category columns, or equality with a
+    fuzzy-resolved term (J14 result) for the columns that have one."""
+    if not term:
+        return F.lit(True)
+    pat = term if not literal else "\\Q" + term + "\\E"
+    cond = F.lit(False)
+    for c in cols:
+        if resolved and c in resolved:
+            cond = cond | (F.col(c) == F.lit(resolved[c]))
+        else:
+            cond = cond | F.col(c).cast("string").rlike("(?i)" + pat)
+    return cond
+
+
+def page(df: DataFrame, order: list[Column], page_no: int = 1, size: int = 50) -> DataFrame:
+    """Sort, skip (page-1)*size, take size (1..500)."""
+    size = max(1, min(500, size))
+    return df.orderBy(*order).offset((max(1, page_no) - 1) * size).limit(size)
+
+
+def invalid_records_page(validated: DataFrame, status: str = "PENDING", search: str | None = None,
+                         page_no: int = 1, size: int = 50, id_col: str = "exec_id") -> DataFrame:
+    """Executions by validity (P14), one per id (A1), paged by id desc (T1), with the total (A2)."""
+    st = (status or "PENDING").upper()
+    if st not in ("PENDING", "ACCEPTED", "REJECTED"):
+        return validated.sparkSession.createDataFrame(
+            [], "execution_id string, status string, benchmark_type string, benchmark_category string, "
+                "invalid_fields string, total bigint")
+    want_valid = st == "ACCEPTED"
+    base = validated.where(F.col("isValid") == F.lit(want_valid)).where(
+        search_filter(search, [id_col, "benchmarkType", "benchmarkCategory"]))
+    firsts = first_per_key(base.select(id_col, "invalid_names", "benchmarkType", "benchmarkCategory"), id_col)
+    total = firsts.select(F.count(F.lit(1))).scalar()
+    p = page(firsts, [F.desc(id_col)], page_no, size)
+    return p.select(F.col(id_col).cast("string").alias("execution_id"), F.lit(st).alias("status"),
+                    F.col("benchmarkType").alias("benchmark_type"),
+                    F.col("benchmarkCategory").alias("benchmark_category"),
+                    F.array_join("invalid_names", ",").alias("invalid_fields"), total.alias("total"))
+
+
+def invalid_summary(snapshots: DataFrame, executions: DataFrame, statuses: list[str] | None = None,
+                    search: str | None = None, page_no: int = 1, size: int = 50,
+                    exec_id: str = "exec_id") -> DataFrame:
+    """Snapshot page (P15, P16, T1) joined to executions after paging (J6), P18 fallbacks,
+    invalid field names (V12) and the filtered total (A9)."""
+    cond = status_filter(statuses) & search_filter(search, ["execution_id", "benchmark_type", "benchmark_category"])
+    m = snapshots.where(cond)
+    total = m.select(F.count(F.lit(1))).scalar()
+    p = page(m, [F.desc("snapshot_id")], page_no, size)
+    ex = executions.select(F.col(exec_id).cast("string").alias("_eid"),
+                           F.col("benchmarkType").alias("_ebt"), F.col("benchmarkCategory").alias("_ebc"),
+                           F.lit(True).alias("_hit"))
+    j = p.join(ex, p["execution_id"] == ex["_eid"], "left")
+    d0 = F.get(F.col("data"), 0)
+    names = F.array_sort(F.array_distinct(F.concat(
+        F.transform(F.filter(d0["invalidValues"], lambda v: v["validation_status"] == "invalid"), lambda v: v["field"]),
+        F.flatten(F.transform(d0["invalidValues"], lambda v: F.transform(
+            F.filter(v["metadata"], lambda x: x["validation_status"] == "invalid"), lambda x: x["name"]))))))
+    fb = lambda a, e: F.coalesce(F.nullif(F.col(a), F.lit("")),
+                                 F.when(F.col("_hit"), F.col(e)).otherwise(F.lit("N/A")))
+    return j.select("execution_id", d0["standardization_status"].alias("status"),
+                    fb("benchmark_type", "_ebt").alias("benchmark_type"),
+                    fb("benchmark_category", "_ebc").alias("benchmark_category"),
+                    F.array_join(F.coalesce(names, F.array().cast("array<string>")), ",").alias("invalid_fields"),
+                    d0["history"]["updatedOn"].alias("updated_on"), total.alias("total"))
+
+
+def unique_values(masterlist: DataFrame, params: list[str], types: list[str]) -> DataFrame:
+    """Distinct stripped text per parameter (types: data.value of that type; metadata
+    names: data.metadata[name] over all Published records); 'BenchmarkCategory' aliases 'Benchmark'."""
+    from hygeia.functions.text import py_strip
+    pub = masterlist.where(F.col("status") == "Published")
+    params = list(params)
+    if "Benchmark" in params and "BenchmarkCategory" not in params:
+        params.append("BenchmarkCategory")
+    spark = masterlist.sparkSession
+    pdf = spark.createDataFrame([(p, "Benchmark" if p == "BenchmarkCategory" else p,
+                                  p == "BenchmarkCategory" or p in types) for p in params],
+                                "param string, qtype string, is_type boolean")
+    typed = (pub.join(F.broadcast(pdf.where("is_type")), pub["type"] == F.col("qtype"))
+             .select("param", py_strip(F.col("data.value")).alias("value")))
+    metas = (pub.select(F.explode("data.metadata").alias("k", "v"))
+             .join(F.broadcast(pdf.where(~F.col("is_type"))), F.col("k") == F.col("param"))
+             .select("param", py_strip(F.col("v")).alias("value")))
+    return typed.unionByName(metas).where(F.col("value").isNotNull()).distinct()
+
+
+def metadata_values(masterlist: DataFrame, requests: DataFrame, max_records: int = 100) -> DataFrame:
+    """For each requested (type, value), the metadata configurations of the first
+    ``max_records`` matching Published records (records without metadata dropped)."""
+    from hygeia.functions.text import py_strip
+    from pyspark.sql import Window
+    pub = masterlist.where(F.col("status") == "Published")
+    j = pub.join(requests, (pub["type"] == requests["req_type"]) & (F.col("data.value") == requests["req_value"]))
+    w = Window.partitionBy("req_type", "req_value").orderBy("ordinal")
+    j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_records)
+    m = F.col("data.metadata")
+    rows = j.select("req_type", "req_value", "ml_id", "ordinal", m.alias("m"),
+                    F.explode(F.coalesce(F.map_keys(m), F.array().cast("array<string>"))).alias("mk"))
+    rows = rows.where(~F.col("mk").startswith("mapping_") & (F.col("mk") != "mapping"))
+    own = F.get(F.filter(F.map_entries("m"), lambda e: F.lower(e["key"]) == F.lower(F.concat(F.lit("mapping_"), F.col("mk")))), 0)["value"]
+    path = F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.coalesce(F.col("m")["mapping"], F.lit("")))
+    return rows.select(F.col("req_type").alias("type"), F.col("req_value").alias("value"), "ml_id",
+                       F.col("mk").alias("name"), F.coalesce(py_strip(F.col("m")[F.col("mk")]), F.lit("None")).alias("meta_value"),
+                       path.alias("meta_path"))

@@ -138,3 +138,81 @@ select execution_id, snapshot_id, status, invalid_fields, n_invalid_values, n_co
 SQL["auto_accept"] = SUG + SNAP + """
 select v.execution_id, s.status as old_status, n.snapshot_id, n.status as new_status, n.last_modified_on
 from vd v join seed s using (execution_id) join snaps n using (execution_id) where v.is_valid"""
+
+SEED = """,
+seed0 as (
+  select cast(o_orderkey as varchar) as execution_id, 'S' || cast(o_orderkey as varchar) as snapshot_id,
+    case o_orderkey % 5 when 0 then 'PENDING' when 1 then 'pending' when 2 then 'REJECTED' when 3 then 'ON HOLD'
+         else 'ACCEPTED' end as status,
+    case when o_orderkey % 17 = 0 then 'not-a-date' when o_orderkey % 19 = 0 then null
+         else strftime(timestamp '2001-08-10 00:00:00' - (o_orderkey % 10) * interval '1' day
+                       - (o_orderkey % 24) * interval '1' hour, '%Y-%m-%dT%H:%M:%S.%fZ') end as updated_on
+  from orders where o_orderstatus <> 'F'),
+buckets as (select * from (values ('green'), ('yellow'), ('red')) b(bucket))
+"""
+
+
+def _bucket(ts: str) -> str:
+    d = f"((epoch_us(timestamp '2001-08-10 00:00:00') - epoch_us({ts})) / 86400e6)"
+    return f"(case when {d} < 3 then 'green' when {d} <= 6 then 'yellow' else 'red' end)"
+
+
+SQL["ageing_pending"] = with_ctes(FIXTURE) + SEED + """,
+aged as (
+  select case when try_strptime(updated_on, '%Y-%m-%dT%H:%M:%S.%fZ') is null then 'yellow'
+              else """ + _bucket("try_strptime(updated_on, '%Y-%m-%dT%H:%M:%S.%fZ')") + """ end as bucket
+  from seed0 where upper(status) = 'PENDING' and coalesce(updated_on, '') <> '')
+select b.bucket, coalesce((select count(*) from aged a where a.bucket = b.bucket), 0) as n from buckets b"""
+
+SQL["ageing_filtered"] = with_ctes(FIXTURE) + SEED + """,
+aged as (
+  select """ + _bucket("try_strptime(updated_on, '%Y-%m-%dT%H:%M:%S.%fZ')") + """ as bucket
+  from seed0 where upper(status) in ('PENDING', 'REJECTED', 'ON HOLD', 'ACCEPTED')
+    and try_strptime(updated_on, '%Y-%m-%dT%H:%M:%S.%fZ') is not null)
+select b.bucket, coalesce((select count(*) from aged a where a.bucket = b.bucket), 0) as n from buckets b"""
+
+_REC_PAGE = """,
+inv as (select v.exec_id, v.invalid_names, x.btype_raw, x.bcat_raw from verdict v join ex x using (exec_id)
+        where not v.is_valid {cond})
+select cast(exec_id as varchar) as execution_id, 'PENDING' as status, btype_raw as benchmark_type,
+       bcat_raw as benchmark_category, invalid_names as invalid_fields, (select count(*) from inv) as total
+from inv order by exec_id desc limit {size} offset {skip}"""
+
+SQL["invalid_records_page"] = FULL + _REC_PAGE.format(cond="", size=50, skip=0)
+SQL["invalid_records_search"] = FULL + _REC_PAGE.format(
+    cond="and (regexp_matches(cast(v.exec_id as varchar), 'urgent', 'i') or regexp_matches(x.btype_raw, 'urgent', 'i') "
+         "or regexp_matches(x.bcat_raw, 'urgent', 'i'))", size=20, skip=20)
+
+SQL["invalid_summary"] = SUG + SNAP + """,
+allsnaps as (
+  select n.snapshot_id, n.execution_id, n.status, n.invalid_fields, n.history_updated_on as updated_on
+  from snaps n
+  union all
+  select s.snapshot_id, s.execution_id, s.status, '', s.updated_on
+  from seed s where s.snapshot_id not in (select snapshot_id from snaps)),
+pg as (
+  select * from allsnaps where upper(status) in ('PENDING', 'REJECTED', 'ON HOLD', 'ACCEPTED')
+  order by snapshot_id desc limit 50)
+select p.execution_id, p.status, coalesce(x.btype_raw, 'N/A') as benchmark_type,
+       coalesce(x.bcat_raw, 'N/A') as benchmark_category, p.invalid_fields, p.updated_on,
+       (select count(*) from allsnaps where upper(status) in ('PENDING', 'REJECTED', 'ON HOLD', 'ACCEPTED')) as total
+from pg p left join ex x on cast(x.exec_id as varchar) = p.execution_id"""
+
+SQL["unique_values"] = BASE + """,
+params as (
+  select field as param from mappings
+  union select 'BenchmarkCategory' where exists (select 1 from mappings where field = 'Benchmark')),
+ptypes as (select distinct type from pub)
+select distinct p.param, trim(u.value) as value from params p
+join pub u on u.type = case when p.param = 'BenchmarkCategory' then 'Benchmark' else p.param end
+where u.value is not null
+union
+select distinct p.param, trim(m.mv) from params p join pub_meta m on m.mk = p.param
+where p.param not in (select type from ptypes) and p.param <> 'BenchmarkCategory' and m.mv is not null"""
+
+SQL["metadata_values"] = BASE + """
+select p.type, p.value, p.ml_id, m.mk as name, trim(m.mv) as meta_value,
+       coalesce(nullif((select arg_min(x.mv, x.pos) from pub_meta x where x.ordinal = p.ordinal
+                        and lower(x.mk) = lower('mapping_' || m.mk)), ''), '') as meta_path
+from pub p join pub_meta m using (ordinal)
+where not starts_with(m.mk, 'mapping_') and m.mk <> 'mapping'"""
