@@ -222,3 +222,30 @@ QUERIES.update({
     "unique_values": q_unique_values,
     "metadata_values": q_metadata_values,
 })
+
+
+# --- streaming -------------------------------------------------------------
+import uuid  # noqa: E402
+
+from hygeia.session import checkpoint_dir  # noqa: E402
+from hygeia.streaming import validate_stream as ST  # noqa: E402
+
+
+def q_stream_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1/ST2: the execution table lands as several files in a fresh folder under the shared
+    checkpoint directory, is validated by an AvailableNow stream, and the verdicts are read back."""
+    run = run_for(spark, sf)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    src, sink, ckpt = f"{root}/source", f"{root}/sink", f"{root}/checkpoint"
+    run.executions.repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
+    q = ST.start(spark, stream, run.rules, F.col("doc"), sink, ckpt, AS_OF)
+    q.awaitTermination()
+    v = ST.latest_verdicts(spark, sink)
+    return v.select("exec_id", F.col("isValid").alias("is_valid"),
+                    F.size("invalidPayload").cast("bigint").alias("n_invalid_fields"),
+                    F.array_join("invalid_names", ",").alias("invalid_names"))
+
+
+QUERIES["stream_validate"] = q_stream_validate

@@ -216,3 +216,5 @@ select p.type, p.value, p.ml_id, m.mk as name, trim(m.mv) as meta_value,
                         and lower(x.mk) = lower('mapping_' || m.mk)), ''), '') as meta_path
 from pub p join pub_meta m using (ordinal)
 where not starts_with(m.mk, 'mapping_') and m.mk <> 'mapping'"""
+
+SQL["stream_validate"] = SQL["document_verdict"]
