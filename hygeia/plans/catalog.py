@@ -151,7 +151,8 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     if "snaps" not in run.__dict__:
         prev = SN.seed_snapshots(FX.snapshot_seed(spark, run.sf_dir))
         items = SG.suggestion_items(_record_suggestions(spark, sf))
-        run.__dict__["snaps"] = SN.upsert_snapshots(prev, run.validated, items, AS_OF, "hygiene-batch")
+        run.__dict__["snaps"] = SN.upsert_snapshots(prev, run.validated, items, AS_OF, "hygiene-batch").persist(
+            StorageLevel.MEMORY_AND_DISK)
     return run.__dict__["snaps"]
 
 
@@ -249,3 +250,101 @@ def q_stream_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["stream_validate"] = q_stream_validate
+
+
+# --- decisions -------------------------------------------------------------
+from hygeia.plans import decisions as DC  # noqa: E402
+
+
+def _decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Decision table: approve targets come from each snapshot's first invalid item."""
+    run = run_for(spark, sf)
+    if "decisions" not in run.__dict__:
+        ev = FX.decision_events(spark, run.sf_dir)
+        d0 = F.get(F.col("data"), 0)
+        first = _snapshots(spark, sf).select(
+            "execution_id", F.get(d0["invalidValues"], 0)["field"].alias("field_name"),
+            F.get(F.get(d0["invalidValues"], 0)["comparingData"], 0)["suggestion"].alias("_s1"))
+        d = ev.join(first, "execution_id", "left").select(
+            "decision_id", "ts", "kind", "execution_id",
+            F.when(F.col("kind") == "approve", F.col("field_name")).alias("field_name"),
+            F.when(F.col("event_type") == "purchase", F.col("_s1"))
+            .when(F.col("event_type") == "view", F.concat(F.lit("custom-"), F.col("execution_id")))
+            .alias("accepted_value"),
+            F.lit(None).cast("int").alias("rank"),
+            F.when(F.col("kind") == "reject", F.lit("Rejected"))
+            .when(F.col("kind") == "approve", F.lit("Approved")).alias("current_status"),
+            F.lit(None).cast("string").alias("core_count"), "type", "value", "metadata")
+        run.__dict__["decisions"] = d.persist(StorageLevel.MEMORY_AND_DISK)
+    return run.__dict__["decisions"]
+
+
+def _joined(c: str, sep: str = "|") -> "F.Column":
+    return F.array_join(F.transform(F.get(F.col("data"), 0)["history"][c], lambda x: F.coalesce(x, F.lit(""))), sep)
+
+
+def q_apply_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = DC.apply_rejections(_snapshots(spark, sf), _decisions(spark, sf), AS_OF, "reviewer")
+    d0 = F.get(F.col("data"), 0)
+    return out.select("execution_id", d0["standardization_status"].alias("status"), d0["reason"].alias("reason"),
+                      _joined("valueField", ",").alias("history_fields"), _joined("from").alias("history_from"),
+                      F.size(d0["invalidValues"]).cast("bigint").alias("n_items"))
+
+
+def _approvals(spark: SparkSession, sf: str):
+    run = run_for(spark, sf)
+    if "approvals" not in run.__dict__:
+        run.__dict__["approvals"] = DC.apply_approvals(_snapshots(spark, sf), _decisions(spark, sf),
+                                                       run.masterlist, AS_OF, "reviewer")
+    return run.__dict__["approvals"]
+
+
+def q_apply_approvals(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = _approvals(spark, sf)
+    d0 = F.get(F.col("data"), 0)
+    return out.select("execution_id", d0["standardization_status"].alias("status"),
+                      _joined("valueField", ",").alias("history_fields"), _joined("to").alias("history_to"),
+                      _joined("source", ",").alias("history_source"))
+
+
+def q_execution_updates(spark: SparkSession, sf: str) -> DataFrame:
+    _, a = _approvals(spark, sf)
+    _, r = DC.apply_rejections(_snapshots(spark, sf), _decisions(spark, sf), AS_OF, "reviewer")
+    return a.unionByName(r)
+
+
+def q_history_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return DC.history_changes(_approvals(spark, sf)[0])
+
+
+def _drafted(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return DC.draft_records(run.masterlist, _decisions(spark, sf), AS_OF)
+
+
+def q_draft_new(spark: SparkSession, sf: str) -> DataFrame:
+    return _drafted(spark, sf).select("ordinal", "type", "status", F.col("data.value").alias("value"),
+                                      F.col("data.metadata")["Family"].alias("family"))
+
+
+def q_draft_hold(spark: SparkSession, sf: str) -> DataFrame:
+    held = DC.hold_snapshots(_snapshots(spark, sf), _drafted(spark, sf).withColumn(
+        "execution_id", F.lit(None).cast("string")), AS_OF)
+    d0 = F.get(F.col("data"), 0)
+    return held.select("execution_id", "snapshot_id", d0["standardization_status"].alias("status"))
+
+
+def q_draft_ids(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return DC.draft_ids(run.masterlist)
+
+
+QUERIES.update({
+    "apply_rejections": q_apply_rejections,
+    "apply_approvals": q_apply_approvals,
+    "execution_updates": q_execution_updates,
+    "history_changes": q_history_changes,
+    "draft_new": q_draft_new,
+    "draft_hold": q_draft_hold,
+    "draft_ids": q_draft_ids,
+})

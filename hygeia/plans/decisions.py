@@ -236,7 +236,10 @@ def hold_snapshots(snapshots: DataFrame, drafted: DataFrame, as_of: str, updated
                                                                  F.col("type").alias("_ht"))
     d0 = F.get(F.col("data"), 0)
     s1 = snapshots.join(by_exec, "execution_id")
-    s2 = (snapshots.join(by_val, F.exists(_items_of(d0), lambda it: it["value"] == F.col("_hv"))).drop("_hv"))
+    # Equi-join on the exploded invalid values (no nested-loop join)
+    vals = (snapshots.select("snapshot_id", F.explode(F.transform(_items_of(d0), lambda it: it["value"])).alias("_hv"))
+            .join(by_val, "_hv").select("snapshot_id", "_ht").distinct())
+    s2 = snapshots.join(vals, "snapshot_id")
     cand = s1.unionByName(s2).dropDuplicates(["snapshot_id", "_ht"])
     hit = F.exists(_items_of(d0), lambda it: F.lower(it["field"]) == F.lower(F.col("_ht")))
     nd = (d0.withField("standardization_status", F.lit("ON HOLD")).withField("reason", F.lit(HOLD_REASON))

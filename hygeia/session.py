@@ -15,10 +15,14 @@ BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 def get_session(master: str | None = None, app: str = "hygeia",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory",
+                                 driver_memory or os.environ.get("HYGEIA_DRIVER_MEMORY", "16g"))
     conf = {
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",

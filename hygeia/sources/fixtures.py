@@ -134,3 +134,33 @@ def snapshot_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (orders.where(F.col("o_orderstatus") != "F")
             .select(k.alias("exec_id"), F.concat(F.lit("S"), k.cast("string")).alias("snapshot_id"),
                     status.alias("status"), updated.alias("updated_on")))
+
+
+def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review decisions from the events table (every non-click event is one decision).
+
+    purchase -> approve the rank-1 suggestion of the first invalid field
+    view     -> approve a custom (dropdown) value on the first invalid field
+    error    -> reject;  signup -> draft a new CPUModel record
+    """
+    events = read(spark, sf_dir, "events")
+    orders = read(spark, sf_dir, "orders")
+    part = read(spark, sf_dir, "part")
+    n_orders = orders.select(F.count(F.lit(1))).scalar()
+    n_part = part.select(F.count(F.lit(1))).scalar()
+    e = events.where(F.col("event_type") != "click")
+    kind = (F.when(F.col("event_type").isin("purchase", "view"), F.lit("approve"))
+            .when(F.col("event_type") == "error", F.lit("reject")).otherwise(F.lit("draft")))
+    base = e.select(F.col("event_id").alias("decision_id"), "ts", kind.alias("kind"),
+                    (F.col("event_id") % n_orders).alias("_ek"), F.col("event_type").alias("_et"))
+    drafts = (base.where(F.col("kind") == "draft")
+              .join(part, F.col("p_partkey") == F.col("_ek") % n_part)
+              .select("decision_id",
+                      F.when(F.col("decision_id") % 3 == 0, F.concat(F.col("p_name"), F.lit(" v2")))
+                      .otherwise(F.concat(F.col("p_name"), F.lit(" gen"), (F.col("decision_id") % 3).cast("string")))
+                      .alias("value"),
+                      F.create_map(F.lit("Family"), F.col("p_type")).alias("metadata")))
+    return (base.join(drafts, "decision_id", "left")
+            .select("decision_id", "ts", "kind", F.col("_ek").cast("string").alias("execution_id"),
+                    F.col("_et").alias("event_type"),
+                    F.when(F.col("kind") == "draft", F.lit("cpumodel")).alias("type"), "value", "metadata"))

@@ -218,3 +218,20 @@ from pub p join pub_meta m using (ordinal)
 where not starts_with(m.mk, 'mapping_') and m.mk <> 'mapping'"""
 
 SQL["stream_validate"] = SQL["document_verdict"]
+
+SQL["draft_ids"] = with_ctes(FIXTURE) + """
+select ml_id as id from ml where status = 'Draft'"""
+
+SQL["draft_new"] = with_ctes(FIXTURE) + """,
+dreq as (
+  select e.event_id as ordinal,
+         case when e.event_id % 3 = 0 then p.p_name || ' v2' else p.p_name || ' gen' || cast(e.event_id % 3 as varchar) end as value,
+         p.p_type as family
+  from events e join part p on p.p_partkey = (e.event_id % (select count(*) from orders)) % (select count(*) from part)
+  where e.event_type = 'signup'),
+fresh as (
+  select * from dreq d where not exists (
+    select 1 from ml m join ml_meta mm on mm.ordinal = m.ordinal
+    where m.type = 'CPUModel' and m.value = d.value and mm.mk = 'Family' and mm.mv = d.family))
+select min(ordinal) as ordinal, 'CPUModel' as type, 'Draft' as status, value, family
+from fresh group by value, family"""
