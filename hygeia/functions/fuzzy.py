@@ -78,13 +78,19 @@ def ratio_short(a: Column, b: Column) -> Column:
 def with_ratio(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Adds ``out`` = round(ratio(a, b), 4), 0.0 when either side is empty or NULL.
 
-    Short pairs stay JVM-side; only pairs whose shorter side exceeds 62
-    characters are routed through the Arrow UDF (Python UDFs inside CASE are
-    evaluated for every row, hence the split).
+    The score is computed once per distinct (a, b) pair and joined back: rows
+    repeat the same few value pairs, so the LCS work is bounded by distinct
+    pairs, not rows.  Short pairs stay JVM-side; only pairs whose shorter side
+    exceeds 62 characters go through the Arrow UDF (Python UDFs inside CASE
+    are evaluated for every row, hence the split).
     """
-    ca, cb = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
+    df2 = (df.withColumn("_ra", F.coalesce(F.col(a), F.lit("")))
+           .withColumn("_rb", F.coalesce(F.col(b), F.lit(""))))
+    pairs = df2.select("_ra", "_rb").distinct()
+    ca, cb = F.col("_ra"), F.col("_rb")
     empty = (F.length(ca) == 0) | (F.length(cb) == 0)
     is_long = F.least(F.length(ca), F.length(cb)) > MAX_SQL_LCS
-    short = df.where(empty | ~is_long).withColumn(out, F.when(empty, F.lit(0.0)).otherwise(ratio_short(ca, cb)))
-    long_ = df.where(~empty & is_long).withColumn(out, _ratio_from(lcs_udf(ca, cb), ca, cb))
-    return short.unionByName(long_)
+    short = pairs.where(empty | ~is_long).withColumn(out, F.when(empty, F.lit(0.0)).otherwise(ratio_short(ca, cb)))
+    long_ = pairs.where(~empty & is_long).withColumn(out, _ratio_from(lcs_udf(ca, cb), ca, cb))
+    scored = short.unionByName(long_)
+    return df2.join(scored, ["_ra", "_rb"]).drop("_ra", "_rb")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hygeia.plans import validate as V
 from hygeia.plans.context import run_for
 from hygeia.plans import reports as RP
+from hygeia.session import materialize
 
 
 def q_rule_mappings(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,8 +113,7 @@ from hygeia.plans import suggest as SG  # noqa: E402
 def _record_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
     if "rec_sug" not in run.__dict__:
-        run.__dict__["rec_sug"] = SG.record_suggestions(run.rules, run.validated).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        run.__dict__["rec_sug"] = materialize(SG.record_suggestions(run.rules, run.validated), "rec_sug")
     return run.__dict__["rec_sug"]
 
 
@@ -151,8 +151,8 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     if "snaps" not in run.__dict__:
         prev = SN.seed_snapshots(FX.snapshot_seed(spark, run.sf_dir))
         items = SG.suggestion_items(_record_suggestions(spark, sf))
-        run.__dict__["snaps"] = SN.upsert_snapshots(prev, run.validated, items, AS_OF, "hygiene-batch").persist(
-            StorageLevel.MEMORY_AND_DISK)
+        run.__dict__["snaps"] = materialize(
+            SN.upsert_snapshots(prev, run.validated, items, AS_OF, "hygiene-batch"), "snapshots")
     return run.__dict__["snaps"]
 
 
@@ -275,7 +275,7 @@ def _decisions(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("kind") == "reject", F.lit("Rejected"))
             .when(F.col("kind") == "approve", F.lit("Approved")).alias("current_status"),
             F.lit(None).cast("string").alias("core_count"), "type", "value", "metadata")
-        run.__dict__["decisions"] = d.persist(StorageLevel.MEMORY_AND_DISK)
+        run.__dict__["decisions"] = materialize(d, "decisions")
     return run.__dict__["decisions"]
 
 
@@ -294,8 +294,8 @@ def q_apply_rejections(spark: SparkSession, sf: str) -> DataFrame:
 def _approvals(spark: SparkSession, sf: str):
     run = run_for(spark, sf)
     if "approvals" not in run.__dict__:
-        run.__dict__["approvals"] = DC.apply_approvals(_snapshots(spark, sf), _decisions(spark, sf),
-                                                       run.masterlist, AS_OF, "reviewer")
+        out, upd = DC.apply_approvals(_snapshots(spark, sf), _decisions(spark, sf), run.masterlist, AS_OF, "reviewer")
+        run.__dict__["approvals"] = (materialize(out, "approved"), upd)
     return run.__dict__["approvals"]
 
 

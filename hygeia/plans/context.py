@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hygeia.plans import rules as R
 from hygeia.plans import validate as V
+from hygeia.session import materialize
 from hygeia.sources import fixtures as FX
 
 _CACHE: dict = {}
@@ -57,8 +58,8 @@ class HygieneRun:
     @cached_property
     def validated(self) -> DataFrame:
         # reused by every report, the suggestions and the snapshot upsert
-        return V.validate(self.rules, self.executions, self.doc,
-                          meta_paths=self.meta_paths).persist(StorageLevel.MEMORY_AND_DISK)
+        return materialize(V.validate(self.rules, self.executions, self.doc, meta_paths=self.meta_paths),
+                           "validated")
 
 
 def run_for(spark: SparkSession, sf_dir: str) -> HygieneRun:

@@ -46,27 +46,36 @@ def latest(snapshots: DataFrame) -> DataFrame:
 
 
 def invalid_values(items: DataFrame, validated: DataFrame, id_col: str = "exec_id") -> DataFrame:
-    """Nested invalidValues per execution from the X3 long form (grouped on the execution key)."""
-    cd = (items.groupBy(id_col, "field_pos", "item_pos")
-          .agg(F.array_sort(F.collect_list(F.struct(
-              F.col("rank").cast("int").alias("rank"), "suggestion", "score", "overall_score", "status",
-              "ml_id"))).alias("cd"))
-          .groupBy(id_col, "field_pos")
-          .agg(F.map_from_entries(F.collect_list(F.struct("item_pos", "cd"))).alias("cdm")))
-    empty_cd = F.array().cast(f"array<{SUG_T}>")
-    entries = validated.select(id_col, F.posexplode("invalidPayload").alias("field_pos", "e"))
-    item = F.struct(
-        F.col("e.field").alias("field"), F.lit("invalid").alias("currentStatus"), F.col("e.value").alias("value"),
-        F.col("e.validation_status").alias("validation_status"), F.col("e.mapping").alias("mapping"),
-        F.coalesce(F.col("cdm")[F.lit(-1)], empty_cd).alias("comparingData"),
-        F.transform(F.col("e.metadata"), lambda m, i: F.struct(
-            m["name"].alias("name"), m["value"].alias("value"), m["validation_status"].alias("validation_status"),
-            m["mapping"].alias("mapping"), F.coalesce(F.col("cdm")[i], empty_cd).alias("comparingData"))
-        ).alias("metadata"))
-    return (entries.join(cd, [id_col, "field_pos"], "left")
-            .groupBy(id_col)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("field_pos", item.alias("it")))),
-                             lambda x: x["it"]).alias("invalidValues")))
+    """Nested invalidValues per execution from the X3 long form.
+
+    One aggregation per execution collects its suggestion rows; the nested
+    items are then built in-row from the payload with ``transform``/``filter``.
+    """
+    sugs = (items.groupBy(id_col)
+            .agg(F.collect_list(F.struct("field_pos", "item_pos", F.col("rank").cast("int").alias("rank"),
+                                         "suggestion", "score", "overall_score", "status", "ml_id")).alias("_sugs")))
+
+    def cd(fp: Column, ip) -> Column:
+        sel = F.filter(F.col("_sugs"), lambda x: (x["field_pos"] == fp) & (x["item_pos"] == ip))
+        return F.array_sort(F.transform(sel, lambda x: F.struct(
+            x["rank"].alias("rank"), x["suggestion"].alias("suggestion"), x["score"].alias("score"),
+            x["overall_score"].alias("overall_score"), x["status"].alias("status"), x["ml_id"].alias("ml_id"))))
+
+    def item(e: Column, fp: Column) -> Column:
+        return F.struct(
+            e["field"].alias("field"), F.lit("invalid").alias("currentStatus"), e["value"].alias("value"),
+            e["validation_status"].alias("validation_status"), e["mapping"].alias("mapping"),
+            cd(fp, F.lit(-1)).alias("comparingData"),
+            F.transform(e["metadata"], lambda m, i: F.struct(
+                m["name"].alias("name"), m["value"].alias("value"),
+                m["validation_status"].alias("validation_status"), m["mapping"].alias("mapping"),
+                cd(fp, i).alias("comparingData"))).alias("metadata"))
+
+    v = validated.select(id_col, "invalidPayload").join(sugs, id_col, "left").withColumn(
+        "_sugs", F.coalesce("_sugs", F.array().cast(
+            f"array<struct<field_pos:int,item_pos:int,rank:int,suggestion:string,score:double,"
+            f"overall_score:double,status:string,ml_id:string>>")))
+    return v.select(id_col, F.transform("invalidPayload", lambda e, fp: item(e, fp)).alias("invalidValues"))
 
 
 def upsert_snapshots(previous: DataFrame, validated: DataFrame, items: DataFrame, as_of: str,
