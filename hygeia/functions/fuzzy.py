@@ -94,3 +94,105 @@ def with_ratio(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     long_ = pairs.where(~empty & is_long).withColumn(out, _ratio_from(lcs_udf(ca, cb), ca, cb))
     scored = short.unionByName(long_)
     return df2.join(scored, ["_ra", "_rb"]).drop("_ra", "_rb")
+
+
+# --- scorers used by the fuzzy (non-kNN) joins, 0..100 like the library -----
+
+def _norm(dist: int, lensum: int) -> float:
+    return 100.0 if lensum == 0 else 100.0 * (1.0 - dist / lensum)
+
+
+def ratio100(a: str, b: str) -> float:
+    return _norm(len(a) + len(b) - 2 * lcs_py(a, b), len(a) + len(b))
+
+
+def partial_ratio100(a: str, b: str) -> float:
+    """Best ratio of the shorter string against every window of the longer one
+    (prefixes and suffixes shorter than the needle included); both directions when
+    the lengths are equal."""
+    if not a or not b:
+        return 0.0
+    def one(s: str, t: str) -> float:
+        m, n = len(s), len(t)
+        best = 0.0
+        wins = [t[:i] for i in range(1, m)] + [t[i:i + m] for i in range(0, n - m + 1)] + \
+               [t[i:] for i in range(n - m + 1, n)]
+        for w in wins:
+            r = ratio100(s, w)
+            if r > best:
+                best = r
+                if best == 100.0:
+                    break
+        return best
+    if len(a) < len(b):
+        return one(a, b)
+    if len(b) < len(a):
+        return one(b, a)
+    return max(one(a, b), one(b, a))
+
+
+def token_set_ratio100(a: str, b: str) -> float:
+    ta, tb = set(a.split()), set(b.split())
+    if not ta or not tb:
+        return 0.0
+    inter, dab, dba = ta & tb, ta - tb, tb - ta
+    if inter and (not dab or not dba):
+        return 100.0
+    sect, ab, ba = " ".join(sorted(inter)), " ".join(sorted(dab)), " ".join(sorted(dba))
+    sl = len(sect)
+    sab, sba = sl + (1 if sl else 0) + len(ab), sl + (1 if sl else 0) + len(ba)
+    res = _norm(len(ab) + len(ba) - 2 * lcs_py(ab, ba), sab + sba)
+    if sl == 0:
+        return res
+    return max(res, _norm((1 if sl else 0) + len(ab), sl + sab), _norm((1 if sl else 0) + len(ba), sl + sba))
+
+
+def token_sort_ratio100(a: str, b: str) -> float:
+    return ratio100(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def _partial_token_ratio100(a: str, b: str) -> float:
+    ta, tb = set(a.split()), set(b.split())
+    if not ta or not tb:
+        return 0.0
+    if ta & tb:
+        return 100.0
+    return partial_ratio100(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def wratio100(a: str, b: str) -> float:
+    """Weighted ratio; length-ratio boundary: <= 8 scales partial scores by 0.9 (our choice)."""
+    if not a or not b:
+        return 0.0
+    la, lb = len(a), len(b)
+    len_ratio = max(la, lb) / min(la, lb)
+    end = ratio100(a, b)
+    if len_ratio < 1.5:
+        return max(end, max(token_sort_ratio100(a, b), token_set_ratio100(a, b)) * 0.95)
+    scale = 0.9 if len_ratio <= 8.0 else 0.6
+    end = max(end, partial_ratio100(a, b) * scale)
+    return max(end, _partial_token_ratio100(a, b) * 0.95 * scale)
+
+
+SCORERS = {"ratio": ratio100, "partial_ratio": partial_ratio100,
+           "token_set_ratio": token_set_ratio100, "wratio": wratio100}
+
+
+def default_process_py(s: str) -> str:
+    import re
+    return re.sub(r"\W", " ", s.lower()).strip(" ")
+
+
+def score_udf(scorer: str, process: bool = False):
+    fn = SCORERS[scorer]
+
+    @F.pandas_udf("double")
+    def _score(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = x or "", y or ""
+            if process:
+                x, y = default_process_py(x), default_process_py(y)
+            out.append(fn(x, y))
+        return pd.Series(out, dtype="float64")
+    return _score

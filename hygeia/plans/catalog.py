@@ -348,3 +348,36 @@ QUERIES.update({
     "draft_hold": q_draft_hold,
     "draft_ids": q_draft_ids,
 })
+
+
+# --- fuzzy (scorer-based) joins --------------------------------------------
+def q_suggest_field_partial(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    ps = V.primary_status(run.validated).where((F.col("status") == "invalid") & ~F.col("empty"))
+    return SG.field_suggestions_fuzzy(run.rules, ps.select("field", "value"))
+
+
+def q_suggest_record_tokenset(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return SG.record_suggestions_fuzzy(run.rules, run.validated)
+
+
+def q_fuzzy_exists(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return SG.fuzzy_exists(run.rules, run.validated)
+
+
+def q_resolve_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct observed instanceType text resolved against the published instance types."""
+    run = run_for(spark, sf)
+    terms = (V.field_values(run.rules, run.executions, run.doc).where(F.col("field") == "instanceType")
+             .select(F.col("value").alias("term")).where(F.col("term") != "").distinct())
+    return SG.resolve_terms(run.masterlist.where("status = 'Published'"), terms, ["instanceType"], 60)
+
+
+QUERIES.update({
+    "suggest_field_partial": q_suggest_field_partial,
+    "suggest_record_tokenset": q_suggest_record_tokenset,
+    "fuzzy_exists": q_fuzzy_exists,
+    "resolve_terms": q_resolve_terms,
+})

@@ -80,3 +80,65 @@ def field_suggestions(rules: RuleSet, queries: DataFrame, n: int = 3) -> DataFra
                   doc_id="cand_id", d_text="cand", order="cand", n=n)
     return (nn.join(cands.select("field", "cand_id", "cand", "ml_id"), ["field", "cand_id"])
             .select("field", "value", "rank", F.col("cand").alias("suggestion"), "ml_id", "score"))
+
+
+def field_suggestions_fuzzy(rules: RuleSet, queries: DataFrame, n: int = 3, cutoff: float = 10) -> DataFrame:
+    """partial_ratio over default-processed strings, cut-off 10, top-n of the field's valid values
+    (metadata values for metadata names)."""
+    from hygeia.operators.fuzzy_join import fuzzy_join
+    prim_fields = [m.field for m in rules.mappings if m.primary]
+    vv = rules.values.select("field", F.col("value").alias("cand"), "ml_id")
+    mv = (rules.meta_values.where(~F.col("name").isin(*prim_fields) if prim_fields else F.lit(True))
+          .select(F.col("name").alias("field"), F.col("value").alias("cand"), "ml_id"))
+    cands = vv.unionByName(mv.join(vv.select("field").distinct(), "field", "left_anti"))
+    top = fuzzy_join(queries.select("field", "value"), cands, "field", "value", "cand", "cand",
+                     "partial_ratio", cutoff, n, process=True)
+    return (top.join(cands, ["field", "cand"])
+            .select("field", "value", "rank", F.col("cand").alias("suggestion"), "ml_id", "score"))
+
+
+def record_suggestions_fuzzy(rules: RuleSet, validated: DataFrame, n: int = 3, cutoff: float = 75,
+                             id_col: str = "exec_id") -> DataFrame:
+    """token_set_ratio between observed and masterlist signatures, cut-off 75, top-n."""
+    from hygeia.operators.fuzzy_join import fuzzy_join
+    entries = payload_entries(validated, id_col).where(F.col("qsig") != "")
+    sigs = rules.signatures
+    top = fuzzy_join(entries.select("field", "qsig"), sigs, "field", "qsig", "signature", "ordinal",
+                     "token_set_ratio", cutoff, n)
+    top = top.join(sigs.select("field", "ordinal", "ml_id", "primary_value"), ["field", "ordinal"])
+    return (entries.join(top, ["field", "qsig"])
+            .select(id_col, "field", "rank", "ml_id", "primary_value", F.col("score").alias("overall_score")))
+
+
+def fuzzy_exists(rules: RuleSet, validated: DataFrame, cutoff: float = 75, id_col: str = "exec_id") -> DataFrame:
+    """Whether any masterlist signature of the field scores >= cut-off (empty signature -> false)."""
+    from hygeia.operators.fuzzy_join import fuzzy_join
+    entries = payload_entries(validated, id_col)
+    hit = (fuzzy_join(entries.where(F.col("qsig") != "").select("field", "qsig"), rules.signatures, "field",
+                      "qsig", "signature", "ordinal", "token_set_ratio", cutoff, 1)
+           .select("field", "qsig", F.lit(True).alias("_hit")))
+    return (entries.join(hit, ["field", "qsig"], "left")
+            .select(id_col, "field", F.coalesce("_hit", F.lit(False)).alias("has_match")))
+
+
+def resolve_terms(masterlist: DataFrame, terms: DataFrame, types: list[str], cutoff: float = 60,
+                  source: str = "value") -> DataFrame:
+    """Best WRatio match >= cut-off of each lower-cased term among the lower-cased distinct
+    values of the given masterlist types; unmatched terms come back as themselves, flagged not fuzzy.
+
+    ``source='value'`` reads data.value (effective variant), ``source='metadata:<name>'`` reads a
+    metadata value (shadowed variant).
+    """
+    from hygeia.operators.fuzzy_join import fuzzy_join
+    ml = masterlist.where(F.col("type").isin(*types))
+    if source.startswith("metadata:"):
+        v = F.col("data.metadata")[F.lit(source.split(":", 1)[1])]
+    else:
+        v = F.col("data.value")
+    choices = (ml.select(F.lower(v).alias("choice")).where(F.col("choice").isNotNull() & (F.col("choice") != ""))
+               .distinct().select(F.lit(0).alias("g"), "choice"))
+    t = terms.select(F.col("term"), F.lit(0).alias("g"), F.lower("term").alias("lterm"))
+    best = fuzzy_join(t, choices, "g", "lterm", "choice", "choice", "wratio", cutoff, 1)
+    return (t.join(best, ["g", "lterm"], "left")
+            .select("term", F.coalesce("choice", F.col("term")).alias("resolved"),
+                    F.col("choice").isNotNull().alias("is_fuzzy"), "score"))
