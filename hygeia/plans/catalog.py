@@ -381,3 +381,44 @@ QUERIES.update({
     "fuzzy_exists": q_fuzzy_exists,
     "resolve_terms": q_resolve_terms,
 })
+
+
+# --- search, schema, overlays ----------------------------------------------
+from hygeia.operators import upsert as UP  # noqa: E402
+from hygeia.plans import rules as RL  # noqa: E402
+
+
+def q_snapshot_search(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return RP.snapshot_search(_snapshots(spark, sf), run.executions, "urgent", 1, 50)
+
+
+def q_metadata_schema(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return RL.metadata_schema(run.masterlist, "cpumodel")
+
+
+def q_valid_values_and_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return RL.valid_values_and_paths(run_for(spark, sf).rules)
+
+
+def q_apply_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Approved values written back into the execution documents."""
+    run = run_for(spark, sf)
+    _, upd = _approvals(spark, sf)
+    ex = run.executions.select(F.col("exec_id").cast("string").alias("exec_id"), "doc")
+    out = UP.apply_document_updates(ex, upd, "doc", "exec_id")
+    changed = upd.select("exec_id").distinct()
+    return out.join(changed, "exec_id", "left_semi").select(
+        "exec_id", F.col("doc.platformProfile.sut.Summary.Server.CPUModel").alias("cpu_model"),
+        F.col("doc.platformProfile.sut.Summary.CPU.`CPU(s)`").alias("core_count"),
+        F.col("doc.sutInstanceMetadata.instanceType").alias("instance_type"),
+        F.col("doc.benchmarkCategory").alias("benchmark_category"))
+
+
+QUERIES.update({
+    "snapshot_search": q_snapshot_search,
+    "metadata_schema": q_metadata_schema,
+    "valid_values_and_paths": q_valid_values_and_paths,
+    "apply_updates": q_apply_updates,
+})

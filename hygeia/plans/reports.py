@@ -188,3 +188,24 @@ def metadata_values(masterlist: DataFrame, requests: DataFrame, max_records: int
     return rows.select(F.col("req_type").alias("type"), F.col("req_value").alias("value"), "ml_id",
                        F.col("mk").alias("name"), F.coalesce(py_strip(F.col("m")[F.col("mk")]), F.lit("None")).alias("meta_value"),
                        path.alias("meta_path"))
+
+
+def snapshot_search(snapshots: DataFrame, executions: DataFrame, term: str, page_no: int = 1, size: int = 50,
+                    resolved: dict[str, str] | None = None, exec_id: str = "exec_id") -> DataFrame:
+    """Executions matching the term (regex on id / type / category, or the fuzzy-resolved
+    value) -> their distinct ids (A12) -> snapshots of those ids (J8, semi-join) -> page by
+    snapshot id desc (T1) -> first matching execution per id (J7) -> projection (P20).
+    A status argument is accepted by the reference but ignored, so there is none here."""
+    ex = executions.select(F.col(exec_id).cast("string").alias("execution_id"), "benchmarkType", "benchmarkCategory")
+    hits = ex.where(search_filter(term, ["execution_id", "benchmarkType", "benchmarkCategory"], resolved))
+    ids = hits.select("execution_id").distinct()
+    snaps = snapshots.join(ids, "execution_id", "left_semi")
+    total = snaps.select(F.count(F.lit(1))).scalar()
+    p = page(snaps, [F.desc("snapshot_id")], page_no, size)
+    first = first_per_key(hits, "execution_id")
+    d0 = F.get(F.col("data"), 0)
+    return (p.join(first, "execution_id", "left")
+            .select("execution_id", "snapshot_id", d0["standardization_status"].alias("status"),
+                    F.coalesce(F.col("benchmark_type"), F.col("benchmarkType")).alias("benchmark_type"),
+                    F.coalesce(F.col("benchmark_category"), F.col("benchmarkCategory")).alias("benchmark_category"),
+                    total.alias("total")))

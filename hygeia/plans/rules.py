@@ -251,3 +251,32 @@ def processor_dimension(proc: DataFrame, key: str = "cpuModelNo") -> DataFrame:
     return (proc.where(k.isNotNull() & (k != ""))
             .select(k.alias("_proc_key"), F.create_map(*kv).alias("_proc_attrs"), order.alias("_o"))
             .groupBy("_proc_key").agg(F.max_by("_proc_attrs", "_o").alias("_proc_attrs")))
+
+
+def metadata_schema(masterlist: DataFrame, type_name: str) -> DataFrame:
+    """Metadata names of a representative Published record of a type (exact type first,
+    then case-insensitive): non-mapping metadata keys, plus top-level data keys that have a
+    ``mapping_`` twin (resolved from the data struct's schema)."""
+    pub = masterlist.where(F.col("status") == "Published")
+    cand = (pub.where(F.lower("type") == type_name.lower())
+            .select(F.when(F.col("type") == type_name, 0).otherwise(1).alias("pri"), "ordinal", "data"))
+    rep = cand.groupBy().agg(F.min_by("data", F.struct("pri", "ordinal")).alias("data"))
+    keys = F.filter(F.coalesce(F.map_keys("data.metadata"), F.array().cast("array<string>")),
+                    lambda k: ~k.startswith("mapping") & (k != "value"))
+    data_fields = [f.name for f in masterlist.schema["data"].dataType.fields]
+    twins = [f for f in data_fields if f"mapping_{f}" in data_fields]
+    top = [F.when(F.col(f"data.{f}").isNotNull() | F.col(f"data.mapping_{f}").isNotNull(), F.lit(f))
+           for f in twins]
+    names = F.concat(keys, F.filter(F.array(*top), lambda x: x.isNotNull())) if top else keys
+    return rep.select(F.explode(F.array_sort(F.array_distinct(names))).alias("name"))
+
+
+def valid_values_and_paths(rules: RuleSet) -> DataFrame:
+    """P25: per type its valid values and its metadata paths, as one long table
+    (field, kind, name, value) -- no per-type collection into one row."""
+    spark = rules.values.sparkSession
+    mp = spark.createDataFrame([(t, "meta_path", n, p) for t, lst in rules.meta_paths.items() for n, p in lst],
+                               "field string, kind string, name string, value string")
+    vals = rules.values.select("field", F.lit("value").alias("kind"), F.lit(None).cast("string").alias("name"),
+                               "value")
+    return vals.unionByName(mp)

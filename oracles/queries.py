@@ -235,3 +235,27 @@ fresh as (
     where m.type = 'CPUModel' and m.value = d.value and mm.mk = 'Family' and mm.mv = d.family))
 select min(ordinal) as ordinal, 'CPUModel' as type, 'Draft' as status, value, family
 from fresh group by value, family"""
+
+SQL["snapshot_search"] = SUG + SNAP + """,
+allsnaps as (
+  select n.snapshot_id, n.execution_id, n.status from snaps n
+  union all
+  select s.snapshot_id, s.execution_id, s.status from seed s where s.snapshot_id not in (select snapshot_id from snaps)),
+hits as (select cast(exec_id as varchar) as execution_id, btype_raw, bcat_raw from ex
+         where regexp_matches(cast(exec_id as varchar), 'urgent', 'i') or regexp_matches(btype_raw, 'urgent', 'i')
+            or regexp_matches(bcat_raw, 'urgent', 'i')),
+found as (select * from allsnaps where execution_id in (select execution_id from hits)),
+pg as (select * from found order by snapshot_id desc limit 50)
+select p.execution_id, p.snapshot_id, p.status, h.btype_raw as benchmark_type, h.bcat_raw as benchmark_category,
+       (select count(*) from found) as total
+from pg p left join hits h using (execution_id)"""
+
+SQL["metadata_schema"] = with_ctes(FIXTURE) + """
+select distinct mk as name from ml_meta
+where ordinal = (select min(ordinal) from ml where status = 'Published' and lower(type) = 'cpumodel')
+  and not starts_with(mk, 'mapping')"""
+
+SQL["valid_values_and_paths"] = BASE + """
+select field, 'value' as kind, null::varchar as name, value from valid_set
+union all
+select field, 'meta_path', name, path from meta_paths"""
