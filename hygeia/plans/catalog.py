@@ -357,14 +357,20 @@ def q_suggest_field_partial(spark: SparkSession, sf: str) -> DataFrame:
     return SG.field_suggestions_fuzzy(run.rules, ps.select("field", "value"))
 
 
-def q_suggest_record_tokenset(spark: SparkSession, sf: str) -> DataFrame:
+def _tokenset(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
-    return SG.record_suggestions_fuzzy(run.rules, run.validated)
+    if "tokenset" not in run.__dict__:
+        run.__dict__["tokenset"] = materialize(SG.record_suggestions_fuzzy(run.rules, run.validated), "tokenset")
+    return run.__dict__["tokenset"]
+
+
+def q_suggest_record_tokenset(spark: SparkSession, sf: str) -> DataFrame:
+    return _tokenset(spark, sf)
 
 
 def q_fuzzy_exists(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
-    return SG.fuzzy_exists(run.rules, run.validated)
+    return SG.fuzzy_exists(run.rules, run.validated, matches=_tokenset(spark, sf))
 
 
 def q_resolve_terms(spark: SparkSession, sf: str) -> DataFrame:

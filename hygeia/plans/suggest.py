@@ -110,14 +110,19 @@ def record_suggestions_fuzzy(rules: RuleSet, validated: DataFrame, n: int = 3, c
             .select(id_col, "field", "rank", "ml_id", "primary_value", F.col("score").alias("overall_score")))
 
 
-def fuzzy_exists(rules: RuleSet, validated: DataFrame, cutoff: float = 75, id_col: str = "exec_id") -> DataFrame:
-    """Whether any masterlist signature of the field scores >= cut-off (empty signature -> false)."""
-    from hygeia.operators.fuzzy_join import fuzzy_join
+def fuzzy_exists(rules: RuleSet, validated: DataFrame, cutoff: float = 75, id_col: str = "exec_id",
+                 matches: DataFrame | None = None) -> DataFrame:
+    """Whether any masterlist signature of the field scores >= cut-off (empty signature -> false).
+
+    ``matches`` may pass already computed J12 rows (exec, field, score) with the same or a lower
+    cut-off, so the candidate scoring runs once for both operators.
+    """
     entries = payload_entries(validated, id_col)
-    hit = (fuzzy_join(entries.where(F.col("qsig") != "").select("field", "qsig"), rules.signatures, "field",
-                      "qsig", "signature", "ordinal", "token_set_ratio", cutoff, 1)
-           .select("field", "qsig", F.lit(True).alias("_hit")))
-    return (entries.join(hit, ["field", "qsig"], "left")
+    if matches is None:
+        matches = record_suggestions_fuzzy(rules, validated, 1, cutoff, id_col)
+    hit = (matches.where(F.col("overall_score") >= F.lit(cutoff / 100.0) - F.lit(1e-9))
+           .select(id_col, "field", F.lit(True).alias("_hit")).distinct())
+    return (entries.join(hit, [id_col, "field"], "left")
             .select(id_col, "field", F.coalesce("_hit", F.lit(False)).alias("has_match")))
 
 

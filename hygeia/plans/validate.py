@@ -26,6 +26,8 @@ def empty_meta() -> Column:
 
 def metadata_pairs(rules: RuleSet) -> list[tuple[str, str]]:
     """Distinct (metadata name, path) pairs that configurations require (small rule metadata)."""
+    if "pairs" in rules.extra:
+        return rules.extra["pairs"]
     rows = (rules.configs.select(F.explode("cfgs").alias("c")).select(F.explode("c.reqs").alias("r"))
             .select("r.name", "r.path").distinct().limit(100_001).collect())
     if len(rows) > 100_000:
@@ -33,7 +35,8 @@ def metadata_pairs(rules: RuleSet) -> list[tuple[str, str]]:
     pairs = {(r["name"], r["path"]) for r in rows}
     for lst in rules.meta_paths.values():
         pairs.update(lst)
-    return sorted(pairs)
+    rules.extra["pairs"] = sorted(pairs)
+    return rules.extra["pairs"]
 
 
 def metadata_paths(rules: RuleSet) -> list[str]:
@@ -77,7 +80,9 @@ def with_values(rules: RuleSet, executions: DataFrame, doc: Column, meta_paths:
         key_path = rules.path_of(PROCESSOR_KEY_FIELD)
         raw = F.col(cols[key_path]) if key_path in cols else F.lit("")
         cpu = T.normalize_value(raw, F.lit(rules.types.get(PROCESSOR_KEY_FIELD) == T.INTEGER))
-        proc = sized_broadcast(rules.processor)
+        if "proc" not in rules.extra:
+            rules.extra["proc"] = sized_broadcast(rules.processor)
+        proc = rules.extra["proc"]
         df = df.withColumn("_cpu", cpu).join(proc, F.col("_cpu") == proc["_proc_key"], "left")
         for j, p in enumerate(proc_paths):
             df = df.withColumn(f"_pp{j}", F.coalesce(F.col("_proc_attrs")[F.lit(p[len(PROCESSOR_PREFIX):])],
@@ -127,8 +132,10 @@ def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "
     for i, m in enumerate(rules.primary_fields):
         value = T.normalize_value(vals.get(m.path), F.lit(rules.types.get(m.field) == T.INTEGER))
         df = df.withColumn(f"_val{i}", value)
-        cfg = sized_broadcast(rules.configs.where(F.col("field") == m.field)
-                              .select(F.col("value").alias(f"_hit{i}"), F.col("cfgs").alias(f"_cfgs{i}")))
+        key = ("cfg", m.field)
+        if key not in rules.extra:  # the size check runs once per rule set (not per micro-batch)
+            rules.extra[key] = sized_broadcast(rules.configs.where(F.col("field") == m.field))
+        cfg = rules.extra[key].select(F.col("value").alias(f"_hit{i}"), F.col("cfgs").alias(f"_cfgs{i}"))
         df = df.join(cfg, F.col(f"_val{i}") == F.col(f"_hit{i}"), "left")
         v = F.col(f"_val{i}")
         df = df.withColumn(f"_app{i}", _applicable(rules, m.field, vals))
