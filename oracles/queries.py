@@ -259,3 +259,43 @@ SQL["valid_values_and_paths"] = BASE + """
 select field, 'value' as kind, null::varchar as name, value from valid_set
 union all
 select field, 'meta_path', name, path from meta_paths"""
+
+SQL["apply_rejections"] = SUG + SNAP + """,
+universe as (
+  select execution_id, snapshot_id from snaps
+  union all
+  select execution_id, snapshot_id from seed where snapshot_id not in (select snapshot_id from snaps)),
+rej as (
+  select distinct cast(event_id % (select count(*) from orders) as varchar) as execution_id
+  from events where event_type = 'error'),
+hist as (
+  select cast(s.exec_id as varchar) as execution_id, s.f_ord, -1 as sub, s.field as f, s.value as v
+  from pstatus s where s.overall_invalid
+  union all
+  select cast(p.exec_id as varchar), s.f_ord, p.meta_pos, p.meta_name, p.meta_value
+  from payload p join pstatus s on s.exec_id = p.exec_id and s.field = p.field
+  where p.meta_name is not null)
+select u.execution_id, 'REJECTED' as status, 'L0 Junk Data.' as reason,
+       coalesce((select string_agg(f, ',' order by f_ord, sub) from hist h where h.execution_id = u.execution_id
+                 and exists (select 1 from vd where vd.execution_id = u.execution_id and not vd.is_valid)), '') as history_fields,
+       coalesce((select string_agg(coalesce(v, ''), '|' order by f_ord, sub) from hist h where h.execution_id = u.execution_id
+                 and exists (select 1 from vd where vd.execution_id = u.execution_id and not vd.is_valid)), '') as history_from,
+       coalesce((select n_invalid_fields from vd where vd.execution_id = u.execution_id and not vd.is_valid), 0) as n_items
+from universe u join rej using (execution_id)"""
+
+SQL["draft_hold"] = SUG + SNAP + """,
+dreq as (
+  select e.event_id as ordinal,
+         case when e.event_id % 3 = 0 then p.p_name || ' v2' else p.p_name || ' gen' || cast(e.event_id % 3 as varchar) end as value,
+         p.p_type as family
+  from events e join part p on p.p_partkey = (e.event_id % (select count(*) from orders)) % (select count(*) from part)
+  where e.event_type = 'signup'),
+fresh as (
+  select distinct value from dreq d where not exists (
+    select 1 from ml m join ml_meta mm on mm.ordinal = m.ordinal
+    where m.type = 'CPUModel' and m.value = d.value and mm.mk = 'Family' and mm.mv = d.family)),
+items as (select cast(exec_id as varchar) as execution_id, field, value from pstatus where overall_invalid)
+select n.execution_id, n.snapshot_id, 'ON HOLD' as status
+from snaps n
+where n.execution_id in (select i.execution_id from items i join fresh f on f.value = i.value)
+  and n.execution_id in (select execution_id from items where lower(field) = 'cpumodel')"""
