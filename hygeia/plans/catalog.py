@@ -428,3 +428,12 @@ QUERIES.update({
     "valid_values_and_paths": q_valid_values_and_paths,
     "apply_updates": q_apply_updates,
 })
+
+
+def q_snapshot_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Live detail of every stored snapshot (after the review decisions were applied)."""
+    run = run_for(spark, sf)
+    return SN.snapshot_detail(run.rules, _snapshots(spark, sf), run.validated).drop("field_pos")
+
+
+QUERIES["snapshot_detail"] = q_snapshot_detail

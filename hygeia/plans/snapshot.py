@@ -141,3 +141,64 @@ def snapshot_flat(snaps: DataFrame) -> DataFrame:
                     + F.aggregate(it["metadata"], F.lit(0).cast("bigint"),
                                   lambda a2, m: a2 + F.size(m["comparingData"]))).alias("n_comparing"),
         d["history"]["updatedOn"].alias("history_updated_on"), d["lastModifiedOn"].alias("last_modified_on"))
+
+
+def snapshot_detail(rules, snapshots: DataFrame, validated: DataFrame | None = None, n: int = 3,
+                    id_col: str = "exec_id") -> DataFrame:
+    """X4/R6 (batch form of the live detail view) with J17 and the read-time X2.
+
+    For every stored invalid item: suggestions are recomputed from the item's own value and
+    metadata (J9); each keeps the status saved on the first stored suggestion with the same
+    value, else PENDING (J17); field scores use ``ratio``; metadata rows follow the suggested
+    record's metadata.  ``status`` is the snapshot status, ACCEPTED when the execution is now
+    valid and the stored status is not protected (X2, read-time variant).
+    Long form: (execution_id, field_pos, invalid_field, current_status, snapshot_status, item,
+    name, rank, suggestion, score, overall_score, status).
+    """
+    from hygeia.functions import fuzzy as FZ
+    from hygeia.functions import text as T
+    from hygeia.operators.knn import knn_join
+    d0 = F.get(F.col("data"), 0)
+    snap = snapshots.select("execution_id", d0["standardization_status"].alias("_st"), d0.alias("d0"))
+    if validated is not None:
+        live = validated.select(F.col(id_col).cast("string").alias("execution_id"), F.col("isValid").alias("_live"))
+        snap = snap.join(live, "execution_id", "left")
+        st = F.when(F.coalesce("_live", F.lit(False)) & ~F.upper(F.coalesce("_st", F.lit(""))).isin(*PROTECTED),
+                    F.lit("ACCEPTED")).otherwise(F.col("_st"))
+    else:
+        st = F.col("_st")
+    items = snap.select("execution_id", st.alias("snapshot_status"),
+                        F.posexplode(F.coalesce(F.col("d0.invalidValues"), F.array().cast(f"array<{ITEM_T}>")))
+                        .alias("field_pos", "it"))
+    metas = F.array_sort(F.transform(F.col("it.metadata"), lambda m: F.struct(m["name"].alias("name"),
+                                                                             m["value"].alias("value"))))
+    parts = F.concat(F.array(T.py_strip(F.col("it.value"))),
+                     F.transform(F.filter(metas, lambda m: T.py_strip(m["value"]) != ""), lambda m: T.py_strip(m["value"])))
+    e = items.select("execution_id", "snapshot_status", "field_pos", F.col("it.field").alias("invalid_field"),
+                     F.col("it.currentStatus").alias("current_status"), F.col("it.value").alias("value"),
+                     F.map_from_entries(metas).alias("actual"), F.col("it.comparingData").alias("saved"),
+                     T.signature(parts).alias("qsig"))
+    sigs = rules.signatures
+    nn = knn_join(e.select(F.col("invalid_field").alias("field"), "qsig"), sigs, group="field", q_text="qsig",
+                  doc_id="ordinal", d_text="signature", order="ordinal", n=n)
+    nn = nn.join(sigs.select("field", "ordinal", "primary_value", F.col("metadata").alias("sug_meta")),
+                 ["field", "ordinal"]).withColumnRenamed("field", "invalid_field")
+    j = e.join(nn, ["invalid_field", "qsig"])
+    saved = F.get(F.filter(F.coalesce("saved", F.array().cast(f"array<{SUG_T}>")),
+                           lambda s: s["suggestion"] == F.col("primary_value")), 0)["status"]
+    j = j.withColumn("status", F.coalesce(saved, F.lit("PENDING")))
+    base = ["execution_id", "field_pos", "invalid_field", "current_status", "snapshot_status", "rank",
+            F.col("score").alias("overall_score"), "status"]
+    prim = j.select(*base, F.lit("primary").alias("item"), F.col("invalid_field").alias("name"),
+                    F.col("primary_value").alias("suggestion"), F.lower("value").alias("_a"),
+                    F.lower("primary_value").alias("_b"))
+    meta = j.select(*base, F.explode("sug_meta").alias("name", "suggestion")).select(
+        "*", F.lit("metadata").alias("item"))
+    meta = meta.join(e.select("execution_id", "field_pos", "actual"), ["execution_id", "field_pos"]).select(
+        *[c for c in ["execution_id", "field_pos", "invalid_field", "current_status", "snapshot_status", "rank",
+                      "overall_score", "status", "item", "name", "suggestion"]],
+        F.lower(F.coalesce(F.col("actual")[F.col("name")], F.lit(""))).alias("_a"),
+        F.lower(F.col("suggestion")).alias("_b"))
+    rows = FZ.with_ratio(prim.unionByName(meta), "_a", "_b", "score")
+    return rows.select("execution_id", "field_pos", "invalid_field", "current_status", "snapshot_status", "item",
+                       "name", "rank", "suggestion", "score", "overall_score", "status")

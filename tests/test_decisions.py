@@ -105,3 +105,21 @@ def test_draft_duplicate_and_hold(state):
     d = held[0]["data"][0]
     assert d["standardization_status"] == "ON HOLD"
     assert all(c["status"] == "REJECTED" for c in d["invalidValues"][0]["comparingData"])
+
+
+def test_snapshot_detail_carries_saved_status(state):
+    spark, ml, snaps = state
+    from hygeia.plans import rules as R2
+    dec = _dec(spark, [dict(kind="approve", execution_id="e3", field_name="CPUModel", accepted_value="7543")])
+    approved, _ = D.apply_approvals(snaps, dec, ml, AS_OF)
+    approved = spark.createDataFrame(approved.collect(), approved.schema)  # small: cut the lineage
+    ex = spark.createDataFrame(G.execution_rows(), "exec_id string, doc string")
+    ex = ex.withColumn("doc", to_doc_variant(F.col("doc"), "json"))
+    proc = spark.createDataFrame(G.PROC_ROWS, "cpuModelNo string, family string, ordinal bigint")
+    rules = R2.build_rules(ml, ex, F.col("doc"), proc)
+    detail = SN.snapshot_detail(rules, approved).collect()
+    got = sorted((r["rank"], r["suggestion"], r["status"], r["score"]) for r in detail if r["item"] == "primary")
+    assert got == [(1, "7543", "Accepted", 0.6667), (2, "7543", "Accepted", 0.6667), (3, "9654P", "Rejected", 0.3077)]
+    meta = {(r["rank"], r["name"]): (r["suggestion"], r["score"]) for r in detail if r["item"] == "metadata"}
+    assert meta[(2, "coreCount")] == ("64", 0.0)
+    assert meta[(1, "coreCount")] == ("32", 1.0)
