@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hygeia.llm.common import Scratch
 from hygeia.llm.minhash import near_classes
+from hygeia.llm.mixing import mix_sources, word_count
+from hygeia.llm.packing import pack_documents
+from hygeia.llm.quality import BASE, judge
+from hygeia.llm.sharding import hilbert_shards
+from hygeia.llm.sketch import edited_fingerprints, fingerprint, resemblance
 from hygeia.llm.substring import substring_dedup
 
 
@@ -13,6 +19,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sized = Scratch(spark, "mixing").table(docs.select("doc_id", "source", word_count().alias("size")), "sized")
+    out = mix_sources(sized, F.col("size"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert_shards(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op10_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint("sketch").alias("fingerprint"),
+                      fingerprint("edited_sketch").alias("edited_fingerprint"),
+                      resemblance("sketch", "edited_sketch").alias("near_edited"),
+                      resemblance("sketch", "next_sketch").alias("near_next"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -25,8 +67,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_hilbert_shards": op4_hilbert_shards,
+    "op10_bottom_k_sketch": op10_bottom_k_sketch,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
 }
 
+#: Words of a text, as an array.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {}
