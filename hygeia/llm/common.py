@@ -76,9 +76,9 @@ def range_bounds(df: DataFrame, col: str, n: int) -> list[int]:
     return sorted(set(row["q"] or []))
 
 
-def range_block(col: str | Column, bounds: list[int]) -> Column:
+def range_block(col: str | Column, bounds: list, kind: str = "bigint") -> Column:
     """Index of the range of ``col``: the number of bounds <= its value (null: 0), by binary search."""
-    c = (F.col(col) if isinstance(col, str) else col).cast("bigint")
+    c = (F.col(col) if isinstance(col, str) else col).cast(kind)
     if not bounds:
         return F.lit(0)
     steps = max(1, math.ceil(math.log2(len(bounds) + 1)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hygeia.llm.chat import link_tool_calls
 from hygeia.llm.common import Scratch
+from hygeia.llm.html_crf import main_text
 from hygeia.llm.minhash import near_classes
 from hygeia.llm.mixing import mix_sources, word_count
 from hygeia.llm.packing import pack_documents
@@ -13,6 +15,7 @@ from hygeia.llm.quality import BASE, judge
 from hygeia.llm.sharding import hilbert_shards
 from hygeia.llm.sketch import edited_fingerprints, fingerprint, resemblance
 from hygeia.llm.substring import substring_dedup
+from hygeia.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,55 @@ def op10_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
                       resemblance("sketch", "next_sketch").alias("near_next"))
 
 
+#: The tools of the derived call log.
+TOOLS = {
+    "search": {"limit": ("integer", False, 1, 200), "query": ("string", True, None, None)},
+    "summarise": {"text": ("string", True, None, None), "words": ("integer", True, 1, 150)},
+    "translate": {"strict": ("boolean", False, None, None), "text": ("string", True, None, None)},
+}
+
+
+def derived_tool_log(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, results) from chat turns: each assistant turn is a call whose arguments hold its whole text, the user
+    turn after it is the result. A call refers to the call at half its turn; every 13th call lacks a
+    parameter or breaks its JSON, so all paths of the operator have rows."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    call = lambda turn: F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), turn)
+    words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    pick = F.col("turn") % 3
+    odd = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(13))
+    text = F.expr("substr(to_json(struct(coalesce(text, '') as t)), 6, length(to_json(struct(coalesce(text, '') as t))) - 6)")
+    search = F.concat(F.lit('{ "query": '), text, F.lit(', "limit": '), words, F.lit(" }"))
+    summarise = F.concat(F.lit('{"words":'), words, F.when(odd == 1, F.lit("")).otherwise(F.concat(F.lit(',  "text":'), text)), F.lit("}"))
+    translate = F.concat(F.lit('{"text": '), text, F.lit(', "strict": '), F.when(odd == 2, F.lit('"yes"')).otherwise(F.lit("true")),
+                         F.when(odd == 3, F.lit("")).otherwise(F.lit("}")))
+    half = F.expr("2 * (turn div 4) + 1")
+    calls = c.where("role = 'assistant'").select(
+        "conv_id", call(F.col("turn")).alias("call_id"), "turn",
+        F.element_at(F.lit(sorted(TOOLS)), (pick + 1).cast("int")).alias("name"),
+        F.when(pick == 0, search).when(pick == 1, summarise).otherwise(translate).alias("arguments"),
+        F.when(half < F.col("turn"), F.array(call(half))).otherwise(F.array().cast("array<string>")).alias("needs"))
+    results = c.where("role = 'user' and turn > 0").select(
+        "conv_id", call(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_tool_calls(*derived_tool_log(_table(spark, sf_dir, "conversations")), TOOLS)
+    return out.select("conv_id", "call_id", "turn", "name", "result_turn", "n_results", "level", "position",
+                      F.array_join("errors", "; ").alias("errors"), "record")
+
+
+def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                      "url_key", "timestamp", F.col("run").alias("archive"), "offset", "length", "intact", "part", "history")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -72,6 +124,9 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op10_bottom_k_sketch": op10_bottom_k_sketch,
+    "op5_tool_call_linking": op5_tool_call_linking,
+    "op6_crf_main_text": op6_crf_main_text,
+    "op9_warc_index_merge": op9_warc_index_merge,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
 }
