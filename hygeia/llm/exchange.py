@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hygeia.llm import words as K
+
 U = np.uint64
 QUESTION = "bucket int, chunk int, ask binary"
 ANSWER = "chunk int, bucket int, say binary"
@@ -149,13 +151,30 @@ def read_count(answers: pa.Table, buckets: int, h: np.ndarray) -> np.ndarray:
     return others
 
 
+def _trimmed(work, pair: bool = False):
+    """``work`` on one table or two, giving freed memory back after each group."""
+    def one(t: pa.Table) -> pa.Table:
+        try:
+            return work(t)
+        finally:
+            K.give_back()
+
+    def two(t: pa.Table, said: pa.Table) -> pa.Table:
+        try:
+            return work(t, said)
+        finally:
+            K.give_back()
+
+    return two if pair else one
+
+
 def ask_all(chunks: DataFrame, ask, answer) -> DataFrame:
     """``chunks`` (column chunk and more) -> answers, by ``ask`` (a chunk's table -> questions) and ``answer``."""
-    return (chunks.groupBy("chunk").applyInArrow(ask, QUESTION)
-            .groupBy("bucket").applyInArrow(answer, ANSWER))
+    return (chunks.groupBy("chunk").applyInArrow(_trimmed(ask), QUESTION)
+            .groupBy("bucket").applyInArrow(_trimmed(answer), ANSWER))
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
     """``work`` (a chunk's table, its answers) for every chunk."""
     return (chunks.groupBy("chunk").cogroup(answers.select(F.col("chunk"), "bucket", "say").groupBy("chunk"))
-            .applyInArrow(work, schema))
+            .applyInArrow(_trimmed(work, True), schema))

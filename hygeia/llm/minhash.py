@@ -152,7 +152,7 @@ def _compare(total: int):
 
 
 def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6,
-                 chunk_bytes: int = 16 << 20) -> DataFrame:
+                 chunk_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links (compared texts
     found similar), kept (true for one row of each class)."""
     spark = docs.sparkSession

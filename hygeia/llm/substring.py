@@ -83,7 +83,7 @@ def _doubled(ids: np.ndarray, at: np.ndarray, h: np.ndarray, half: int):
     return ids[ok], at[ok], K.mix(h[ok] * U(K.BASE) + h[inside[ok]])
 
 
-def repeated_spans(docs: DataFrame, width: int = 13, chunk_bytes: int = 16 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 13, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, text_hash (xxhash64), n_words, n_removed, starts/ends (word ranges to remove)
     and longest (words of the longest window length at which one of its windows was still repeated; 0: none)."""
     spark = docs.sparkSession
@@ -107,6 +107,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, chunk_bytes: int = 16 << 20
         doc = K.owner(first, at)
         distinct, low, high, which = _distinct(w, ids[doc])
         other, earlier = X.read_where(said, len(distinct), buckets, distinct)
+        del distinct
         later = earlier[which] | (ids[doc] > low[which])
         gone = K.covered(at[later], width, int(first[-1]))
         s, e = K.spans(gone, first)
@@ -216,7 +217,7 @@ def _cut(batches):
 _SPACES = {c: " " for c in range(9, 14)}
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, chunk_bytes: int = 16 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, chunk_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with text cut: a document that loses words holds its kept words joined by one space, others
     are unchanged.  Adds n_words, n_removed, longest (clashing columns of ``docs`` are replaced)."""
     spans = repeated_spans(docs, width, chunk_bytes)

@@ -7,6 +7,8 @@ time, not memory.  Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -144,3 +146,12 @@ def order_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         o = o[np.argsort(s, kind="stable")]
         s = h[o]
     return o, s
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
