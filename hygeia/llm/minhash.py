@@ -10,10 +10,9 @@ probability of their weighted Jaccard similarity.  ``rows`` samples make a band
 
 Copies (equal word sequences) are one node.  A document whose shingles with df >= 2 weigh less
 than ``threshold`` of the whole can't reach it with any other, so it is left out of the
-banding (nothing is lost).  In a band, nodes are compared with a pivot, not with
-each other: nodes that miss it choose pivots among themselves and these are compared with all of the band
-that the triangle inequality of the Jaccard distance doesn't rule out, until none is left.
-Each comparison is the exact weighted Jaccard similarity of the whole shingle sets.
+banding (nothing is lost).  Members of a band are compared with its most central node, then
+with nodes of the components that are left, never all with all.  Each comparison is the exact weighted
+Jaccard similarity of the whole shingle sets; a class is a component of the similar pairs.
 
 Cases: a document without words (null, empty) is its own class; rows with equal words are one class; a
 null doc_id takes part and is never the name of a class that has another id;
@@ -151,6 +150,55 @@ def _compare(total: int):
     return rows
 
 
+def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float, work: Scratch,
+          pivots: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(links a, b of similar nodes; node, root of each component) from (node, band) and (node, payload).
+
+    First every member of a band is compared with the band's most central node, the one whose bands have the most
+    members. Then, round by round, in bands whose members still fall into several components, up to ``pivots`` nodes
+    outside the largest are compared with the members of other components, until a round joins nothing. A round
+    makes at most ``pivots`` pairs per member."""
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    member = work.table(banded.join(sizes, "band"), "member")
+    score = work.table(member.groupBy("node").agg(F.sum("m").alias("score")), "score")
+    member = work.table(member.join(score, "node").select("band", "node", "score"), "scored")
+    best = member.groupBy("band").agg(F.max(F.struct("score", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
+    near = member.join(best, "band").where("node <> pivot").select("node", "pivot").distinct()
+    done = work.table(best.select("band", F.col("pivot").alias("node")), "pivots0")
+    seen = links = roots = None
+    step = 0
+    while True:
+        pairs = (near.join(payloads, "node")
+                 .join(payloads.select(F.col("node").alias("pivot"), F.col("payload").alias("pivot_payload")), "pivot")
+                 .select("node", "pivot", "payload", "pivot_payload")
+                 .mapInArrow(_compare(total), "node binary, pivot binary, sim double"))
+        found = work.table(pairs, f"found{step}")
+        new = found.where(F.col("sim") >= threshold).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        if roots is not None and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        seen = found if seen is None else seen.unionByName(found)
+        step += 1
+        roots = work.table(components(links, Scratch(work.spark, "components")), f"roots{step}")
+        rooted = member.join(roots, "node", "left").select("band", "node", "score", F.coalesce("root", "node").alias("root"))
+        parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+        several = (parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("big"))
+                   .where("parts > 1").select("band", F.col("big.root").alias("big")))
+        rooted = work.table(rooted.join(several, "band"), f"open{step}")
+        outside = rooted.where("root <> big").join(done, ["band", "node"], "left_anti")
+        order = W.partitionBy("band").orderBy(F.desc("score"), "node")
+        chosen = work.table(outside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+                            .select("band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), f"pivots{step}")
+        if chosen.isEmpty():
+            break
+        done = done.unionByName(chosen.select("band", F.col("pivot").alias("node")))
+        both = (rooted.join(chosen, "band").where("root <> pivot_root")
+                .select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
+        tried = seen.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
+        near = both.join(tried, ["node", "pivot"], "left_anti")
+    return links, roots
+
+
 def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6,
                  chunk_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links (compared texts
@@ -212,53 +260,7 @@ def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands:
     nodes = signed.where("bands is not null")
     # a node may come from several chunks: one payload each
     payloads = work.table(nodes.select("node", "payload").dropDuplicates(["node"]), "payloads")
-    banded = nodes.select("node", F.posexplode("bands").alias("band_no", "band")).distinct()
-    # alternate bands take their smallest and their largest node as pivot
-    banded = banded.select("node", "band", (F.col("band_no") % 2 == 0).alias("low"))
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
-    member = work.table(banded.join(sizes, "band").select("band", "node", "low"), "member")
-
-    links = seen = None
-    open_, step = member, 0
-    while True:
-        pivots = open_.groupBy("band", "low").agg(F.min("node").alias("n0"), F.max("node").alias("n1")) \
-            .select("band", F.when(F.col("low"), F.col("n0")).otherwise(F.col("n1")).alias("pivot"))
-        if step == 0:
-            near = member.join(pivots, "band").select("band", "node", "pivot")
-        else:
-            # of those an earlier pivot took, only the ones the triangle inequality leaves: with distances
-            # x and y to a common pivot, two nodes lie at least |x - y| apart
-            known = seen.alias("s").select("node", F.col("pivot").alias("common"), (1 - F.col("sim")).alias("dist"))
-            x = pivots.join(known.select(F.col("node").alias("pivot"), "common", F.col("dist").alias("own")), "pivot")
-            took = known.where(F.col("dist") <= 1 - threshold + 1e-9)
-            inner = member.join(took, "node").select("band", "node", "common", "dist")
-            near = (x.join(inner, ["band", "common"]).where(F.abs(F.col("own") - F.col("dist")) <= 1 - threshold + 1e-9)
-                    .select("band", "node", "pivot")
-                    .unionByName(open_.join(pivots, "band").select("band", "node", "pivot")))
-        near = near.where("node <> pivot").select("node", "pivot").distinct()
-        if seen is not None:
-            near = near.join(seen.select("node", "pivot"), ["node", "pivot"], "left_anti")
-        pay = payloads.alias("p")
-        pairs = (near.join(pay, "node").select("node", "pivot", F.col("payload"))
-                 .join(payloads.select(F.col("node").alias("pivot"), F.col("payload").alias("pivot_payload")), "pivot")
-                 .select("node", "pivot", "payload", "pivot_payload")
-                 .mapInArrow(_compare(total), "node binary, pivot binary, sim double"))
-        found = work.table(pairs, f"found{step}")
-        seen = found if seen is None else seen.unionByName(found)
-        # a node is settled in a band once it is that band's pivot or similar to it
-        done = (open_.join(pivots, "band")
-                .join(seen.where(F.col("sim") >= threshold).select("node", F.col("pivot"), F.lit(True).alias("hit")),
-                      ["node", "pivot"], "left"))
-        rest = done.where((F.col("node") != F.col("pivot")) & F.col("hit").isNull()).select("band", "node", "low")
-        step += 1
-        rest = work.table(rest, f"open{step}")
-        alone = rest.groupBy("band").agg(F.count(F.lit(1)).alias("m"))
-        if rest.isEmpty():
-            break
-        open_ = rest
-    links = work.table(seen.where(F.col("sim") >= threshold)
-                       .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "links")
-    roots = components(links, work)
+    links, roots = _link(nodes.select("node", F.explode("bands").alias("band")).distinct(), payloads, total, threshold, work)
     degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
               .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
     names = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
