@@ -6,7 +6,7 @@ blocks.  A block has features of its ancestors (their tags and what kind of part
 classes, ids and roles name) and of its text.  The field labels the
 blocks of a page as content or not; it is trained on labelled pages and decoded by Viterbi.
 
-Training pages are ``train_pages`` (200 by default, the bound on what reaches the driver) of the
+Training pages are ``train_pages`` (150 by default, the bound on what reaches the driver) of the
 table, those of least hashed page_id.  Each gives labelled pages of two kinds: itself, where its
 blocks inside an article element and outside other parts are content; and its content set into
 layouts of other sites, with menus, headers, sidebars, notices, adverts, forms and reader
@@ -176,7 +176,7 @@ INDEX = {n: i for i, n in enumerate(NAMES)}
 
 
 #: Blocks of a training page that are looked at.
-TRAIN_BLOCKS = 100
+TRAIN_BLOCKS = 60
 _ANCESTORS = ("article", "main", "section", "ul", "table", "a", "form", "blockquote")
 
 
@@ -224,7 +224,7 @@ def features(blocks: list[Block]) -> list[list[int]]:
 
 
 # ---- the field --------------------------------------------------------------
-def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 120, rate: float = 0.15, l2: float = 1e-3):
+def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 200, rate: float = 0.3, l2: float = 1e-5):
     """(weights per feature for content against not, transitions 2 x 2) by gradient ascent on the
     conditional log-likelihood (forward-backward over all pages side by side, Adam steps)."""
     pages = [p for p in pages if p[0]]
@@ -318,7 +318,7 @@ def layouts(title: str, texts: list[str], words: list[str], rng: random.Random)
             "comments": (("section", "div", "ol"), ("comments", "comment-list", "comment", "respond", "replies")),
         }[kind]
         t, c = rng.choice(tag), rng.choice(names)
-        if not c and t == "div":
+        if not c and part_kind(t, "") is None:
             c = names[0]
         how = rng.choice(("class", "id"))
         return f'<{t} {how}="{c}">{inner}</{t}>' if c else f"<{t}>{inner}</{t}>"
@@ -326,7 +326,7 @@ def layouts(title: str, texts: list[str], words: list[str], rng: random.Random)
     para = lambda a, b: f"<p>{esc(say(a, b))}.</p>"
     parts = [some(0.6, lambda: box("header", f"<h2>{esc(say(1, 4))}</h2>" + some(0.5, lambda: para(2, 9)))),
              some(0.8, lambda: box("nav", links(rng.randint(2, 8)))),
-             some(0.4, lambda: box("notice", para(5, 30))), some(0.5, lambda: box("ad", para(3, 25)))]
+             some(0.4, lambda: box("notice", para(5, 50))), some(0.5, lambda: box("ad", para(3, 60)))]
     body = [f"<!--1--><h1>{esc(title)}</h1>"]
     for t in texts:
         tag = rng.choices(("p", "li", "blockquote", "h2", "div", "pre"), (20, 2, 1, 1, 2, 1))[0]
@@ -340,10 +340,10 @@ def layouts(title: str, texts: list[str], words: list[str], rng: random.Random)
                        '<div class="entry-content">{}</div>', '<main><article>{}</article></main>', '<div>{}</div>',
                        '<section class="story">{}</section>'))
     tail = some(0.5, lambda: box("comments", "".join(
-        f'<div class="comment"><b>{esc(say(1, 2))}</b>{para(3, 40)}</div>' for _ in range(rng.randint(1, 4)))))
+        f'<div class="comment"><b>{esc(say(1, 2))}</b>{para(3, 80)}</div>' for _ in range(rng.randint(1, 4)))))
     inside = rng.random() < 0.3
     parts += [main.format("".join(body) + (tail if inside else "")), "" if inside else tail,
-              some(0.5, lambda: box("side", links(rng.randint(1, 5)) + some(0.5, lambda: para(5, 30)))),
+              some(0.5, lambda: box("side", links(rng.randint(1, 5)) + some(0.5, lambda: para(5, 60)))),
               some(0.3, lambda: box("form", f"<label>{esc(say(1, 3))}</label><input>" + some(0.5, lambda: para(2, 8)))),
               some(0.3, lambda: box("ad", para(3, 25))),
               some(0.8, lambda: box("footer", f"<p>&copy; {esc(say(1, 8))}</p>" + some(0.4, lambda: links(3))))]
@@ -388,7 +388,7 @@ def extract_text(page: str | None, w: list[float], tr: list[list[float]]) -> str
     return " ".join(b.text for b, y in zip(blocks, viterbi(features(blocks), w, tr)) if y)
 
 
-def main_text(pages: DataFrame, train_pages: int = 200) -> DataFrame:
+def main_text(pages: DataFrame, train_pages: int = 150) -> DataFrame:
     """``pages`` with text and n_chars in place of html (clashing columns are replaced)."""
     sample = (pages.select("html", F.xxhash64("page_id", F.lit(5)).alias("_k"), F.xxhash64("html").alias("_h"))
               .orderBy("_k", "_h").limit(train_pages).collect())

@@ -14,13 +14,11 @@ is hashed like any value; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from hygeia.llm.common import WORD, running_sum
+from hygeia.llm.common import WORD, block_count, running_sum
 
 #: Rows in a block of a source.
 BLOCK_ROWS = 50_000
@@ -59,7 +57,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int,
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     narrow = docs.select("source", size.alias("size"))
     per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    blocks = max(1, math.ceil(docs.count() / BLOCK_ROWS))
+    blocks = block_count(docs.sparkSession, docs.count(), BLOCK_ROWS, 1_000)
     placed = docs.select(*named, size.alias("size"), key.alias("_key")).withColumn(
         "_block", F.expr(f"cast(shiftrightunsigned(_key, 33) * {blocks} div {2**31} as int)"))
     runs = running_sum(placed, ["source"], "_block", [F.col("_key"), F.col("doc_id")], F.col("size"), "_before")

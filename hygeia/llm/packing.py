@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hygeia.llm import words as K
-from hygeia.llm.common import Scratch, running_sum
+from hygeia.llm.common import Scratch, block_count, running_sum
 from hygeia.llm.quality import pieces
 
 U = np.uint64
@@ -346,7 +346,7 @@ def pack_pieces(found: DataFrame, capacity: int) -> DataFrame:
     spark = found.sparkSession
     hist = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = plan(hist, capacity)  # at most a few slots for each of ``capacity`` lengths
-    blocks = max(1, math.ceil(sum(hist.values()) / BLOCK_ROWS))
+    blocks = block_count(spark, sum(hist.values()), BLOCK_ROWS, 5_000)
     shared = spark.sparkContext.broadcast(slots)
     placed = found.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
     order = [F.col(c).asc_nulls_first() for c in found.columns]
