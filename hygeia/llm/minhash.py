@@ -35,6 +35,8 @@ from hygeia.llm.graph import components
 U = np.uint64
 _SIGNED = "chunk int, doc_id bigint, node binary, bands array<bigint>, payload binary"
 _DRAWS: dict = {}
+#: Ids of a list that may be sent to every task (16 bytes each).
+SHORT_LIST = 100_000
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray]:
@@ -150,49 +152,73 @@ def _compare(total: int):
     return rows
 
 
+def _only(payloads: DataFrame, ids: DataFrame) -> DataFrame:
+    """The payloads of the nodes in ``ids`` (column node). A short list of ids is sent to the payloads (its size
+    is counted first); a long one is joined by shuffle."""
+    ids = ids.distinct()
+    short = ids.limit(SHORT_LIST + 1).count() <= SHORT_LIST
+    return payloads.join(F.broadcast(ids) if short else ids, "node", "left_semi")
+
+
 def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float, work: Scratch,
           pivots: int = 4) -> tuple[DataFrame, DataFrame]:
     """(links a, b of similar nodes; node, root of each component) from (node, band) and (node, payload).
 
     First every member of a band is compared with the band's most central node, the one whose bands have the most
-    members. Then, round by round, in bands whose members still fall into several components, up to ``pivots`` nodes
-    outside the largest are compared with the members of other components, until a round joins nothing. A round
-    makes at most ``pivots`` pairs per member."""
+    members. Then, round by round, in bands whose members fall into several components, up to ``pivots`` nodes
+    outside the largest are compared with the members of other components. A band stays in the next round while
+    one of its pivots found a link. A round makes at most ``pivots`` pairs per member."""
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     member = work.table(banded.join(sizes, "band"), "member")
-    score = work.table(member.groupBy("node").agg(F.sum("m").alias("score")), "score")
+    score = member.groupBy("node").agg(F.sum("m").alias("score"))
     member = work.table(member.join(score, "node").select("band", "node", "score"), "scored")
     best = member.groupBy("band").agg(F.max(F.struct("score", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
     near = member.join(best, "band").where("node <> pivot").select("node", "pivot").distinct()
-    done = work.table(best.select("band", F.col("pivot").alias("node")), "pivots0")
+    used = work.table(best.select("band", F.col("pivot").alias("node")), "pivots0")
     seen = links = roots = None
     step = 0
     while True:
-        pairs = (near.join(payloads, "node")
-                 .join(payloads.select(F.col("node").alias("pivot"), F.col("payload").alias("pivot_payload")), "pivot")
+        near = work.table(near, f"near{step}")
+        pivot_pay = _only(payloads, near.select(F.col("pivot").alias("node"))).select(
+            F.col("node").alias("pivot"), F.col("payload").alias("pivot_payload"))
+        pairs = (near.join(_only(payloads, near.select("node")), "node").join(pivot_pay, "pivot")
                  .select("node", "pivot", "payload", "pivot_payload")
                  .mapInArrow(_compare(total), "node binary, pivot binary, sim double"))
         found = work.table(pairs, f"found{step}")
         new = found.where(F.col("sim") >= threshold).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        if roots is not None and new.isEmpty():
-            break
         links = new if links is None else links.unionByName(new)
         seen = found if seen is None else seen.unionByName(found)
-        step += 1
-        roots = work.table(components(links, Scratch(work.spark, "components")), f"roots{step}")
-        rooted = member.join(roots, "node", "left").select("band", "node", "score", F.coalesce("root", "node").alias("root"))
+        if step == 0:
+            roots = work.table(components(new, Scratch(work.spark, "components")), "roots0")
+        else:
+            hit = new.select(F.col("a").alias("pivot")).unionByName(new.select(F.col("b").alias("pivot"))).distinct()
+            alive = chosen.join(hit, "pivot", "left_semi").select("band").distinct()
+            member = work.table(member.join(alive, "band", "left_semi"), f"scored{step}")
+            if member.isEmpty():
+                break
+            # components of components: only edges between two of them
+            ends = (new.join(roots.select(F.col("node").alias("a"), F.col("root").alias("u")), "a", "left")
+                    .join(roots.select(F.col("node").alias("b"), F.col("root").alias("v")), "b", "left")
+                    .select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")))
+            merged = components(ends, Scratch(work.spark, "components")).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            fresh = merged.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+            roots = work.table(roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+                               .unionByName(fresh), f"roots{step}")
+        rooted = work.table(member.join(roots, "node", "left").select("band", "node", "score", F.coalesce("root", "node").alias("root")),
+                            f"rooted{step}")
         parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
         several = (parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("big"))
                    .where("parts > 1").select("band", F.col("big.root").alias("big")))
-        rooted = work.table(rooted.join(several, "band"), f"open{step}")
-        outside = rooted.where("root <> big").join(done, ["band", "node"], "left_anti")
+        step += 1
+        open_ = work.table(rooted.join(several, "band"), f"open{step}")
         order = W.partitionBy("band").orderBy(F.desc("score"), "node")
-        chosen = work.table(outside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        chosen = work.table(open_.where("root <> big").join(used, ["band", "node"], "left_anti")
+                            .withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
                             .select("band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), f"pivots{step}")
         if chosen.isEmpty():
             break
-        done = done.unionByName(chosen.select("band", F.col("pivot").alias("node")))
-        both = (rooted.join(chosen, "band").where("root <> pivot_root")
+        used = used.unionByName(chosen.select("band", F.col("pivot").alias("node")))
+        both = (open_.join(chosen, "band").where("root <> pivot_root")
                 .select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
         tried = seen.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
         near = both.join(tried, ["node", "pivot"], "left_anti")
