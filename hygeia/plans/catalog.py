@@ -203,8 +203,7 @@ def q_invalid_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_unique_values(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
-    types = [r["type"] for r in run.masterlist.where("status = 'Published'").select("type").distinct().collect()]
-    return RP.unique_values(run.masterlist, [m.field for m in run.rules.mappings], types)
+    return RP.unique_values(run.masterlist, [m.field for m in run.rules.mappings])
 
 
 def q_metadata_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +237,7 @@ def q_stream_validate(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     src, sink, ckpt = f"{root}/source", f"{root}/sink", f"{root}/checkpoint"
-    run.executions.repartition(4).write.parquet(src)
+    run.executions.write.parquet(src)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(src)
     q = ST.start(spark, stream, run.rules, F.col("doc"), sink, ckpt, AS_OF)
@@ -257,18 +256,22 @@ from hygeia.plans import decisions as DC  # noqa: E402
 
 
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Decision table: approve targets come from each snapshot's first invalid item."""
+    """Decision table: an approval decides one of its snapshot's invalid items (by decision id), or with a click the
+    item's first metadata name."""
     run = run_for(spark, sf)
     if "decisions" not in run.__dict__:
         ev = FX.decision_events(spark, run.sf_dir)
         d0 = F.get(F.col("data"), 0)
-        first = _snapshots(spark, sf).select(
-            "execution_id", F.get(d0["invalidValues"], 0)["field"].alias("field_name"),
-            F.get(F.get(d0["invalidValues"], 0)["comparingData"], 0)["suggestion"].alias("_s1"))
-        d = ev.join(first, "execution_id", "left").select(
+        items = _snapshots(spark, sf).select("execution_id", d0["invalidValues"].alias("_items"))
+        j = ev.join(items, "execution_id", "left").withColumn("_it", F.get(
+            F.col("_items"), (F.col("decision_id") % F.greatest(F.size("_items"), F.lit(1))).cast("int")))
+        meta = F.get(F.col("_it.metadata"), 0)
+        click = F.col("event_type") == "click"
+        d = j.select(
             "decision_id", "ts", "kind", "execution_id",
-            F.when(F.col("kind") == "approve", F.col("field_name")).alias("field_name"),
-            F.when(F.col("event_type") == "purchase", F.col("_s1"))
+            F.when(F.col("kind") == "approve", F.when(click, meta["name"]).otherwise(F.col("_it.field"))).alias("field_name"),
+            F.when(F.col("event_type") == "purchase", F.get(F.col("_it.comparingData"), 0)["suggestion"])
+            .when(click, F.coalesce(F.get(meta["comparingData"], 0)["suggestion"], F.lit("manual")))
             .when(F.col("event_type") == "view", F.concat(F.lit("custom-"), F.col("execution_id")))
             .alias("accepted_value"),
             F.lit(None).cast("int").alias("rank"),
@@ -310,7 +313,7 @@ def q_apply_approvals(spark: SparkSession, sf: str) -> DataFrame:
 def q_execution_updates(spark: SparkSession, sf: str) -> DataFrame:
     _, a = _approvals(spark, sf)
     _, r = DC.apply_rejections(_snapshots(spark, sf), _decisions(spark, sf), AS_OF, "reviewer")
-    return a.unionByName(r)
+    return a.drop("seq").unionByName(r)
 
 
 def q_history_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -419,7 +422,7 @@ def q_apply_updates(spark: SparkSession, sf: str) -> DataFrame:
         "exec_id", F.col("doc.platformProfile.sut.Summary.Server.CPUModel").alias("cpu_model"),
         F.col("doc.platformProfile.sut.Summary.CPU.`CPU(s)`").alias("core_count"),
         F.col("doc.sutInstanceMetadata.instanceType").alias("instance_type"),
-        F.col("doc.benchmarkCategory").alias("benchmark_category"))
+        F.col("doc.benchmarkCategory").alias("benchmark_category"), F.col("doc.isValid").alias("is_valid"))
 
 
 QUERIES.update({
@@ -430,10 +433,26 @@ QUERIES.update({
 })
 
 
+def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    if "reviewed" not in run.__dict__:
+        run.__dict__["reviewed"] = materialize(DC.review_snapshots(
+            _snapshots(spark, sf), _decisions(spark, sf), run.masterlist, _drafted(spark, sf), AS_OF, "reviewer"), "reviewed")
+    return run.__dict__["reviewed"]
+
+
+def q_reviewed_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The complete snapshot table after a batch of decisions."""
+    return SN.snapshot_flat(_reviewed(spark, sf))
+
+
+QUERIES["reviewed_snapshots"] = q_reviewed_snapshots
+
+
 def q_snapshot_detail(spark: SparkSession, sf: str) -> DataFrame:
     """Live detail of every stored snapshot (after the review decisions were applied)."""
     run = run_for(spark, sf)
-    return SN.snapshot_detail(run.rules, _snapshots(spark, sf), run.validated).drop("field_pos")
+    return SN.snapshot_detail(run.rules, _reviewed(spark, sf), run.validated).drop("field_pos")
 
 
 QUERIES["snapshot_detail"] = q_snapshot_detail

@@ -1,9 +1,9 @@
 """Review decisions applied in batches.
 
 The reference applies one decision per request; here a decisions table is
-applied to the snapshot table in one pass: decisions are reduced to the
-latest one per execution (by ``ts``), joined to the execution's snapshot
-and the nested snapshot is rewritten with higher-order functions
+applied to the snapshot table in one pass: the approvals of an execution are
+folded over its snapshot in order (``aggregate``), a rejection needs only the latest, and
+the nested snapshot is rewritten with higher-order functions
 (``transform`` / ``withField``).  Side outputs are update tables
 ``(exec_id, path, value)`` for the execution documents and masterlist rows
 to append.
@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hygeia.plans.snapshot import ITEM_T
+from hygeia.operators.upsert import keyed_upsert
+from hygeia.session import materialize
+from hygeia.plans.snapshot import DATA_T, ITEM_T, META_T, SUG_T
 
 REJECT_REASON = "L0 Junk Data."          # fixed values
 HOLD_REASON = "New Masterlist Draft Record."
@@ -80,87 +82,188 @@ def all_resolved(d0: Column) -> Column:
                         m["validation_status"], F.lit("")) == "valid"))
 
 
+CHANGE_T = "struct<field:string,`from`:string,`to`:string,source:string,path:string,value:string>"
+UPDATE_T = "struct<path:string,value:string>"
+STATE_T = f"struct<d0:{DATA_T},applied:int,updates:array<{UPDATE_T}>>"
+
+
+def _first(arr: Column, test) -> Column:
+    """0-based position of the first element that passes ``test`` (-1: none)."""
+    return F.coalesce(F.array_position(F.transform(arr, lambda x: F.coalesce(test(x), F.lit(False))), True), F.lit(0)).cast("int") - 1
+
+
+def _judge(comparing: Column, accepted: Column) -> Column:
+    return F.transform(comparing, lambda s: s.withField(
+        "status", F.when(s["suggestion"] == accepted, F.lit("Accepted")).otherwise(F.lit("Rejected"))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _metas(item: Column) -> Column:
+    return F.coalesce(item["metadata"], F.array().cast(f"array<{META_T}>"))
+
+
+def _target(items: Column, dec: Column) -> Column:
+    """What an approval decides: the first item that has its field, or holds it among its metadata; the item whose
+    cascade it drives; whether a suggestion equals the accepted value, and the rank of that one."""
+    name, acc = dec["field_name"], dec["accepted_value"]
+    at = _first(items, lambda it: (it["field"] == name) | F.exists(_metas(it), lambda m: m["name"] == name))
+    parent = _first(items, lambda it: it["field"] == name)
+
+    def where(p: Column) -> Column:
+        item = F.get(items, p["at"])
+        return F.struct(p["at"].alias("at"), p["parent"].alias("parent"), item.alias("item"),
+                        F.coalesce(item["field"] == name, F.lit(False)).alias("primary"),
+                        _first(_metas(item), lambda m: m["name"] == name).alias("meta"))
+
+    def ranked(t: Column) -> Column:
+        meta = F.get(_metas(t["item"]), t["meta"])
+        pick = lambda f: F.when(t["primary"], t["item"][f]).otherwise(meta[f])
+        ranks = F.transform(F.filter(F.coalesce(pick("comparingData"), F.array().cast(f"array<{SUG_T}>")),
+                                     lambda s: s["suggestion"] == acc), lambda s: s["rank"])
+        return _let(ranks, lambda r: F.struct(
+            t["at"].alias("at"), t["parent"].alias("parent"), t["primary"].alias("primary"),
+            F.when(~t["primary"], t["meta"]).alias("meta"), pick("value").alias("value"), pick("mapping").alias("path"),
+            (F.size(r) > 0).alias("found"), F.when(F.size(r) > 0, F.coalesce(dec["rank"], F.array_max(r))).alias("rank"),
+            F.when(F.size(r) > 0, F.lit("suggestion")).otherwise(F.lit("dropdown")).alias("source")))
+
+    return _let(F.struct(at.alias("at"), parent.alias("parent")), lambda p: _let(where(p), ranked))
+
+
+def _changes(items: Column, dec: Column, t: Column) -> Column:
+    """The decided field, then the metadata that follow it."""
+    def manual(m: Column) -> Column:
+        return (m["name"] == "coreCount") & dec["core_count"].isNotNull()
+
+    def cascaded(m: Column) -> Column:
+        by_rank = F.get(F.filter(m["comparingData"], lambda s: s["rank"] == t["rank"]), 0)["suggestion"]
+        by_drop = F.get(F.filter(F.coalesce(dec["dropdown"], F.array().cast("array<struct<key:string,value:string>>")),
+                                 lambda e: F.lower(e["key"]) == F.lower(m["name"])), 0)["value"]
+        return F.nullif(F.when(manual(m), dec["core_count"]).when(t["rank"].isNotNull(), by_rank).otherwise(by_drop), F.lit(""))
+
+    first = F.struct(dec["field_name"].alias("field"), t["value"].alias("from"), dec["accepted_value"].alias("to"),
+                     t["source"].alias("source"), t["path"].alias("path"), dec["accepted_value"].alias("value")).cast(CHANGE_T)
+    parent = F.coalesce(_metas(F.get(items, t["parent"])), F.array().cast(f"array<{META_T}>"))
+    down = F.transform(parent, lambda m: _let(cascaded(m), lambda v: F.struct(
+        m["name"].alias("field"), m["value"].alias("from"), F.coalesce(v, m["value"]).alias("to"),
+        F.when(manual(m), F.lit("manual")).otherwise(t["source"]).alias("source"), m["mapping"].alias("path"),
+        v.alias("value")))).cast(f"array<{CHANGE_T}>")
+    return F.concat(F.array(first), down)
+
+
+def _settled(items: Column, dec: Column, t: Column) -> Column:
+    """The items after the decision."""
+    acc = dec["accepted_value"]
+
+    def meta(m: Column, j: Column, i: Column) -> Column:
+        follows, decided = i == t["parent"], (i == t["at"]) & (j == t["meta"])
+        accepted = lambda s: F.when(follows, F.coalesce(s["rank"] == t["rank"], F.lit(False))).otherwise(s["suggestion"] == acc)
+        marked = m.withField("validation_status", F.lit("valid")).withField("comparingData", F.transform(
+            m["comparingData"], lambda s: s.withField("status", F.when(accepted(s), F.lit("Accepted")).otherwise(F.lit("Rejected")))))
+        return F.when(follows | F.coalesce(decided, F.lit(False)), marked).otherwise(m)
+
+    def item(it: Column, i: Column) -> Column:
+        own = (i == t["at"]) & t["primary"]
+        return (it.withField("comparingData", F.when(own, _judge(it["comparingData"], acc)).otherwise(it["comparingData"]))
+                .withField("validation_status", F.when(own, F.lit("valid")).otherwise(it["validation_status"]))
+                .withField("currentStatus", F.when(own, F.coalesce(dec["current_status"], it["currentStatus"])).otherwise(it["currentStatus"]))
+                .withField("metadata", F.transform(_metas(it), lambda m, j: meta(m, j, i))))
+
+    return F.transform(items, item)
+
+
+def _updates(d0: Column, changes: Column) -> Column:
+    """What goes into the execution: the changes with a value; once all is resolved, the whole history again
+    by the paths of the snapshot's fields, then the verdict."""
+    written = F.transform(F.filter(changes, lambda c: c["value"].isNotNull()),
+                          lambda c: F.struct(c["path"].alias("path"), c["value"].alias("value")))
+    paths = F.flatten(F.transform(_items_of(d0), lambda it: F.concat(
+        F.array(F.struct(it["field"].alias("n"), it["mapping"].alias("p"))),
+        F.transform(_metas(it), lambda m: F.struct(m["name"].alias("n"), m["mapping"].alias("p"))))))
+    h = d0["history"]
+    replay = _let(paths, lambda of: F.transform(F.arrays_zip(h["valueField"].alias("f"), h["to"].alias("t")), lambda z: F.struct(
+        F.try_element_at(F.filter(of, lambda q: q["n"] == z["f"]), F.lit(-1))["p"].alias("path"), z["t"].alias("value"))))
+    verdict = F.array(F.struct(F.lit("isValid").alias("path"), F.lit("true").alias("value")))
+    final = F.concat(F.filter(replay, lambda u: u["value"].isNotNull()).cast(f"array<{UPDATE_T}>"), verdict.cast(f"array<{UPDATE_T}>"))
+    return F.concat(written.cast(f"array<{UPDATE_T}>"),
+                    F.when(d0["standardization_status"] == "ACCEPTED", final).otherwise(F.array().cast(f"array<{UPDATE_T}>")))
+
+
+def _approve(state: Column, dec: Column, as_of: str, updated_by: str) -> Column:
+    """One approval applied to one snapshot: target, cascade, history, resolution, updates."""
+    def with_changes(t: Column, changes: Column) -> Column:
+        d0 = state["d0"]
+        h = d0["history"]
+        put = lambda old, new: F.concat(F.coalesce(old, F.array().cast("array<string>")),
+                                        F.transform(changes, lambda c: c[new]))
+        history = F.struct(F.lit(as_of).alias("updatedOn"), F.lit(updated_by).alias("updatedBy"),
+                           put(h["from"], "from").alias("from"), put(h["to"], "to").alias("to"),
+                           put(h["valueField"], "field").alias("valueField"), put(h["source"], "source").alias("source"))
+        n0 = d0.withField("invalidValues", _settled(_items_of(d0), dec, t)).withField("history", history)
+        n0 = _let(n0, lambda d: d.withField("standardization_status",
+                                            F.when(all_resolved(d), F.lit("ACCEPTED")).otherwise(F.lit("PENDING"))))
+        return _let(n0, lambda d: F.struct(d.alias("d0"), (state["applied"] + 1).alias("applied"),
+                                           F.concat(state["updates"], _updates(d, changes)).alias("updates")).cast(STATE_T))
+
+    def step(t: Column) -> Column:
+        return F.when(t["at"] >= 0, _let(_changes(_items_of(state["d0"]), dec, t), lambda c: with_changes(t, c))).otherwise(state)
+
+    return _let(_target(_items_of(state["d0"]), dec), step)
+
+
 def apply_approvals(snapshots: DataFrame, decisions: DataFrame, masterlist: DataFrame, as_of: str,
                     updated_by: str = "reviewer") -> tuple[DataFrame, DataFrame]:
-    """X5-X9 for decisions on a primary field (the common case).
-
-    suggestion equal to the accepted value -> Accepted (others Rejected); the
-    last equal rank drives the cascade unless the decision names a rank (D20);
-    no equal suggestion -> source 'dropdown' and the metadata come from the
-    first Published record of that type (case-insensitive) and value (J18);
-    ``core_count`` overrides coreCount.  All touched items become valid; the
-    snapshot is ACCEPTED when everything is valid (A11) else PENDING.
-    Returns (rewritten snapshots, execution updates (exec_id, path, value)).
+    """X5-X9 for every approval of a batch, in the order (ts, decision id) of each execution.
+
+    The target is the first item whose field, or one of whose metadata, has the decided name.  A suggestion equal to
+    the accepted value is Accepted, others Rejected; on a primary field the last equal rank drives the cascade over
+    its metadata unless the decision names a rank (D20); without an equal suggestion the source is 'dropdown' and
+    the metadata come from the first Published record of that type (case-insensitive) and value (J18);
+    ``core_count`` overrides coreCount.  The snapshot is ACCEPTED when everything is valid (A11), else PENDING; on
+    full resolution the whole history is written once more (X9).  Decisions without a target change nothing.
+    Returns (rewritten snapshots, execution updates (exec_id, path, value, seq)).
     """
-    app = _latest(decisions, "approve")
+    app = decisions.where(F.col("kind") == "approve")
     pub = masterlist.where(F.col("status") == "Published")
     drop = (pub.select(F.lower("type").alias("_lt"), F.col("data.value").alias("_dv"),
                        F.col("data.metadata").alias("_dm"), "ordinal")
-            .groupBy("_lt", "_dv").agg(F.min_by("_dm", "ordinal").alias("_dm")))
-    j = (snapshots.join(app, "execution_id")
-         .join(drop, (F.lower("field_name") == F.col("_lt")) & (F.col("accepted_value") == F.col("_dv")), "left"))
-    d0 = F.get(F.col("data"), 0)
-    items = _items_of(d0)
-    acc = F.col("accepted_value")
-    target = F.filter(items, lambda it: it["field"] == F.col("field_name"))
-    t0 = F.get(target, 0)
-    match_ranks = F.transform(F.filter(F.coalesce(t0["comparingData"], F.array()), lambda s: s["suggestion"] == acc),
-                              lambda s: s["rank"])
-    acc_rank = F.coalesce(F.col("rank"), F.array_max(match_ranks))
-    found = F.size(match_ranks) > 0
-    source = F.when(found, F.lit("suggestion")).otherwise(F.lit("dropdown"))
-
-    def meta_value(m: Column) -> Column:
-        by_rank = F.get(F.filter(m["comparingData"], lambda s: s["rank"] == acc_rank), 0)["suggestion"]
-        by_drop = F.get(F.filter(F.map_entries(F.coalesce("_dm", F.create_map().cast("map<string,string>"))),
-                                 lambda e: F.lower(e["key"]) == F.lower(m["name"])), 0)["value"]
-        base = F.when(found, by_rank).otherwise(by_drop)
-        return F.when((m["name"] == "coreCount") & F.col("core_count").isNotNull(), F.col("core_count")).otherwise(base)
-
-    def rewrite(it: Column) -> Column:
-        is_t = it["field"] == F.col("field_name")
-        cd = F.transform(it["comparingData"], lambda s: s.withField(
-            "status", F.when(s["suggestion"] == acc, F.lit("Accepted")).otherwise(F.lit("Rejected"))))
-        metas = F.transform(it["metadata"], lambda m: m.withField("validation_status", F.lit("valid")).withField(
-            "comparingData", F.transform(m["comparingData"], lambda s: s.withField(
-                "status", F.when(found & (s["rank"] == acc_rank), F.lit("Accepted")).otherwise(F.lit("Rejected"))))))
-        return F.when(is_t, it.withField("comparingData", cd).withField("validation_status", F.lit("valid"))
-                      .withField("currentStatus", F.coalesce(F.col("current_status"), it["currentStatus"]))
-                      .withField("metadata", metas)).otherwise(it)
-
-    new_items = F.transform(items, rewrite)
-    casc = F.transform(F.coalesce(t0["metadata"], F.array()), lambda m: F.struct(
-        m["name"].alias("field"), m["value"].alias("from"),
-        F.coalesce(F.nullif(meta_value(m), F.lit("")), m["value"]).alias("to"),
-        F.when((m["name"] == "coreCount") & F.col("core_count").isNotNull(), F.lit("manual")).otherwise(source)
-        .alias("source"), m["mapping"].alias("mapping"), meta_value(m).alias("accepted")))
-    h = d0["history"]
-    ch = F.concat(F.array(F.struct(F.col("field_name").alias("field"), t0["value"].alias("from"), acc.alias("to"),
-                                   source.alias("source"), t0["mapping"].alias("mapping"), acc.alias("accepted"))),
-                  casc)
-    hist = F.struct(F.lit(as_of).alias("updatedOn"), F.lit(updated_by).alias("updatedBy"),
-                    F.concat(F.coalesce(h["from"], F.array().cast("array<string>")), F.transform(ch, lambda c: c["from"])).alias("from"),
-                    F.concat(F.coalesce(h["to"], F.array().cast("array<string>")), F.transform(ch, lambda c: c["to"])).alias("to"),
-                    F.concat(F.coalesce(h["valueField"], F.array().cast("array<string>")), F.transform(ch, lambda c: c["field"])).alias("valueField"),
-                    F.concat(F.coalesce(h["source"], F.array().cast("array<string>")), F.transform(ch, lambda c: c["source"])).alias("source"))
-    nd0 = d0.withField("invalidValues", new_items).withField("history", hist)
-    j = j.where(F.size(target) > 0).withColumn("_nd", nd0).withColumn("_ch", ch)
-    resolved = all_resolved(F.col("_nd"))
-    j = j.withColumn("_res", resolved).withColumn(
-        "_nd", F.col("_nd").withField("standardization_status",
-                                      F.when(F.col("_res"), F.lit("ACCEPTED")).otherwise(F.lit("PENDING"))))
-    out = j.withColumn("data", _with_first(F.col("data"), F.col("_nd")))
-    # Propagate the accepted value and cascaded metadata values to their paths
-    upd = (j.select(F.col("execution_id").alias("exec_id"), "_res", F.posexplode("_ch").alias("pos", "c"))
-           .where(F.col("c.mapping").isNotNull() & (F.col("c.mapping") != "")
-                  & ((F.col("pos") == 0) | (F.coalesce(F.col("c.accepted"), F.lit("")) != ""))
-                  & ~F.col("c.mapping").startswith("processor_details."))
-           .select("exec_id", F.col("c.mapping").alias("path"),
-                   F.when(F.col("pos") == 0, F.col("c.to")).otherwise(F.col("c.accepted")).alias("value")))
-    resolved_rows = j.where("_res").select(F.col("execution_id").alias("exec_id"), F.lit("isValid").alias("path"),
-                                           F.lit("true").alias("value"))
-    keep = [c for c in snapshots.columns]
-    return out.select(*keep), upd.unionByName(resolved_rows)
+            .groupBy("_lt", "_dv").agg(F.min_by("_dm", "ordinal").alias("dropdown")))
+    app = app.join(drop, (F.lower("field_name") == F.col("_lt")) & (F.col("accepted_value") == F.col("_dv")), "left")
+    # the actions of reviewers on one record: a short list
+    per = app.groupBy("execution_id").agg(F.array_sort(F.collect_list(F.struct(
+        "ts", "decision_id", "field_name", "accepted_value", "rank", "current_status", "core_count",
+        F.map_entries("dropdown").alias("dropdown")))).alias("_decs"))
+    start = F.struct(F.get(F.col("data"), 0).alias("d0"), F.lit(0).alias("applied"),
+                     F.array().cast(f"array<{UPDATE_T}>").alias("updates")).cast(STATE_T)
+    j = snapshots.where(F.size("data") > 0).join(per, "execution_id").withColumn("_s", F.aggregate(
+        "_decs", start, lambda s, d: _approve(s, d, as_of, updated_by)))
+    j = j.where("_s.applied > 0")
+    out = j.withColumn("data", _with_first(F.col("data"), F.col("_s.d0")))
+    upd = (j.select(F.col("execution_id").alias("exec_id"), F.posexplode("_s.updates").alias("seq", "u"))
+           .where(F.coalesce(F.col("u.path"), F.lit("")) != "").where(~F.col("u.path").startswith("processor_details."))
+           .select("exec_id", F.col("u.path").alias("path"), F.col("u.value").alias("value"), "seq"))
+    return out.select(*snapshots.columns), upd
+
+
+def review_snapshots(snapshots: DataFrame, decisions: DataFrame, masterlist: DataFrame, drafted: DataFrame, as_of: str,
+                     updated_by: str = "reviewer") -> DataFrame:
+    """The complete new snapshot table after a batch: approvals, then rejections of what is not decided later by an
+    approval, then holds for drafted values; untouched snapshots are kept (S9)."""
+    approved, _ = apply_approvals(snapshots, decisions, masterlist, as_of, updated_by)
+    cur = _upsert(snapshots, approved, "approved")
+    last = (decisions.where(F.col("kind").isin("approve", "reject")).groupBy("execution_id")
+            .agg(F.max_by("kind", F.struct("ts", "decision_id")).alias("_k")).where("_k = 'reject'").select("execution_id"))
+    rejected, _ = apply_rejections(cur, decisions.join(last, "execution_id", "left_semi"), as_of, updated_by)
+    cur = _upsert(cur, rejected, "rejected")
+    return _upsert(cur, hold_snapshots(cur, drafted, as_of, updated_by), "held")
+
+
+def _upsert(current: DataFrame, changes: DataFrame, name: str) -> DataFrame:
+    """One step of a batch, written: the next step reads a table, not the rewriting expressions twice over."""
+    return materialize(keyed_upsert(current, materialize(changes, name), ["snapshot_id"]), f"{name}_all")
 
 
 def history_changes(snapshots: DataFrame) -> DataFrame:
@@ -177,13 +280,14 @@ def history_changes(snapshots: DataFrame) -> DataFrame:
 # Draft document layout per type (paths the draft builder writes)
 DRAFT_LAYOUT = {
     "cpumodel": ("CPUModel", "platformProfile.sut.Summary.Server.CPUModel",
-                 [("Family", "processor_details.family"), ("coreCount", "platformProfile.sut.Summary.CPU.CPU(s)")]),
+                 [("Family", "mapping_Family", "processor_details.family"),
+                  ("coreCount", "mapping_coreCount", "platformProfile.sut.Summary.CPU.CPU(s)")]),
     "instancetype": ("instanceType", "sutInstanceMetadata.instanceType",
-                     [("CPUModel", "platformProfile.sut.Summary.Server.CPUModel"),
-                      ("cloudProvider", "sutInstanceMetadata.cloudProvider"),
-                      ("Family", "processor_details.family"),
-                      ("coreCount", "platformProfile.sut.Summary.CPU.CPU(s)")]),
-    "benchmark": ("Benchmark", "benchmarkCategory", [("BenchmarkType", "benchmarkType")]),
+                     [("CPUModel", "mapping_CPUModel", "platformProfile.sut.Summary.Server.CPUModel"),
+                      ("cloudProvider", "mapping_cloudProvider", "sutInstanceMetadata.cloudProvider"),
+                      ("Family", "mapping_Family", "processor_details.family"),
+                      ("coreCount", "mapping_coreCount", "platformProfile.sut.Summary.CPU.CPU(s)")]),
+    "benchmark": ("Benchmark", "benchmarkCategory", [("BenchmarkType", "mapping_benchmarkType", "benchmarkType")]),
 }
 
 
@@ -212,8 +316,8 @@ def draft_records(masterlist: DataFrame, drafts: DataFrame, as_of: str) -> DataF
     kv_cols = []
     for k, pairs in meta_map.items():
         kv = []
-        for name, path in pairs:
-            kv += [F.lit(name), F.col("req_meta")[F.lit(name)], F.lit("mapping_" + name), F.lit(path)]
+        for name, key, path in pairs:
+            kv += [F.lit(name), F.col("req_meta")[F.lit(name)], F.lit(key), F.lit(path)]
         kv_cols.append((DRAFT_LAYOUT[k][0], F.create_map(*kv)))
     md = F.lit(None).cast("map<string,string>")
     for t, c in kv_cols:
@@ -240,18 +344,21 @@ def hold_snapshots(snapshots: DataFrame, drafted: DataFrame, as_of: str, updated
     vals = (snapshots.select("snapshot_id", F.explode(F.transform(_items_of(d0), lambda it: it["value"])).alias("_hv"))
             .join(by_val, "_hv").select("snapshot_id", "_ht").distinct())
     s2 = snapshots.join(vals, "snapshot_id")
-    cand = s1.unionByName(s2).dropDuplicates(["snapshot_id", "_ht"])
-    hit = F.exists(_items_of(d0), lambda it: F.lower(it["field"]) == F.lower(F.col("_ht")))
+    types = (s1.select("snapshot_id", "_ht").unionByName(s2.select("snapshot_id", "_ht"))
+             .groupBy("snapshot_id").agg(F.collect_set(F.lower("_ht")).alias("_types")))  # drafted types: a few
+    cand = snapshots.join(types, "snapshot_id")
+    held = lambda it: F.array_contains(F.col("_types"), F.lower(it["field"]))
+    hit = F.exists(_items_of(d0), held)
     nd = (d0.withField("standardization_status", F.lit("ON HOLD")).withField("reason", F.lit(HOLD_REASON))
           .withField("history", d0["history"].withField("updatedOn", F.lit(as_of))
                      .withField("updatedBy", F.lit(updated_by)))
           .withField("invalidValues", F.transform(_items_of(d0), lambda it: F.when(
-              F.lower(it["field"]) == F.lower(F.col("_ht")),
-              it.withField("currentStatus", F.lit("ON HOLD"))
+              held(it), it.withField("currentStatus", F.lit("ON HOLD"))
               .withField("comparingData", _set_status(it["comparingData"], "REJECTED"))
               .withField("metadata", F.transform(it["metadata"], lambda m: m.withField(
                   "comparingData", _set_status(m["comparingData"], "REJECTED"))))).otherwise(it))))
-    return cand.where(hit).withColumn("data", _with_first(F.col("data"), nd)).drop("_ht")
+    return (cand.where(hit).withColumn("data", _with_first(F.col("data"), nd))
+            .select("snapshot_id", *[c for c in snapshots.columns if c != "snapshot_id"]).select(*snapshots.columns))
 
 
 def draft_ids(masterlist: DataFrame) -> DataFrame:

@@ -99,8 +99,9 @@ def search_filter(term: str | None, cols: list[str], resolved: dict[str, str] |
 
 def page(df: DataFrame, order: list[Column], page_no: int = 1, size: int = 50) -> DataFrame:
     """Sort, skip (page-1)*size, take size (1..500)."""
-    size = max(1, min(500, size))
-    return df.orderBy(*order).offset((max(1, page_no) - 1) * size).limit(size)
+    if not 1 <= size <= 500 or page_no < 1:
+        raise ValueError("a page has 1 to 500 rows and pages count from 1")
+    return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
 
 
 def invalid_records_page(validated: DataFrame, status: str = "PENDING", search: str | None = None,
@@ -135,6 +136,7 @@ def invalid_summary(snapshots: DataFrame, executions: DataFrame, statuses: list[
     ex = executions.select(F.col(exec_id).cast("string").alias("_eid"),
                            F.col("benchmarkType").alias("_ebt"), F.col("benchmarkCategory").alias("_ebc"),
                            F.lit(True).alias("_hit"))
+    ex = ex.join(p.select(F.col("execution_id").alias("_eid")).distinct(), "_eid", "left_semi")
     j = p.join(ex, p["execution_id"] == ex["_eid"], "left")
     d0 = F.get(F.col("data"), 0)
     names = F.array_sort(F.array_distinct(F.concat(
@@ -150,7 +152,11 @@ def invalid_summary(snapshots: DataFrame, executions: DataFrame, statuses: list[
                     d0["history"]["updatedOn"].alias("updated_on"), total.alias("total"))
 
 
-def unique_values(masterlist: DataFrame, params: list[str], types: list[str]) -> DataFrame:
+#: Other names of parameters (fixed values).
+ALIASES = {"BenchmarkCategory": "Benchmark"}
+
+
+def unique_values(masterlist: DataFrame, params: list[str]) -> DataFrame:
     """Distinct stripped text per parameter (types: data.value of that type; metadata
     names: data.metadata[name] over all Published records); 'BenchmarkCategory' aliases 'Benchmark'."""
     from hygeia.functions.text import py_strip
@@ -159,26 +165,27 @@ def unique_values(masterlist: DataFrame, params: list[str], types: list[str]) ->
     if "Benchmark" in params and "BenchmarkCategory" not in params:
         params.append("BenchmarkCategory")
     spark = masterlist.sparkSession
-    pdf = spark.createDataFrame([(p, "Benchmark" if p == "BenchmarkCategory" else p,
-                                  p == "BenchmarkCategory" or p in types) for p in params],
-                                "param string, qtype string, is_type boolean")
-    typed = (pub.join(F.broadcast(pdf.where("is_type")), pub["type"] == F.col("qtype"))
+    pdf = spark.createDataFrame([(p, ALIASES.get(p, p)) for p in params], "param string, qtype string")
+    typed = (pub.join(F.broadcast(pdf), pub["type"] == F.col("qtype"))  # one row per asked parameter
              .select("param", py_strip(F.col("data.value")).alias("value")))
+    names = pdf.join(pub.select(F.col("type").alias("qtype")).distinct(), "qtype", "left_anti").where(
+        ~F.col("param").isin(*ALIASES))
     metas = (pub.select(F.explode("data.metadata").alias("k", "v"))
-             .join(F.broadcast(pdf.where(~F.col("is_type"))), F.col("k") == F.col("param"))
+             .join(F.broadcast(names), F.col("k") == F.col("param"))
              .select("param", py_strip(F.col("v")).alias("value")))
     return typed.unionByName(metas).where(F.col("value").isNotNull()).distinct()
 
 
-def metadata_values(masterlist: DataFrame, requests: DataFrame, max_records: int = 100) -> DataFrame:
-    """For each requested (type, value), the metadata configurations of the first
-    ``max_records`` matching Published records (records without metadata dropped)."""
+def metadata_values(masterlist: DataFrame, requests: DataFrame, max_records: int | None = None) -> DataFrame:
+    """For each requested (type, value), the metadata configurations of its Published records
+    (records without metadata dropped); ``max_records`` keeps the first of each, all by default."""
     from hygeia.functions.text import py_strip
     from pyspark.sql import Window
     pub = masterlist.where(F.col("status") == "Published")
     j = pub.join(requests, (pub["type"] == requests["req_type"]) & (F.col("data.value") == requests["req_value"]))
-    w = Window.partitionBy("req_type", "req_value").orderBy("ordinal")
-    j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_records)
+    if max_records is not None:
+        w = Window.partitionBy("req_type", "req_value").orderBy("ordinal")
+        j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_records)
     m = F.col("data.metadata")
     rows = j.select("req_type", "req_value", "ml_id", "ordinal", m.alias("m"),
                     F.explode(F.coalesce(F.map_keys(m), F.array().cast("array<string>"))).alias("mk"))
@@ -202,7 +209,7 @@ def snapshot_search(snapshots: DataFrame, executions: DataFrame, term: str, page
     snaps = snapshots.join(ids, "execution_id", "left_semi")
     total = snaps.select(F.count(F.lit(1))).scalar()
     p = page(snaps, [F.desc("snapshot_id")], page_no, size)
-    first = first_per_key(hits, "execution_id")
+    first = first_per_key(hits.join(p.select("execution_id").distinct(), "execution_id", "left_semi"), "execution_id")
     d0 = F.get(F.col("data"), 0)
     return (p.join(first, "execution_id", "left")
             .select("execution_id", "snapshot_id", d0["standardization_status"].alias("status"),

@@ -152,6 +152,14 @@ def is_integer_field(types: Column, name: Column) -> Column:
     return F.coalesce(types[name] == F.lit(T.INTEGER), F.lit(False))
 
 
+def _bounded(df: DataFrame, order: list[str]) -> list:
+    """All rows of a table of rule metadata; more than a plan can hold is an error, never a cut."""
+    rows = df.orderBy(*order).limit(MAX_RULE_FIELDS + 1).collect()
+    if len(rows) > MAX_RULE_FIELDS:
+        raise ValueError(f"more than {MAX_RULE_FIELDS} mapped fields or metadata paths for one validation plan")
+    return rows
+
+
 def build_rules(masterlist: DataFrame, executions: DataFrame, doc: Column,
                 processor_details: DataFrame | None = None,
                 processor_key: str = "cpuModelNo",
@@ -161,20 +169,20 @@ def build_rules(masterlist: DataFrame, executions: DataFrame, doc: Column,
     pub = published(masterlist).select("ordinal", "ml_id", "type", "data")
     prim = primary_mappings(pub)
     meta = metadata_mappings(pub, prim)
-    prim_rows = prim.orderBy("f_ord").limit(MAX_RULE_FIELDS + 1).collect()
-    meta_rows = meta.orderBy("f_ord", "f_pos").limit(MAX_RULE_FIELDS + 1).collect()
-    if len(prim_rows) + len(meta_rows) > MAX_RULE_FIELDS:
-        raise ValueError("too many mapped fields for one validation plan")
-    primary_types = {r["type"] for r in pub.select("type").distinct().limit(MAX_RULE_FIELDS + 1).collect()}
-    fills = {r["lname"]: r["fill"] for r in mapping_fill(pub).limit(MAX_RULE_FIELDS + 1).collect()}
+    # one row per mapped field: each becomes a column of the validation plan
+    types_of = pub.select("type").distinct().withColumn("_primary", F.lit(True))
+    prim_rows = _bounded(prim.join(types_of, F.col("field") == F.col("type"), "left")
+                         .select("field", "path", "f_ord", F.coalesce("_primary", F.lit(False)).alias("primary")), ["f_ord"])
+    meta_rows = _bounded(meta.join(mapping_fill(pub), F.lower("field") == F.col("lname"), "left")
+                         .join(types_of, F.col("field") == F.col("type"), "left")
+                         .select("field", "path", "f_ord", "f_pos", "fill", F.coalesce("_primary", F.lit(False)).alias("primary")),
+                         ["f_ord", "f_pos"])
 
     mappings: list[Mapping] = []
     for i, r in enumerate(prim_rows):
-        mappings.append(Mapping(r["field"], r["path"], r["path"], r["field"] in primary_types, i))
+        mappings.append(Mapping(r["field"], r["path"], r["path"], r["primary"], i))
     for j, r in enumerate(meta_rows):
-        resolved = r["path"] or fills.get(r["field"].lower(), "")
-        mappings.append(Mapping(r["field"], r["path"], resolved, r["field"] in primary_types,
-                                len(prim_rows) + j))
+        mappings.append(Mapping(r["field"], r["path"], r["path"] or r["fill"] or "", r["primary"], len(prim_rows) + j))
 
     scan = [(m.field, m.resolved) for m in mappings
             if m.resolved and not m.resolved.startswith(PROCESSOR_PREFIX)]
@@ -215,10 +223,10 @@ def build_rules(masterlist: DataFrame, executions: DataFrame, doc: Column,
                .agg(F.array_sort(F.collect_list(F.struct("ordinal", "ml_id", "reqs"))).alias("cfgs")))
 
     req_rows = records.select("ordinal", "ml_id", "field", F.explode("reqs").alias("r"))
-    mp = (req_rows.where(F.col("r.path") != "")
-          .groupBy("field", F.col("r.name").alias("name"))
-          .agg(F.max_by("r.path", "ordinal").alias("path"), F.min("ordinal").alias("first"))
-          .orderBy("field", "first", "name").limit(MAX_RULE_FIELDS * 10).collect())
+    mp = _bounded(req_rows.where(F.col("r.path") != "")
+                  .groupBy("field", F.col("r.name").alias("name"))
+                  .agg(F.max_by("r.path", "ordinal").alias("path"), F.min("ordinal").alias("first")),
+                  ["field", "first", "name"])
     meta_paths: dict[str, list[tuple[str, str]]] = {}
     for r in mp:
         meta_paths.setdefault(r["field"], []).append((r["name"], r["path"]))

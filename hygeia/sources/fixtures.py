@@ -9,8 +9,8 @@ oracle (``oracles/fixture.py``).
               Benchmark          = orders grouped by o_orderpriority x BenchmarkType F/O
   processor   part grouped by p_name -> family = min(p_type)
   executions  orders joined to part on p_partkey = o_orderkey % |part|
-  snapshots   one prior review snapshot per order that is not in status F
-  decisions   events (non-click) -> review decisions
+  snapshots   one prior review snapshot per order (of the execution with twice its key)
+  decisions   events -> review decisions
 """
 
 from __future__ import annotations
@@ -122,7 +122,8 @@ SNAP_TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def snapshot_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prior review snapshots: one per order whose status is not F (flat seed form)."""
+    """Prior review snapshots: one per order, for the execution of twice its key (flat seed form). Executions of odd
+    keys have none, and snapshots beyond the largest key belong to no known execution."""
     orders = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     status = (F.when(k % 5 == 0, F.lit("PENDING")).when(k % 5 == 1, F.lit("pending"))
@@ -131,16 +132,16 @@ def snapshot_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.expr("timestamp'2001-08-10 00:00:00' - make_dt_interval(o_orderkey % 10, o_orderkey % 24, 0, 0)")
     updated = (F.when(k % 17 == 0, F.lit("not-a-date")).when(k % 19 == 0, F.lit(None).cast("string"))
                .otherwise(F.date_format(ts, SNAP_TS_FMT)))
-    return (orders.where(F.col("o_orderstatus") != "F")
-            .select(k.alias("exec_id"), F.concat(F.lit("S"), k.cast("string")).alias("snapshot_id"),
-                    status.alias("status"), updated.alias("updated_on")))
+    return (orders.select((k * 2).alias("exec_id"), F.concat(F.lit("S"), k.cast("string")).alias("snapshot_id"),
+                          status.alias("status"), updated.alias("updated_on")))
 
 
 def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review decisions from the events table (every non-click event is one decision).
+    """Review decisions from the events table (every event is one decision).
 
-    purchase -> approve the rank-1 suggestion of the first invalid field
-    view     -> approve a custom (dropdown) value on the first invalid field
+    purchase -> approve the rank-1 suggestion of an invalid field
+    view     -> approve a custom (dropdown) value on an invalid field
+    click    -> approve the rank-1 suggestion of a metadata name
     error    -> reject;  signup -> draft a new CPUModel record
     """
     events = read(spark, sf_dir, "events")
@@ -148,8 +149,8 @@ def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     n_orders = orders.select(F.count(F.lit(1))).scalar()
     n_part = part.select(F.count(F.lit(1))).scalar()
-    e = events.where(F.col("event_type") != "click")
-    kind = (F.when(F.col("event_type").isin("purchase", "view"), F.lit("approve"))
+    e = events
+    kind = (F.when(F.col("event_type").isin("purchase", "view", "click"), F.lit("approve"))
             .when(F.col("event_type") == "error", F.lit("reject")).otherwise(F.lit("draft")))
     base = e.select(F.col("event_id").alias("decision_id"), "ts", kind.alias("kind"),
                     (F.col("event_id") % n_orders).alias("_ek"), F.col("event_type").alias("_et"))

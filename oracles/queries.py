@@ -100,13 +100,13 @@ from fk_top t join fd d on d.grp = t.grp and d.doc_id = t.doc_id"""
 
 SNAP = """,
 seed as (
-  select cast(o_orderkey as varchar) as execution_id, 'S' || cast(o_orderkey as varchar) as snapshot_id,
+  select cast(2 * o_orderkey as varchar) as execution_id, 'S' || cast(o_orderkey as varchar) as snapshot_id,
     case o_orderkey % 5 when 0 then 'PENDING' when 1 then 'pending' when 2 then 'REJECTED' when 3 then 'ON HOLD'
          else 'ACCEPTED' end as status,
     case when o_orderkey % 17 = 0 then 'not-a-date' when o_orderkey % 19 = 0 then null
          else strftime(timestamp '2001-08-10 00:00:00' - (o_orderkey % 10) * interval '1' day
                        - (o_orderkey % 24) * interval '1' hour, '%Y-%m-%dT%H:%M:%S.%fZ') end as updated_on
-  from orders where o_orderstatus <> 'F'),
+  from orders),
 cnt as (
   select exec_id, count(*) as n from (
     select r.exec_id from rec_sug r
@@ -133,7 +133,10 @@ snaps as (
 
 SQL["snapshot_upsert"] = SUG + SNAP + """
 select execution_id, snapshot_id, status, invalid_fields, n_invalid_values, n_comparing,
-       history_updated_on, last_modified_on from snaps"""
+       history_updated_on, last_modified_on from snaps
+union all
+select s.execution_id, s.snapshot_id, s.status, '', 0, 0, s.updated_on, null
+from seed s anti join snaps n on n.snapshot_id = s.snapshot_id"""
 
 SQL["auto_accept"] = SUG + SNAP + """
 select v.execution_id, s.status as old_status, n.snapshot_id, n.status as new_status, n.last_modified_on
@@ -141,13 +144,13 @@ from vd v join seed s using (execution_id) join snaps n using (execution_id) whe
 
 SEED = """,
 seed0 as (
-  select cast(o_orderkey as varchar) as execution_id, 'S' || cast(o_orderkey as varchar) as snapshot_id,
+  select cast(2 * o_orderkey as varchar) as execution_id, 'S' || cast(o_orderkey as varchar) as snapshot_id,
     case o_orderkey % 5 when 0 then 'PENDING' when 1 then 'pending' when 2 then 'REJECTED' when 3 then 'ON HOLD'
          else 'ACCEPTED' end as status,
     case when o_orderkey % 17 = 0 then 'not-a-date' when o_orderkey % 19 = 0 then null
          else strftime(timestamp '2001-08-10 00:00:00' - (o_orderkey % 10) * interval '1' day
                        - (o_orderkey % 24) * interval '1' hour, '%Y-%m-%dT%H:%M:%S.%fZ') end as updated_on
-  from orders where o_orderstatus <> 'F'),
+  from orders),
 buckets as (select * from (values ('green'), ('yellow'), ('red')) b(bucket))
 """
 
@@ -189,7 +192,7 @@ allsnaps as (
   from snaps n
   union all
   select s.snapshot_id, s.execution_id, s.status, '', s.updated_on
-  from seed s where s.snapshot_id not in (select snapshot_id from snaps)),
+  from seed s anti join snaps n on n.snapshot_id = s.snapshot_id),
 pg as (
   select * from allsnaps where upper(status) in ('PENDING', 'REJECTED', 'ON HOLD', 'ACCEPTED')
   order by snapshot_id desc limit 50)
@@ -240,7 +243,7 @@ SQL["snapshot_search"] = SUG + SNAP + """,
 allsnaps as (
   select n.snapshot_id, n.execution_id, n.status from snaps n
   union all
-  select s.snapshot_id, s.execution_id, s.status from seed s where s.snapshot_id not in (select snapshot_id from snaps)),
+  select s.snapshot_id, s.execution_id, s.status from seed s anti join snaps n on n.snapshot_id = s.snapshot_id),
 hits as (select cast(exec_id as varchar) as execution_id, btype_raw, bcat_raw from ex
          where regexp_matches(cast(exec_id as varchar), 'urgent', 'i') or regexp_matches(btype_raw, 'urgent', 'i')
             or regexp_matches(bcat_raw, 'urgent', 'i')),
@@ -264,7 +267,7 @@ SQL["apply_rejections"] = SUG + SNAP + """,
 universe as (
   select execution_id, snapshot_id from snaps
   union all
-  select execution_id, snapshot_id from seed where snapshot_id not in (select snapshot_id from snaps)),
+  select s.execution_id, s.snapshot_id from seed s anti join snaps n on n.snapshot_id = s.snapshot_id),
 rej as (
   select distinct cast(event_id % (select count(*) from orders) as varchar) as execution_id
   from events where event_type = 'error'),

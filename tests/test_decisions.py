@@ -123,3 +123,58 @@ def test_snapshot_detail_carries_saved_status(state):
     meta = {(r["rank"], r["name"]): (r["suggestion"], r["score"]) for r in detail if r["item"] == "metadata"}
     assert meta[(2, "coreCount")] == ("64", 0.0)
     assert meta[(1, "coreCount")] == ("32", 1.0)
+
+
+def test_every_approval_of_a_batch_counts(state):
+    """Two fields of one record approved in one batch, the second a metadata name of the first's item."""
+    spark, ml, snaps = state
+    dec = _dec(spark, [dict(decision_id=2, kind="approve", execution_id="e3", field_name="coreCount", accepted_value="99"),
+                       dict(decision_id=1, kind="approve", execution_id="e3", field_name="CPUModel", accepted_value="7543"),
+                       dict(decision_id=3, kind="approve", execution_id="e3", field_name="noSuchField", accepted_value="x")])
+    out, upd = D.apply_approvals(snaps, dec, ml, AS_OF)
+    d = out.first()["data"][0]
+    assert list(d["history"]["valueField"]) == ["CPUModel", "Family", "coreCount", "coreCount"]
+    assert list(d["history"]["to"]) == ["7543", "Milan", "64", "99"]
+    assert d["history"]["source"][-1] == "dropdown" and d["standardization_status"] == "ACCEPTED"
+    last = {}
+    for r in sorted(upd.collect(), key=lambda r: r["seq"]):
+        last[r["path"]] = r["value"]
+    assert last["isValid"] == "true" and last["platformProfile.sut.Summary.CPU.CPU(s)"] == "99"
+    assert last["platformProfile.sut.Summary.Server.CPUModel"] == "7543"
+
+
+def test_metadata_alone_leaves_the_record_pending(state):
+    spark, ml, snaps = state
+    dec = _dec(spark, [dict(kind="approve", execution_id="e3", field_name="coreCount", accepted_value="64")])
+    out, upd = D.apply_approvals(snaps, dec, ml, AS_OF)
+    d = out.first()["data"][0]
+    assert d["standardization_status"] == "PENDING" and list(d["history"]["valueField"]) == ["coreCount"]
+    assert d["invalidValues"][0]["validation_status"] == "invalid"
+    assert [(r["path"], r["value"]) for r in upd.collect()] == [("platformProfile.sut.Summary.CPU.CPU(s)", "64")]
+
+
+def test_complete_table_after_a_batch(state):
+    spark, ml, snaps = state
+    dec = _dec(spark, [dict(decision_id=1, kind="approve", execution_id="e3", field_name="CPUModel", accepted_value="7543"),
+                       dict(decision_id=2, kind="reject", execution_id="e4")])
+    none = D.draft_records(ml, dec, AS_OF)
+    out = {r["execution_id"]: r["data"][0]["standardization_status"]
+           for r in D.review_snapshots(snaps, dec, ml, none, AS_OF).collect()}
+    before = {r["execution_id"]: r["data"][0]["standardization_status"] for r in snaps.collect()}
+    assert out == {**before, "e3": "ACCEPTED", "e4": "REJECTED"}
+
+
+def test_document_overlay(spark):
+    from hygeia.operators.upsert import apply_document_updates
+    ex = spark.createDataFrame([("1", ("x", (5, "k"))), ("2", ("y", None))], "exec_id string, doc struct<`a.b`:string,a:struct<b:int,c:string>>")
+    up = spark.createDataFrame([("1", "a.b", "8", 1), ("1", "a.b", "9", 2), ("1", "new.level", "v", 1)],
+                               "exec_id string, path string, value string, seq int")
+    got = {r["exec_id"]: r["doc"].asDict(True) for r in apply_document_updates(ex, up).collect()}
+    assert got["1"] == {"a.b": "9", "a": {"b": 9, "c": "k"}, "new": {"level": "v"}}
+    assert got["2"]["a.b"] == "y" and got["2"]["new"]["level"] is None
+    js = spark.createDataFrame([("1", '{"a.b":1,"q":[1]}'), ("2", "{}")], "exec_id string, doc string")
+    assert {r["exec_id"]: r["doc"] for r in apply_document_updates(js, up).collect()} == {
+        "1": '{"a.b": "9", "q": [1], "a": {"b": "9"}, "new": {"level": "v"}}', "2": "{}"}
+    v = js.withColumn("doc", F.parse_json("doc"))
+    assert {r["exec_id"]: r["t"] for r in apply_document_updates(v, up).select("exec_id", F.to_json("doc").alias("t")).collect()}["1"] \
+        == '{"a":{"b":"9"},"a.b":"9","new":{"level":"v"},"q":[1]}'
