@@ -84,16 +84,20 @@ def with_ratio(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     exceeds 62 characters go through the Arrow UDF (Python UDFs inside CASE
     are evaluated for every row, hence the split).
     """
-    df2 = (df.withColumn("_ra", F.coalesce(F.col(a), F.lit("")))
-           .withColumn("_rb", F.coalesce(F.col(b), F.lit(""))))
-    pairs = df2.select("_ra", "_rb").distinct()
-    ca, cb = F.col("_ra"), F.col("_rb")
+    ca, cb = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
     empty = (F.length(ca) == 0) | (F.length(cb) == 0)
-    is_long = F.least(F.length(ca), F.length(cb)) > MAX_SQL_LCS
-    short = pairs.where(empty | ~is_long).withColumn(out, F.when(empty, F.lit(0.0)).otherwise(ratio_short(ca, cb)))
-    long_ = pairs.where(~empty & is_long).withColumn(out, _ratio_from(lcs_udf(ca, cb), ca, cb))
+    # rows with an empty side score 0 without a partner: their keys match nothing and are spread over all tasks
+    plain = [F.col(c) for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*plain), F.lit(1024)).cast("string"))
+    df2 = df.withColumn("_ra", F.when(empty, spread).otherwise(ca)).withColumn("_rb", F.when(empty, F.lit("")).otherwise(cb))
+    pairs = df2.where(F.col("_rb") != "").select("_ra", "_rb").distinct()
+    pa, pb = F.col("_ra"), F.col("_rb")
+    is_long = F.least(F.length(pa), F.length(pb)) > MAX_SQL_LCS
+    short = pairs.where(~is_long).withColumn(out, ratio_short(pa, pb))
+    long_ = pairs.where(is_long).withColumn(out, _ratio_from(lcs_udf(pa, pb), pa, pb))
     scored = short.unionByName(long_)
-    return df2.join(scored, ["_ra", "_rb"]).drop("_ra", "_rb")
+    j = df2.join(scored, ["_ra", "_rb"], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+    return j.drop("_ra", "_rb")
 
 
 # --- scorers used by the fuzzy (non-kNN) joins, 0..100 like the library -----

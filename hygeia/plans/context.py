@@ -58,12 +58,13 @@ class HygieneRun:
     @cached_property
     def validated(self) -> DataFrame:
         # reused by every report, the suggestions and the snapshot upsert
-        return materialize(V.validate(self.rules, self.executions, self.doc, meta_paths=self.meta_paths),
+        # reports need ids, categories and verdicts: the documents themselves are not written again
+        return materialize(V.validate(self.rules, self.executions, self.doc, meta_paths=self.meta_paths).drop("doc"),
                            "validated")
 
 
 def run_for(spark: SparkSession, sf_dir: str) -> HygieneRun:
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         _CACHE[key] = HygieneRun(spark, sf_dir)
     return _CACHE[key]

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def first_per_key(df: DataFrame, key: str, order: Column | None = None, cols: list[str] | None = None) -> DataFrame:
     """One row per key, the first by ``order`` (deterministic, deviation D8)."""
     cols = cols or [c for c in df.columns if c != key]
-    order = order if order is not None else F.col(key)
     packed = F.struct(*[F.col(c) for c in cols])
-    return (df.groupBy(key).agg(F.min_by(packed, order).alias("_r"))
+    first = F.min(packed) if order is None else F.min_by(packed, order)  # without an order: the least row
+    return (df.groupBy(key).agg(first.alias("_r"))
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 

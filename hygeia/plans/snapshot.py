@@ -1,8 +1,8 @@
 """Review snapshots: upsert for invalid executions, auto-accept for valid ones.
 
 Snapshots are a table keyed by ``execution_id``; the new table is produced
-by one keyed upsert (full outer join with the previous table) instead of
-per-document lookups and writes.
+by one keyed upsert (a left join with the previous snapshots, an anti join for the untouched ones and a
+union) instead of per-document lookups and writes.
 """
 
 from __future__ import annotations
@@ -192,9 +192,9 @@ def snapshot_detail(rules, snapshots: DataFrame, validated: DataFrame | None = N
     prim = j.select(*base, F.lit("primary").alias("item"), F.col("invalid_field").alias("name"),
                     F.col("primary_value").alias("suggestion"), F.lower("value").alias("_a"),
                     F.lower("primary_value").alias("_b"))
-    meta = j.select(*base, F.explode("sug_meta").alias("name", "suggestion")).select(
+    meta = j.select(*base, "actual", F.explode("sug_meta").alias("name", "suggestion")).select(
         "*", F.lit("metadata").alias("item"))
-    meta = meta.join(e.select("execution_id", "field_pos", "actual"), ["execution_id", "field_pos"]).select(
+    meta = meta.select(
         *[c for c in ["execution_id", "field_pos", "invalid_field", "current_status", "snapshot_status", "rank",
                       "overall_score", "status", "item", "name", "suggestion"]],
         F.lower(F.coalesce(F.col("actual")[F.col("name")], F.lit(""))).alias("_a"),

@@ -29,3 +29,21 @@ def test_stream_equals_batch(spark):
                 for r in ST.latest_verdicts(spark, f"{root}/sink").collect()}
     assert streamed == batch
     assert batch["e1"] == (True, [])
+
+
+def test_malformed_rows_and_known_ids(spark):
+    """A malformed document is set aside; an id of an earlier batch is not validated again."""
+    ml = spark.createDataFrame(G.masterlist_rows(), G.ML_SCHEMA)
+    rows = G.execution_rows()
+    raw = spark.createDataFrame(rows, "exec_id string, doc string")
+    doc = to_doc_variant(F.col("doc"), "json")
+    proc = spark.createDataFrame(G.PROC_ROWS, "cpuModelNo string, family string, ordinal bigint")
+    rules = R.build_rules(ml, raw.withColumn("doc", doc), F.col("doc"), proc)
+    sink = f"{checkpoint_dir(spark).rstrip('/')}/stream-test-{uuid.uuid4().hex}/sink"
+    run = ST.validation_batch(lambda: rules, doc, sink, "2026-03-30T00:00:00.000000Z")
+    run(spark.createDataFrame(rows[:2] + [("bad", "{oops")], "exec_id string, doc string"), 0)
+    run(spark.createDataFrame(rows[1:3], "exec_id string, doc string"), 1)
+    run(spark.createDataFrame(rows[1:3], "exec_id string, doc string"), 1)  # a replay
+    assert [r["exec_id"] for r in spark.read.parquet(f"{sink}_quarantine").collect()] == ["bad"]
+    got = {r["exec_id"]: r["batch_id"] for r in ST.latest_verdicts(spark, sink).collect()}
+    assert got == {rows[0][0]: 0, rows[1][0]: 0, rows[2][0]: 1}
