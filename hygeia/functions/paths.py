@@ -43,6 +43,16 @@ def node_at(v: Column, path: str) -> Column:
     return F.when(literal.isNotNull(), literal).otherwise(nested)
 
 
+def first_id(v: Column, keys: list[str]) -> Column:
+    """Text of the first of the literal ``keys`` that a VARIANT document holds with a value; ``{"$oid": x}`` is x."""
+    found = []
+    for k in keys:
+        oid = F.try_variant_get(v, literal_json_path(k) + _q("$oid"), "string")
+        text = F.try_variant_get(v, literal_json_path(k), "string")
+        found.append(F.when(oid.isNotNull(), oid).otherwise(F.nullif(text, F.lit(""))))
+    return F.coalesce(*found)
+
+
 def _text_from(t: Column, s: Column, d: Column) -> Column:
     """Python ``str()`` of a node from its variant type name ``t``, string form ``s``, double ``d``."""
     return (F.when(t == "BOOLEAN", F.when(s == "true", F.lit("True")).otherwise(F.lit("False")))

@@ -206,6 +206,18 @@ def q_unique_values(spark: SparkSession, sf: str) -> DataFrame:
     return RP.unique_values(run.masterlist, [m.field for m in run.rules.mappings])
 
 
+def q_parameter_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The values of every parameter that has a common name."""
+    run = run_for(spark, sf)
+    mapped = [m.field for m in run.rules.mappings]
+    types = [m.field for m in run.rules.mappings if m.primary]
+    parts = [RP.parameter_values(run.masterlist, p, mapped, types) for p in RP.PARAMETERS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def q_metadata_values(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
     req = (run.masterlist.where("status = 'Published'")
@@ -221,6 +233,7 @@ QUERIES.update({
     "invalid_summary": q_invalid_summary,
     "unique_values": q_unique_values,
     "metadata_values": q_metadata_values,
+    "parameter_values": q_parameter_values,
 })
 
 
@@ -399,7 +412,8 @@ from hygeia.plans import rules as RL  # noqa: E402
 
 def q_snapshot_search(spark: SparkSession, sf: str) -> DataFrame:
     run = run_for(spark, sf)
-    return RP.snapshot_search(_snapshots(spark, sf), run.executions, "urgent", 1, 50)
+    out = RP.snapshot_search(_snapshots(spark, sf), run.executions, "urgent", 1, 50)
+    return out.withColumn("history_updated_on", F.col("history.updatedOn")).drop("history")
 
 
 def q_metadata_schema(spark: SparkSession, sf: str) -> DataFrame:

@@ -362,5 +362,6 @@ def hold_snapshots(snapshots: DataFrame, drafted: DataFrame, as_of: str, updated
 
 
 def draft_ids(masterlist: DataFrame) -> DataFrame:
-    """Ids of Draft masterlist records."""
-    return masterlist.where(F.col("status") == "Draft").select(F.col("ml_id").alias("id"))
+    """Ids of Draft masterlist records: the record's own id, else the execution it was drafted for."""
+    own = [F.col(c).cast("string") for c in ("ml_id", "execution_id", "_id") if c in masterlist.columns]
+    return masterlist.where(F.col("status") == "Draft").select(F.coalesce(*own).alias("id"))

@@ -176,6 +176,38 @@ def unique_values(masterlist: DataFrame, params: list[str]) -> DataFrame:
     return typed.unionByName(metas).where(F.col("value").isNotNull()).distinct()
 
 
+# Parameters that can be asked for by name -> (type or None for all, metadata name or None for the value)
+PARAMETERS = {
+    "cpumodel": ("CPUModel", None),
+    "instancetype": ("instanceType", None),
+    "benchmarktype": ("Benchmark", "BenchmarkType"),
+    "benchmarkcategory": ("Benchmark", None),
+    "family": (None, "Family"),
+    "corecount": (None, "coreCount"),
+    "cloudprovider": (None, "cloudProvider"),
+}
+
+
+def parameter_values(masterlist: DataFrame, parameter: str, mapped: list[str], types: list[str]) -> DataFrame:
+    """Distinct stripped, non-empty values of one parameter, by its common name or that of a mapped field
+    (any case); an unknown name is an error that lists the known ones."""
+    from hygeia.functions.text import py_strip
+    known = {f.lower(): f for f in mapped}
+    name = parameter.lower()
+    if name in PARAMETERS:
+        of_type, meta = PARAMETERS[name]
+    elif name in known:
+        of_type, meta = (known[name], None) if known[name] in types else (None, known[name])
+    else:
+        raise ValueError(f"unknown parameter {parameter!r}; known: {[*PARAMETERS, *mapped]}")
+    pub = masterlist.where(F.col("status") == "Published")
+    if of_type:
+        pub = pub.where(F.col("type") == of_type)
+    raw = F.col("data.metadata")[meta] if meta else F.col("data.value")
+    return (pub.select(F.lit(parameter).alias("param"), raw.alias("_raw")).where(F.col("_raw").isNotNull() & (F.col("_raw") != ""))
+            .select("param", py_strip(F.col("_raw")).alias("value")).distinct())
+
+
 def metadata_values(masterlist: DataFrame, requests: DataFrame, max_records: int | None = None) -> DataFrame:
     """For each requested (type, value), the metadata configurations of its Published records
     (records without metadata dropped); ``max_records`` keeps the first of each, all by default."""
@@ -201,9 +233,12 @@ def snapshot_search(snapshots: DataFrame, executions: DataFrame, term: str, page
                     resolved: dict[str, str] | None = None, exec_id: str = "exec_id") -> DataFrame:
     """Executions matching the term (regex on id / type / category, or the fuzzy-resolved
     value) -> their distinct ids (A12) -> snapshots of those ids (J8, semi-join) -> page by
-    snapshot id desc (T1) -> first matching execution per id (J7) -> projection (P20).
+    snapshot id desc (T1) -> first matching execution per id (J7) -> projection (P20: runCategory, createdOn and
+    tester as the executions have them, NULL otherwise, and the snapshot's history).
     A status argument is accepted by the reference but ignored, so there is none here."""
-    ex = executions.select(F.col(exec_id).cast("string").alias("execution_id"), "benchmarkType", "benchmarkCategory")
+    more = {"runCategory": "run_category", "createdOn": "created_on", "tester": "tester"}
+    ex = executions.select(F.col(exec_id).cast("string").alias("execution_id"), "benchmarkType", "benchmarkCategory", *[
+        (F.col(c) if c in executions.columns else F.lit(None)).cast("string").alias(n) for c, n in more.items()])
     hits = ex.where(search_filter(term, ["execution_id", "benchmarkType", "benchmarkCategory"], resolved))
     ids = hits.select("execution_id").distinct()
     snaps = snapshots.join(ids, "execution_id", "left_semi")
@@ -215,4 +250,4 @@ def snapshot_search(snapshots: DataFrame, executions: DataFrame, term: str, page
             .select("execution_id", "snapshot_id", d0["standardization_status"].alias("status"),
                     F.coalesce(F.col("benchmark_type"), F.col("benchmarkType")).alias("benchmark_type"),
                     F.coalesce(F.col("benchmark_category"), F.col("benchmarkCategory")).alias("benchmark_category"),
-                    total.alias("total")))
+                    *more.values(), d0["history"].alias("history"), total.alias("total")))

@@ -213,6 +213,16 @@ union
 select distinct p.param, trim(m.mv) from params p join pub_meta m on m.mk = p.param
 where p.param not in (select type from ptypes) and p.param <> 'BenchmarkCategory' and m.mv is not null"""
 
+SQL["parameter_values"] = with_ctes(FIXTURE) + """,
+pub as (select * from ml where status = 'Published'),
+named as (
+  select 'cpumodel' as param, value as v from pub where type = 'CPUModel'
+  union all select 'instancetype', value from pub where type = 'instanceType'
+  union all select 'benchmarkcategory', value from pub where type = 'Benchmark'
+  union all select lower(m.mk), m.mv from pub p join ml_meta m using (ordinal)
+  where m.mk in ('Family', 'coreCount', 'cloudProvider') or (m.mk = 'BenchmarkType' and p.type = 'Benchmark'))
+select distinct param, trim(v) as value from named where v <> ''"""
+
 SQL["metadata_values"] = BASE + """
 select p.type, p.value, p.ml_id, m.mk as name, trim(m.mv) as meta_value,
        coalesce(nullif((select arg_min(x.mv, x.pos) from pub_meta x where x.ordinal = p.ordinal
@@ -241,16 +251,17 @@ from fresh group by value, family"""
 
 SQL["snapshot_search"] = SUG + SNAP + """,
 allsnaps as (
-  select n.snapshot_id, n.execution_id, n.status from snaps n
+  select n.snapshot_id, n.execution_id, n.status, n.history_updated_on from snaps n
   union all
-  select s.snapshot_id, s.execution_id, s.status from seed s anti join snaps n on n.snapshot_id = s.snapshot_id),
-hits as (select cast(exec_id as varchar) as execution_id, btype_raw, bcat_raw from ex
+  select s.snapshot_id, s.execution_id, s.status, s.updated_on from seed s anti join snaps n on n.snapshot_id = s.snapshot_id),
+hits as (select cast(exec_id as varchar) as execution_id, btype_raw, bcat_raw, created_on from ex
          where regexp_matches(cast(exec_id as varchar), 'urgent', 'i') or regexp_matches(btype_raw, 'urgent', 'i')
             or regexp_matches(bcat_raw, 'urgent', 'i')),
 found as (select * from allsnaps where execution_id in (select execution_id from hits)),
 pg as (select * from found order by snapshot_id desc limit 50)
 select p.execution_id, p.snapshot_id, p.status, h.btype_raw as benchmark_type, h.bcat_raw as benchmark_category,
-       (select count(*) from found) as total
+       null::varchar as run_category, strftime(h.created_on, '%Y-%m-%d %H:%M:%S') as created_on, null::varchar as tester,
+       p.history_updated_on, (select count(*) from found) as total
 from pg p left join hits h using (execution_id)"""
 
 SQL["metadata_schema"] = with_ctes(FIXTURE) + """

@@ -95,3 +95,32 @@ def test_lcs_py_long():
         a = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 90)))
         b = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 90)))
         assert FZ.lcs_py(a, b) == _dp_lcs(a, b)
+
+
+def test_first_id(spark):
+    from pyspark.sql import functions as F
+
+    from hygeia.functions.paths import first_id
+    rows = [('{"`_id`":"a","id":"b"}',), ('{"`_id`":"","id":7}',), ('{"_id":{"$oid":"c"}}',), ("{}",)]
+    d = spark.createDataFrame(rows, "doc string").select(first_id(F.parse_json("doc"), ["`_id`", "id", "_id"]).alias("i"))
+    assert [r["i"] for r in d.collect()] == ["a", "7", "c", None]
+
+
+def test_parameter_values(spark):
+    import pytest
+
+    from hygeia.plans import reports as RP
+    from tests import golden as G
+    ml = spark.createDataFrame(G.masterlist_rows(), G.ML_SCHEMA)
+    assert RP.parameter_values(ml, "cpuMODEL", [], []).count() > 0
+    with pytest.raises(ValueError, match="unknown parameter"):
+        RP.parameter_values(ml, "nothing", ["CPUModel"], ["CPUModel"])
+
+
+def test_more_configurations_of_a_value_than_a_page(spark):
+    from hygeia.plans import reports as RP
+    rows = [(i, f"m{i}", "T", "Published", ("v", "p", {"k": str(i)})) for i in range(150)]
+    ml = spark.createDataFrame(rows, "ordinal bigint, ml_id string, type string, status string, "
+                                     "data struct<value:string,mapping:string,metadata:map<string,string>>")
+    req = spark.createDataFrame([("T", "v")], "req_type string, req_value string")
+    assert RP.metadata_values(ml, req).count() == 150
