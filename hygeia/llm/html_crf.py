@@ -390,8 +390,11 @@ def extract_text(page: str | None, w: list[float], tr: list[list[float]]) -> str
 
 def main_text(pages: DataFrame, train_pages: int = 150) -> DataFrame:
     """``pages`` with text and n_chars in place of html (clashing columns are replaced)."""
-    sample = (pages.select("html", F.xxhash64("page_id", F.lit(5)).alias("_k"), F.xxhash64("html").alias("_h"))
-              .orderBy("_k", "_h").limit(train_pages).collect())
+    hashed = pages.select("html", F.xxhash64("page_id", F.lit(5)).alias("_k"), F.xxhash64("html").alias("_h"))
+    # the hashes first: tasks send a few bytes a page to the driver, and html of the chosen pages alone
+    chosen = hashed.select("_k", "_h").distinct().orderBy("_k", "_h").limit(train_pages).collect()
+    sample = (hashed.where(F.col("_k").isin([r["_k"] for r in chosen]) & F.col("_h").isin([r["_h"] for r in chosen]))
+              .groupBy("_k", "_h").agg(F.first("html").alias("html")).orderBy("_k", "_h").limit(train_pages).collect())
     w, tr = fit([r["html"] for r in sample])
     weights, moves = w.tolist(), tr.tolist()
     keep = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
