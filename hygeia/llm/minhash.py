@@ -11,7 +11,9 @@ probability of their weighted Jaccard similarity.  ``rows`` samples make a band
 Copies (equal word sequences) are one node.  A document whose shingles with df >= 2 weigh less
 than ``threshold`` of the whole can't reach it with any other, so it is left out of the
 banding (nothing is lost).  Members of a band are compared with its most central node, then
-with nodes of the components that are left, never all with all.  Each comparison is the exact weighted
+with nodes of the components that are left.  Members of bands that still hold several components are settled
+exactly: pairs of two components that can reach ``threshold`` meet on their rarest shingles, all others are
+excluded by their weights.  Each comparison is the exact weighted
 Jaccard similarity of the whole shingle sets; a class is a component of the similar pairs.
 
 Cases: a document without words (null, empty) is its own class; rows with equal words are one class; a
@@ -37,6 +39,9 @@ _SIGNED = "chunk int, doc_id bigint, node binary, bands array<bigint>, payload b
 _DRAWS: dict = {}
 #: Ids of a list that may be sent to every task (16 bytes each).
 SHORT_LIST = 100_000
+#: Entries of one shingle that meet in a task: more are dealt to blocks, each against each.
+MEET = 512
+_ENTRY = "shingle bigint, node binary, root binary, whole double, rest double, light boolean"
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +123,19 @@ def _pack(h: np.ndarray, times: np.ndarray, df: np.ndarray) -> bytes:
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
-def _unpack(b: bytes, total: int) -> tuple[np.ndarray, np.ndarray]:
+def _parts(b: bytes, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, their weights and document frequencies."""
     parts, i = [], 0
     while i < len(b):
         n = int.from_bytes(b[i:i + 8], "little")
         parts.append(b[i + 8:i + 8 + n])
         i += 8 + n
-    return X.expand_sorted(parts[0]), X.expand(parts[1], np.int64) * _idf(X.expand(parts[2], np.int64), total)
+    df = X.expand(parts[2], np.int64)
+    return X.expand_sorted(parts[0]), X.expand(parts[1], np.int64) * _idf(df, total), df
+
+
+def _unpack(b: bytes, total: int) -> tuple[np.ndarray, np.ndarray]:
+    return _parts(b, total)[:2]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -160,6 +171,66 @@ def _only(payloads: DataFrame, ids: DataFrame) -> DataFrame:
     return payloads.join(F.broadcast(ids) if short else ids, "node", "left_semi")
 
 
+def _entries(total: int, threshold: float):
+    """The shingles on which a node meets others, rarest first: those from which on at least ``threshold`` of its weight is left;
+    light: enough is left for it to be the lighter one of a pair."""
+    def rows(batches):
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            out = []
+            for node, root, payload in zip(c["node"], c["root"], c["payload"]):
+                h, w, df = _parts(payload, total)
+                o = np.lexsort((h, df))
+                h, w, df = h[o], w[o], df[o]
+                rest = np.cumsum(w[::-1])[::-1]
+                whole = float(rest[0])
+                at = np.flatnonzero((df > 1) & (rest >= threshold * whole - 1e-9))
+                out.append(pa.table({
+                    "shingle": pa.array(h[at].view(np.int64)), "node": pa.array([node] * len(at), pa.binary()),
+                    "root": pa.array([root] * len(at), pa.binary()), "whole": pa.array(np.full(len(at), whole)),
+                    "rest": pa.array(rest[at]), "light": pa.array(rest[at] >= 2 * threshold / (1 + threshold) * whole - 1e-9)}))
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches(max_chunksize=50_000)
+    return rows
+
+
+def _meetings(rooted: DataFrame, payloads: DataFrame, total: int, threshold: float, work: Scratch) -> DataFrame:
+    """Distinct (node, pivot) of different roots, among them all that reach ``threshold``; rooted: node, root.
+
+    Let a be the lighter one. Similarity t needs a common weight of t / (1 + t) of the sum of both, so at least
+    2 t / (1 + t) of a and t of b, all of it at or after their first common shingle (by df, hash): there the pair meets.
+    At a shingle, nodes of its most frequent root meet only those of other roots."""
+    nodes = rooted.join(_only(payloads, rooted.select("node")), "node").select("node", "root", "payload")
+    entry = work.table(nodes.mapInArrow(_entries(total, threshold), _ENTRY), "entries")
+    per = entry.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    spread = (per.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("big"))
+              .where("roots > 1").select("shingle", F.ceil(F.col("n") / MEET).cast("int").alias("blocks"), F.col("big.root").alias("big")))
+    entry = work.table(entry.join(spread, "shingle").withColumn("main", F.col("root") == F.col("big")).drop("big"), "spread")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = entry.where("light").withColumn("i", own).withColumn("j", every).alias("a")
+    right = entry.withColumn("j", own).withColumn("i", every).alias("b")
+    can = [F.col("a.shingle") == F.col("b.shingle"), F.col("a.i") == F.col("b.i"), F.col("a.j") == F.col("b.j"),
+           F.col("a.root") != F.col("b.root"),
+           (F.col("a.whole") < F.col("b.whole")) | ((F.col("a.whole") == F.col("b.whole")) & (F.col("a.node") < F.col("b.node"))),
+           F.col("b.whole") * threshold <= F.col("a.whole") + 1e-9,
+           F.least("a.rest", "b.rest") >= threshold / (1 + threshold) * (F.col("a.whole") + F.col("b.whole")) - 1e-9]
+    pair = [F.least("a.node", "b.node").alias("node"), F.greatest("a.node", "b.node").alias("pivot")]
+    met = left.where("not main").join(right, can).select(*pair)
+    return met.unionByName(left.where("main").join(right.where("not main"), can).select(*pair)).distinct()
+
+
+def _merged(roots: DataFrame, new: DataFrame, work: Scratch, name: str) -> DataFrame:
+    """``roots`` after the links ``new``: components of components, so only edges between two of them."""
+    ends = (new.join(roots.select(F.col("node").alias("a"), F.col("root").alias("u")), "a", "left")
+            .join(roots.select(F.col("node").alias("b"), F.col("root").alias("v")), "b", "left")
+            .select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")))
+    merged = components(ends, Scratch(work.spark, "components")).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    fresh = merged.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    return work.table(roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+                      .unionByName(fresh), name)
+
+
 def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float, work: Scratch,
           pivots: int = 4) -> tuple[DataFrame, DataFrame]:
     """(links a, b of similar nodes; node, root of each component) from (node, band) and (node, payload).
@@ -167,25 +238,34 @@ def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float,
     First every member of a band is compared with the band's most central node, the one whose bands have the most
     members. Then, round by round, in bands whose members fall into several components, up to ``pivots`` nodes
     outside the largest are compared with the members of other components. A band stays in the next round while
-    one of its pivots found a link. A round makes at most ``pivots`` pairs per member."""
+    one of its pivots found a link. A round makes at most ``pivots`` pairs per member. The rounds only save work: in the
+    end members of all bands (of three or more) that hold several components are settled by ``_meetings``."""
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     member = work.table(banded.join(sizes, "band"), "member")
     score = member.groupBy("node").agg(F.sum("m").alias("score"))
-    member = work.table(member.join(score, "node").select("band", "node", "score"), "scored")
+    member = whole = work.table(member.join(score, "node").select("band", "node", "score"), "scored")
     best = member.groupBy("band").agg(F.max(F.struct("score", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
     near = member.join(best, "band").where("node <> pivot").select("node", "pivot").distinct()
     used = work.table(best.select("band", F.col("pivot").alias("node")), "pivots0")
     seen = links = roots = None
     step = 0
-    while True:
-        near = work.table(near, f"near{step}")
+
+    def compared(near: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        near = work.table(near, f"near{name}")
         pivot_pay = _only(payloads, near.select(F.col("pivot").alias("node"))).select(
             F.col("node").alias("pivot"), F.col("payload").alias("pivot_payload"))
         pairs = (near.join(_only(payloads, near.select("node")), "node").join(pivot_pay, "pivot")
                  .select("node", "pivot", "payload", "pivot_payload")
                  .mapInArrow(_compare(total), "node binary, pivot binary, sim double"))
-        found = work.table(pairs, f"found{step}")
-        new = found.where(F.col("sim") >= threshold).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        found = work.table(pairs, f"found{name}")
+        return found, found.where(F.col("sim") >= threshold).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        tried = seen.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
+        return pairs.join(tried, ["node", "pivot"], "left_anti")
+
+    while True:
+        found, new = compared(near, step)
         links = new if links is None else links.unionByName(new)
         seen = found if seen is None else seen.unionByName(found)
         if step == 0:
@@ -196,14 +276,7 @@ def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float,
             member = work.table(member.join(alive, "band", "left_semi"), f"scored{step}")
             if member.isEmpty():
                 break
-            # components of components: only edges between two of them
-            ends = (new.join(roots.select(F.col("node").alias("a"), F.col("root").alias("u")), "a", "left")
-                    .join(roots.select(F.col("node").alias("b"), F.col("root").alias("v")), "b", "left")
-                    .select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")))
-            merged = components(ends, Scratch(work.spark, "components")).select(F.col("node").alias("root"), F.col("root").alias("to"))
-            fresh = merged.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
-            roots = work.table(roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-                               .unionByName(fresh), f"roots{step}")
+            roots = _merged(roots, new, work, f"roots{step}")
         rooted = work.table(member.join(roots, "node", "left").select("band", "node", "score", F.coalesce("root", "node").alias("root")),
                             f"rooted{step}")
         parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -220,8 +293,15 @@ def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float,
         used = used.unionByName(chosen.select("band", F.col("pivot").alias("node")))
         both = (open_.join(chosen, "band").where("root <> pivot_root")
                 .select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
-        tried = seen.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
-        near = both.join(tried, ["node", "pivot"], "left_anti")
+        near = untried(both)
+    rooted = whole.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    parts = (rooted.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+             .where("m > 2 and low <> high"))
+    left = work.table(rooted.join(parts.select("band"), "band", "left_semi").select("node", "root").distinct(), "unsettled")
+    if not left.isEmpty():
+        _, new = compared(untried(_meetings(left, payloads, total, threshold, work)), "met")
+        if not new.isEmpty():
+            links, roots = links.unionByName(new), _merged(roots, new, work, "roots_met")
     return links, roots
 
 
