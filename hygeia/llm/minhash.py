@@ -18,7 +18,8 @@ Jaccard similarity of the whole shingle sets; a class is a component of the simi
 
 Cases: a document without words (null, empty) is its own class; rows with equal words are one class; a
 null doc_id takes part and is never the name of a class that has another id;
-equal minima are settled by the smallest doc_id; an empty table gives an empty result.
+equal minima are settled by the smallest doc_id; different texts under one doc_id (or none) are rows of their own, so classes
+may share a name, and each keeps one row: the least by doc_id, then text hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from hygeia.llm.common import Scratch, block_count, range_block, range_bounds
 from hygeia.llm.graph import components
 
 U = np.uint64
-_SIGNED = "chunk int, doc_id bigint, node binary, bands array<bigint>, payload binary"
+_SIGNED = "chunk int, doc_id bigint, text_key bigint, node binary, bands array<bigint>, payload binary"
 _DRAWS: dict = {}
 #: Ids of a list that may be sent to every task (16 bytes each).
 SHORT_LIST = 100_000
@@ -305,10 +306,15 @@ def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float,
     return links, roots
 
 
-def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6,
-                 chunk_bytes: int = 8 << 20) -> DataFrame:
+def near_classes(docs: DataFrame, **params) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links (compared texts
     found similar), kept (true for one row of each class)."""
+    return _classes(docs, **params).select("doc_id", "class_id", "n_links", "kept")
+
+
+def _classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6,
+             chunk_bytes: int = 8 << 20) -> DataFrame:
+    """``near_classes`` with text_key (hash of the text) and wordless."""
     spark = docs.sparkSession
     work = Scratch(spark, "minhash")
     head = docs.agg(F.count(F.lit(1)).alias("rows"),
@@ -316,7 +322,8 @@ def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands:
     total = head["rows"]
     chunks = buckets = block_count(spark, head["n"], chunk_bytes, 256 << 10)
     bounds = range_bounds(docs, "doc_id", chunks)
-    dealt = docs.select(range_block("doc_id", bounds).cast("int").alias("chunk"), F.col("doc_id").cast("bigint"), "text")
+    dealt = docs.select(range_block("doc_id", bounds).cast("int").alias("chunk"), F.col("doc_id").cast("bigint"), "text",
+                        F.xxhash64("text").alias("text_key"))
 
     def ask(t: pa.Table) -> pa.Table:
         _, _, doc, w = shingles(t, width)
@@ -358,38 +365,41 @@ def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands:
         raw = np.ascontiguousarray(node).tobytes()
         return pa.table({
             "chunk": t["chunk"].combine_chunks(), "doc_id": t["doc_id"].combine_chunks(),
+            "text_key": t["text_key"].combine_chunks(),
             "node": pa.array([raw[16 * i:16 * i + 16] if n[i] else None for i in range(size)], pa.binary()),
             "bands": pa.array(band_keys, pa.list_(pa.int64())), "payload": pa.array(payload, pa.binary())})
 
     answers = X.ask_all(dealt, ask, X.answer_count)
-    signed = work.table(X.with_answers(dealt, answers, sign, _SIGNED), "signed")
+    signed = work.table(X.with_answers(dealt, answers, sign, _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes = signed.where("bands is not null")
     # a node may come from several chunks: one payload each
     payloads = work.table(nodes.select("node", "payload").dropDuplicates(["node"]), "payloads")
     links, roots = _link(nodes.select("node", F.explode("bands").alias("band")).distinct(), payloads, total, threshold, work)
     degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
               .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
-    names = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row")
+    names = signed.where("node is not null").groupBy("node").agg(F.min(key).alias("least"))
     named = names.join(roots, "node", "left").join(degree, "node", "left")
-    # the smallest id of each component; nodes without links name themselves
-    comp = named.where("root is not null").groupBy("root").agg(F.min("least").alias("class_id"))
+    # the first row of each component; nodes without links name themselves
+    comp = named.where("root is not null").groupBy("root").agg(F.min("least").alias("first"))
     by_node = (named.join(comp, "root", "left")
-               .select("node", F.coalesce("class_id", "least").alias("class_id"),
+               .select("node", F.coalesce("first", "least").alias("first"),
                        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    out = (signed.select("doc_id", "node").alias("d").join(by_node, "node", "left")
-           .select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                   F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("node").isNull().alias("_none")))
-    one = W.partitionBy("doc_id").orderBy(F.col("class_id").asc_nulls_last())
-    return out.select("doc_id", "class_id", "n_links",
-                      (F.col("_none") | (F.col("doc_id").eqNullSafe(F.col("class_id"))
-                                         & (F.row_number().over(one) == 1))).alias("kept"))
+    none = F.col("node").isNull()
+    return (signed.select("doc_id", "text_key", "node", "row").join(by_node, "node", "left")
+            .select("doc_id", F.when(none, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), (none | (F.col("row") == F.col("first.row"))).alias("kept"),
+                    "text_key", none.alias("wordless")))
 
 
 def near_dedup(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each class: the one of the smallest doc_id."""
-    keep = near_classes(docs, **params).where("kept").select("doc_id").distinct()
+    """``docs`` with one document of each class: the one of the smallest doc_id, then of the least text hash. Rows equal in
+    both are one document (the first by the other columns), but for texts without words under a null doc_id."""
+    keep = _classes(docs, **params).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "wordless").distinct()
     names = docs.columns
-    one = W.partitionBy("doc_id").orderBy(F.lit(0))
-    left = docs.join(keep.select(F.col("doc_id").alias("_keep")), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    copy = left.withColumn("_row", F.row_number().over(one)).where("_row = 1 or doc_id is null")
+    key = F.xxhash64("text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]
+    one = W.partitionBy("doc_id", "_key").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    copy = docs.join(keep, same).withColumn("_row", F.row_number().over(one)).where("_row = 1 or (doc_id is null and wordless)")
     return copy.select(*[F.col(f"`{c}`") for c in names])

@@ -32,3 +32,17 @@ def test_template_documents(spark, words):
     want = brute.near_classes(docs)
     assert 20 < len(set(want.values())) < len(docs)
     assert got == want
+
+
+def test_one_row_of_each_component(spark):
+    rng = random.Random(8)
+    a, b, c, d = (data.sentence(rng, 60, 5000) for _ in range(4))
+    # two texts under one id, null ids with different texts and near copies
+    docs = [(1, a), (1, b), (2, a + " more"), (None, c), (None, c + " more"), (None, d), (3, b), (3, b), (None, ""), (None, " ")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = minhash.near_dedup(table).collect()
+    texts = [r["text"] for r in got]
+    assert sum(t.startswith(c) for t in texts) == 1
+    assert sorted(t for t in texts if not t.startswith(c)) == sorted(["", " ", a, b, d])
+    assert {r["doc_id"] for r in got if r["text"] in (a, b)} == {1}
+    assert sum(r["kept"] for r in minhash.near_classes(table).collect()) == 6
