@@ -32,9 +32,13 @@ from pyspark.sql import types as T
 # Element names.
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody
-td tfoot th thead tr ul caption""".split())
+td tfoot th thead tr ul caption xmp""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea template noscript iframe svg math select button object title xmp".split())
+RAW = frozenset("script style textarea template iframe title".split())
+#: Elements whose text is a block of its own, though they may stand inside a paragraph, and the kind of part they are.
+OWN = {"button": "form", "select": "form", "noscript": None, "object": None}
+#: What can stand in a head; anything else ends it.
+HEAD = RAW - {"textarea", "iframe"} | frozenset("html head base basefont bgsound link meta noscript".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
              "th": ("td", "th"), "option": ("option",)}
 KEEPS = frozenset("article aside blockquote body div dl fieldset figure footer form header li main nav ol section table td th ul".split())
@@ -61,7 +65,7 @@ _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 
 def part_kind(tag: str, attributes: str) -> str | None:
     """What part of a page an element is, by its name and its class, id and role."""
-    own = _KIND.get(tag)
+    own = OWN[tag] if tag in OWN else _KIND.get(tag)
     if tag in ("body", "label", "input"):
         own = None
     if own and own != "main":
@@ -102,7 +106,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     page = page or ""
     at, end = 0, len(page)
-    low = None
+    low = head = None
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -110,6 +114,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name is None:
             raw = m[0]
             if raw[0] != "<" or raw == "<":
+                if head == "noscript" or head and not raw.strip():
+                    continue
+                head = None
                 text = entities.unescape(raw) if "&" in raw else raw
                 n = len(text) - text.count(" ")
                 state["chars"] += n
@@ -118,8 +125,21 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 parts.append(text)
             continue
         tag, closing = name.lower(), bool(m[1])
+        if head:
+            if closing and tag not in ("head", "body", "html"):
+                head = "head"
+                continue
+            if closing or tag not in HEAD:
+                head = None
+            elif tag == "noscript":
+                head = "noscript"
+            if head and tag not in RAW:
+                continue
+        elif not closing and tag == "head":
+            head = "head"
+            continue
         if not closing and tag in RAW:
-            if tag != "title" and tag in ("template", "svg", "math", "object", "iframe", "select", "button", "noscript", "textarea"):
+            if tag in ("template", "iframe", "textarea"):
                 parts.append(" ")
             if not m[3].endswith("/"):
                 low = low if low is not None else page.lower()
@@ -129,16 +149,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     close = page.find(">", at)
                     at = end if close < 0 else close + 1
             continue
-        if not closing and tag == "head":
-            low = low if low is not None else page.lower()
-            stop = low.find("</head", at)
-            body = low.find("<body", at)
-            stop = min(x for x in (stop, body, end) if x >= 0)
-            at = stop
-            continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in OWN:
             flush()
-        elif tag == "br":
+        elif tag in ("br", "option"):
             parts.append(" ")
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -151,6 +164,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag in VOID:
             continue
+        if tag in BLOCKS and tag != "hr":  # a select holds options only
+            for i, (t, _) in enumerate(stack):
+                if t == "select":
+                    del stack[i:]
+                    break
         shut = CLOSED_BY.get(tag) or (("p",) if tag in BLOCKS else ())
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in shut:
