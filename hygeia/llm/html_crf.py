@@ -60,6 +60,7 @@ KINDS = {
 _KIND = {w: k for k, words in reversed(KINDS.items()) for w in words.split()}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -106,7 +107,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     page = page or ""
     at, end = 0, len(page)
-    low = head = None
+    head = None
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -142,12 +143,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag in ("template", "iframe", "textarea"):
                 parts.append(" ")
             if not m[3].endswith("/"):
-                low = low if low is not None else page.lower()
-                stop = low.find(f"</{tag}", at)
-                at = end if stop < 0 else stop
-                if stop >= 0:
-                    close = page.find(">", at)
-                    at = end if close < 0 else close + 1
+                stop = _ENDS[tag].search(page, at)
+                close = page.find(">", stop.end()) if stop else -1
+                at = end if close < 0 else close + 1
             continue
         if tag in BLOCKS or tag in OWN:
             flush()

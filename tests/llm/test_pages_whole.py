@@ -26,3 +26,10 @@ def test_nothing_is_lost(page, want):
 def test_kind_of_buttons_and_selects():
     assert [b.kinds for b in html_crf.leaf_blocks("<article><p>a <button>b</button> c</p><select><option>d</select></article>")] == [
         ("main",), ("main", "form"), ("main",), ("main", "form")]
+
+
+@pytest.mark.parametrize("n", [1, 7, 9, 40])
+def test_letters_that_lower_to_two(n):
+    dotted = "\u0130" * n
+    assert texts(f"<head><title>{dotted}</title></head><p>{dotted}</p><SCRIPT>x('{dotted}')</Script><p>next</p><style>s</STYLE><p>last") == [
+        dotted, "next", "last"]
