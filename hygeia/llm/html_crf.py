@@ -7,14 +7,16 @@ classes, ids and roles name) and of its text.  The field labels the
 blocks of a page as content or not; it is trained on labelled pages and decoded by Viterbi.
 
 Training pages are ``train_pages`` (150 by default, the bound on what reaches the driver) of the
-table, those of least hashed page_id.  Each gives labelled pages of two kinds: itself, where its
+table's pages with labels, those of least hashed page_id.  Of each, up to ``train_blocks`` blocks (240 by default, the bound on
+what the training holds) are learned from, with their features on the whole page: all blocks, or stretches of 60 spread
+evenly from the first to the last.  Each gives labelled pages of two kinds: itself, where its
 blocks inside an article element and outside other parts are content; and its content set into
 layouts of other sites, with menus, headers, sidebars, notices, adverts, forms and reader
 comments, whose labels are known from the layout.
 
 Cases: a null, empty or text-free html gives an empty text; broken markup is read as far as browsers
-would (unclosed elements end with their parent); a page without any marked part is judged by its texts; rows that
-repeat a page are each extracted; null ids and urls are kept; an empty table gives an empty result.
+would (unclosed elements end with their parent); a page without any marked part is judged by its texts; a
+table with texts but without any labelled page raises; rows that repeat a page are each extracted; null ids and urls are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -191,8 +193,10 @@ NAMES += ["stop", "comma", "sign", "first", "last", "bad_inside_main", "main_ins
 INDEX = {n: i for i, n in enumerate(NAMES)}
 
 
-#: Blocks of a training page that are looked at.
-TRAIN_BLOCKS = 60
+#: Blocks of a stretch of a training page.
+STRETCH = 60
+#: Pages that may have labels.
+_MARKED = r"(?i)<(article|main)[\s/>]"
 _ANCESTORS = ("article", "main", "section", "ul", "table", "a", "form", "blockquote")
 
 
@@ -381,16 +385,34 @@ def layout_labels(page: str) -> tuple[list[Block], list[int]]:
     return blocks, labels
 
 
-def fit(pages: list[str | None], per_page: int = 3, seed: int = 7):
+def labelled(page: str | None) -> tuple[list[Block], list[int]] | None:
+    """Blocks and labels of a page that labels itself, None of others."""
+    blocks = leaf_blocks(page)
+    labels = own_labels(blocks)
+    return (blocks, labels) if labels and any(labels) else None
+
+
+def stretches(n: int, most: int) -> list[tuple[int, int]]:
+    """(start, end) of the blocks of n that are learned from: all if n <= most, else stretches from the first to the last block."""
+    size = min(STRETCH, most)
+    if n <= most:
+        return [(i, min(i + size, n)) for i in range(0, n, size)]
+    many = max(1, most // size)
+    starts = [0] if many == 1 else [(n - size) * i // (many - 1) for i in range(many)]
+    return [(i, i + size) for i in starts]
+
+
+def fit(pages: list[str | None], per_page: int = 3, seed: int = 7, train_blocks: int = 240):
     """Weights and transitions from a bounded list of pages."""
     rng = random.Random(seed)
     examples = []
     for page in pages:
-        blocks = leaf_blocks(page)[:TRAIN_BLOCKS]
-        labels = own_labels(blocks)
-        if labels is None or not any(labels):
+        own = labelled(page)
+        if own is None:
             continue
-        examples.append((features(blocks), labels))
+        blocks, labels = own
+        rows = features(blocks)
+        examples += [(rows[i:j], labels[i:j]) for i, j in stretches(len(rows), train_blocks)]
         texts = [b.text for b, y in zip(blocks, labels) if y]
         words = " ".join(texts).split()[:2000]
         for _ in range(per_page):
@@ -404,20 +426,45 @@ def extract_text(page: str | None, w: list[float], tr: list[list[float]]) -> str
     return " ".join(b.text for b, y in zip(blocks, viterbi(features(blocks), w, tr)) if y)
 
 
-def main_text(pages: DataFrame, train_pages: int = 150) -> DataFrame:
+def _label_keys(batches):
+    for b in batches:
+        yield b.filter(pa.array([labelled(h) is not None for h in b.column("html").to_pylist()], pa.bool_())).select(["_k", "_h"])
+
+
+def training_pages(pages: DataFrame, train_pages: int) -> list[str]:
+    """Up to ``train_pages`` pages with labels, those of least hashed page_id. Most pages with a marked element have labels, so the
+    first of these are tried; if some have none, tasks find out which pages have."""
+    hashed = (pages.where(F.col("html").rlike(_MARKED))
+              .select("html", F.xxhash64("page_id", F.lit(5)).alias("_k"), F.xxhash64("html").alias("_h")))
+
+    def first(keys: DataFrame) -> list[str]:
+        # the hashes first: tasks send a few bytes a page to the driver, and html of the chosen pages alone
+        chosen = keys.distinct().orderBy("_k", "_h").limit(train_pages).collect()
+        pairs = {(r["_k"], r["_h"]) for r in chosen}
+        rows = (hashed.where(F.col("_k").isin([k for k, _ in pairs]) & F.col("_h").isin([h for _, h in pairs]))
+                .groupBy("_k", "_h").agg(F.first("html").alias("html")).orderBy("_k", "_h").limit(train_pages).collect())
+        return [r["html"] for r in rows]
+
+    found = first(hashed.select("_k", "_h"))
+    if all(labelled(h) for h in found):
+        return found
+    return first(hashed.mapInArrow(_label_keys, "_k bigint, _h bigint"))
+
+
+def main_text(pages: DataFrame, train_pages: int = 150, train_blocks: int = 240) -> DataFrame:
     """``pages`` with text and n_chars in place of html (clashing columns are replaced)."""
-    hashed = pages.select("html", F.xxhash64("page_id", F.lit(5)).alias("_k"), F.xxhash64("html").alias("_h"))
-    # the hashes first: tasks send a few bytes a page to the driver, and html of the chosen pages alone
-    chosen = hashed.select("_k", "_h").distinct().orderBy("_k", "_h").limit(train_pages).collect()
-    sample = (hashed.where(F.col("_k").isin([r["_k"] for r in chosen]) & F.col("_h").isin([r["_h"] for r in chosen]))
-              .groupBy("_k", "_h").agg(F.first("html").alias("html")).orderBy("_k", "_h").limit(train_pages).collect())
-    w, tr = fit([r["html"] for r in sample])
+    sample = training_pages(pages, train_pages)
+    trained = bool(sample)
+    w, tr = fit(sample, train_blocks=train_blocks)
     weights, moves = w.tolist(), tr.tolist()
     keep = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
 
     def work(batches):
         for b in batches:
-            texts = [extract_text(h, weights, moves) for h in b.column("html").to_pylist()]
+            htmls = b.column("html").to_pylist()
+            if not trained and any(leaf_blocks(h) for h in htmls):
+                raise ValueError("no page with an article or main element to train the field on")
+            texts = [extract_text(h, weights, moves) for h in htmls]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
