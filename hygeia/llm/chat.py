@@ -7,7 +7,8 @@ round by round; each round is a join on what is left, so no conversation is ever
 gathered in one row or task.  Arguments are validated against the tool's schema and serialised as canonical
 JSON (keys sorted, no white space), both on Spark's VARIANT.
 
-Cases: rows that repeat a call id are one call (the first by turn, then arguments); a result without
+Cases: rows that repeat a call id are one call (the first by turn, then arguments); each row without a call id is a call of
+its own that no result can name (null id, no result); a result without
 call is dropped from the calls and counted by ``orphan_results``; null or malformed arguments, null names and unknown
 tools are errors of the call, not failures; a reference to a missing call, to itself or into a cycle leaves
 the level null; an empty table gives an empty result; other columns are ignored.
@@ -83,18 +84,22 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     from ``results`` (conv_id, call_id, turn, content), level, position in the conversation, errors and record."""
     work = Scratch(calls.sparkSession, "chat")
     fields = ["turn", "name", "arguments", "needs"]
-    one = (calls.groupBy(*ID).agg(F.min(F.struct(*fields)).alias("c"), F.count(F.lit(1)).alias("n_rows"))
+    one = (calls.where("call_id is not null").groupBy(*ID).agg(F.min(F.struct(*fields)).alias("c"), F.count(F.lit(1)).alias("n_rows"))
            .select(*ID, *[F.col(f"c.{f}").alias(f) for f in fields], "n_rows"))
-    one = work.table(one, "calls")
+    unnamed = calls.where("call_id is null").select(*ID, *fields, F.lit(1).cast("bigint").alias("n_rows"))
+    key = F.coalesce("call_id", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    one = work.table(one.unionByName(unnamed).withColumn("_key", key), "calls")
     first = results.groupBy(*ID).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    linked = (one.alias("c").join(first.alias("r"), _same("c", "r"), "left")
+    linked = (one.alias("c").join(first.where("call_id is not null").alias("r"), _same("c", "r"), "left")
               .select("c.*", F.col("r.r.turn").alias("result_turn"), F.col("r.r.content").alias("result"),
                       F.coalesce("r.n_results", F.lit(0)).cast("bigint").alias("n_results")))
-    order = levels(one.select(*ID), one.select(*ID, F.explode("needs").alias("needs")), work)
-    ranked = linked.alias("c").join(order.alias("o"), _same("c", "o"), "left").select("c.*", "o.level")
+    keyed = one.select("conv_id", F.col("_key").alias("call_id"), "needs")
+    order = levels(keyed.select(*ID), keyed.select(*ID, F.explode("needs").alias("needs")), work)
+    same = F.col("c.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("c._key") == F.col("o.call_id"))
+    ranked = linked.alias("c").join(order.alias("o"), same, "left").select("c.*", "o.level")
     last = F.coalesce(F.col("level"), F.lit(2**30)).cast("bigint")
     ranked = ranked.withColumn("_block", last * 2**30 + F.coalesce(F.expr(f"turn div {BLOCK_TURNS}"), F.lit(0)))
-    placed = running_sum(ranked, ["conv_id"], "_block", [F.col("level").asc_nulls_last(), F.col("turn"), F.col("call_id")],
+    placed = running_sum(ranked, ["conv_id"], "_block", [F.col("level").asc_nulls_last(), F.col("turn"), F.col("_key")],
                          F.lit(1), "position")
     parsed = F.try_parse_json(F.col("arguments"))
     record = F.to_json(F.struct(
