@@ -12,9 +12,13 @@ from hygeia.llm.minhash import near_classes
 from hygeia.llm.mixing import mix_sources, word_count
 from hygeia.llm.packing import pack_documents
 from hygeia.llm.quality import BASE, judge
+from hygeia.llm.repair import damaged, repaired_digests
 from hygeia.llm.sharding import hilbert_shards
 from hygeia.llm.sketch import edited_fingerprints, fingerprint, resemblance
+from hygeia.llm.spelling import spelling_variants
+from hygeia.llm.sql import CONVERSATION_REPAIR, SPELLING_VARIANTS
 from hygeia.llm.substring import substring_dedup
+from hygeia.llm.subwords import decode, encode
 from hygeia.llm.warc import archive_round_trip
 
 
@@ -117,6 +121,29 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repaired_digests(conversations, damaged(conversations))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), spoil=97)
+
+
+def pieces_model() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces_model()
+    out = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -128,6 +155,9 @@ QUERIES = {
     "op9_warc_index_merge": op9_warc_index_merge,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 # ---- DuckDB SQL ---------------------------------------------------------------
@@ -230,4 +260,6 @@ SQL: dict[str, str] = {
     "op3_source_mixing": _OP3.replace("{words}", _WORDS),
     "op7_substring_dedup": _op7_sql(),
     "op9_warc_index_merge": _OP9,
+    "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op12_spelling_variants": SPELLING_VARIANTS,
 }
