@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hygeia.llm.common import Scratch
@@ -22,13 +22,16 @@ def components(edges: DataFrame, work: Scratch, a: str = "a", b: str = "b") -> D
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         step += 1
-        nxt = work.table(small, f"edges{step}")
-        now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # counted while it's written: no further job over the table
+        seen = Observation()
+        sign = F.xxhash64("u", "v").cast("decimal(38,0)")
+        nxt = work.table(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(sign).alias("s")), f"edges{step}")
+        now = (seen.get["n"], seen.get["s"])
         work.drop(f"edges{step - 1}")
         cur = nxt
         if now == mark:

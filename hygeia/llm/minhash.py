@@ -10,9 +10,8 @@ probability of their weighted Jaccard similarity.  ``rows`` samples make a band
 
 Copies (equal word sequences) are one node.  A document whose shingles with df >= 2 weigh less
 than ``threshold`` of the whole can't reach it with any other, so it is left out of the
-banding (nothing is lost).  Members of a band are compared with its most central node, then
-with nodes of the components that are left.  Members of bands that still hold several components are settled
-exactly: pairs of two components that can reach ``threshold`` meet on their rarest shingles, all others are
+banding (nothing is lost).  Members of a band are compared with its most central node. Members of bands that
+then still hold several components are settled exactly: pairs of two components that can reach ``threshold`` meet on their rarest shingles, all others are
 excluded by their weights.  Each comparison is the exact weighted
 Jaccard similarity of the whole shingle sets; a class is a component of the similar pairs.
 
@@ -165,9 +164,8 @@ def _compare(total: int):
 
 
 def _only(payloads: DataFrame, ids: DataFrame) -> DataFrame:
-    """The payloads of the nodes in ``ids`` (column node). A short list of ids is sent to the payloads (its size
+    """The payloads of the nodes in ``ids`` (column node, distinct). A short list of ids is sent to the payloads (its size
     is counted first); a long one is joined by shuffle."""
-    ids = ids.distinct()
     short = ids.limit(SHORT_LIST + 1).count() <= SHORT_LIST
     return payloads.join(F.broadcast(ids) if short else ids, "node", "left_semi")
 
@@ -201,7 +199,7 @@ def _meetings(rooted: DataFrame, payloads: DataFrame, total: int, threshold: flo
     Let a be the lighter one. Similarity t needs a common weight of t / (1 + t) of the sum of both, so at least
     2 t / (1 + t) of a and t of b, all of it at or after their first common shingle (by df, hash): there the pair meets.
     At a shingle, nodes of its most frequent root meet only those of other roots."""
-    nodes = rooted.join(_only(payloads, rooted.select("node")), "node").select("node", "root", "payload")
+    nodes = rooted.join(_only(payloads, rooted.select("node").distinct()), "node").select("node", "root", "payload")
     entry = work.table(nodes.mapInArrow(_entries(total, threshold), _ENTRY), "entries")
     per = entry.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     spread = (per.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("big"))
@@ -232,78 +230,41 @@ def _merged(roots: DataFrame, new: DataFrame, work: Scratch, name: str) -> DataF
                       .unionByName(fresh), name)
 
 
-def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float, work: Scratch,
-          pivots: int = 4) -> tuple[DataFrame, DataFrame]:
+def _compared(pairs: DataFrame, payloads: DataFrame, total: int, work: Scratch, name: str) -> DataFrame:
+    """(node, pivot, sim) of distinct (node, pivot): the exact similarity of each pair."""
+    pairs = work.table(pairs, f"near_{name}")
+    ids = pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
+    of = _only(payloads, ids)
+    other = of.select(F.col("node").alias("pivot"), F.col("payload").alias("pivot_payload"))
+    both = pairs.join(of, "node").join(other, "pivot").select("node", "pivot", "payload", "pivot_payload")
+    return work.table(both.mapInArrow(_compare(total), "node binary, pivot binary, sim double"), f"found_{name}")
+
+
+def _link(banded: DataFrame, payloads: DataFrame, total: int, threshold: float, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """(links a, b of similar nodes; node, root of each component) from (node, band) and (node, payload).
 
-    First every member of a band is compared with the band's most central node, the one whose bands have the most
-    members. Then, round by round, in bands whose members fall into several components, up to ``pivots`` nodes
-    outside the largest are compared with the members of other components. A band stays in the next round while
-    one of its pivots found a link. A round makes at most ``pivots`` pairs per member. The rounds only save work: in the
-    end members of all bands (of three or more) that hold several components are settled by ``_meetings``."""
+    Every member of a band is compared with the band's most central node, the one whose bands have the most
+    members: one pair a member, which joins most of a large group at once. Members of bands (of three or more) that
+    then hold several components are settled by ``_meetings``. Components are worked out of the first links, and of
+    the components that the second links join."""
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     member = work.table(banded.join(sizes, "band"), "member")
     score = member.groupBy("node").agg(F.sum("m").alias("score"))
-    member = whole = work.table(member.join(score, "node").select("band", "node", "score"), "scored")
-    best = member.groupBy("band").agg(F.max(F.struct("score", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
-    near = member.join(best, "band").where("node <> pivot").select("node", "pivot").distinct()
-    used = work.table(best.select("band", F.col("pivot").alias("node")), "pivots0")
-    seen = links = roots = None
-    step = 0
-
-    def compared(near: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        near = work.table(near, f"near{name}")
-        pivot_pay = _only(payloads, near.select(F.col("pivot").alias("node"))).select(
-            F.col("node").alias("pivot"), F.col("payload").alias("pivot_payload"))
-        pairs = (near.join(_only(payloads, near.select("node")), "node").join(pivot_pay, "pivot")
-                 .select("node", "pivot", "payload", "pivot_payload")
-                 .mapInArrow(_compare(total), "node binary, pivot binary, sim double"))
-        found = work.table(pairs, f"found{name}")
-        return found, found.where(F.col("sim") >= threshold).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-
-    def untried(pairs: DataFrame) -> DataFrame:
-        tried = seen.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
-        return pairs.join(tried, ["node", "pivot"], "left_anti")
-
-    while True:
-        found, new = compared(near, step)
-        links = new if links is None else links.unionByName(new)
-        seen = found if seen is None else seen.unionByName(found)
-        if step == 0:
-            roots = work.table(components(new, Scratch(work.spark, "components")), "roots0")
-        else:
-            hit = new.select(F.col("a").alias("pivot")).unionByName(new.select(F.col("b").alias("pivot"))).distinct()
-            alive = chosen.join(hit, "pivot", "left_semi").select("band").distinct()
-            member = work.table(member.join(alive, "band", "left_semi"), f"scored{step}")
-            if member.isEmpty():
-                break
-            roots = _merged(roots, new, work, f"roots{step}")
-        rooted = work.table(member.join(roots, "node", "left").select("band", "node", "score", F.coalesce("root", "node").alias("root")),
-                            f"rooted{step}")
-        parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-        several = (parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("big"))
-                   .where("parts > 1").select("band", F.col("big.root").alias("big")))
-        step += 1
-        open_ = work.table(rooted.join(several, "band"), f"open{step}")
-        order = W.partitionBy("band").orderBy(F.desc("score"), "node")
-        chosen = work.table(open_.where("root <> big").join(used, ["band", "node"], "left_anti")
-                            .withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-                            .select("band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), f"pivots{step}")
-        if chosen.isEmpty():
-            break
-        used = used.unionByName(chosen.select("band", F.col("pivot").alias("node")))
-        both = (open_.join(chosen, "band").where("root <> pivot_root")
-                .select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct())
-        near = untried(both)
-    rooted = whole.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    parts = (rooted.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("m > 2 and low <> high"))
+    scored = work.table(member.join(score, "node").select("band", "node", "m", "score"), "scored")
+    best = scored.groupBy("band").agg(F.max(F.struct("score", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
+    pair = [F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")]
+    found = _compared(scored.join(best, "band").where("node <> pivot").select(*pair).distinct(), payloads, total, work, "central")
+    similar = [F.col("node").alias("a"), F.col("pivot").alias("b")]
+    links = found.where(F.col("sim") >= threshold).select(*similar)
+    roots = work.table(components(links, Scratch(work.spark, "components")), "roots")
+    rooted = (scored.where("m > 2").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+    parts = (rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"))
     left = work.table(rooted.join(parts.select("band"), "band", "left_semi").select("node", "root").distinct(), "unsettled")
-    if not left.isEmpty():
-        _, new = compared(untried(_meetings(left, payloads, total, threshold, work)), "met")
-        if not new.isEmpty():
-            links, roots = links.unionByName(new), _merged(roots, new, work, "roots_met")
-    return links, roots
+    if left.isEmpty():
+        return links, roots
+    met = _meetings(left, payloads, total, threshold, work).join(found.select("node", "pivot"), ["node", "pivot"], "left_anti")
+    new = _compared(met, payloads, total, work, "met").where(F.col("sim") >= threshold).select(*similar)
+    return (links, roots) if new.isEmpty() else (links.unionByName(new), _merged(roots, new, work, "roots_met"))
 
 
 def near_classes(docs: DataFrame, **params) -> DataFrame:
