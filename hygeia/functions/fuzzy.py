@@ -1,25 +1,19 @@
-"""String similarity scores as Spark column expressions.
+"""String similarity scores as Spark column expressions.
 
 ``ratio`` (F5) is the normalised indel similarity 2*LCS/(|a|+|b|).  LCS uses a
-bit-parallel recurrence (Hyyro / Allison-Dix) over a BIGINT state, so it runs
-JVM-side for strings up to 62 characters; longer pairs go to an Arrow-batched
-pandas UDF running the same recurrence on Python integers (no length limit).
+bit-parallel recurrence (Hyyro / Allison-Dix) over a BIGINT state for strings up
+to 62 characters; longer pairs use the same recurrence over a state of several
+words (scores.py).  Both run JVM-side.
 """
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-MAX_SQL_LCS = 62
+from hygeia.functions.scores import lcs
 
-# ship the UDF bodies by value: executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+MAX_SQL_LCS = 62
 
 
 def lcs_sql(a: Column, b: Column) -> Column:
@@ -36,34 +30,6 @@ def lcs_sql(a: Column, b: Column) -> Column:
     return m - F.bit_count(v)
 
 
-def lcs_py(a: str, b: str) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    m = len(a)
-    if m == 0:
-        return 0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << m) - 1
-    v = full
-    for ch in b:
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-    return m - bin(v).count("1")
-
-
-@F.pandas_udf(LongType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_py(x or "", y or "") for x, y in zip(a, b)], dtype="int64")
-
-
-def ratio_py(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    return 2.0 * lcs_py(a, b) / (len(a) + len(b))
-
-
 def _ratio_from(lcs: Column, a: Column, b: Column) -> Column:
     return F.bround(F.lit(2.0) * lcs / (F.length(a) + F.length(b)), 4)
 
@@ -80,9 +46,8 @@ def with_ratio(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
     The score is computed once per distinct (a, b) pair and joined back: rows
     repeat the same few value pairs, so the LCS work is bounded by distinct
-    pairs, not rows.  Short pairs stay JVM-side; only pairs whose shorter side
-    exceeds 62 characters go through the Arrow UDF (Python UDFs inside CASE
-    are evaluated for every row, hence the split).
+    pairs, not rows.  Pairs whose shorter side exceeds 62 characters take the
+    expression over several words.
     """
     ca, cb = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
     empty = (F.length(ca) == 0) | (F.length(cb) == 0)
@@ -94,109 +59,7 @@ def with_ratio(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     pa, pb = F.col("_ra"), F.col("_rb")
     is_long = F.least(F.length(pa), F.length(pb)) > MAX_SQL_LCS
     short = pairs.where(~is_long).withColumn(out, ratio_short(pa, pb))
-    long_ = pairs.where(is_long).withColumn(out, _ratio_from(lcs_udf(pa, pb), pa, pb))
+    long_ = pairs.where(is_long).withColumn(out, _ratio_from(lcs(pa, pb), pa, pb))
     scored = short.unionByName(long_)
     j = df2.join(scored, ["_ra", "_rb"], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
     return j.drop("_ra", "_rb")
-
-
-# --- scorers used by the fuzzy (non-kNN) joins, 0..100 like the library -----
-
-def _norm(dist: int, lensum: int) -> float:
-    return 100.0 if lensum == 0 else 100.0 * (1.0 - dist / lensum)
-
-
-def ratio100(a: str, b: str) -> float:
-    return _norm(len(a) + len(b) - 2 * lcs_py(a, b), len(a) + len(b))
-
-
-def partial_ratio100(a: str, b: str) -> float:
-    """Best ratio of the shorter string against every window of the longer one
-    (prefixes and suffixes shorter than the needle included); both directions when
-    the lengths are equal."""
-    if not a or not b:
-        return 0.0
-    def one(s: str, t: str) -> float:
-        m, n = len(s), len(t)
-        best = 0.0
-        wins = [t[:i] for i in range(1, m)] + [t[i:i + m] for i in range(0, n - m + 1)] + \
-               [t[i:] for i in range(n - m + 1, n)]
-        for w in wins:
-            r = ratio100(s, w)
-            if r > best:
-                best = r
-                if best == 100.0:
-                    break
-        return best
-    if len(a) < len(b):
-        return one(a, b)
-    if len(b) < len(a):
-        return one(b, a)
-    return max(one(a, b), one(b, a))
-
-
-def token_set_ratio100(a: str, b: str) -> float:
-    ta, tb = set(a.split()), set(b.split())
-    if not ta or not tb:
-        return 0.0
-    inter, dab, dba = ta & tb, ta - tb, tb - ta
-    if inter and (not dab or not dba):
-        return 100.0
-    sect, ab, ba = " ".join(sorted(inter)), " ".join(sorted(dab)), " ".join(sorted(dba))
-    sl = len(sect)
-    sab, sba = sl + (1 if sl else 0) + len(ab), sl + (1 if sl else 0) + len(ba)
-    res = _norm(len(ab) + len(ba) - 2 * lcs_py(ab, ba), sab + sba)
-    if sl == 0:
-        return res
-    return max(res, _norm((1 if sl else 0) + len(ab), sl + sab), _norm((1 if sl else 0) + len(ba), sl + sba))
-
-
-def token_sort_ratio100(a: str, b: str) -> float:
-    return ratio100(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def _partial_token_ratio100(a: str, b: str) -> float:
-    ta, tb = set(a.split()), set(b.split())
-    if not ta or not tb:
-        return 0.0
-    if ta & tb:
-        return 100.0
-    return partial_ratio100(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def wratio100(a: str, b: str) -> float:
-    """Weighted ratio; length-ratio boundary: <= 8 scales partial scores by 0.9 (our choice)."""
-    if not a or not b:
-        return 0.0
-    la, lb = len(a), len(b)
-    len_ratio = max(la, lb) / min(la, lb)
-    end = ratio100(a, b)
-    if len_ratio < 1.5:
-        return max(end, max(token_sort_ratio100(a, b), token_set_ratio100(a, b)) * 0.95)
-    scale = 0.9 if len_ratio <= 8.0 else 0.6
-    end = max(end, partial_ratio100(a, b) * scale)
-    return max(end, _partial_token_ratio100(a, b) * 0.95 * scale)
-
-
-SCORERS = {"ratio": ratio100, "partial_ratio": partial_ratio100,
-           "token_set_ratio": token_set_ratio100, "wratio": wratio100}
-
-
-def default_process_py(s: str) -> str:
-    import re
-    return re.sub(r"\W", " ", s.lower()).strip(" ")
-
-
-def score_udf(scorer: str, process: bool = False):
-    fn = SCORERS[scorer]
-
-    @F.pandas_udf("double")
-    def _score(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = x or "", y or ""
-            if process:
-                x, y = default_process_py(x), default_process_py(y)
-            out.append(fn(x, y))
-        return pd.Series(out, dtype="float64")
-    return _score

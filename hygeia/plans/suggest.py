@@ -129,7 +129,8 @@ def fuzzy_exists(rules: RuleSet, validated: DataFrame, cutoff: float = 75, id_co
 def resolve_terms(masterlist: DataFrame, terms: DataFrame, types: list[str], cutoff: float = 60,
                   source: str = "value") -> DataFrame:
     """Best WRatio match >= cut-off of each lower-cased term among the lower-cased distinct
-    values of the given masterlist types; unmatched terms come back as themselves, flagged not fuzzy.
+    values of the given masterlist types, in its stored spelling (of several the greatest); unmatched terms come back as
+    themselves, flagged not fuzzy.
 
     ``source='value'`` reads data.value (effective variant), ``source='metadata:<name>'`` reads a
     metadata value (shadowed variant).
@@ -140,10 +141,11 @@ def resolve_terms(masterlist: DataFrame, terms: DataFrame, types: list[str], cut
         v = F.col("data.metadata")[F.lit(source.split(":", 1)[1])]
     else:
         v = F.col("data.value")
-    choices = (ml.select(F.lower(v).alias("choice")).where(F.col("choice").isNotNull() & (F.col("choice") != ""))
-               .distinct().select(F.lit(0).alias("g"), "choice"))
+    choices = (ml.select(F.lower(v).alias("choice"), v.alias("v")).where(F.col("choice").isNotNull() & (F.col("choice") != ""))
+               .groupBy("choice").agg(F.max("v").alias("stored")).select(F.lit(0).alias("g"), "choice", "stored"))
     t = terms.select(F.col("term"), F.lit(0).alias("g"), F.lower("term").alias("lterm"))
     best = fuzzy_join(t, choices, "g", "lterm", "choice", "choice", "wratio", cutoff, 1)
+    best = best.join(choices.select("choice", "stored"), "choice")
     return (t.join(best, ["g", "lterm"], "left")
-            .select("term", F.coalesce("choice", F.col("term")).alias("resolved"),
+            .select("term", F.coalesce("stored", F.col("term")).alias("resolved"),
                     F.col("choice").isNotNull().alias("is_fuzzy"), "score"))

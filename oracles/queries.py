@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracles.scores import partial, ratio as ratio100, token_set, words
 from oracles.fixture import FIXTURE, RULES, VALIDATE, norm, with_ctes
 
 BASE = with_ctes(FIXTURE, RULES)
@@ -313,3 +314,59 @@ select n.execution_id, n.snapshot_id, 'ON HOLD' as status
 from snaps n
 where n.execution_id in (select i.execution_id from items i join fresh f on f.value = i.value)
   and n.execution_id in (select execution_id from items where lower(field) = 'cpumodel')"""
+
+# --- fuzzy joins: every pair of distinct texts of a field is scored -------------------------------------------
+_TOKENSET = SUG + """,
+ts_p as (
+  select q.field, q.q, c.signature from (select distinct field, q from qsig where q <> '') q
+  join (select distinct field, signature from sigs) c using (field)),
+""" + token_set("ts", "ts_p", "q", "signature") + """,
+ts_r as (
+  select t.field, t.q, g.ml_id, g.primary_value, t.token_set,
+         row_number() over (partition by t.field, t.q order by t.token_set desc, g.ordinal) as rank
+  from ts t join sigs g using (field, signature) where t.token_set >= 75)
+"""
+
+SQL["suggest_record_tokenset"] = _TOKENSET + """
+select e.exec_id, e.field, cast(r.rank as integer) as rank, r.ml_id, r.primary_value, round_even(r.token_set / 100, 4) as overall_score
+from qsig e join ts_r r on r.field = e.field and r.q = e.q where r.rank <= 3"""
+
+SQL["fuzzy_exists"] = _TOKENSET + """
+select e.exec_id, e.field, exists (select 1 from ts_r r where r.field = e.field and r.q = e.q) as has_match from qsig e"""
+
+_PROCESSED = "trim(regexp_replace(lower({0}), '[^\\w]', ' ', 'g'), ' ')"
+
+SQL["suggest_field_partial"] = with_ctes(FIXTURE, RULES, VALIDATE) + """,
+fq as (select distinct field, value from pstatus where status = 'invalid' and not empty),
+fp as (
+  select q.field, q.value, c.value as cand, c.ml_id, """ + _PROCESSED.format("q.value") + """ as a, """ + _PROCESSED.format("c.value") + """ as b
+  from fq q join valid_set c using (field)),
+""" + partial("fs", "fp", "a", "b") + """,
+fr as (
+  select fp.*, fs.partial, row_number() over (partition by field, value order by fs.partial desc, cand) as rank
+  from fp join fs using (a, b) where fs.partial >= 10)
+select field, value, cast(rank as integer) as rank, cand as suggestion, ml_id, round_even(partial / 100, 4) as score from fr where rank <= 3"""
+
+_SORTED = "coalesce(array_to_string(list_sort({0}), ' '), '')"
+
+SQL["resolve_terms"] = BASE + """,
+fv as (
+  select distinct coalesce(""" + norm("r.v", "(t.field_type = 'INTEGER')") + """, '') as term
+  from ex_raw r join mappings m on m.path = r.path join ftypes t on t.field = m.field where m.field = 'instanceType'),
+terms as (select term, lower(term) as a from fv where term <> ''),
+choices as (select lower(value) as b, max(value) as stored from recs where field = 'instanceType' and value <> '' group by 1),
+rp as (select a, b, stored, """ + _SORTED.format(words("a")) + """ as wa, """ + _SORTED.format(words("b")) + """ as wb
+       from (select distinct a from terms), choices),
+""" + partial("rw", "rp", "a", "b") + "," + partial("rx", "rp", "wa", "wb") + "," + token_set("rt", "rp", "a", "b") + """,
+ru as (
+  select rt.*, rw.partial as whole, rx.partial as part, greatest(len(rt.a), len(rt.b)) / least(len(rt.a), len(rt.b)) as times,
+         len(list_filter(ta, lambda w: list_contains(tb, w))) > 0 as meet,
+         """ + ratio100("rt.a", "rt.b") + """ as plain, """ + ratio100("rt.wa", "rt.wb") + """ as sorted
+  from rt join rw on rw.a = rt.a and rw.b = rt.b join rx on rx.a = rt.wa and rx.b = rt.wb),
+rv as (
+  select *, case when times < 1.5 then greatest(plain, greatest(sorted, token_set) * 0.95::double)
+                 else greatest(plain, whole * s, (case when wa = '' or wb = '' then 0.0 when meet then 100.0 else part end) * 0.95::double * s) end as raw
+  from (select *, case when times <= 8 then 0.9::double else 0.6::double end as s from ru)),
+best as (select * from (select a, stored, raw, row_number() over (partition by a order by raw desc, b) as rank from rv where raw >= 60) where rank = 1)
+select t.term, coalesce(best.stored, t.term) as resolved, best.stored is not null as is_fuzzy, round_even(best.raw / 100, 4) as score
+from terms t left join best using (a)"""

@@ -89,12 +89,13 @@ def test_ratio_matches_dp(spark, pairs):
         assert r["r"] == exp
 
 
-def test_lcs_py_long():
+def test_lcs_long(spark):
     rnd = random.Random(7)
-    for _ in range(50):
-        a = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 90)))
-        b = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 90)))
-        assert FZ.lcs_py(a, b) == _dp_lcs(a, b)
+    rows = [("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 90))), "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 90))))
+            for _ in range(50)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", FZ.lcs(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r["n"] == _dp_lcs(r["a"], r["b"])
 
 
 def test_first_id(spark):
