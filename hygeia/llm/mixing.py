@@ -28,6 +28,10 @@ def word_count(text: str | Column = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORD)).cast("bigint")
 
 
+def text_digest(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source.
 
@@ -49,8 +53,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
 
 
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1),
-                most: int = 3, seed: int = 11) -> DataFrame:
-    """``docs`` with size, source_size, target and taken (clashing columns are replaced)."""
+                most: int = 3, seed: int = 11, tie: Column | None = None) -> DataFrame:
+    """``docs`` with size, source_size, target and taken (clashing columns are replaced). Rows that share a doc_id, or have none,
+    are in the order of their size and of ``tie`` (a digest of the text, if there is one): reruns cut at the same row."""
     new = ["size", "source_size", "target", "taken"]
     size = word_count() if size is None else size
     named = [F.col(f"`{c}`") for c in docs.columns if c not in new]
@@ -60,9 +65,11 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int,
     narrow = docs.select("source", size.alias("size"))
     per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     blocks = block_count(docs.sparkSession, docs.count(), BLOCK_ROWS, 1_000)
-    placed = docs.select(*named, size.alias("size"), key.alias("_key")).withColumn(
+    if tie is None:
+        tie = text_digest() if "text" in docs.columns else F.lit(None).cast("string")
+    placed = docs.select(*named, size.alias("size"), key.alias("_key"), tie.alias("_tie")).withColumn(
         "_block", F.expr(f"cast(shiftright(_key, 29) * {blocks} div {2**31} as int)"))
-    runs = running_sum(placed, ["source"], "_block", [F.col("_key"), F.col("doc_id")], F.col("size"), "_before")
+    runs = running_sum(placed, ["source"], "_block", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("_tie")], F.col("size"), "_before")
     targets = source_targets(per, weights, most).withColumnRenamed("source", "_source")
     j = runs.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)

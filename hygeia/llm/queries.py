@@ -9,7 +9,7 @@ from hygeia.llm.chat import link_tool_calls
 from hygeia.llm.common import Scratch
 from hygeia.llm.html_crf import main_text
 from hygeia.llm.minhash import near_classes
-from hygeia.llm.mixing import mix_sources, word_count
+from hygeia.llm.mixing import mix_sources, text_digest, word_count
 from hygeia.llm.packing import pack_documents
 from hygeia.llm.quality import BASE, judge
 from hygeia.llm.repair import damaged, repaired_digests
@@ -43,8 +43,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    sized = Scratch(spark, "mixing").table(docs.select("doc_id", "source", word_count().alias("size")), "sized")
-    out = mix_sources(sized, F.col("size"))
+    sized = Scratch(spark, "mixing").table(docs.select("doc_id", "source", word_count().alias("size"), text_digest().alias("digest")), "sized")
+    out = mix_sources(sized, F.col("size"), tie=F.col("digest"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -197,7 +197,7 @@ from f"""
 
 _OP3 = r"""
 with d as (
-  select doc_id, source, len({words})::bigint as size,
+  select doc_id, source, len({words})::bigint as size, md5(coalesce(text, '')) as digest,
          ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':11'), 1, 15))::bigint as k from documents),
 per as (select source, sum(size)::bigint as source_size from d group by source),
 ranked as (select *, row_number() over (order by source nulls last) - 1 as rk, 3.0::double * source_size as cap from per),
@@ -210,7 +210,7 @@ levels as (
 chosen as (select coalesce(arg_min(lv, (full_at, rk)) filter (where lv <= full_at), 'infinity'::double) as lv from levels),
 target as (select source, source_size, least(chosen.lv * w, cap) as target from levels, chosen),
 placed as (
-  select d.*, coalesce(sum(size) over (partition by source order by k, doc_id rows between unbounded preceding and 1 preceding), 0) as before from d)
+  select d.*, coalesce(sum(size) over (partition by source order by k, doc_id, size, digest rows between unbounded preceding and 1 preceding), 0) as before from d)
 select p.doc_id, p.size, t.source_size, t.target,
        (case when t.source_size > 0 then p.size * floor(t.target / t.source_size) + greatest(0, least(p.size,
           floor(t.target - floor(t.target / t.source_size) * t.source_size + 0.5) - p.before)) else 0 end)::bigint as taken
