@@ -251,7 +251,7 @@ last as (select h, max(page_id) as top from p where n >= 1000 group by h)
 select page_id, n as payload_bytes, h as payload_digest,
        case when n >= 1000 and top <> page_id then 'revisit' else 'response' end as record_type,
        case when n >= 1000 and top <> page_id then top end as refers_to, url,
-       strftime(timestamp '2024-01-01 00:00:00' + to_seconds(coalesce(page_id, 0)), '%Y%m%d%H%M%S') as timestamp, true as intact
+       strftime(timestamp '2024-01-01 00:00:00' + to_seconds((coalesce(page_id, 0) % 1000000000 + 1000000000) % 1000000000), '%Y%m%d%H%M%S') as timestamp, true as intact
 from p left join last using (h)"""
 
 #: What SQL can't express (tokenizers, samples, fields, engine-own hashes) is tested against plain versions in tests/llm.

@@ -9,7 +9,7 @@ tree of losers, so the ranges in turn are one globally ordered capture history.
 a third of all captures share is split over ranges too.
 
 Cases: a null or empty html is an empty payload; a null url has no target URI and sorts first; a null page_id
-is always a response; rows that repeat a page_id and its payload are written each and, as the
+is always a response; page_ids of any size and sign have a date and a place; URLs come back as they were; rows that repeat a page_id and its payload are written each and, as the
 largest, are all responses; an empty table gives an empty result; other columns aren't archived.
 """
 
@@ -30,9 +30,11 @@ from hygeia.llm.common import Scratch, range_block, shuffle_partitions
 REVISIT_BYTES = 1000
 #: About so many bytes of payload in an archive file.
 ARCHIVE_BYTES = 32 << 20
-EPOCH = 1_704_067_200  # 2024-01-01: captures are dated one second a page from here
+EPOCH = 1_704_067_200  # 2024-01-01: captures are dated one second a page from here,
+SPAN = 1_000_000_000  # and from here again after so many pages: any page_id has a date of four-digit year
 RANGE_ROWS = 20_000
 END = "\r\n\r\n"
+WHOLE_URI = "X-Target-URI-Hex"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _CAPTURE = ("key string, run string, place bigint, url_key string, timestamp string, page_id bigint, url string, "
@@ -59,13 +61,15 @@ def write_archives(pages: DataFrame, work: Scratch, name: str = "archives") -> s
     size = F.octet_length("html")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # a header can't hold a line end: such a URL stands escaped for readers, and whole in a header of its own
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    whole = F.when(F.col("url").rlike("[\r\n]"), F.concat(F.lit(f"{WHOLE_URI}: "), F.hex(F.encode("url", "UTF-8")), F.lit("\r\n")))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\n"),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), uri, F.lit("\r\n")), F.lit("")),
-        F.lit("WARC-Date: "), when, F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("_sha1"),
+        F.coalesce(whole, F.lit("")), F.lit("WARC-Date: "), when, F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("_sha1"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to"),
                                  F.lit(f">\r\nWARC-Profile: {PROFILE}"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(END))
@@ -117,10 +121,11 @@ def _runs(batches):
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 stored = head["WARC-Type"] == "response"
                 uri = head.get("WARC-Target-URI")
-                uri = uri and uri.replace("%0D", "\r").replace("%0A", "\n")
+                if WHOLE_URI in head:
+                    uri = bytes.fromhex(head[WHOLE_URI]).decode()
                 stamp = re.sub(r"\D", "", head["WARC-Date"])
                 key = url_key(uri)
-                rows.append((f"{key} {stamp} {int(page) if page else 0:020d}", key, stamp, int(page) if page else None, uri,
+                rows.append((f"{key} {stamp} {(int(page) if page else 0) + 2**63:020d}", key, stamp, int(page) if page else None, uri,
                              size, digest, head["WARC-Type"], int(refers[len("<urn:page:"):-1]) if refers else None, offset,
                              length, not stored or (len(payload) == size and hashlib.sha1(payload).hexdigest() == digest)))
             rows.sort(key=lambda r: r[0])
