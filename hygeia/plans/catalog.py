@@ -192,6 +192,13 @@ def q_invalid_records_page(spark: SparkSession, sf: str) -> DataFrame:
     return RP.invalid_records_page(run_for(spark, sf).validated, "PENDING", None, 1, 50)
 
 
+def q_invalid_records_late_page(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    if "record_index" not in run.__dict__:
+        run.__dict__["record_index"] = RP.invalid_records_index(run.validated, rows_per_range=2_000)
+    return RP.invalid_records_at(run.record_index, 41, 50)
+
+
 def q_invalid_records_search(spark: SparkSession, sf: str) -> DataFrame:
     return RP.invalid_records_page(run_for(spark, sf).validated, "PENDING", "urgent", 2, 20)
 
@@ -229,6 +236,7 @@ QUERIES.update({
     "ageing_pending": q_ageing_pending,
     "ageing_filtered": q_ageing_filtered,
     "invalid_records_page": q_invalid_records_page,
+    "invalid_records_late_page": q_invalid_records_late_page,
     "invalid_records_search": q_invalid_records_search,
     "invalid_summary": q_invalid_summary,
     "unique_values": q_unique_values,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hygeia.operators.paging import KeyIndex, key_index
+
 
 def first_per_key(df: DataFrame, key: str, order: Column | None = None, cols: list[str] | None = None) -> DataFrame:
     """One row per key, the first by ``order`` (deterministic, deviation D8)."""
@@ -104,6 +106,19 @@ def page(df: DataFrame, order: list[Column], page_no: int = 1, size: int = 50) -
     return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
 
 
+def _invalid_records(validated: DataFrame, valid: bool, search: str | None, id_col: str) -> DataFrame:
+    base = validated.where(F.col("isValid") == F.lit(valid)).where(
+        search_filter(search, [id_col, "benchmarkType", "benchmarkCategory"]))
+    return first_per_key(base.select(id_col, "invalid_names", "benchmarkType", "benchmarkCategory"), id_col)
+
+
+def _record_columns(p: DataFrame, status: str, total: Column, id_col: str) -> DataFrame:
+    return p.select(F.col(id_col).cast("string").alias("execution_id"), F.lit(status).alias("status"),
+                    F.col("benchmarkType").alias("benchmark_type"),
+                    F.col("benchmarkCategory").alias("benchmark_category"),
+                    F.array_join("invalid_names", ",").alias("invalid_fields"), total.alias("total"))
+
+
 def invalid_records_page(validated: DataFrame, status: str = "PENDING", search: str | None = None,
                          page_no: int = 1, size: int = 50, id_col: str = "exec_id") -> DataFrame:
     """Executions by validity (P14), one per id (A1), paged by id desc (T1), with the total (A2)."""
@@ -112,16 +127,20 @@ def invalid_records_page(validated: DataFrame, status: str = "PENDING", search:
         return validated.sparkSession.createDataFrame(
             [], "execution_id string, status string, benchmark_type string, benchmark_category string, "
                 "invalid_fields string, total bigint")
-    want_valid = st == "ACCEPTED"
-    base = validated.where(F.col("isValid") == F.lit(want_valid)).where(
-        search_filter(search, [id_col, "benchmarkType", "benchmarkCategory"]))
-    firsts = first_per_key(base.select(id_col, "invalid_names", "benchmarkType", "benchmarkCategory"), id_col)
+    firsts = _invalid_records(validated, st == "ACCEPTED", search, id_col)
     total = firsts.select(F.count(F.lit(1))).scalar()
-    p = page(firsts, [F.desc(id_col)], page_no, size)
-    return p.select(F.col(id_col).cast("string").alias("execution_id"), F.lit(st).alias("status"),
-                    F.col("benchmarkType").alias("benchmark_type"),
-                    F.col("benchmarkCategory").alias("benchmark_category"),
-                    F.array_join("invalid_names", ",").alias("invalid_fields"), total.alias("total"))
+    return _record_columns(page(firsts, [F.desc(id_col)], page_no, size), st, total, id_col)
+
+
+def invalid_records_index(validated: DataFrame, valid: bool = False, search: str | None = None, id_col: str = "exec_id",
+                          rows_per_range: int = 100_000) -> KeyIndex:
+    """The rows of ``invalid_records_page`` in key ranges, for reading many or late pages."""
+    return key_index(_invalid_records(validated, valid, search, id_col), [id_col], rows_per_range)
+
+
+def invalid_records_at(index: KeyIndex, page_no: int, size: int = 50, status: str = "PENDING") -> DataFrame:
+    """``invalid_records_page`` read from its index."""
+    return _record_columns(index.page(page_no, size), status, F.lit(index.total).cast("bigint"), index.keys[0])
 
 
 def invalid_summary(snapshots: DataFrame, executions: DataFrame, statuses: list[str] | None = None,

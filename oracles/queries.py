@@ -183,6 +183,7 @@ select cast(exec_id as varchar) as execution_id, 'PENDING' as status, btype_raw
 from inv order by exec_id desc limit {size} offset {skip}"""
 
 SQL["invalid_records_page"] = FULL + _REC_PAGE.format(cond="", size=50, skip=0)
+SQL["invalid_records_late_page"] = FULL + _REC_PAGE.format(cond="", size=50, skip=2000)
 SQL["invalid_records_search"] = FULL + _REC_PAGE.format(
     cond="and (regexp_matches(cast(v.exec_id as varchar), 'urgent', 'i') or regexp_matches(x.btype_raw, 'urgent', 'i') "
          "or regexp_matches(x.bcat_raw, 'urgent', 'i'))", size=20, skip=20)
