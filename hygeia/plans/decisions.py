@@ -291,27 +291,51 @@ DRAFT_LAYOUT = {
 }
 
 
+def _parts(entries: Column) -> Column:
+    """All parts of a list of entries, each in the list's order, from the empty one to the whole."""
+    none = F.array(F.slice(entries, 1, 0))
+    return F.aggregate(entries, none, lambda acc, e: F.concat(acc, F.transform(acc, lambda p: F.concat(p, F.array(e)))))
+
+
+def _first_holders(requests: DataFrame) -> DataFrame:
+    """Requests that no earlier one of their type and value holds: (actual_type, value, req_meta, r)."""
+    entries = F.array_sort(F.map_entries("req_meta"))
+    own = (requests.withColumn("_own", entries).groupBy("actual_type", "value", "_own")
+           .agg(F.min_by(F.struct("decision_id", "mapping", "execution_id"),
+                         F.struct("decision_id", "execution_id")).alias("r")))
+    by_part = (own.select("actual_type", "value", F.explode(_parts(F.col("_own"))).alias("_own"),
+                          F.col("r.decision_id").alias("_first"))
+               .groupBy("actual_type", "value", "_own").agg(F.min("_first").alias("_first")))
+    # the request itself holds its metadata, so every one finds a row; requests without an id, or of equal ids, both stay
+    held = own.join(by_part, ["actual_type", "value", "_own"]).where(
+        ~F.coalesce(F.col("_first") < F.col("r.decision_id"), F.lit(False)))
+    return held.select("actual_type", "value", F.map_from_entries("_own").alias("req_meta"), "r")
+
+
 def draft_records(masterlist: DataFrame, drafts: DataFrame, as_of: str) -> DataFrame:
     """X11 + J16: Draft masterlist rows for requests (type, value, metadata) that are not duplicates.
 
     Duplicate = same type and value and every non-empty requested metadata value equal,
-    any status; duplicates inside the batch keep the earliest request.
+    any status, or by an earlier request of the batch: its draft would hold them.  Containment is transitive, so any earlier
+    request that holds all of a request's metadata settles it, drafted itself or not.  Each request puts down all parts of
+    its metadata (at most 16: a layout names at most 4), the first request per part is pre-aggregated, and a request
+    looks up its own metadata: no pairs inside a type and value.
+    Metadata that the type's layout doesn't name, and empty ones, are left out.
     """
     spark = masterlist.sparkSession
-    layout = spark.createDataFrame([(k, t, m) for k, (t, m, _) in DRAFT_LAYOUT.items()],
-                                   "tkey string, actual_type string, mapping string")
+    layout = spark.createDataFrame([(k, t, m, [n for n, _, _ in names]) for k, (t, m, names) in DRAFT_LAYOUT.items()],
+                                   "tkey string, actual_type string, mapping string, names array<string>")
     req = (drafts.where(F.col("kind") == "draft").where(F.coalesce(F.col("value"), F.lit("")) != "")
            .join(F.broadcast(layout), F.lower("type") == F.col("tkey"))
            .withColumn("req_meta", F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")),
-                                                lambda k, v: F.coalesce(v, F.lit("")) != "")))
+                                                lambda k, v: F.array_contains("names", k) & (F.coalesce(v, F.lit("")) != ""))))
     ml = masterlist.select(F.col("type").alias("_mt"), F.col("data.value").alias("_mv"),
                            F.col("data.metadata").alias("_mm"))
     dup = req.join(ml, (F.col("actual_type") == F.col("_mt")) & (F.col("value") == F.col("_mv")))
     dup = dup.where(F.forall(F.map_entries("req_meta"), lambda e: F.coalesce(
         F.col("_mm")[e["key"]] == e["value"], F.lit(False)))).select("decision_id").distinct()
     fresh = req.join(dup, "decision_id", "left_anti")
-    first = (fresh.groupBy("actual_type", "value", "req_meta")
-             .agg(F.min_by(F.struct("decision_id", "mapping", "execution_id"), "decision_id").alias("r")))
+    first = _first_holders(fresh)
     meta_map = {k: m for k, (_, _, m) in DRAFT_LAYOUT.items()}
     kv_cols = []
     for k, pairs in meta_map.items():

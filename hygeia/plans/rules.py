@@ -8,6 +8,7 @@ the driver to shape the validation plan, with an explicit size bound.
 from __future__ import annotations
 
 from dataclasses import dataclass, field as dc_field
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,30 +116,40 @@ def mapping_fill(pub: DataFrame) -> DataFrame:
             .agg(F.min_by("v", F.struct("ordinal", "pos")).alias("fill")))
 
 
-def infer_types(executions: DataFrame, doc: Column, fields: list[tuple[str, str]]) -> dict[str, str]:
-    """V1: INTEGER iff at least one non-empty value and every non-empty value parses as int.
+def type_counts(executions: DataFrame, doc: Column, paths: list[str]) -> dict[str, tuple[int, int]]:
+    """V1: path -> (non-empty values, of these not integers). Counts of parts of a table add up to those of the whole.
 
-    One aggregate over the whole execution table (no sample limit, deviation D3);
-    only the mapped paths are extracted.  Returns one small row to the driver.
+    One aggregate over the given rows (no sample limit, deviation D3); only the mapped paths are extracted.  One small
+    row reaches the driver.
     """
-    if not fields:
+    paths = list(dict.fromkeys(paths))
+    if not paths:
         return {}
-    df = P.add_path_texts(executions.select(doc.alias("_doc0")), F.col("_doc0"), [p for _, p in fields],
-                          prefix="_it", infer=True)
+    df = P.add_path_texts(executions.select(doc.alias("_doc0")), F.col("_doc0"), paths, prefix="_it", infer=True)
     aggs = []
-    for i in range(len(fields)):
+    for i in range(len(paths)):
         t = F.col(f"_it{i}")
         nonempty = t.isNotNull() & (t != "") & ~F.lower(t).isin(*T.INFER_IGNORED)
         aggs.append(F.sum(F.when(nonempty, 1).otherwise(0)).alias(f"n{i}"))
         aggs.append(F.sum(F.when(nonempty & ~T.is_int_text(t), 1).otherwise(0)).alias(f"bad{i}"))
     row = df.agg(*aggs).first()
+    return {p: (row[f"n{i}"] or 0, row[f"bad{i}"] or 0) for i, p in enumerate(paths)}
+
+
+def types_of_counts(fields: list[tuple[str, str]], counts: dict[str, tuple[int, int]]) -> dict[str, str]:
+    """INTEGER iff at least one non-empty value and every non-empty value parses as int."""
     out = {}
-    for i, (name, _) in enumerate(fields):
-        n, bad = row[f"n{i}"] or 0, row[f"bad{i}"] or 0
+    for name, path in fields:
+        n, bad = counts.get(path, (0, 0))
         out[name] = T.INTEGER if n > 0 and bad == 0 else T.STRING
     return out
 
 
+def infer_types(executions: DataFrame, doc: Column, fields: list[tuple[str, str]]) -> dict[str, str]:
+    """V1 over the whole execution table."""
+    return types_of_counts(fields, type_counts(executions, doc, [p for _, p in fields]))
+
+
 def types_map_col(types: dict[str, str]) -> Column:
     if not types:
         return F.create_map().cast("map<string,string>")
@@ -160,11 +171,13 @@ def _bounded(df: DataFrame, order: list[str]) -> list:
     return rows
 
 
-def build_rules(masterlist: DataFrame, executions: DataFrame, doc: Column,
+def build_rules(masterlist: DataFrame, executions: DataFrame | None, doc: Column | None,
                 processor_details: DataFrame | None = None,
                 processor_key: str = "cpuModelNo",
-                conditional: list[tuple[str, str, str, str]] | None = None) -> RuleSet:
-    """Derive every rule table from the masterlist (and field types from the executions)."""
+                conditional: list[tuple[str, str, str, str]] | None = None,
+                counts_for: Callable[[list[str]], dict[str, tuple[int, int]]] | None = None) -> RuleSet:
+    """Derive every rule table from the masterlist (and field types from the executions, or from ``counts_for(paths)``,
+    kept counts as of ``type_counts``: then no execution is read)."""
     conditional = DEFAULT_CONDITIONAL_RULES if conditional is None else conditional
     pub = published(masterlist).select("ordinal", "ml_id", "type", "data")
     prim = primary_mappings(pub)
@@ -187,7 +200,10 @@ def build_rules(masterlist: DataFrame, executions: DataFrame, doc: Column,
     scan = [(m.field, m.resolved) for m in mappings
             if m.resolved and not m.resolved.startswith(PROCESSOR_PREFIX)]
     types = {m.field: T.STRING for m in mappings}
-    types.update(infer_types(executions, doc, scan))
+    if counts_for is None:
+        types.update(infer_types(executions, doc, scan))
+    else:
+        types.update(types_of_counts(scan, counts_for(list(dict.fromkeys(p for _, p in scan)))))
     tmap = types_map_col(types)
     mapped = [m.field for m in mappings]
 
