@@ -272,6 +272,45 @@ def q_stream_validate(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["stream_validate"] = q_stream_validate
 
 
+# --- changes of documents --------------------------------------------------
+from hygeia.streaming import change_stream as CS  # noqa: E402
+
+
+def _changes(executions: DataFrame) -> DataFrame:
+    """Changes: an insert of each execution (every third delivered twice, every eleventh validated before), an update of some
+    with the document of the next, and changes of another kind."""
+    k = F.col("exec_id")
+    none = F.lit(None).cast("boolean")
+
+    def change(rows: DataFrame, id_col, no: int, op, validated) -> DataFrame:
+        return rows.select(id_col.alias("exec_id"), F.lit(no).cast("bigint").alias("change_no"), op.alias("op"), "doc",
+                           none.alias("isValid"), validated.alias("validated"))
+
+    inserts = change(executions, k, 1, F.lit("insert"), F.when(k % 11 == 5, F.lit(True)))
+    again = change(executions.where(k % 3 == 0), k, 1, F.lit("insert"), F.when(k % 11 == 5, F.lit(True)))
+    updates = change(executions.where(k % 7 == 1), k - 1, 2, F.when(k % 2 == 0, F.lit("update")).otherwise(F.lit("replace")), none)
+    other = change(executions.where(k % 13 == 0), k, 3, F.lit("delete"), none)
+    return inserts.unionByName(again).unionByName(updates).unionByName(other)
+
+
+def q_stream_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """S7-S10, ST1, ST3: the executions with their verdicts after a stream of changes in several micro-batches."""
+    run = run_for(spark, sf)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/changes-{uuid.uuid4().hex}"
+    _changes(run.executions).repartition(4).write.parquet(f"{root}/source")
+    source = spark.read.parquet(f"{root}/source")
+    verdicts = CS.verdict_fields(run.rules, source, F.col("doc"))
+    table = CS.executions_table(spark, f"{root}/executions", source.select("exec_id", "change_no", "doc").schema, verdicts, 16)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/source")
+    CS.start(stream, table, F.col("doc"), root, AS_OF, rules=run.rules).awaitTermination()
+    return table.read().select("exec_id", "change_no", F.col("isValid").alias("is_valid"),
+                               F.size("invalidPayload").cast("bigint").alias("n_invalid_fields"), "validated",
+                               F.col("validatedAt").alias("validated_at"))
+
+
+QUERIES["stream_changes"] = q_stream_changes
+
+
 # --- decisions -------------------------------------------------------------
 from hygeia.plans import decisions as DC  # noqa: E402
 

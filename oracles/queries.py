@@ -234,6 +234,16 @@ where not starts_with(m.mk, 'mapping_') and m.mk <> 'mapping'"""
 
 SQL["stream_validate"] = SQL["document_verdict"]
 
+SQL["stream_changes"] = FULL + """,
+changes as (
+  select exec_id, 1 as change_no, is_valid, n_invalid_fields from verdict where exec_id % 11 <> 5
+  union all
+  select exec_id - 1, 2, is_valid, n_invalid_fields from verdict where exec_id % 7 = 1)
+select exec_id, max(change_no) as change_no, arg_max(is_valid, change_no) as is_valid,
+       arg_max(n_invalid_fields, change_no) as n_invalid_fields, true as validated,
+       '2001-08-10T00:00:00.000000Z' as validated_at
+from changes group by exec_id"""
+
 SQL["draft_ids"] = with_ctes(FIXTURE) + """
 select ml_id as id from ml where status = 'Draft'"""
 
