@@ -61,7 +61,9 @@ KINDS = {
 }
 _KIND = {w: k for k, words in reversed(KINDS.items()) for w in words.split()}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?][^>]*>|[^<]+|<", re.S)
+_TAIL = re.compile(r"<!--.*|[^<]+|<", re.S)  # where no tag can end any more
+_STEP = re.compile(r">|=\s*[\"']")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -83,50 +85,156 @@ def part_kind(tag: str, attributes: str) -> str | None:
     return own or named
 
 
-class Block:
-    __slots__ = ("text", "tag", "kinds", "tags", "linked", "chars")
+class Place:
+    """Where a block stands: an open element and what holds it. Blocks and elements inside share their parent's place."""
+
+    __slots__ = ("up", "name", "kind", "tag", "near", "seen", "tags")
+
+    def __init__(self, up: "Place | None", name: str, kind: str | None):
+        self.up, self.name, self.kind = up, name, kind
+        self.tag = name if name in BLOCKS or up is None else up.tag
+        self.near = kind or (up.near if up else None)
+        seen, tags = (up.seen, up.tags) if up else (frozenset(), frozenset())
+        self.seen = seen if kind is None or kind in seen else seen | {kind}
+        self.tags = tags if not name or name in tags else tags | {name}
 
-    def __init__(self, text: str, tag: str, kinds: tuple, tags: tuple, linked: int, chars: int):
-        self.text, self.tag, self.kinds, self.tags, self.linked, self.chars = text, tag, kinds, tags, linked, chars
+
+class Block:
+    __slots__ = ("text", "place", "linked", "chars")
+
+    def __init__(self, text: str, place: Place, linked: int, chars: int):
+        self.text, self.place, self.linked, self.chars = text, place, linked, chars
+
+    @property
+    def tags(self) -> frozenset:
+        """Names of the elements that hold the block."""
+        return self.place.tags
+
+    @property
+    def kinds(self) -> tuple:
+        """Kinds of the parts that hold the block, the outermost first."""
+        out, p = [], self.place
+        while p:
+            if p.kind:
+                out.append(p.kind)
+            p = p.up
+        return tuple(reversed(out))
+
+
+class _Open:
+    """The open elements, with the places of each name, so that looking for one takes no walk over all."""
+
+    def __init__(self):
+        self.root = Place(None, "", None)
+        self.stack: list[Place] = []
+        self.at: dict[str, list[int]] = {}
+        self.keeps: list[int] = []
+
+    def top(self) -> Place:
+        return self.stack[-1] if self.stack else self.root
+
+    def push(self, name: str, kind: str | None) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in KEEPS:
+            self.keeps.append(len(self.stack))
+        self.stack.append(Place(self.top(), name, kind))
+
+    def cut(self, i: int) -> None:
+        while len(self.stack) > i:
+            name = self.stack.pop().name
+            self.at[name].pop()
+            if name in KEEPS:
+                self.keeps.pop()
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def close(self, name: str) -> None:
+        """An end tag: a block element ends wherever it is open, another one only inside the innermost keeping element."""
+        i = self.last((name,))
+        if i >= 0 and (name in BLOCKS or not self.keeps or i >= self.keeps[-1]):
+            self.cut(i)
+
+    def shut(self, names) -> None:
+        """Elements that a new one ends, if no keeping element stands between."""
+        i = self.last(names)
+        if i >= 0 and (not self.keeps or i >= self.keeps[-1]):
+            self.cut(i)
+
+    def leave(self, name: str) -> None:
+        if self.at.get(name):
+            self.cut(self.at[name][0])
+
+
+class _Tags:
+    """Ends of tags. Quotes open after an equals sign only; one that is never closed ends at the tag's ``>``.
+
+    A page whose quotes leave a tag without end has its quotes wrong: from there on they are not looked at. So each
+    character is passed a bounded number of times.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.broken = page, False
+        self.final = {c: page.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """Position of the ``>`` that ends a tag, or -1."""
+        pos = at
+        while not self.broken:
+            m = _STEP.search(self.page, pos)
+            if not m:
+                self.broken = True
+                break
+            if m[0] == ">":
+                return m.start()
+            quote = m[0][-1]
+            if self.final[quote] < m.end():
+                stop = self.page.find(">", m.end())
+                self.broken = stop < 0
+                return stop
+            pos = self.page.find(quote, m.end()) + 1
+        return self.page.find(">", at)
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, white space inside each turned into one space."""
     out: list[Block] = []
-    stack: list[tuple[str, str | None]] = []
     parts: list[str] = []
-    state = {"links": 0, "linked": 0, "chars": 0}
+    linked = chars = 0
+    page = page or ""
+    opened, tags = _Open(), _Tags(page)
+    at, end, final = 0, len(page), tags.final[">"]
+    head = None
 
     def flush() -> None:
+        nonlocal linked, chars
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                out.append(Block(text, tag, tuple(k for _, k in stack if k), tuple(t for t, _ in stack),
-                                 state["linked"], max(1, state["chars"])))
+                out.append(Block(text, opened.top(), linked, max(1, chars)))
             parts.clear()
-        state["linked"] = state["chars"] = 0
+        linked = chars = 0
 
-    page = page or ""
-    at, end = 0, len(page)
-    head = None
     while at < end:
-        m = _TOKEN.match(page, at)
+        inside = at <= final
+        m = (_TOKEN if inside else _TAIL).match(page, at)
         at = m.end()
-        name = m[2]
-        if name is None:
+        name = m[2] if inside else None
+        stop = tags.end(at) if name else -1
+        if stop < 0:
             raw = m[0]
-            if raw[0] != "<" or raw == "<":
+            if raw[0] != "<" or raw == "<" or name:
                 if head == "noscript" or head and not raw.strip():
                     continue
                 head = None
                 text = entities.unescape(raw) if "&" in raw else raw
                 n = len(text) - text.count(" ")
-                state["chars"] += n
-                if state["links"]:
-                    state["linked"] += n
+                chars += n
+                if opened.at.get("a"):
+                    linked += n
                 parts.append(text)
             continue
+        attributes, at = page[at:stop], stop + 1
         tag, closing = name.lower(), bool(m[1])
         if head:
             if closing and tag not in ("head", "body", "html"):
@@ -144,9 +252,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if not closing and tag in RAW:
             if tag in ("template", "iframe", "textarea"):
                 parts.append(" ")
-            if not m[3].endswith("/"):
-                stop = _ENDS[tag].search(page, at)
-                close = page.find(">", stop.end()) if stop else -1
+            if not attributes.endswith("/"):
+                done = _ENDS[tag].search(page, at)
+                close = page.find(">", done.end()) if done else -1
                 at = end if close < 0 else close + 1
             continue
         if tag in BLOCKS or tag in OWN:
@@ -154,31 +262,15 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif tag in ("br", "option"):
             parts.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in KEEPS and tag not in BLOCKS:
-                    break
-            state["links"] = sum(t == "a" for t, _ in stack)
+            opened.close(tag)
             continue
         if tag in VOID:
             continue
         if tag in BLOCKS and tag != "hr":  # a select holds options only
-            for i, (t, _) in enumerate(stack):
-                if t == "select":
-                    del stack[i:]
-                    break
-        shut = CLOSED_BY.get(tag) or (("p",) if tag in BLOCKS else ())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in shut:
-                del stack[i:]
-                break
-            if stack[i][0] in KEEPS:
-                break
-        if not m[3].endswith("/"):
-            stack.append((tag, part_kind(tag, m[3])))
-        state["links"] = sum(t == "a" for t, _ in stack)
+            opened.leave("select")
+        opened.shut(CLOSED_BY.get(tag) or (("p",) if tag in BLOCKS else ()))
+        if not attributes.endswith("/"):
+            opened.push(tag, part_kind(tag, attributes))
     flush()
     return out
 
@@ -200,17 +292,15 @@ _MARKED = r"(?i)<(article|main)[\s/>]"
 _ANCESTORS = ("article", "main", "section", "ul", "table", "a", "form", "blockquote")
 
 
-def _place(tag: str, kinds: tuple, tags: tuple) -> list[int]:
+def _place(p: Place) -> list[int]:
     """Features of where a block stands."""
-    f = [0, INDEX[f"near:{kinds[-1] if kinds else 'none'}"]]
-    f += [INDEX[f"has:{k}"] for k in set(kinds)]
-    t = "h" if len(tag) == 2 and tag[0] == "h" and tag != "hr" else tag
+    f = [0, INDEX[f"near:{p.near or 'none'}"]]
+    f += [INDEX[f"has:{k}"] for k in sorted(p.seen)]
+    t = "h" if len(p.tag) == 2 and p.tag[0] == "h" and p.tag != "hr" else p.tag
     f.append(INDEX.get(f"tag:{t}", INDEX["tag:other"]))
-    f += [INDEX[f"anc:{t}"] for t in _ANCESTORS if t in tags]
-    bad = [j for j, k in enumerate(kinds) if k != "main"]
-    if bad and "main" in kinds:
-        inner = max(j for j, k in enumerate(kinds) if k == "main")
-        f.append(INDEX["bad_inside_main"] if bad[-1] > inner else INDEX["main_inside_bad"])
+    f += [INDEX[f"anc:{t}"] for t in _ANCESTORS if t in p.tags]
+    if "main" in p.seen and len(p.seen) > 1:
+        f.append(INDEX["main_inside_bad"] if p.near == "main" else INDEX["bad_inside_main"])
     return f
 
 
@@ -220,9 +310,10 @@ def features(blocks: list[Block]) -> list[list[int]]:
     links, words = INDEX["links:0"], INDEX["words:0"]
     stop, comma, sign, first, last = (INDEX[x] for x in ("stop", "comma", "sign", "first", "last"))
     for i, b in enumerate(blocks):
-        key = (b.tag, b.kinds, b.tags)
+        p = b.place
+        key = (p.tag, p.near, p.seen, p.tags)
         if key not in places:
-            places[key] = _place(*key)
+            places[key] = _place(p)
         f = places[key].copy()
         text = b.text
         share = b.linked / b.chars
@@ -314,7 +405,7 @@ def own_labels(blocks: list[Block]) -> list[int] | None:
     """Content: inside an article or main element and in no other part within it. None if the page has neither."""
     if not any("article" in b.tags or "main" in b.tags for b in blocks):
         return None
-    return [int(("article" in b.tags or "main" in b.tags) and bool(b.kinds) and b.kinds[-1] == "main") for b in blocks]
+    return [int(("article" in b.tags or "main" in b.tags) and b.place.near == "main") for b in blocks]
 
 
 def layouts(title: str, texts: list[str], words: list[str], rng: random.Random) -> str:
