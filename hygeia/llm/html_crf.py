@@ -9,9 +9,9 @@ blocks of a page as content or not; it is trained on labelled pages and decoded
 Training pages are ``train_pages`` (150 by default, the bound on what reaches the driver) of the
 table's pages with labels, those of least hashed page_id.  Of each, up to ``train_blocks`` blocks (240 by default, the bound on
 what the training holds) are learned from, with their features on the whole page: all blocks, or stretches of 60 spread
-evenly from the first to the last.  Each gives labelled pages of two kinds: itself, where its
-blocks inside an article element and outside other parts are content; and its content set into
-layouts of other sites, with menus, headers, sidebars, notices, adverts, forms and reader
+evenly from the first to the last.  Each gives labelled pages of three kinds: itself, where its
+blocks inside an article element and outside other parts are content; of some, itself again with that element under another name (``COPIES``: half
+as a plain ``div``, a tenth without classes, ids and roles too, half as ``main``), under the same labels; and its content set into layouts of other sites, with menus, headers, sidebars, notices, adverts, forms and reader
 comments, whose labels are known from the layout.
 
 Cases: a null, empty or text-free html gives an empty text; broken markup is read as far as browsers
@@ -287,8 +287,11 @@ INDEX = {n: i for i, n in enumerate(NAMES)}
 
 #: Blocks of a stretch of a training page.
 STRETCH = 60
+#: Copies of training pages whose labelling element has another name: the name, whether classes, ids and roles stay, the share of pages.
+COPIES = (("div", True, 0.5), ("div", False, 0.1), ("main", True, 0.5))
 #: Pages that may have labels.
 _MARKED = r"(?i)<(article|main)[\s/>]"
+_MAIN_TAG = re.compile(r"<(/?)(?:article|main)(?=[\s/>])", re.I)
 _ANCESTORS = ("article", "main", "section", "ul", "table", "a", "form", "blockquote")
 
 
@@ -408,7 +411,12 @@ def own_labels(blocks: list[Block]) -> list[int] | None:
     return [int(("article" in b.tags or "main" in b.tags) and b.place.near == "main") for b in blocks]
 
 
-def layouts(title: str, texts: list[str], words: list[str], rng: random.Random) -> str:
+#: What holds the content in the layouts of training pages.
+MAINS = ('<article>{}</article>', '<main>{}</main>', '<div class="content">{}</div>', '<div id="post-body">{}</div>',
+         '<div class="entry-content">{}</div>', '<main><article>{}</article></main>', '<div>{}</div>', '<section class="story">{}</section>')
+
+
+def layouts(title: str, texts: list[str], words: list[str], rng: random.Random, mains: tuple = MAINS) -> str:
     """A page of another layout around ``texts``; content blocks carry the mark <!--1-->, which training reads."""
     say = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
     some = lambda p, s: s() if rng.random() < p else ""
@@ -447,9 +455,7 @@ def layouts(title: str, texts: list[str], words: list[str], rng: random.Random)
             inner = f'{rng.choice(("<b>", "<em>", "<a href=x>"))}{a}</b></em></a> {b}'
         body.append(f"<!--1--><{tag}>{inner}</{tag}>")
         body.append(some(0.06, lambda: box(rng.choice(("ad", "notice", "side", "form")), para(3, 20))))
-    main = rng.choice(('<article>{}</article>', '<main>{}</main>', '<div class="content">{}</div>', '<div id="post-body">{}</div>',
-                       '<div class="entry-content">{}</div>', '<main><article>{}</article></main>', '<div>{}</div>',
-                       '<section class="story">{}</section>'))
+    main = rng.choice(mains)
     tail = some(0.5, lambda: box("comments", "".join(
         f'<div class="comment"><b>{esc(say(1, 2))}</b>{para(3, 80)}</div>' for _ in range(rng.randint(1, 4)))))
     inside = rng.random() < 0.3
@@ -493,9 +499,18 @@ def stretches(n: int, most: int) -> list[tuple[int, int]]:
     return [(i, i + size) for i in starts]
 
 
-def fit(pages: list[str | None], per_page: int = 3, seed: int = 7, train_blocks: int = 240):
+def renamed(page: str, blocks: list[Block], name: str, names: bool = True) -> list[Block] | None:
+    """The blocks of a page whose article and main elements have another name (without ``names`` no element has a class, id or
+    role either), for training on pages that mark their main part otherwise or not at all. None if the texts don't come out
+    the same."""
+    other = _MAIN_TAG.sub(rf"<\1{name}", page)
+    out = leaf_blocks(other if names else _ATTR.sub("", other))
+    return out if [b.text for b in out] == [b.text for b in blocks] else None
+
+
+def fit(pages: list[str | None], per_page: int = 3, seed: int = 7, train_blocks: int = 240, mains: tuple = MAINS):
     """Weights and transitions from a bounded list of pages."""
-    rng = random.Random(seed)
+    rng, draw = random.Random(seed), random.Random(seed + 1)
     examples = []
     for page in pages:
         own = labelled(page)
@@ -504,10 +519,15 @@ def fit(pages: list[str | None], per_page: int = 3, seed: int = 7, train_blocks:
         blocks, labels = own
         rows = features(blocks)
         examples += [(rows[i:j], labels[i:j]) for i, j in stretches(len(rows), train_blocks)]
+        for name, names, share in COPIES if per_page else ():
+            copy = renamed(page, blocks, name, names) if draw.random() < share else None
+            if copy:
+                rows = features(copy)
+                examples += [(rows[i:j], labels[i:j]) for i, j in stretches(len(rows), train_blocks)]
         texts = [b.text for b, y in zip(blocks, labels) if y]
         words = " ".join(texts).split()[:2000]
         for _ in range(per_page):
-            made, known = layout_labels(layouts(texts[0][:80], rng.sample(texts, min(len(texts), rng.randint(1, 12))), words, rng))
+            made, known = layout_labels(layouts(texts[0][:80], rng.sample(texts, min(len(texts), rng.randint(1, 12))), words, rng, mains))
             examples.append((features(made), known))
     return train(examples)
 
