@@ -107,14 +107,15 @@ def _struct_text(c: Column, dt) -> tuple[Column, Column]:
 
 
 def add_path_texts(df: DataFrame, doc: Column, paths: list[str], prefix: str = "_pv",
-                   infer: bool = False) -> DataFrame:
+                   infer: bool = False, strip: bool = True) -> DataFrame:
     """Adds one text column per path: ``{prefix}{i}``.
 
     Validation text (default): ``str(get(doc, path) or '').strip()``.
-    Inference text (``infer=True``): ``str(raw).strip()``; NULL when missing or null.
+    Inference text (``infer=True``): ``str(raw).strip()``; NULL when missing or null.  ``strip=False``: as it is.
     Built in staged projections (node, then type/string, then text) so each
     variant lookup runs once per row and generated code stays small.
     """
+    trimmed = py_strip if strip else (lambda c: c)
     df = df.withColumn("_docv", doc)
     dt = df.schema["_docv"].dataType
     if isinstance(dt, PT.StructType):
@@ -131,9 +132,9 @@ def add_path_texts(df: DataFrame, doc: Column, paths: list[str], prefix: str = "
                     c = c.getField(sg)
                 t, falsy = _struct_text(c, leaf)
                 if infer:
-                    txt = F.when(c.isNull(), F.lit(None).cast("string")).otherwise(py_strip(t))
+                    txt = F.when(c.isNull(), F.lit(None).cast("string")).otherwise(trimmed(t))
                 else:
-                    txt = F.when(falsy, F.lit("")).otherwise(F.coalesce(py_strip(t), F.lit("")))
+                    txt = F.when(falsy, F.lit("")).otherwise(F.coalesce(trimmed(t), F.lit("")))
             outs.append(txt.alias(f"{prefix}{i}"))
         return df.select("*", *outs).drop("_docv")
     df = df.select("*", *[node_at(F.col("_docv"), p).alias(f"__vn{i}") for i, p in enumerate(paths)]).drop("_docv")
@@ -144,9 +145,9 @@ def add_path_texts(df: DataFrame, doc: Column, paths: list[str], prefix: str = "
     for i in range(len(paths)):
         t, s_, d = F.col(f"__vt{i}"), F.col(f"__vs{i}"), F.col(f"__vd{i}")
         if infer:
-            txt = F.when(t.isNull() | (t == "VOID"), F.lit(None).cast("string")).otherwise(py_strip(_text_from(t, s_, d)))
+            txt = F.when(t.isNull() | (t == "VOID"), F.lit(None).cast("string")).otherwise(trimmed(_text_from(t, s_, d)))
         else:
-            txt = F.when(_falsy_from(t, s_, d), F.lit("")).otherwise(F.coalesce(py_strip(_text_from(t, s_, d)), F.lit("")))
+            txt = F.when(_falsy_from(t, s_, d), F.lit("")).otherwise(F.coalesce(trimmed(_text_from(t, s_, d)), F.lit("")))
         outs.append(txt.alias(f"{prefix}{i}"))
     drop = [f"__v{k}{i}" for i in range(len(paths)) for k in ("n", "t", "s", "d")]
     return df.select("*", *outs).drop(*drop)

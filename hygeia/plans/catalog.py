@@ -517,3 +517,126 @@ def q_snapshot_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["snapshot_detail"] = q_snapshot_detail
+
+
+# --- a snapshot as a reviewer opens it -------------------------------------
+from hygeia.plans import detail as DT  # noqa: E402
+
+
+def _rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """All snapshots after the rejections of the batch, which write a history."""
+    run = run_for(spark, sf)
+    if "rejected" not in run.__dict__:
+        out, _ = DC.apply_rejections(_snapshots(spark, sf), _decisions(spark, sf), AS_OF, "reviewer")
+        run.__dict__["rejected"] = materialize(UP.keyed_upsert(_snapshots(spark, sf), out, ["snapshot_id"]), "rejected_all")
+    return run.__dict__["rejected"]
+
+
+def q_snapshot_headers(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_for(spark, sf)
+    return DT.headers(_rejected(spark, sf), run.executions, run.doc, run.validated)
+
+
+def q_snapshot_existing_data(spark: SparkSession, sf: str) -> DataFrame:
+    return DT.existing_data(_rejected(spark, sf))
+
+
+def q_snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
+    lists = DT.changes_by_field(_rejected(spark, sf))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x, F.lit(""))), "|").alias(f"{c}_values")
+    return lists.select("execution_id", "field_pos", "field", text("from"), text("to"))
+
+
+def q_accept_on_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored snapshots of executions that pass now, opened before any batch has rewritten them."""
+    run = run_for(spark, sf)
+    snaps, cleared = DT.accept_on_read(SN.seed_snapshots(FX.snapshot_seed(spark, run.sf_dir)), run.validated)
+    new = snaps.select("execution_id", "snapshot_id", F.get(F.col("data"), 0)["standardization_status"].alias("new_status"))
+    return (cleared.select(F.col("exec_id").alias("execution_id"), F.col("isValid").alias("is_valid"),
+                           F.size("invalidPayload").cast("bigint").alias("n_invalid_fields"),
+                           F.col("fieldStatus").isNull().alias("field_status_unset"))
+            .join(new, "execution_id", "left"))
+
+
+def q_draft_hold_by_execution(spark: SparkSession, sf: str) -> DataFrame:
+    """Drafts that name their execution hold its snapshot only."""
+    held = DC.hold_snapshots(_snapshots(spark, sf), _drafted(spark, sf), AS_OF)
+    d0 = F.get(F.col("data"), 0)
+    return held.select("execution_id", "snapshot_id", d0["standardization_status"].alias("status"), d0["reason"].alias("reason"),
+                       F.size(F.filter(d0["invalidValues"], lambda it: it["currentStatus"] == "ON HOLD")).cast("bigint").alias("n_held"))
+
+
+QUERIES.update({
+    "snapshot_headers": q_snapshot_headers,
+    "snapshot_existing_data": q_snapshot_existing_data,
+    "snapshot_changes": q_snapshot_changes,
+    "accept_on_read": q_accept_on_read,
+    "draft_hold_by_execution": q_draft_hold_by_execution,
+})
+
+
+# --- searches by a resolved term, details, ages ------------------------------
+TERM = "urgnt"  # a misspelt category: no value matches it as an expression
+
+
+def q_invalid_records_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload rows of a page of the records found by a resolved category."""
+    run = run_for(spark, sf)
+    resolved = RP.resolve_search(run.masterlist, TERM, "benchmarkType", "benchmarkCategory")
+    page = RP.invalid_records_page(run.validated, "PENDING", TERM, 2, 50, resolved=resolved)
+    rows = RP.payload_details(page, run.validated).select(
+        "execution_id", "benchmark_category", "total", F.posexplode("details").alias("field_pos", "e"))
+    return rows.select("execution_id", "benchmark_category", "total", "field_pos", F.col("e.field").alias("field"),
+                       F.col("e.value").alias("value"), F.col("e.validation_status").alias("validation_status"),
+                       F.col("e.mapping").alias("mapping"), F.size("e.metadata").cast("bigint").alias("n_metadata"))
+
+
+def q_invalid_summary_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of a search with the counts by age of the same filter."""
+    run = run_for(spark, sf)
+    resolved = RP.resolve_search(run.masterlist, TERM, "benchmark_type", "benchmark_category")
+    return RP.invalid_summary(_snapshots(spark, sf), run.executions, ["pending", "on hold"], TERM, 1, 50,
+                              resolved=resolved, as_of=AS_OF_TS)
+
+
+QUERIES.update({
+    "invalid_records_details": q_invalid_records_details,
+    "invalid_summary_found": q_invalid_summary_found,
+})
+
+
+# --- free-form documents -----------------------------------------------------
+from hygeia.sources import documents as DO  # noqa: E402
+
+
+def q_masterlist_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The masterlist as JSON records whose id stands under one of three keys."""
+    ml = run_for(spark, sf).masterlist
+    k, own = F.col("ordinal") % 4, F.col("ml_id")
+    oid = F.struct(own.alias("$oid"))
+    record = F.to_json(F.struct(
+        F.when(k == 0, own).when(k == 1, F.lit("")).alias("`_id`"), F.when(k < 2, own).when(k == 2, F.lit("")).alias("id"),
+        F.when(k >= 2, oid).alias("_id"), "type", "status", "data"))
+    doc = F.col("doc")
+    back = DO.masterlist(ml.select("ordinal", F.try_parse_json(record).alias("doc")), doc, F.col("ordinal"))
+    return back.select("ordinal", "ml_id", "type", "status", F.col("data.value").alias("value"),
+                       F.size("data.metadata").cast("bigint").alias("n_metadata"))
+
+
+def q_execution_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of executions given as JSON documents, every fifth without an id of its own."""
+    run = run_for(spark, sf)
+    own = F.col("exec_id") % 5 != 0
+    oid = F.struct(F.concat(F.lit("x"), F.col("exec_id").cast("string")).alias("$oid"))
+    text = F.to_json(F.struct(*[F.when(own, F.col(f"doc.{f}")).alias(f) if f == "benchmarkExecutionID" else F.col(f"doc.{f}")
+                                for f in run.executions.select("doc.*").columns], F.when(~own, oid).alias("_id")))
+    docs = run.executions.select(F.try_parse_json(text).alias("raw"))
+    v = V.validate(run.rules, DO.executions(docs, F.col("raw")), F.col("doc"), meta_paths=run.meta_paths)
+    return v.select("exec_id", F.col("isValid").alias("is_valid"), F.size("invalidPayload").cast("bigint").alias("n_invalid_fields"),
+                    F.array_join("invalid_names", ",").alias("invalid_names"))
+
+
+QUERIES.update({
+    "masterlist_documents": q_masterlist_documents,
+    "execution_documents": q_execution_documents,
+})

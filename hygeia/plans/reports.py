@@ -106,9 +106,19 @@ def page(df: DataFrame, order: list[Column], page_no: int = 1, size: int = 50) -
     return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
 
 
-def _invalid_records(validated: DataFrame, valid: bool, search: str | None, id_col: str) -> DataFrame:
+def resolve_search(masterlist: DataFrame, term: str, type_col: str, category_col: str, cutoff: float = 60) -> dict[str, str]:
+    """P16 with J14: the published benchmark type and category that a search term means, by column; a column whose values
+    are all unlike the term is left out (it is searched by the expression itself).  One row a column reaches the driver."""
+    from hygeia.plans.suggest import resolve_term
+    best = resolve_term(masterlist.where(F.col("status") == "Published"), term, {
+        type_col: (["Benchmark"], "metadata:BenchmarkType"), category_col: (["Benchmark"], "value")}, cutoff)
+    return {r["name"]: r["resolved"] for r in best.where("is_fuzzy").collect()}
+
+
+def _invalid_records(validated: DataFrame, valid: bool, search: str | None, id_col: str,
+                     resolved: dict[str, str] | None = None) -> DataFrame:
     base = validated.where(F.col("isValid") == F.lit(valid)).where(
-        search_filter(search, [id_col, "benchmarkType", "benchmarkCategory"]))
+        search_filter(search, [id_col, "benchmarkType", "benchmarkCategory"], resolved))
     return first_per_key(base.select(id_col, "invalid_names", "benchmarkType", "benchmarkCategory"), id_col)
 
 
@@ -120,18 +130,35 @@ def _record_columns(p: DataFrame, status: str, total: Column, id_col: str) -> Da
 
 
 def invalid_records_page(validated: DataFrame, status: str = "PENDING", search: str | None = None,
-                         page_no: int = 1, size: int = 50, id_col: str = "exec_id") -> DataFrame:
-    """Executions by validity (P14), one per id (A1), paged by id desc (T1), with the total (A2)."""
+                         page_no: int = 1, size: int = 50, id_col: str = "exec_id",
+                         resolved: dict[str, str] | None = None) -> DataFrame:
+    """Executions by validity (P14), one per id (A1), paged by id desc (T1), with the total (A2).
+    ``resolved`` (``resolve_search``) has the columns whose value the search term means."""
     st = (status or "PENDING").upper()
     if st not in ("PENDING", "ACCEPTED", "REJECTED"):
         return validated.sparkSession.createDataFrame(
             [], "execution_id string, status string, benchmark_type string, benchmark_category string, "
                 "invalid_fields string, total bigint")
-    firsts = _invalid_records(validated, st == "ACCEPTED", search, id_col)
+    firsts = _invalid_records(validated, st == "ACCEPTED", search, id_col, resolved)
     total = firsts.select(F.count(F.lit(1))).scalar()
     return _record_columns(page(firsts, [F.desc(id_col)], page_no, size), st, total, id_col)
 
 
+def payload_details(records: DataFrame, validated: DataFrame, id_col: str = "exec_id") -> DataFrame:
+    """R1, details of PENDING records: rows of a page with the payload of the execution that each shows.
+
+    The page is cut first; payloads are looked up for its rows only.  Of rows that repeat an id the page shows the least
+    (names, type, category), so the payload is the least of those rows."""
+    keys = records.select(F.col("execution_id").alias("_id"), F.col("invalid_fields").alias("_f"),
+                          F.col("benchmark_type").alias("_t"), F.col("benchmark_category").alias("_c"))
+    v = validated.where(~F.col("isValid"))
+    hit = v.join(F.broadcast(keys), (v[id_col].cast("string") == F.col("_id")) & (F.array_join("invalid_names", ",") == F.col("_f"))
+                 & v["benchmarkType"].eqNullSafe(F.col("_t")) & v["benchmarkCategory"].eqNullSafe(F.col("_c")))  # a page: at most 500 rows
+    found = hit.groupBy(F.col("_id").alias("execution_id")).agg(F.min("invalidPayload").alias("details"))
+    pending = F.when(F.col("status") == "PENDING", F.col("details"))
+    return records.join(found, "execution_id", "left").withColumn("details", pending)
+
+
 def invalid_records_index(validated: DataFrame, valid: bool = False, search: str | None = None, id_col: str = "exec_id",
                           rows_per_range: int = 100_000) -> KeyIndex:
     """The rows of ``invalid_records_page`` in key ranges, for reading many or late pages."""
@@ -145,10 +172,11 @@ def invalid_records_at(index: KeyIndex, page_no: int, size: int = 50, status: st
 
 def invalid_summary(snapshots: DataFrame, executions: DataFrame, statuses: list[str] | None = None,
                     search: str | None = None, page_no: int = 1, size: int = 50,
-                    exec_id: str = "exec_id") -> DataFrame:
+                    exec_id: str = "exec_id", resolved: dict[str, str] | None = None, as_of: str | None = None) -> DataFrame:
     """Snapshot page (P15, P16, T1) joined to executions after paging (J6), P18 fallbacks,
-    invalid field names (V12) and the filtered total (A9)."""
-    cond = status_filter(statuses) & search_filter(search, ["execution_id", "benchmark_type", "benchmark_category"])
+    invalid field names (V12) and the filtered total (A9).  With ``as_of`` every row also has the counts by age:
+    of the same filter (A6), or without search and statuses those of all pending snapshots (A5)."""
+    cond = status_filter(statuses) & search_filter(search, ["execution_id", "benchmark_type", "benchmark_category"], resolved)
     m = snapshots.where(cond)
     total = m.select(F.count(F.lit(1))).scalar()
     p = page(m, [F.desc("snapshot_id")], page_no, size)
@@ -168,7 +196,14 @@ def invalid_summary(snapshots: DataFrame, executions: DataFrame, statuses: list[
                     fb("benchmark_type", "_ebt").alias("benchmark_type"),
                     fb("benchmark_category", "_ebc").alias("benchmark_category"),
                     F.array_join(F.coalesce(names, F.array().cast("array<string>")), ",").alias("invalid_fields"),
-                    d0["history"]["updatedOn"].alias("updated_on"), total.alias("total"))
+                    d0["history"]["updatedOn"].alias("updated_on"), total.alias("total"), *_ageing(snapshots, cond, bool(search or statuses), as_of))
+
+
+def _ageing(snapshots: DataFrame, cond: Column, filtered: bool, as_of: str | None) -> list[Column]:
+    if as_of is None:
+        return []
+    counts = ageing_filtered(snapshots, as_of, cond) if filtered else ageing_pending(snapshots, as_of)
+    return [counts.where(F.col("bucket") == b).select("n").scalar().alias(b) for b in BUCKETS]
 
 
 #: Other names of parameters (fixed values).

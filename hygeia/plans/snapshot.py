@@ -41,8 +41,10 @@ def snapshot_id_for(exec_id: Column) -> Column:
 def latest(snapshots: DataFrame) -> DataFrame:
     """J5 input: the first snapshot per execution and its first data element."""
     return (snapshots.groupBy("execution_id")
-            .agg(F.min_by(F.struct("snapshot_id", F.get(F.col("data"), 0).alias("d")), F.col("snapshot_id")).alias("s"))
-            .select("execution_id", F.col("s.snapshot_id").alias("prev_id"), F.col("s.d").alias("prev")))
+            .agg(F.min_by(F.struct("snapshot_id", "benchmark_type", "benchmark_category", "data"), F.col("snapshot_id")).alias("s"))
+            .select("execution_id", F.col("s.snapshot_id").alias("prev_id"), F.get(F.col("s.data"), 0).alias("prev"),
+                    F.col("s.benchmark_type").alias("prev_type"), F.col("s.benchmark_category").alias("prev_category"),
+                    F.slice("s.data", 2, F.greatest(F.size("s.data") - 1, F.lit(0))).alias("prev_rest")))
 
 
 def invalid_values(items: DataFrame, validated: DataFrame, id_col: str = "exec_id") -> DataFrame:
@@ -84,7 +86,8 @@ def upsert_snapshots(previous: DataFrame, validated: DataFrame, items: DataFrame
 
     invalid execution -> snapshot replaced (id, upper-cased status and history kept;
                          values and suggestions recomputed; reason dropped)
-    valid execution   -> existing snapshot not ACCEPTED / REJECTED / ON HOLD becomes ACCEPTED
+    valid execution   -> existing snapshot not ACCEPTED / REJECTED / ON HOLD becomes ACCEPTED, with a stamp; its type,
+                         category and later data elements stay
     anything else     -> unchanged
     """
     prev = latest(previous)
@@ -108,8 +111,9 @@ def upsert_snapshots(previous: DataFrame, validated: DataFrame, items: DataFrame
                     .withField("lastModifiedOn", F.lit(as_of)))
     touched = j.where(~F.col("isValid") | accept).select(
         F.coalesce("prev_id", snapshot_id_for(F.col("execution_id"))).alias("snapshot_id"),
-        "execution_id", "benchmark_type", "benchmark_category",
-        F.when(~F.col("isValid"), F.array(new_doc)).otherwise(F.array(accepted_doc)).alias("data"))
+        "execution_id", *[F.when(F.col("isValid"), F.col(f"prev_{c}")).otherwise(F.col(f"benchmark_{c}")).alias(f"benchmark_{c}")
+                          for c in ("type", "category")],
+        F.when(~F.col("isValid"), F.array(new_doc)).otherwise(F.concat(F.array(accepted_doc), "prev_rest")).alias("data"))
     # untouched previous snapshots keep every column as it was
     kept = previous.join(touched.select(F.col("snapshot_id").alias("_sid")),
                          previous["snapshot_id"] == F.col("_sid"), "left_anti")

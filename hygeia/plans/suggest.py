@@ -135,17 +135,41 @@ def resolve_terms(masterlist: DataFrame, terms: DataFrame, types: list[str], cut
     ``source='value'`` reads data.value (effective variant), ``source='metadata:<name>'`` reads a
     metadata value (shadowed variant).
     """
-    from hygeia.operators.fuzzy_join import fuzzy_join
+    t = terms.select("term", F.lit(0).alias("g"))
+    return _best_choices(t, _choices(masterlist, types, source).withColumn("g", F.lit(0)), cutoff).drop("g")
+
+
+def _choices(masterlist: DataFrame, types: list[str], source: str) -> DataFrame:
+    """(choice, stored): the lower-cased values of the source, each with its stored spelling (of several the greatest)."""
     ml = masterlist.where(F.col("type").isin(*types))
     if source.startswith("metadata:"):
         v = F.col("data.metadata")[F.lit(source.split(":", 1)[1])]
     else:
         v = F.col("data.value")
-    choices = (ml.select(F.lower(v).alias("choice"), v.alias("v")).where(F.col("choice").isNotNull() & (F.col("choice") != ""))
-               .groupBy("choice").agg(F.max("v").alias("stored")).select(F.lit(0).alias("g"), "choice", "stored"))
-    t = terms.select(F.col("term"), F.lit(0).alias("g"), F.lower("term").alias("lterm"))
+    return (ml.select(F.lower(v).alias("choice"), v.alias("v")).where(F.col("choice").isNotNull() & (F.col("choice") != ""))
+            .groupBy("choice").agg(F.max("v").alias("stored")))
+
+
+def _best_choices(terms: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
+    """The best of ``choices`` (g, choice, stored) for each of ``terms`` (g, term), or the term itself."""
+    from hygeia.operators.fuzzy_join import fuzzy_join
+    t = terms.select("g", "term", F.lower("term").alias("lterm"))
     best = fuzzy_join(t, choices, "g", "lterm", "choice", "choice", "wratio", cutoff, 1)
-    best = best.join(choices.select("choice", "stored"), "choice")
+    best = best.join(choices.select("g", "choice", "stored"), ["g", "choice"])
     return (t.join(best, ["g", "lterm"], "left")
-            .select("term", F.coalesce("stored", F.col("term")).alias("resolved"),
+            .select("g", "term", F.coalesce("stored", F.col("term")).alias("resolved"),
                     F.col("choice").isNotNull().alias("is_fuzzy"), "score"))
+
+
+def resolve_term(masterlist: DataFrame, term: str, sources: dict[str, tuple[list[str], str]], cutoff: float = 60) -> DataFrame:
+    """J14 for one term and several sources at once: (name, resolved, is_fuzzy), a row for each of ``sources``
+    (name -> types, source)."""
+    spark = masterlist.sparkSession
+    names = [*sources]
+    choices = None
+    for g, n in enumerate(names):
+        part = _choices(masterlist, *sources[n]).withColumn("g", F.lit(g))
+        choices = part if choices is None else choices.unionByName(part)
+    asked = spark.createDataFrame([(g, term) for g in range(len(names))], "g int, term string")
+    return (_best_choices(asked, choices, cutoff)
+            .select(F.get(F.array(*[F.lit(n) for n in names]), F.col("g")).alias("name"), "resolved", "is_fuzzy"))

@@ -360,24 +360,156 @@ select field, value, cast(rank as integer) as rank, cand as suggestion, ml_id, r
 
 _SORTED = "coalesce(array_to_string(list_sort({0}), ' '), '')"
 
+def wratio_best(p: str, terms: str, choices: str) -> str:
+    """CTEs ending in ``{p}best`` (a, stored, raw): the best choice (b, stored) of at least 60 for each text a of ``terms``."""
+    return f"""
+{p}p as (select a, b, stored, {_SORTED.format(words("a"))} as wa, {_SORTED.format(words("b"))} as wb
+       from (select distinct a from {terms}), {choices}),
+{partial(p + "w", p + "p", "a", "b")}, {partial(p + "x", p + "p", "wa", "wb")}, {token_set(p + "t", p + "p", "a", "b")},
+{p}u as (
+  select t.*, w.partial as whole, x.partial as part, greatest(len(t.a), len(t.b)) / least(len(t.a), len(t.b)) as times,
+         len(list_filter(ta, lambda e: list_contains(tb, e))) > 0 as meet,
+         {ratio100("t.a", "t.b")} as plain, {ratio100("t.wa", "t.wb")} as sorted
+  from {p}t t join {p}w w on w.a = t.a and w.b = t.b join {p}x x on x.a = t.wa and x.b = t.wb),
+{p}v as (
+  select *, case when times < 1.5 then greatest(plain, greatest(sorted, token_set) * 0.95::double)
+                 else greatest(plain, whole * s, (case when wa = '' or wb = '' then 0.0 when meet then 100.0 else part end) * 0.95::double * s) end as raw
+  from (select *, case when times <= 8 then 0.9::double else 0.6::double end as s from {p}u)),
+{p}best as (select a, stored, raw from (
+  select a, stored, raw, row_number() over (partition by a order by raw desc, b) as rank from {p}v where raw >= 60) where rank = 1)"""
+
+
 SQL["resolve_terms"] = BASE + """,
 fv as (
   select distinct coalesce(""" + norm("r.v", "(t.field_type = 'INTEGER')") + """, '') as term
   from ex_raw r join mappings m on m.path = r.path join ftypes t on t.field = m.field where m.field = 'instanceType'),
 terms as (select term, lower(term) as a from fv where term <> ''),
 choices as (select lower(value) as b, max(value) as stored from recs where field = 'instanceType' and value <> '' group by 1),
-rp as (select a, b, stored, """ + _SORTED.format(words("a")) + """ as wa, """ + _SORTED.format(words("b")) + """ as wb
-       from (select distinct a from terms), choices),
-""" + partial("rw", "rp", "a", "b") + "," + partial("rx", "rp", "wa", "wb") + "," + token_set("rt", "rp", "a", "b") + """,
-ru as (
-  select rt.*, rw.partial as whole, rx.partial as part, greatest(len(rt.a), len(rt.b)) / least(len(rt.a), len(rt.b)) as times,
-         len(list_filter(ta, lambda w: list_contains(tb, w))) > 0 as meet,
-         """ + ratio100("rt.a", "rt.b") + """ as plain, """ + ratio100("rt.wa", "rt.wb") + """ as sorted
-  from rt join rw on rw.a = rt.a and rw.b = rt.b join rx on rx.a = rt.wa and rx.b = rt.wb),
-rv as (
-  select *, case when times < 1.5 then greatest(plain, greatest(sorted, token_set) * 0.95::double)
-                 else greatest(plain, whole * s, (case when wa = '' or wb = '' then 0.0 when meet then 100.0 else part end) * 0.95::double * s) end as raw
-  from (select *, case when times <= 8 then 0.9::double else 0.6::double end as s from ru)),
-best as (select * from (select a, stored, raw, row_number() over (partition by a order by raw desc, b) as rank from rv where raw >= 60) where rank = 1)
-select t.term, coalesce(best.stored, t.term) as resolved, best.stored is not null as is_fuzzy, round_even(best.raw / 100, 4) as score
-from terms t left join best using (a)"""
+""" + wratio_best("r", "terms", "choices") + """
+select t.term, coalesce(b.stored, t.term) as resolved, b.stored is not null as is_fuzzy, round_even(b.raw / 100, 4) as score
+from terms t left join rbest b using (a)"""
+
+
+# --- a snapshot as a reviewer opens it ---------------------------------------------------------------------------
+_REJECTED = SUG + SNAP + """,
+rej as (
+  select distinct cast(event_id % (select count(*) from orders) as varchar) as execution_id
+  from events where event_type = 'error'),
+alls as (
+  select n.snapshot_id, n.execution_id, n.status, n.history_updated_on as updated_on,
+         case when n.snapshot_id in (select snapshot_id from seed) then 'seed' else 'hygiene-batch' end as updated_by
+  from snaps n
+  union all
+  select s.snapshot_id, s.execution_id, s.status, s.updated_on, 'seed' from seed s anti join snaps n on n.snapshot_id = s.snapshot_id),
+universe as (
+  select a.snapshot_id, a.execution_id, r.execution_id is not null as rejected,
+         case when r.execution_id is not null then 'REJECTED' else a.status end as status,
+         case when r.execution_id is not null then 'L0 Junk Data.' end as reason,
+         case when r.execution_id is not null then '2001-08-10T00:00:00.000000Z' else a.updated_on end as updated_on,
+         case when r.execution_id is not null then 'reviewer' else a.updated_by end as updated_by
+  from alls a left join rej r using (execution_id)),
+found as (
+  select cast(s.exec_id as varchar) as execution_id, s.f_ord, dense_rank() over (partition by s.exec_id order by s.f_ord) - 1 as field_pos,
+         s.field as invalid_field, e.data_pos, e.name, e.value, e.validation_status
+  from pstatus s join (
+    select exec_id, field, 0 as data_pos, field as name, value, status as validation_status from pstatus where overall_invalid
+    union all
+    select exec_id, field, meta_pos + 1, meta_name, meta_value, meta_status from payload where meta_name is not null) e
+    on e.exec_id = s.exec_id and e.field = s.field
+  where s.overall_invalid),
+history as (
+  select f.execution_id, f.name as field, f.value, row_number() over (partition by f.execution_id order by f.field_pos, f.data_pos) as place
+  from found f join rej using (execution_id))
+"""
+
+SQL["snapshot_headers"] = _REJECTED + """
+select u.snapshot_id, u.execution_id, x.btype_raw as benchmark_type, x.bcat_raw as benchmark_category, x.sut_raw as sut_type,
+       null::varchar as run_category, strftime(x.created_on, '%Y-%m-%d %H:%M:%S') as created_on, null::varchar as tester,
+       null::varchar as result_type, u.status, u.reason, u.updated_on, u.updated_by,
+       coalesce((select count(distinct field) from history h where h.execution_id = u.execution_id), 0) as n_changed_fields
+from universe u left join ex x on cast(x.exec_id as varchar) = u.execution_id"""
+
+SQL["snapshot_existing_data"] = _REJECTED + """
+select f.execution_id, cast(f.field_pos as integer) as field_pos, f.invalid_field,
+       case when u.rejected then 'Rejected' else 'invalid' end as current_status, cast(f.data_pos as integer) as data_pos,
+       f.name, f.value, f.validation_status
+from found f join universe u using (execution_id)"""
+
+SQL["snapshot_changes"] = _REJECTED + """
+select execution_id, cast(row_number() over (partition by execution_id order by min(place)) - 1 as integer) as field_pos, field,
+       string_agg(coalesce(value, ''), '|' order by place) as from_values, string_agg(coalesce(value, ''), '|' order by place) as to_values
+from history group by execution_id, field"""
+
+SQL["accept_on_read"] = SUG + SNAP + """
+select v.execution_id, true as is_valid, 0::bigint as n_invalid_fields, true as field_status_unset,
+       case when upper(s.status) in ('ACCEPTED', 'REJECTED', 'ON HOLD') then null else s.snapshot_id end as snapshot_id,
+       case when upper(s.status) in ('ACCEPTED', 'REJECTED', 'ON HOLD') then null else 'ACCEPTED' end as new_status
+from vd v join seed s using (execution_id) where v.is_valid"""
+
+SQL["draft_hold_by_execution"] = SUG + SNAP + """,
+dreq as (
+  select e.event_id, cast(e.event_id % (select count(*) from orders) as varchar) as execution_id,
+         case when e.event_id % 3 = 0 then p.p_name || ' v2' else p.p_name || ' gen' || cast(e.event_id % 3 as varchar) end as value,
+         p.p_type as family
+  from events e join part p on p.p_partkey = (e.event_id % (select count(*) from orders)) % (select count(*) from part)
+  where e.event_type = 'signup'),
+fresh as (
+  select arg_min(execution_id, event_id) as execution_id from dreq d where not exists (
+    select 1 from ml m join ml_meta mm on mm.ordinal = m.ordinal
+    where m.type = 'CPUModel' and m.value = d.value and mm.mk = 'Family' and mm.mv = d.family)
+  group by value, family)
+select n.execution_id, n.snapshot_id, 'ON HOLD' as status, 'New Masterlist Draft Record.' as reason, count(*) as n_held
+from snaps n join pstatus p on cast(p.exec_id as varchar) = n.execution_id and p.overall_invalid and p.field = 'CPUModel'
+where n.execution_id in (select execution_id from fresh) group by all"""
+
+# --- searches by a resolved term: a column whose values resemble the term is compared with the resolved value ------
+_RESOLVED = """,
+asked as (select 'urgnt' as a),
+kinds as (select lower(m.mv) as b, max(m.mv) as stored from pub p join ml_meta m using (ordinal)
+          where p.type = 'Benchmark' and m.mk = 'BenchmarkType' and m.mv <> '' group by 1),
+cats as (select lower(value) as b, max(value) as stored from pub where type = 'Benchmark' and value <> '' group by 1),
+""" + wratio_best("k", "asked", "kinds") + "," + wratio_best("c", "asked", "cats")
+
+
+def _meant(id_col: str, type_col: str, category_col: str) -> str:
+    like = "regexp_matches({0}, 'urgnt', 'i')".format
+    return (f"(coalesce({like(id_col)}, false) or coalesce({type_col} = (select stored from kbest), {like(type_col)}, false) "
+            f"or coalesce({category_col} = (select stored from cbest), {like(category_col)}, false))")
+
+
+SQL["invalid_records_details"] = FULL + _RESOLVED + """,
+inv as (select v.exec_id, x.bcat_raw from verdict v join ex x using (exec_id)
+        where not v.is_valid and """ + _meant("cast(v.exec_id as varchar)", "x.btype_raw", "x.bcat_raw") + """),
+pg as (select * from inv order by exec_id desc limit 50 offset 50)
+select cast(p.exec_id as varchar) as execution_id, p.bcat_raw as benchmark_category, (select count(*) from inv) as total,
+       cast(row_number() over (partition by p.exec_id order by s.f_ord) - 1 as integer) as field_pos, s.field, s.value,
+       s.status as validation_status, s.path as mapping,
+       (select count(*) from payload y where y.exec_id = s.exec_id and y.field = s.field and y.meta_name is not null) as n_metadata
+from pg p join pstatus s on s.exec_id = p.exec_id and s.overall_invalid"""
+
+SQL["invalid_summary_found"] = SUG + SNAP + _RESOLVED + """,
+found as (
+  select n.*, x.btype_raw, x.bcat_raw from (
+    select n.snapshot_id, n.execution_id, n.status, n.invalid_fields, n.history_updated_on as updated_on,
+           case when not v.is_valid then x.btype_raw end as own_type, case when not v.is_valid then x.bcat_raw end as own_category
+    from snaps n join vd v using (execution_id) join ex x on x.exec_id = v.exec_id
+    union all
+    select s.snapshot_id, s.execution_id, s.status, '', s.updated_on, null, null
+    from seed s anti join snaps n on n.snapshot_id = s.snapshot_id) n
+  left join ex x on cast(x.exec_id as varchar) = n.execution_id
+  where upper(n.status) in ('PENDING', 'ON HOLD') and """ + _meant("n.execution_id", "n.own_type", "n.own_category") + """),
+aged as (
+  select """ + _bucket("try_strptime(updated_on, '%Y-%m-%dT%H:%M:%S.%fZ')") + """ as bucket
+  from found where try_strptime(updated_on, '%Y-%m-%dT%H:%M:%S.%fZ') is not null)
+select execution_id, status, btype_raw as benchmark_type, bcat_raw as benchmark_category, invalid_fields, updated_on,
+       (select count(*) from found) as total, (select count(*) from aged where bucket = 'green') as green,
+       (select count(*) from aged where bucket = 'yellow') as yellow, (select count(*) from aged where bucket = 'red') as red
+from found order by snapshot_id desc limit 50"""
+
+# --- free-form documents ---------------------------------------------------------------------------------------
+SQL["masterlist_documents"] = with_ctes(FIXTURE) + """
+select ordinal, ml_id, type, status, value, (select count(*) from ml_meta m where m.ordinal = ml.ordinal) as n_metadata from ml"""
+
+SQL["execution_documents"] = FULL + """
+select case when exec_id % 5 = 0 then 'x' else '' end || cast(exec_id as varchar) as exec_id, is_valid, n_invalid_fields, invalid_names
+from verdict"""
