@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles.scores import partial, ratio as ratio100, token_set, words
-from oracles.fixture import FIXTURE, RULES, VALIDATE, norm, with_ctes
+from oracles.fixture import CORES, CPU, FIXTURE, INST, RULES, VALIDATE, norm, with_ctes
 
 BASE = with_ctes(FIXTURE, RULES)
 FULL = with_ctes(FIXTURE, RULES, VALIDATE)
@@ -391,6 +391,18 @@ from terms t left join rbest b using (a)"""
 
 
 # --- a snapshot as a reviewer opens it ---------------------------------------------------------------------------
+# the items of the snapshots with their metadata, a row each
+_FOUND = """found as (
+  select cast(s.exec_id as varchar) as execution_id, s.f_ord, dense_rank() over (partition by s.exec_id order by s.f_ord) - 1 as field_pos,
+         s.field as invalid_field, e.data_pos, e.name, e.value, e.validation_status, e.mapping
+  from pstatus s join (
+    select exec_id, field, 0 as data_pos, field as name, value, status as validation_status, path as mapping from pstatus where overall_invalid
+    union all
+    select exec_id, field, meta_pos + 1, meta_name, meta_value, meta_status, meta_mapping from payload where meta_name is not null) e
+    on e.exec_id = s.exec_id and e.field = s.field
+  where s.overall_invalid),
+"""
+
 _REJECTED = SUG + SNAP + """,
 rej as (
   select distinct cast(event_id % (select count(*) from orders) as varchar) as execution_id
@@ -408,16 +420,7 @@ universe as (
          case when r.execution_id is not null then '2001-08-10T00:00:00.000000Z' else a.updated_on end as updated_on,
          case when r.execution_id is not null then 'reviewer' else a.updated_by end as updated_by
   from alls a left join rej r using (execution_id)),
-found as (
-  select cast(s.exec_id as varchar) as execution_id, s.f_ord, dense_rank() over (partition by s.exec_id order by s.f_ord) - 1 as field_pos,
-         s.field as invalid_field, e.data_pos, e.name, e.value, e.validation_status
-  from pstatus s join (
-    select exec_id, field, 0 as data_pos, field as name, value, status as validation_status from pstatus where overall_invalid
-    union all
-    select exec_id, field, meta_pos + 1, meta_name, meta_value, meta_status from payload where meta_name is not null) e
-    on e.exec_id = s.exec_id and e.field = s.field
-  where s.overall_invalid),
-history as (
+""" + _FOUND + """history as (
   select f.execution_id, f.name as field, f.value, row_number() over (partition by f.execution_id order by f.field_pos, f.data_pos) as place
   from found f join rej using (execution_id))
 """
@@ -513,3 +516,126 @@ select ordinal, ml_id, type, status, value, (select count(*) from ml_meta m wher
 SQL["execution_documents"] = FULL + """
 select case when exec_id % 5 = 0 then 'x' else '' end || cast(exec_id as varchar) as exec_id, is_valid, n_invalid_fields, invalid_names
 from verdict"""
+
+
+# --- review decisions ------------------------------------------------------------------------------------------
+# The events number fewer than the orders, so each execution has one decision at most, and names of metadata belong to one
+# field each: an approval settles the item that it was made from.  Accepted values are suggestions, 'manual' or custom
+# ones that no published record has, so no metadata come from a record.
+_REVIEW = SUG + SNAP + """,
+""" + _FOUND + """
+stored as (
+  select cast(r.exec_id as varchar) as execution_id, r.field as invalid_field, 0 as data_pos, r.rank, r.primary_value as suggestion
+  from rec_sug r
+  union all
+  select cast(r.exec_id as varchar), r.field, y.meta_pos + 1, r.rank, coalesce(c.required, '')
+  from rec_sug r join payload y on y.exec_id = r.exec_id and y.field = r.field and y.meta_name is not null
+  left join configs c on c.ordinal = r.ordinal and c.name = y.meta_name),
+picked as (
+  select f.execution_id, f.field_pos, f.invalid_field, e.event_type, case when e.event_type = 'click' then 1 else 0 end as spot
+  from (select *, cast(event_id % (select count(*) from orders) as varchar) as execution_id from events) e
+  join (select execution_id, count(distinct field_pos) as n from found group by 1) c using (execution_id)
+  join found f on f.execution_id = e.execution_id and f.data_pos = 0 and f.field_pos = e.event_id % c.n
+  where e.event_type in ('purchase', 'view', 'click')),
+accepted as (
+  select k.*, f.name, f.value, f.mapping,
+         case k.event_type when 'view' then 'custom-' || k.execution_id when 'click' then coalesce(t.suggestion, 'manual')
+              else t.suggestion end as answer
+  from picked k join found f on f.execution_id = k.execution_id and f.field_pos = k.field_pos and f.data_pos = k.spot
+  left join stored t on t.execution_id = k.execution_id and t.invalid_field = k.invalid_field and t.data_pos = k.spot and t.rank = 1),
+approval as (
+  select a.*, (select max(t.rank) from stored t where t.execution_id = a.execution_id and t.invalid_field = a.invalid_field
+               and t.data_pos = a.spot and t.suggestion = a.answer) as chosen
+  from accepted a),
+written as (
+  select execution_id, 0 as pos, name as field, value as old, answer as new, chosen, mapping as path, answer as value from approval
+  union all
+  select a.execution_id, f.data_pos, f.name, f.value, coalesce(nullif(t.suggestion, ''), f.value), a.chosen, f.mapping, nullif(t.suggestion, '')
+  from approval a join found f on f.execution_id = a.execution_id and f.field_pos = a.field_pos and f.data_pos > 0
+  left join stored t on t.execution_id = a.execution_id and t.invalid_field = a.invalid_field and t.data_pos = f.data_pos and t.rank = a.chosen
+  where a.spot = 0),
+outcome as (
+  select a.execution_id, case when bool_and(f.validation_status = 'valid' or (f.field_pos = a.field_pos and (a.spot = 0 or f.data_pos = 1)))
+                              then 'ACCEPTED' else 'PENDING' end as status
+  from approval a join found f using (execution_id) group by a.execution_id),
+updates as (
+  select * from (
+    select execution_id, pos, path, value from written where value is not null
+    union all
+    select w.execution_id, 100 + w.pos, w.path, w.new from written w join outcome o using (execution_id)
+    where o.status = 'ACCEPTED' and w.new is not null
+    union all
+    select execution_id, 200, 'isValid', 'true' from outcome where status = 'ACCEPTED')
+  where coalesce(path, '') <> '' and not starts_with(path, 'processor_details.')),
+refused as (
+  select cast(event_id % (select count(*) from orders) as varchar) as execution_id from events where event_type = 'error'),
+drafts as (
+  select e.event_id, cast(e.event_id % (select count(*) from orders) as varchar) as execution_id,
+         case when e.event_id % 3 = 0 then p.p_name || ' v2' else p.p_name || ' gen' || cast(e.event_id % 3 as varchar) end as value,
+         p.p_type as family
+  from events e join part p on p.p_partkey = (e.event_id % (select count(*) from orders)) % (select count(*) from part)
+  where e.event_type = 'signup'),
+held as (
+  select execution_id from (
+    select arg_min(execution_id, event_id) as execution_id from drafts d where not exists (
+      select 1 from ml m join ml_meta mm on mm.ordinal = m.ordinal
+      where m.type = 'CPUModel' and m.value = d.value and mm.mk = 'Family' and mm.mv = d.family)
+    group by value, family)
+  where execution_id in (select execution_id from found where invalid_field = 'CPUModel')),
+reviewed as (
+  select u.* replace (
+    case when h.execution_id is not null then 'ON HOLD' when r.execution_id is not null then 'REJECTED'
+         else coalesce(o.status, u.status) end as status,
+    case when coalesce(h.execution_id, r.execution_id, o.execution_id) is not null then '2001-08-10T00:00:00.000000Z'
+         else u.history_updated_on end as history_updated_on)
+  from (
+    select execution_id, snapshot_id, status, invalid_fields, n_invalid_values, n_comparing, history_updated_on, last_modified_on from snaps
+    union all
+    select s.execution_id, s.snapshot_id, s.status, '', 0, 0, s.updated_on, null from seed s anti join snaps n on n.snapshot_id = s.snapshot_id) u
+  left join outcome o using (execution_id) left join refused r using (execution_id) left join held h using (execution_id))
+"""
+
+SQL["apply_approvals"] = _REVIEW + """
+select o.execution_id, o.status, string_agg(w.field, ',' order by w.pos) as history_fields,
+       string_agg(coalesce(w.new, ''), '|' order by w.pos) as history_to,
+       string_agg(case when w.chosen is null then 'dropdown' else 'suggestion' end, ',' order by w.pos) as history_source
+from outcome o join written w using (execution_id) group by o.execution_id, o.status"""
+
+SQL["execution_updates"] = _REVIEW + """
+select execution_id as exec_id, path, value from updates
+union all
+select execution_id, 'entitliment_level', 'L0 Junk Data.' from refused"""
+
+SQL["history_changes"] = _REVIEW + """
+select execution_id, field, cast(pos as integer) as pos, coalesce(old, '') as "from", coalesce(new, '') as "to" from written"""
+
+SQL["apply_updates"] = _REVIEW + """,
+latest as (select execution_id, path, arg_max(value, pos) as value from updates group by 1, 2)
+select u.execution_id as exec_id, coalesce(max(u.value) filter (where u.path = '""" + CPU + """'), any_value(x.cpu_raw)) as cpu_model,
+       coalesce(max(u.value) filter (where u.path = '""" + CORES + """'), any_value(x.core_raw)) as core_count,
+       coalesce(max(u.value) filter (where u.path = '""" + INST + """'), any_value(x.inst_raw)) as instance_type,
+       coalesce(max(u.value) filter (where u.path = 'benchmarkCategory'), any_value(x.bcat_raw)) as benchmark_category,
+       max(u.value) filter (where u.path = 'isValid') as is_valid
+from latest u join ex x on cast(x.exec_id as varchar) = u.execution_id group by u.execution_id"""
+
+SQL["reviewed_snapshots"] = _REVIEW + """
+select * from reviewed"""
+
+SQL["snapshot_detail"] = _REVIEW + """,
+shown as (
+  select f.execution_id, f.invalid_field, f.value, r.rank, r.ordinal, r.primary_value, r.overall_score, v.status as snapshot_status,
+         case when h.execution_id is not null and f.invalid_field = 'CPUModel' then 'ON HOLD' when n.execution_id is not null then 'Rejected'
+              when a.execution_id is not null then 'Approved' else 'invalid' end as current_status,
+         case when h.execution_id is not null and f.invalid_field = 'CPUModel' then 'REJECTED' when n.execution_id is not null then 'Rejected'
+              when a.execution_id is null then 'PENDING' when r.primary_value = a.answer then 'Accepted' else 'Rejected' end as status
+  from found f join rec_sug r on cast(r.exec_id as varchar) = f.execution_id and r.field = f.invalid_field and f.data_pos = 0
+  join reviewed v using (execution_id) left join held h using (execution_id) left join refused n using (execution_id)
+  left join approval a on a.execution_id = f.execution_id and a.field_pos = f.field_pos and a.spot = 0),
+texts as (
+  select s.*, 'primary' as item, s.invalid_field as name, s.primary_value as suggestion, s.value as own from shown s
+  union all
+  select s.*, 'metadata', c.name, c.required, coalesce(f.value, '') from shown s join configs c on c.ordinal = s.ordinal
+  left join found f on f.execution_id = s.execution_id and f.invalid_field = s.invalid_field and f.data_pos > 0 and f.name = c.name)
+select execution_id, invalid_field, current_status, snapshot_status, item, name, cast(rank as integer) as rank, suggestion,
+       """ + ratio("a", "b") + """ as score, overall_score, status
+from (select *, lower(own) as a, lower(suggestion) as b from texts)"""
