@@ -212,7 +212,7 @@ ALIASES = {"BenchmarkCategory": "Benchmark"}
 
 def unique_values(masterlist: DataFrame, params: list[str]) -> DataFrame:
     """Distinct stripped text per parameter (types: data.value of that type; metadata
-    names: data.metadata[name] over all Published records); 'BenchmarkCategory' aliases 'Benchmark'."""
+    names: data.metadata[name] over all Published records), sorted; 'BenchmarkCategory' aliases 'Benchmark'."""
     from hygeia.functions.text import py_strip
     pub = masterlist.where(F.col("status") == "Published")
     params = list(params)
@@ -227,7 +227,7 @@ def unique_values(masterlist: DataFrame, params: list[str]) -> DataFrame:
     metas = (pub.select(F.explode("data.metadata").alias("k", "v"))
              .join(F.broadcast(names), F.col("k") == F.col("param"))
              .select("param", py_strip(F.col("v")).alias("value")))
-    return typed.unionByName(metas).where(F.col("value").isNotNull()).distinct()
+    return typed.unionByName(metas).where(F.col("value").isNotNull()).distinct().orderBy("param", "value")  # T5
 
 
 # Parameters that can be asked for by name -> (type or None for all, metadata name or None for the value)
@@ -259,7 +259,7 @@ def parameter_values(masterlist: DataFrame, parameter: str, mapped: list[str], t
         pub = pub.where(F.col("type") == of_type)
     raw = F.col("data.metadata")[meta] if meta else F.col("data.value")
     return (pub.select(F.lit(parameter).alias("param"), raw.alias("_raw")).where(F.col("_raw").isNotNull() & (F.col("_raw") != ""))
-            .select("param", py_strip(F.col("_raw")).alias("value")).distinct())
+            .select("param", py_strip(F.col("_raw")).alias("value")).distinct().orderBy("value"))
 
 
 def metadata_values(masterlist: DataFrame, requests: DataFrame, max_records: int | None = None) -> DataFrame:
