@@ -357,8 +357,8 @@ def q_apply_rejections(spark: SparkSession, sf: str) -> DataFrame:
 def _approvals(spark: SparkSession, sf: str):
     run = run_for(spark, sf)
     if "approvals" not in run.__dict__:
-        out, upd = DC.apply_approvals(_snapshots(spark, sf), _decisions(spark, sf), run.masterlist, AS_OF, "reviewer")
-        run.__dict__["approvals"] = (materialize(out, "approved"), upd)
+        run.__dict__["approvals"] = DC.apply_approvals(_snapshots(spark, sf), _decisions(spark, sf), run.masterlist, AS_OF,
+                                                       "reviewer")
     return run.__dict__["approvals"]
 
 

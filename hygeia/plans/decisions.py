@@ -240,7 +240,8 @@ def apply_approvals(snapshots: DataFrame, decisions: DataFrame, masterlist: Data
                      F.array().cast(f"array<{UPDATE_T}>").alias("updates")).cast(STATE_T)
     j = snapshots.where(F.size("data") > 0).join(per, "execution_id").withColumn("_s", F.aggregate(
         "_decs", start, lambda s, d: _approve(s, d, as_of, updated_by)))
-    j = j.where("_s.applied > 0")
+    # written, then read for both results: a filter on the folded state would fold a second time
+    j = materialize(j.select(*snapshots.columns, "_s"), "folded").where("_s.applied > 0")
     out = j.withColumn("data", _with_first(F.col("data"), F.col("_s.d0")))
     upd = (j.select(F.col("execution_id").alias("exec_id"), F.posexplode("_s.updates").alias("seq", "u"))
            .where(F.coalesce(F.col("u.path"), F.lit("")) != "").where(~F.col("u.path").startswith("processor_details."))
