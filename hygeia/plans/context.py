@@ -27,7 +27,8 @@ class HygieneRun:
 
     @cached_property
     def masterlist(self) -> DataFrame:
-        return FX.masterlist(self.spark, self.sf_dir)
+        # read by every rule table and many queries: derived from its tables once
+        return materialize(FX.masterlist(self.spark, self.sf_dir), "masterlist")
 
     @cached_property
     def executions(self) -> DataFrame:

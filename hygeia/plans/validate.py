@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hygeia.functions import paths as P
 from hygeia.functions import text as T
+from hygeia.functions.scores import let
 from hygeia.plans.rules import PROCESSOR_KEY_FIELD, PROCESSOR_PREFIX, RuleSet, is_integer_field, types_map_col
 from hygeia.session import sized_broadcast
 
@@ -47,6 +48,16 @@ def _pair_key(name: Column, path: Column) -> Column:
     return F.concat(name, F.lit("\u0001"), path)
 
 
+def _placed(cfgs: str, pairs: list[tuple[str, str]]) -> Column:
+    """Configurations whose requirements say where their pair stands in ``pairs`` (``at``, -1: nowhere), looked up
+    once per rule and not once per row."""
+    keys = F.array(*[_pair_key(F.lit(n), F.lit(p)) for n, p in pairs]) if pairs else F.array().cast("array<string>")
+    return F.transform(cfgs, lambda c: F.struct(c["ordinal"].alias("ordinal"), c["ml_id"].alias("ml_id"), F.transform(
+        c["reqs"], lambda r: F.struct(
+            r["name"].alias("name"), r["path"].alias("path"), r["required_proc"].alias("required_proc"),
+            (F.array_position(keys, _pair_key(r["name"], r["path"])) - 1).cast("int").alias("at"))).alias("reqs")))
+
+
 class Values:
     """Per-row observed texts: one column per document / processor path (no map, so
     Catalyst never re-inlines the extraction expressions at each access)."""
@@ -122,19 +133,19 @@ def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "
     for j, (n, p) in enumerate(pairs):
         v = T.normalize_value(vals.get(p), F.lit(rules.types.get(n) == T.INTEGER))
         mcols += [v.alias(f"_mvv{j}"), T.default_process(v).alias(f"_mvp{j}")]
-        mv += [_pair_key(F.lit(n), F.lit(p)),
-               F.struct(F.col(f"_mvv{j}").alias("value"), F.col(f"_mvp{j}").alias("proc"))]
+        mv.append(F.struct(F.col(f"_mvv{j}").alias("value"), F.col(f"_mvp{j}").alias("proc"),
+                           T.is_empty(F.col(f"_mvv{j}")).alias("empty")))
     df = df.select("*", *mcols)
     pair_col = {pr: f"_mvv{j}" for j, pr in enumerate(pairs)}
-    df = df.withColumn("_mv", F.create_map(*mv) if mv else
-                       F.create_map().cast("map<string,struct<value:string,proc:string>>"))
+    df = df.withColumn("_mv", F.array(*mv) if mv else F.array().cast("array<struct<value:string,proc:string,empty:boolean>>"))
     entries, statuses, longs = [], [], []
     for i, m in enumerate(rules.primary_fields):
         value = T.normalize_value(vals.get(m.path), F.lit(rules.types.get(m.field) == T.INTEGER))
         df = df.withColumn(f"_val{i}", value)
         key = ("cfg", m.field)
         if key not in rules.extra:  # the size check runs once per rule set (not per micro-batch)
-            rules.extra[key] = sized_broadcast(rules.configs.where(F.col("field") == m.field))
+            rules.extra[key] = sized_broadcast(rules.configs.where(F.col("field") == m.field)
+                                               .withColumn("cfgs", _placed("cfgs", pairs)))
         cfg = rules.extra[key].select(F.col("value").alias(f"_hit{i}"), F.col("cfgs").alias(f"_cfgs{i}"))
         df = df.join(cfg, F.col(f"_val{i}") == F.col(f"_hit{i}"), "left")
         v = F.col(f"_val{i}")
@@ -145,18 +156,16 @@ def validate(rules: RuleSet, executions: DataFrame, doc: Column, id_col: str = "
         valid_branch = applicable & ~prim_invalid
 
         def req_eval(r: Column) -> Column:
-            o = F.col("_mv")[_pair_key(r["name"], r["path"])]
-            return F.struct(
+            return let(F.get(F.col("_mv"), r["at"]), lambda o: F.struct(
                 r["name"].alias("name"), o["value"].alias("value"),
-                F.when(T.is_empty(o["value"]) | (o["proc"] != r["required_proc"]),
+                F.when(o["empty"] | (o["proc"] != r["required_proc"]),
                        F.lit("invalid")).otherwise(F.lit("valid")).alias("validation_status"),
-                r["path"].alias("mapping"))
+                r["path"].alias("mapping")))
 
         def eval_cfg(c: Column) -> Column:
-            metas = F.transform(c["reqs"], req_eval)
-            errors = F.size(F.filter(metas, lambda x: x["validation_status"] == "invalid"))
-            return F.struct(errors.alias("errors"), c["ordinal"].alias("ordinal"), c["ml_id"].alias("ml_id"),
-                            metas.alias("metas"))
+            return let(F.transform(c["reqs"], req_eval), lambda metas: F.struct(
+                F.size(F.filter(metas, lambda x: x["validation_status"] == "invalid")).alias("errors"),
+                c["ordinal"].alias("ordinal"), c["ml_id"].alias("ml_id"), metas.alias("metas")))
 
         best = F.array_min(F.transform(F.col(f"_cfgs{i}"), eval_cfg))
         inv_list = rules.meta_paths.get(m.field, [])

@@ -110,8 +110,9 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("benchmarkCategory"),
         F.col("o_orderstatus").alias("benchmarkType"),
         F.col("o_orderkey").cast("string").alias("benchmarkExecutionID"))
+    # a shuffle join: the rows are spread over all tasks whatever the row groups of the file, and no part goes to the driver
     joined = (orders.withColumn("_pk", k % n_part)
-              .join(part, F.col("p_partkey") == F.col("_pk")))
+              .join(part.hint("merge"), F.col("p_partkey") == F.col("_pk")))
     return joined.select(k.alias("exec_id"), doc.alias("doc"),
                          F.col("o_orderstatus").alias("benchmarkType"),
                          F.col("o_orderpriority").alias("benchmarkCategory"),
@@ -124,7 +125,7 @@ SNAP_TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 def snapshot_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prior review snapshots: one per order, for the execution of twice its key (flat seed form). Executions of odd
     keys have none, and snapshots beyond the largest key belong to no known execution."""
-    orders = read(spark, sf_dir, "orders")
+    orders = read(spark, sf_dir, "orders").repartition("o_orderkey")  # a file may be one row group, and so one task
     k = F.col("o_orderkey")
     status = (F.when(k % 5 == 0, F.lit("PENDING")).when(k % 5 == 1, F.lit("pending"))
               .when(k % 5 == 2, F.lit("REJECTED")).when(k % 5 == 3, F.lit("ON HOLD"))
