@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hygeia.plans import suggest as SG
+from hygeia.session import materialize, sized_broadcast
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 PROTECTED = ["ACCEPTED", "REJECTED", "ON HOLD"]
@@ -187,7 +188,8 @@ def snapshot_detail(rules, snapshots: DataFrame, validated: DataFrame | None = N
                   doc_id="ordinal", d_text="signature", order="ordinal", n=n)
     nn = nn.join(sigs.select("field", "ordinal", "primary_value", F.col("metadata").alias("sug_meta")),
                  ["field", "ordinal"]).withColumnRenamed("field", "invalid_field")
-    j = e.join(nn, ["invalid_field", "qsig"])
+    # written, measured and broadcast when small: items of a frequent signature then stay where they are
+    j = e.join(sized_broadcast(materialize(nn, "neighbours")), ["invalid_field", "qsig"])
     saved = F.get(F.filter(F.coalesce("saved", F.array().cast(f"array<{SUG_T}>")),
                            lambda s: s["suggestion"] == F.col("primary_value")), 0)["status"]
     j = j.withColumn("status", F.coalesce(saved, F.lit("PENDING")))

@@ -16,7 +16,7 @@ from hygeia.functions import fuzzy as FZ
 from hygeia.functions import text as T
 from hygeia.operators.knn import knn_join
 from hygeia.plans.rules import RuleSet
-from hygeia.session import sized_broadcast
+from hygeia.session import materialize, sized_broadcast
 
 
 def payload_entries(validated: DataFrame, id_col: str = "exec_id") -> DataFrame:
@@ -40,7 +40,8 @@ def record_suggestions(rules: RuleSet, validated: DataFrame, n: int = 3, id_col:
                   doc_id="ordinal", d_text="signature", order="ordinal", n=n, min_score=min_score)
     nn = nn.join(sigs.select("field", "ordinal", "ml_id", "primary_value",
                              F.col("metadata").alias("sug_metadata")), ["field", "ordinal"])
-    # nn is derived data: AQE broadcasts it at run time when its measured size allows
+    # written, measured and broadcast when small: entries of a frequent signature then stay where they are
+    nn = sized_broadcast(materialize(nn, "neighbours"))
     return (entries.join(nn, ["field", "qsig"])
             .select(id_col, "field_pos", "field", "value", "metadata", "rank", "ml_id", "primary_value",
                     "sug_metadata", F.col("score").alias("overall_score")))
