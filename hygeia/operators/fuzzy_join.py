@@ -119,6 +119,9 @@ def fuzzy_join(queries: DataFrame, cands: DataFrame, group: str, q_text: str, c_
              "wratio": lambda: S.weighted_ratio(F.col("q_form"), F.col("c_form"))}[scorer]()
     c = cands.select(group, F.col(c_text).alias("_c"), F.col(order).alias("_o")).where(F.col("_c").isNotNull())
     _, pairs = candidate_pairs(_texts(queries, group, q_text, process), _texts(cands, group, c_text, process), group, scorer, cutoff)
+    # few bytes but much work a row: dealt to a fixed number of tasks, which isn't reduced by size
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "_q", "_c")
     scored = pairs.select(group, "_q", "_c", score.alias("_raw")).where(F.col("_raw") >= F.lit(float(cutoff)))
     # every candidate row carrying that text is ranked (duplicated texts keep their own order)
     scored = scored.join(c, [group, "_c"]).withColumn("score", F.bround(F.col("_raw") / 100.0, 4))
