@@ -30,8 +30,10 @@ from hygeia.llm.common import Scratch, block_count, running_sum
 from hygeia.llm.quality import pieces
 
 U = np.uint64
-#: Distinct units whose ids a worker keeps (under 100 MB); beyond it starts afresh.
-KEPT_UNITS = 2_000_000
+#: Distinct units whose ids a worker keeps (about 15 MB, several times that while new ones are put in); beyond it starts afresh.
+KEPT_UNITS = 500_000
+#: Bytes of text that a worker encodes at a time: its arrays over the units take many times as much.
+ENCODED_BYTES = 2 << 20
 BLOCK_ROWS = 50_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -324,7 +326,7 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int, eos: int) -> DataFra
     def work(batches):
         enc = _encoder(shared.value)
         for batch in batches:
-            for p in pieces(batch, size=8 << 20):
+            for p in pieces(batch, size=ENCODED_BYTES):
                 ids_of, rows = enc.encode(p.column("text")), ([], [], [], [], [])
                 for doc, ids in zip(p.column("doc_id").to_pylist(), ids_of):
                     ids = np.append(ids, np.uint32(eos)).astype("<u4")
