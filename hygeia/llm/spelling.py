@@ -6,7 +6,8 @@ chunk, so the other stands in the longer word within a shift of one: the first c
 difference of lengths. Grams at other places can't meet a chunk and aren't made. Short chunks are shared by
 very many words, so the rest of a word is cut by the same rule once more: a key is a chunk together with a chunk of
 the rest, about three quarters of the word, and no group of words grows with a frequent half. Keys are joined as 64-bit
-hashes; every candidate is verified by its edit distance, so a collision costs time only.
+hashes; every candidate is verified by its edit distance, so a collision costs time only. Words are few bytes in a compressed
+file and many in a hash table, and keys are several a word, so Spark takes them for smaller than they are: no join here is by broadcast.
 
 A word's form is its near word of the largest count, if that is at least ``ratio`` times its own; a chain of forms at least
 doubles its count at each step, so it has at most log2(count) steps and pointer doubling settles it in the logarithm of those.
@@ -96,7 +97,7 @@ def near_words(words: DataFrame, least: int = 5) -> DataFrame:
     longer = F.when(size > least, F.array(*_keys(w, size - 1))).otherwise(F.array().cast("array<bigint>"))
     grams = words.select(F.explode(F.concat(F.array(*_keys(w, size)), longer)).alias("key"), w.alias("v"), F.col("n").alias("vn"))
     order = (F.char_length("u") < F.char_length("v")) | ((F.char_length("u") == F.char_length("v")) & (F.col("u") < F.col("v")))
-    pairs = chunks.join(grams, "key").where(order & (F.levenshtein("u", "v", 1) == 1)).select("u", "un", "v", "vn").distinct()
+    pairs = chunks.join(grams.hint("merge"), "key").where(order & (F.levenshtein("u", "v", 1) == 1)).select("u", "un", "v", "vn").distinct()
     return (pairs.select(F.col("u").alias("word"), F.col("un").alias("n"), F.col("v").alias("near"), F.col("vn").alias("near_n"))
             .unionByName(pairs.select(F.col("v").alias("word"), F.col("vn").alias("n"), F.col("u").alias("near"), F.col("un").alias("near_n"))))
 
@@ -106,7 +107,7 @@ def _roots(forms: DataFrame, work: Scratch) -> DataFrame:
     up, step = forms.select("word", F.col("form").alias("root")), 0
     while True:
         on = up.select(F.col("word").alias("_at"), F.col("root").alias("_next"))
-        up = work.table(up.join(on, F.col("root") == F.col("_at"), "left")
+        up = work.table(up.join(on.hint("merge"), F.col("root") == F.col("_at"), "left")
                         .select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), f"roots{step}")
         step += 1
         if up.where("moved").isEmpty():
@@ -124,7 +125,7 @@ def variant_groups(words: DataFrame, ratio: int = 2, least: int = 5) -> DataFram
                      F.when(-F.col("best.less") >= ratio * F.col("n"), -F.col("best.less")).alias("form_n")))
     found = work.table(found, "near")
     roots = _roots(found.where("form is not null"), work)
-    return (words.join(found, "word", "left").join(roots, "word", "left")
+    return (words.join(found.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form_n"))
 
 

@@ -92,3 +92,14 @@ def test_near_words(spark, words):
     df = spark.createDataFrame([(w, 1) for w in sorted(words)], "word string, n bigint")
     got = {(r.word, r.near) for r in spelling.near_words(df).collect()}
     assert got == {(a, b) for a in words for b in words if one_edit(a, b)}
+
+
+def test_no_join_by_broadcast(spark, monkeypatch):
+    """The file of a vocabulary is far smaller than its keys in memory, so its size must not choose the join."""
+    tables, plans = spelling.Scratch.table, []
+    monkeypatch.setattr(spelling.Scratch, "table", lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), tables(self, df, name))[1])
+    words = spark.createDataFrame([("hello", 9), ("hallo", 4), ("hullo", 1), ("other", 3)], "word string, n bigint")
+    out = spelling.variant_groups(words)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert found(out)["hullo"] == ("hello", "hello", 1, 2, 9) and found(out)["hallo"] == ("hello", "hello", 4, 2, 9)
