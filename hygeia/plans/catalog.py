@@ -322,16 +322,20 @@ def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     if "decisions" not in run.__dict__:
         ev = FX.decision_events(spark, run.sf_dir)
         d0 = F.get(F.col("data"), 0)
-        items = _snapshots(spark, sf).select("execution_id", d0["invalidValues"].alias("_items"))
+        # of an item only what a decision can name is joined
+        first = lambda c: F.get(c, 0)
+        items = _snapshots(spark, sf).select("execution_id", F.transform(d0["invalidValues"], lambda it: F.struct(
+            it["field"].alias("field"), first(it["comparingData"])["suggestion"].alias("suggestion"),
+            first(it["metadata"])["name"].alias("meta_name"),
+            first(first(it["metadata"])["comparingData"])["suggestion"].alias("meta_suggestion"))).alias("_items"))
         j = ev.join(items, "execution_id", "left").withColumn("_it", F.get(
             F.col("_items"), (F.col("decision_id") % F.greatest(F.size("_items"), F.lit(1))).cast("int")))
-        meta = F.get(F.col("_it.metadata"), 0)
         click = F.col("event_type") == "click"
         d = j.select(
             "decision_id", "ts", "kind", "execution_id",
-            F.when(F.col("kind") == "approve", F.when(click, meta["name"]).otherwise(F.col("_it.field"))).alias("field_name"),
-            F.when(F.col("event_type") == "purchase", F.get(F.col("_it.comparingData"), 0)["suggestion"])
-            .when(click, F.coalesce(F.get(meta["comparingData"], 0)["suggestion"], F.lit("manual")))
+            F.when(F.col("kind") == "approve", F.when(click, F.col("_it.meta_name")).otherwise(F.col("_it.field"))).alias("field_name"),
+            F.when(F.col("event_type") == "purchase", F.col("_it.suggestion"))
+            .when(click, F.coalesce("_it.meta_suggestion", F.lit("manual")))
             .when(F.col("event_type") == "view", F.concat(F.lit("custom-"), F.col("execution_id")))
             .alias("accepted_value"),
             F.lit(None).cast("int").alias("rank"),
@@ -527,8 +531,8 @@ def _rejected(spark: SparkSession, sf: str) -> DataFrame:
     """All snapshots after the rejections of the batch, which write a history."""
     run = run_for(spark, sf)
     if "rejected" not in run.__dict__:
-        out, _ = DC.apply_rejections(_snapshots(spark, sf), _decisions(spark, sf), AS_OF, "reviewer")
-        run.__dict__["rejected"] = materialize(UP.keyed_upsert(_snapshots(spark, sf), out, ["snapshot_id"]), "rejected_all")
+        run.__dict__["rejected"] = materialize(DC.rejected_snapshots(_snapshots(spark, sf), _decisions(spark, sf), AS_OF, "reviewer"),
+                                               "rejected_all")
     return run.__dict__["rejected"]
 
 

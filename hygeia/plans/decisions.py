@@ -11,11 +11,13 @@ to append.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hygeia.operators.upsert import keyed_upsert
-from hygeia.session import materialize
+from hygeia.session import materialize, measured, sized_broadcast
 from hygeia.plans.snapshot import DATA_T, ITEM_T, META_T, SUG_T
 
 REJECT_REASON = "L0 Junk Data."          # fixed values
@@ -54,10 +56,18 @@ def apply_rejections(snapshots: DataFrame, decisions: DataFrame, as_of: str, upd
     """
     rej = _latest(decisions, "reject").select("execution_id", F.col("current_status").alias("_cs"))
     j = snapshots.join(rej, "execution_id")
-    d0 = F.get(F.col("data"), 0)
+    out = j.withColumn("data", _rejected(F.col("data"), F.col("_cs"), as_of, updated_by)).drop("_cs")
+    upd = rej.select(F.col("execution_id").alias("exec_id"), F.lit(ENTITLEMENT_COL).alias("path"),
+                     F.lit(REJECT_REASON).alias("value"))
+    return out, upd
+
+
+def _rejected(data: Column, status: Column, as_of: str, updated_by: str) -> Column:
+    """The data of a snapshot after its rejection."""
+    d0 = F.get(data, 0)
     items = _items_of(d0)
     new_items = F.transform(items, lambda it: it
-                            .withField("currentStatus", F.col("_cs"))
+                            .withField("currentStatus", status)
                             .withField("comparingData", _set_status(it["comparingData"], "Rejected"))
                             .withField("metadata", F.transform(it["metadata"], lambda m: m.withField(
                                 "comparingData", _set_status(m["comparingData"], "Rejected")))))
@@ -69,10 +79,34 @@ def apply_rejections(snapshots: DataFrame, decisions: DataFrame, as_of: str, upd
                     frm.alias("to"), fld.alias("valueField"), F.transform(fld, lambda x: F.lit("reject")).alias("source"))
     nd = (d0.withField("invalidValues", new_items).withField("standardization_status", F.lit("REJECTED"))
           .withField("reason", F.lit(REJECT_REASON)).withField("history", hist))
-    out = j.withColumn("data", _with_first(F.col("data"), nd)).drop("_cs")
-    upd = rej.select(F.col("execution_id").alias("exec_id"), F.lit(ENTITLEMENT_COL).alias("path"),
-                     F.lit(REJECT_REASON).alias("value"))
-    return out, upd
+    return _with_first(data, nd)
+
+
+def _in_place(snapshots: DataFrame, by_row: Callable[[DataFrame], DataFrame],
+              by_id: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The complete table after ``by_row``, which rewrites each row where it stands: one pass, no upsert.  Rows whose snapshot id
+    isn't their own (null, or on several rows) go through ``by_id``, as an upsert replaces all rows of an id at once."""
+    h = F.xxhash64("snapshot_id")
+    shared = materialize(snapshots.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("snapshot_id").isNull()).alias("none"))
+                         .where("n > 1 or none").select("_h"), "shared_ids")
+    if shared.isEmpty():
+        return by_row(snapshots)
+    shared, rows = sized_broadcast(shared), snapshots.withColumn("_h", h)
+    some = materialize(rows.join(shared, "_h", "left_semi").select(*snapshots.columns), "shared_rows")
+    return by_row(rows.join(shared, "_h", "left_anti").select(*snapshots.columns)).unionByName(by_id(some))
+
+
+def rejected_snapshots(snapshots: DataFrame, decisions: DataFrame, as_of: str, updated_by: str = "reviewer") -> DataFrame:
+    """The complete snapshot table after the rejections of a batch."""
+    def by_row(rows: DataFrame) -> DataFrame:
+        rej = measured(materialize(_latest(decisions, "reject").select("execution_id", F.struct("current_status").alias("_rej")), "rejections"))
+        data = F.when(F.col("_rej").isNotNull(), _rejected(F.col("data"), F.col("_rej.current_status"), as_of, updated_by))
+        return rows.join(rej, "execution_id", "left").withColumn("data", data.otherwise(F.col("data"))).select(*snapshots.columns)
+
+    def by_id(rows: DataFrame) -> DataFrame:
+        return keyed_upsert(rows, apply_rejections(rows, decisions, as_of, updated_by)[0], ["snapshot_id"])
+
+    return _in_place(snapshots, by_row, by_id)
 
 
 def all_resolved(d0: Column) -> Column:

@@ -92,13 +92,12 @@ def upsert_snapshots(previous: DataFrame, validated: DataFrame, items: DataFrame
     anything else     -> unchanged
     """
     prev = latest(previous)
-    inv = invalid_values(items, validated.where(~F.col("isValid")), id_col)
-    cur = (validated.select(F.col(id_col).cast("string").alias("execution_id"), "isValid", "invalid_names",
-                            F.col("benchmarkType").alias("benchmark_type"),
-                            F.col("benchmarkCategory").alias("benchmark_category"),
-                            F.col(id_col).alias("_id"))
-           .join(inv.withColumnRenamed(id_col, "_id"), "_id", "left").drop("_id"))
-    j = cur.join(prev, "execution_id", "left")
+    # every join has the text id for its key, so that the nested items are shuffled once
+    by_text = F.col(id_col).cast("string")
+    inv = invalid_values(items.withColumn(id_col, by_text), validated.where(~F.col("isValid")).withColumn(id_col, by_text), id_col)
+    cur = validated.select(by_text.alias("execution_id"), "isValid", "invalid_names", F.col("benchmarkType").alias("benchmark_type"),
+                           F.col("benchmarkCategory").alias("benchmark_category"))
+    j = cur.join(inv.withColumnRenamed(id_col, "execution_id"), "execution_id", "left").join(prev, "execution_id", "left")
     prev_status = F.col("prev.standardization_status")
     status_inv = F.when(F.coalesce(prev_status, F.lit("")) != "", F.upper(prev_status)).otherwise(F.lit("PENDING"))
     new_doc = F.struct(
@@ -115,9 +114,15 @@ def upsert_snapshots(previous: DataFrame, validated: DataFrame, items: DataFrame
         "execution_id", *[F.when(F.col("isValid"), F.col(f"prev_{c}")).otherwise(F.col(f"benchmark_{c}")).alias(f"benchmark_{c}")
                           for c in ("type", "category")],
         F.when(~F.col("isValid"), F.array(new_doc)).otherwise(F.concat(F.array(accepted_doc), "prev_rest")).alias("data"))
-    # untouched previous snapshots keep every column as it was
-    kept = previous.join(touched.select(F.col("snapshot_id").alias("_sid")),
-                         previous["snapshot_id"] == F.col("_sid"), "left_anti")
+    # untouched previous snapshots keep every column as it was; which are touched is found without items and histories
+    d0 = F.get(F.col("data"), 0)
+    slim = (previous.groupBy("execution_id")
+            .agg(F.min_by(F.struct("snapshot_id", F.when(d0.isNotNull(), F.struct(d0["standardization_status"].alias(
+                "standardization_status"))).alias("prev")), F.col("snapshot_id")).alias("s"))
+            .select("execution_id", F.col("s.snapshot_id").alias("prev_id"), F.col("s.prev").alias("prev")))
+    ids = (cur.select("execution_id", "isValid").join(slim, "execution_id", "left").where(~F.col("isValid") | accept)
+           .select(F.coalesce("prev_id", snapshot_id_for(F.col("execution_id"))).alias("_sid")))
+    kept = previous.join(ids, previous["snapshot_id"] == F.col("_sid"), "left_anti")
     return kept.unionByName(touched.select(*previous.columns))
 
 

@@ -1,6 +1,7 @@
 """Steps whose figures must not grow faster than their input: no task gets one file, or all rows of a frequent text."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,67 @@ def test_approvals_are_folded_once(spark):
     assert [(r["exec_id"], r["path"], r["value"]) for r in upd.orderBy("seq").collect()][0] == ("1", "p", "w")
     for df in (out, upd):  # both results read the written state
         assert df.inputFiles() and "aggregate(" not in plan(df)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from hygeia.session import materialize
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "t"))
+    known = kept.size()
+    out = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert out.count() == 7 and kept.size() <= known + 1  # +1: the count itself
+
+
+def _snapshots(spark, *rows):
+    def data(status, *fields):
+        items = [(f, "invalid", "v", "invalid", "p", [(1, "w", 1.0, 1.0, "PENDING", "m")], [("g", "x", "invalid", "q", [])]) for f in fields]
+        return ([], status, None, items, ("t", "u", [], [], [], []), None)
+    return spark.createDataFrame([(sid, ex, "O", "c", [data(*d) for d in ds]) for sid, ex, *ds in rows], SN.SNAPSHOT_SCHEMA)
+
+
+def _decisions(spark, *rows):
+    return spark.createDataFrame([(i, datetime.datetime(2001, 1, day), kind, ex, field, value, None, status, None, None, None, None)
+                                  for i, (day, kind, ex, field, value, status) in enumerate(rows)], DC.DECISION_SCHEMA)
+
+
+def _rows(df):
+    return sorted(map(repr, (r.asDict(recursive=True) for r in df.collect())))
+
+
+def test_rejections_rewrite_rows_where_they_stand(spark, monkeypatch):
+    from hygeia.operators.upsert import keyed_upsert
+    own = [("s1", "1", ("PENDING", "f", "f")), ("s2", "2", ("pending", "f"), ("old", "h")), ("s3", "3", ("PENDING",)), ("s4", "4"), ("s5", "1", ("x", "f")),
+           ("s6", None, ("PENDING", "f"))]
+    shared = [("s7", "2", ("PENDING", "f")), ("s7", "9", ("PENDING", "f")), (None, "1", ("PENDING", "f")), (None, "8", ("PENDING", "f"))]
+    dec = _decisions(spark, (1, "reject", "1", None, None, "Rejected"), (2, "reject", "1", None, None, "Again"), (1, "reject", "2", None, None, None),
+                     (1, "reject", "4", None, None, "Rejected"), (1, "reject", None, None, None, "Rejected"), (1, "approve", "3", "f", "w", "Approved"))
+    for rows in (own, own + shared):
+        snaps = _snapshots(spark, *rows)
+        want = keyed_upsert(snaps, DC.apply_rejections(snaps, dec, "now")[0], ["snapshot_id"])
+        got = DC.rejected_snapshots(snaps, dec, "now")
+        assert got.columns == snaps.columns and _rows(got) == _rows(want)
+    upserts = []
+    monkeypatch.setattr(DC, "keyed_upsert", lambda *a: upserts.append(a) or keyed_upsert(*a))
+    out = DC.rejected_snapshots(_snapshots(spark, *own), dec, "now")
+    assert not upserts and "LeftAnti" not in plan(out) and out.where("data[0].standardization_status = 'REJECTED'").count() == 3
+
+
+def test_the_items_of_a_snapshot_are_shuffled_once(spark):
+    seed = spark.createDataFrame([(2, "S1", "pending", "t"), (4, "S2", "ACCEPTED", "t"), (6, "S3", "PENDING", "t")],
+                                 "exec_id long, snapshot_id string, status string, updated_on string")
+    meta = "array<struct<name:string,value:string,validation_status:string,mapping:string>>"
+    v = spark.createDataFrame([(2, False, ["f"], [("f", "v", "invalid", "p", [("m", "x", "invalid", "q")])]), (3, True, [], []), (6, True, [], [])],
+                              f"exec_id long, isValid boolean, invalid_names array<string>, invalidPayload array<struct<field:string,value:string,"
+                              f"validation_status:string,mapping:string,metadata:{meta}>>")
+    v = v.withColumn("benchmarkType", F.lit("O")).withColumn("benchmarkCategory", F.lit("c"))
+    items = spark.createDataFrame([(2, 0, -1, 1, "w", 0.5, 0.7, "PENDING", "m1"), (2, 0, 0, 1, "y", 0.1, 0.7, "PENDING", "m1")],
+                                  "exec_id long, field_pos int, item_pos int, rank int, suggestion string, score double, overall_score double, "
+                                  "status string, ml_id string")
+    out = SN.upsert_snapshots(SN.seed_snapshots(seed), v, items, "now")
+    text = plan(out)
+    # partial and final, in one place; no exchange by the number
+    assert text.count("collect_list") == 2 and not re.search(r"hashpartitioning\(\w+#\d+L", text)
+    got = {r["snapshot_id"]: r for r in out.collect()}
+    assert {k: r["data"][0]["standardization_status"] for k, r in got.items()} == {"S1": "PENDING", "S2": "ACCEPTED", "S3": "ACCEPTED"}
+    it = got["S1"]["data"][0]["invalidValues"][0]
+    assert it["comparingData"][0]["suggestion"] == "w" and it["metadata"][0]["comparingData"][0]["suggestion"] == "y"
