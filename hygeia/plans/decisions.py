@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hygeia.operators.upsert import keyed_upsert
-from hygeia.session import materialize, measured, sized_broadcast
+from hygeia.session import materialize, measured
 from hygeia.plans.snapshot import DATA_T, ITEM_T, META_T, SUG_T
 
 REJECT_REASON = "L0 Junk Data."          # fixed values
@@ -91,7 +91,7 @@ def _in_place(snapshots: DataFrame, by_row: Callable[[DataFrame], DataFrame],
                          .where("n > 1 or none").select("_h"), "shared_ids")
     if shared.isEmpty():
         return by_row(snapshots)
-    shared, rows = sized_broadcast(shared), snapshots.withColumn("_h", h)
+    shared, rows = measured(shared), snapshots.withColumn("_h", h)
     some = materialize(rows.join(shared, "_h", "left_semi").select(*snapshots.columns), "shared_rows")
     return by_row(rows.join(shared, "_h", "left_anti").select(*snapshots.columns)).unionByName(by_id(some))
 
@@ -248,6 +248,28 @@ def _approve(state: Column, dec: Column, as_of: str, updated_by: str) -> Column:
     return _let(_target(_items_of(state["d0"]), dec), step)
 
 
+def _with_dropdown(approvals: DataFrame, masterlist: DataFrame) -> DataFrame:
+    """Approvals with ``dropdown``: the metadata of the first Published record of that type and value."""
+    pub = masterlist.where(F.col("status") == "Published")
+    drop = (pub.select(F.lower("type").alias("_lt"), F.col("data.value").alias("_dv"),
+                       F.col("data.metadata").alias("_dm"), "ordinal")
+            .groupBy("_lt", "_dv").agg(F.min_by("_dm", "ordinal").alias("dropdown")))
+    return approvals.join(drop, (F.lower("field_name") == F.col("_lt")) & (F.col("accepted_value") == F.col("_dv")), "left")
+
+
+def _in_order(wanted: Column) -> Column:
+    """Aggregate: the approvals among the ``wanted`` rows in the order (ts, id)."""
+    return F.array_sort(F.collect_list(F.when(wanted, F.struct(
+        "ts", "decision_id", "field_name", "accepted_value", "rank", "current_status", "core_count",
+        F.map_entries("dropdown").alias("dropdown")))))
+
+
+def _folded(decs: str, as_of: str, updated_by: str) -> Column:
+    start = F.struct(F.get(F.col("data"), 0).alias("d0"), F.lit(0).alias("applied"),
+                     F.array().cast(f"array<{UPDATE_T}>").alias("updates")).cast(STATE_T)
+    return F.aggregate(decs, start, lambda s, d: _approve(s, d, as_of, updated_by))
+
+
 def apply_approvals(snapshots: DataFrame, decisions: DataFrame, masterlist: DataFrame, as_of: str,
                     updated_by: str = "reviewer") -> tuple[DataFrame, DataFrame]:
     """X5-X9 for every approval of a batch, in the order (ts, decision id) of each execution.
@@ -260,20 +282,10 @@ def apply_approvals(snapshots: DataFrame, decisions: DataFrame, masterlist: Data
     full resolution the whole history is written once more (X9).  Decisions without a target change nothing.
     Returns (rewritten snapshots, execution updates (exec_id, path, value, seq)).
     """
-    app = decisions.where(F.col("kind") == "approve")
-    pub = masterlist.where(F.col("status") == "Published")
-    drop = (pub.select(F.lower("type").alias("_lt"), F.col("data.value").alias("_dv"),
-                       F.col("data.metadata").alias("_dm"), "ordinal")
-            .groupBy("_lt", "_dv").agg(F.min_by("_dm", "ordinal").alias("dropdown")))
-    app = app.join(drop, (F.lower("field_name") == F.col("_lt")) & (F.col("accepted_value") == F.col("_dv")), "left")
+    app = _with_dropdown(decisions.where(F.col("kind") == "approve"), masterlist)
     # the actions of reviewers on one record: a short list
-    per = app.groupBy("execution_id").agg(F.array_sort(F.collect_list(F.struct(
-        "ts", "decision_id", "field_name", "accepted_value", "rank", "current_status", "core_count",
-        F.map_entries("dropdown").alias("dropdown")))).alias("_decs"))
-    start = F.struct(F.get(F.col("data"), 0).alias("d0"), F.lit(0).alias("applied"),
-                     F.array().cast(f"array<{UPDATE_T}>").alias("updates")).cast(STATE_T)
-    j = snapshots.where(F.size("data") > 0).join(per, "execution_id").withColumn("_s", F.aggregate(
-        "_decs", start, lambda s, d: _approve(s, d, as_of, updated_by)))
+    per = app.groupBy("execution_id").agg(_in_order(F.lit(True)).alias("_decs"))
+    j = snapshots.where(F.size("data") > 0).join(per, "execution_id").withColumn("_s", _folded("_decs", as_of, updated_by))
     # written, then read for both results: a filter on the folded state would fold a second time
     j = materialize(j.select(*snapshots.columns, "_s"), "folded").where("_s.applied > 0")
     out = j.withColumn("data", _with_first(F.col("data"), F.col("_s.d0")))
@@ -286,14 +298,39 @@ def apply_approvals(snapshots: DataFrame, decisions: DataFrame, masterlist: Data
 def review_snapshots(snapshots: DataFrame, decisions: DataFrame, masterlist: DataFrame, drafted: DataFrame, as_of: str,
                      updated_by: str = "reviewer") -> DataFrame:
     """The complete new snapshot table after a batch: approvals, then rejections of what is not decided later by an
-    approval, then holds for drafted values; untouched snapshots are kept (S9)."""
-    approved, _ = apply_approvals(snapshots, decisions, masterlist, as_of, updated_by)
-    cur = _upsert(snapshots, approved, "approved")
-    last = (decisions.where(F.col("kind").isin("approve", "reject")).groupBy("execution_id")
-            .agg(F.max_by("kind", F.struct("ts", "decision_id")).alias("_k")).where("_k = 'reject'").select("execution_id"))
-    rejected, _ = apply_rejections(cur, decisions.join(last, "execution_id", "left_semi"), as_of, updated_by)
-    cur = _upsert(cur, rejected, "rejected")
-    return _upsert(cur, hold_snapshots(cur, drafted, as_of, updated_by), "held")
+    approval, then holds for drafted values; untouched snapshots are kept (S9).
+
+    One pass: a row meets the decisions of its execution and the types drafted for it, and is rewritten where it stands.
+    Holds look at fields and values only, which approvals and rejections leave as they are, so they are found before."""
+    drafted = materialize(drafted.select("execution_id", "type", F.struct("data.value").alias("data")), "drafted")
+    decided = decisions.where(F.col("kind").isin("approve", "reject"))
+    approve = F.col("kind") == "approve"
+
+    def by_row(rows: DataFrame) -> DataFrame:
+        app = _with_dropdown(decided.where(approve), masterlist)
+        both = app.unionByName(decided.where(~approve).withColumn("dropdown", F.lit(None).cast("map<string,string>")), True)
+        per = materialize(both.groupBy("execution_id").agg(_in_order(approve).alias("_decs"), F.max_by(
+            F.struct("kind", "current_status"), F.struct("ts", "decision_id")).alias("_last")), "per_execution")
+        types = materialize(_held_types(rows, drafted), "held_types")
+        j = rows.join(measured(types), "snapshot_id", "left").join(measured(per), "execution_id", "left")
+        j = j.withColumn("_s", F.when((F.size("data") > 0) & (F.size("_decs") > 0), _folded("_decs", as_of, updated_by)))
+        data = F.col("data")
+        j = j.withColumn("data", F.when(F.col("_s.applied") > 0, _with_first(data, F.col("_s.d0"))).otherwise(data))
+        j = j.withColumn("data", F.when(F.col("_last.kind") == "reject", _rejected(data, F.col("_last.current_status"), as_of, updated_by))
+                         .otherwise(data))
+        j = j.withColumn("data", F.when(_holds(data, F.col("_types")), _held(data, F.col("_types"), as_of, updated_by)).otherwise(data))
+        return j.select(*snapshots.columns)
+
+    def by_id(rows: DataFrame) -> DataFrame:
+        approved, _ = apply_approvals(rows, decisions, masterlist, as_of, updated_by)
+        cur = _upsert(rows, approved, "approved")
+        last = (decided.groupBy("execution_id").agg(F.max_by("kind", F.struct("ts", "decision_id")).alias("_k"))
+                .where("_k = 'reject'").select("execution_id"))
+        rejected, _ = apply_rejections(cur, decisions.join(last, "execution_id", "left_semi"), as_of, updated_by)
+        cur = _upsert(cur, rejected, "rejected")
+        return _upsert(cur, hold_snapshots(cur, drafted, as_of, updated_by), "held")
+
+    return _in_place(snapshots, by_row, by_id)
 
 
 def _upsert(current: DataFrame, changes: DataFrame, name: str) -> DataFrame:
@@ -393,21 +430,35 @@ def draft_records(masterlist: DataFrame, drafts: DataFrame, as_of: str) -> DataF
 def hold_snapshots(snapshots: DataFrame, drafted: DataFrame, as_of: str, updated_by: str = "reviewer") -> DataFrame:
     """Snapshots holding a drafted value (by execution id when given, else any invalid value)
     with an item of that type -> ON HOLD, reason, stamp; that item's suggestions REJECTED."""
-    by_exec = drafted.where(F.col("execution_id").isNotNull()).select(
-        "execution_id", F.col("type").alias("_ht"))
-    by_val = drafted.where(F.col("execution_id").isNull()).select(F.col("data.value").alias("_hv"),
-                                                                 F.col("type").alias("_ht"))
+    cand = snapshots.join(_held_types(snapshots, drafted), "snapshot_id")
+    return (cand.where(_holds(F.col("data"), F.col("_types")))
+            .withColumn("data", _held(F.col("data"), F.col("_types"), as_of, updated_by)).select(*snapshots.columns))
+
+
+def _held_types(snapshots: DataFrame, drafted: DataFrame) -> DataFrame:
+    """(snapshot_id, _types): the drafted types, in lower case, that ask a snapshot to be held."""
+    # read twice and joined with all snapshots: a few records, as drafts are distinct
+    drafted = materialize(drafted.select("execution_id", F.col("data.value").alias("_hv"), F.col("type").alias("_ht")), "drafted_types")
+    drafted = measured(drafted)
+    by_exec = drafted.where(F.col("execution_id").isNotNull()).select("execution_id", "_ht")
+    by_val = drafted.where(F.col("execution_id").isNull()).select("_hv", "_ht")
     d0 = F.get(F.col("data"), 0)
-    s1 = snapshots.join(by_exec, "execution_id")
-    # Equi-join on the exploded invalid values (no nested-loop join)
+    s1 = snapshots.select("snapshot_id", "execution_id").join(by_exec, "execution_id")
+    # Equi-join on the exploded invalid values (no nested-loop join); a null id meets no snapshot
     vals = (snapshots.select("snapshot_id", F.explode(F.transform(_items_of(d0), lambda it: it["value"])).alias("_hv"))
-            .join(by_val, "_hv").select("snapshot_id", "_ht").distinct())
-    s2 = snapshots.join(vals, "snapshot_id")
-    types = (s1.select("snapshot_id", "_ht").unionByName(s2.select("snapshot_id", "_ht"))
-             .groupBy("snapshot_id").agg(F.collect_set(F.lower("_ht")).alias("_types")))  # drafted types: a few
-    cand = snapshots.join(types, "snapshot_id")
-    held = lambda it: F.array_contains(F.col("_types"), F.lower(it["field"]))
-    hit = F.exists(_items_of(d0), held)
+            .join(by_val, "_hv"))
+    return (s1.select("snapshot_id", "_ht").unionByName(vals.select("snapshot_id", "_ht"))
+            .groupBy("snapshot_id").agg(F.collect_set(F.lower("_ht")).alias("_types")))  # drafted types: a few
+
+
+def _holds(data: Column, types: Column) -> Column:
+    return F.exists(_items_of(F.get(data, 0)), lambda it: F.array_contains(types, F.lower(it["field"])))
+
+
+def _held(data: Column, types: Column, as_of: str, updated_by: str) -> Column:
+    """The data of a snapshot that is put on hold for the drafted ``types``."""
+    d0 = F.get(data, 0)
+    held = lambda it: F.array_contains(types, F.lower(it["field"]))
     nd = (d0.withField("standardization_status", F.lit("ON HOLD")).withField("reason", F.lit(HOLD_REASON))
           .withField("history", d0["history"].withField("updatedOn", F.lit(as_of))
                      .withField("updatedBy", F.lit(updated_by)))
@@ -416,8 +467,7 @@ def hold_snapshots(snapshots: DataFrame, drafted: DataFrame, as_of: str, updated
               .withField("comparingData", _set_status(it["comparingData"], "REJECTED"))
               .withField("metadata", F.transform(it["metadata"], lambda m: m.withField(
                   "comparingData", _set_status(m["comparingData"], "REJECTED"))))).otherwise(it))))
-    return (cand.where(hit).withColumn("data", _with_first(F.col("data"), nd))
-            .select("snapshot_id", *[c for c in snapshots.columns if c != "snapshot_id"]).select(*snapshots.columns))
+    return _with_first(data, nd)
 
 
 def draft_ids(masterlist: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from hygeia.functions import fuzzy as FZ
 from hygeia.plans import decisions as DC
 from hygeia.plans import snapshot as SN
 from hygeia.plans import validate as V
+from hygeia.session import materialize as MATERIALIZE
 from hygeia.sources import fixtures as FX
 
 
@@ -138,3 +139,55 @@ def test_the_items_of_a_snapshot_are_shuffled_once(spark):
     assert {k: r["data"][0]["standardization_status"] for k, r in got.items()} == {"S1": "PENDING", "S2": "ACCEPTED", "S3": "ACCEPTED"}
     it = got["S1"]["data"][0]["invalidValues"][0]
     assert it["comparingData"][0]["suggestion"] == "w" and it["metadata"][0]["comparingData"][0]["suggestion"] == "y"
+
+
+def test_a_batch_of_decisions_is_one_pass(spark, monkeypatch):
+    own = [("s1", "1", ("PENDING", "f", "h")), ("s2", "2", ("pending", "f"), ("old", "h")), ("s3", "3", ("PENDING",)), ("s4", "4"),
+           ("s5", "1", ("x", "h")), ("s6", None, ("PENDING", "f")), ("s7", "7", ("PENDING", "f", "cpumodel")), ("s8", "8", ("PENDING", "cpumodel"))]
+    shared = [("s9", "2", ("PENDING", "f")), ("s9", "9", ("PENDING", "h")), (None, "1", ("PENDING", "f")), (None, "8", ("PENDING", "cpumodel"))]
+    dec = _decisions(spark, (1, "approve", "1", "f", "w", "Approved"), (2, "approve", "1", "g", "z", None), (3, "reject", "1", None, None, "Rejected"),
+                     (1, "reject", "2", None, None, "Rejected"), (2, "approve", "2", "f", "other", "Approved"), (1, "reject", "4", None, None, None),
+                     (1, "approve", "3", "f", "w", None), (1, "approve", "7", "f", "w", None), (1, "approve", None, "f", "w", None),
+                     (1, "reject", None, None, None, None), (1, "draft", "8", None, None, None), (1, "reject", "9", None, None, "Rejected"))
+    ml = "ordinal long, type string, status string, data struct<value:string,mapping:string,metadata:map<string,string>>"
+    masterlist = spark.createDataFrame([(1, "F", "Published", ("other", "p", {"G": "filled"}))], ml)
+    drafted = spark.createDataFrame([(2, "CPUModel", "Draft", ("n", "p", {}), "7"), (3, "CPUModel", "Draft", ("v", "p", {}), None),
+                                     (4, "h", "Draft", ("n", "p", {}), "9")], f"{ml}, execution_id string")
+    review = lambda rows: DC.review_snapshots(_snapshots(spark, *rows), dec, masterlist, drafted, "now")
+    in_place = DC._in_place
+    monkeypatch.setattr(DC, "_in_place", lambda snapshots, by_row, by_id: by_id(snapshots))  # an upsert after each of three steps
+    want = {len(rows): _rows(review(rows)) for rows in (own, own + shared)}
+    monkeypatch.setattr(DC, "_in_place", in_place)
+    assert _rows(review(own + shared)) == want[len(own + shared)]
+    monkeypatch.setattr(DC, "_upsert", None)
+    out = review(own)
+    assert plan(out).count("aggregate(") == 1  # folded once
+    assert _rows(out) == want[len(own)]
+    status = {r["snapshot_id"]: r["data"][0]["standardization_status"] for r in out.where("size(data) > 0").collect()}
+    assert status == {"s1": "REJECTED", "s2": "ACCEPTED", "s3": "PENDING", "s4": None, "s5": "REJECTED", "s6": "PENDING", "s7": "ON HOLD", "s8": "ON HOLD"}
+
+
+def test_items_of_a_detail_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(SN, "materialize", lambda df, name: written.append((name, df)) or MATERIALIZE(df, name))
+    sigs = spark.createDataFrame([("f", 1, "word", "word x", {"g": "y"})],
+                                 "field string, ordinal long, primary_value string, signature string, metadata map<string,string>")
+    rules = type("Rules", (), {"signatures": sigs})
+    snaps = _snapshots(spark, ("s1", "1", ("PENDING", "f")), ("s2", "2", ("pending",)), ("s3", "3"), ("s4", "4", ("REJECTED", "f", "h")))
+    snaps = snaps.withColumn("data", F.transform("data", lambda d: d.withField("invalidValues", F.transform(
+        d["invalidValues"], lambda it: it.withField("value", F.lit("word"))))))
+    v = spark.createDataFrame([(1, True), (2, True), (4, True), (4, False)], "exec_id long, isValid boolean")
+    out = SN.snapshot_detail(rules, snaps, v)
+    items = dict(written)["detail_items"]
+    assert "ml_id" not in plan(items) and items.count() == 5  # f of 1, f and h of 4 twice: no stored suggestions of metadata, no empty snapshots
+    rows = sorted((r["execution_id"], r["snapshot_status"], r["item"], r["name"], r["suggestion"], r["score"]) for r in out.collect())
+    meta, prim = ("metadata", "g", "y", 0.0), ("primary", "f", "word", 1.0)
+    assert rows == [("1", "ACCEPTED", *meta), ("1", "ACCEPTED", *prim)] + [("4", "REJECTED", *meta)] * 2 + [("4", "REJECTED", *prim)] * 2
+
+
+def test_joins_with_written_tables_go_by_their_rows(spark, monkeypatch):
+    from hygeia import session
+    t = session.materialize(spark.range(50).withColumn("x", F.lit("y")), "few")
+    assert "BroadcastHashJoin" in plan(spark.range(9).join(session.measured(t), "id", "left"))
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 49)
+    assert "SortMergeJoin" in plan(spark.range(9).join(session.measured(t), "id", "left"))  # however small the file
