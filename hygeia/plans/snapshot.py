@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hygeia.plans import suggest as SG
-from hygeia.session import materialize, sized_broadcast
+from hygeia.session import materialize, measured
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 PROTECTED = ["ACCEPTED", "REJECTED", "ON HOLD"]
@@ -24,6 +24,8 @@ ITEM_T = (f"struct<field:string,currentStatus:string,value:string,validation_sta
           f"comparingData:array<{SUG_T}>,metadata:array<{META_T}>>")
 DATA_T = (f"struct<invalidFields:array<string>,standardization_status:string,reason:string,"
           f"invalidValues:array<{ITEM_T}>,history:{HIST_T},lastModifiedOn:string>")
+SLIM_T = ("array<struct<field:string,currentStatus:string,value:string,saved:array<struct<suggestion:string,status:string>>,"
+          "metas:array<struct<name:string,value:string>>>>")
 SNAPSHOT_SCHEMA = (f"snapshot_id string, execution_id string, benchmark_type string, benchmark_category string, "
                    f"data array<{DATA_T}>")
 
@@ -169,33 +171,39 @@ def snapshot_detail(rules, snapshots: DataFrame, validated: DataFrame | None = N
     from hygeia.functions import text as T
     from hygeia.operators.knn import knn_join
     d0 = F.get(F.col("data"), 0)
-    snap = snapshots.select("execution_id", d0["standardization_status"].alias("_st"), d0.alias("d0"))
+    # of an item only what is read below goes on: the stored suggestions of its metadata, most of its bytes, are recomputed
+    slim = F.transform(d0["invalidValues"], lambda it: F.struct(
+        it["field"].alias("field"), it["currentStatus"].alias("currentStatus"), it["value"].alias("value"),
+        F.transform(it["comparingData"], lambda s: F.struct(s["suggestion"].alias("suggestion"), s["status"].alias("status"))).alias("saved"),
+        F.transform(it["metadata"], lambda m: F.struct(m["name"].alias("name"), m["value"].alias("value"))).alias("metas")))
+    none = F.array().cast(SLIM_T)
+    # a snapshot without items has no rows, so it needn't meet its execution
+    snap = (snapshots.select("execution_id", d0["standardization_status"].alias("_st"), F.coalesce(slim.cast(SLIM_T), none).alias("_items"))
+            .where(F.size("_items") > 0))
     if validated is not None:
         live = validated.select(F.col(id_col).cast("string").alias("execution_id"), F.col("isValid").alias("_live"))
-        snap = snap.join(live, "execution_id", "left")
+        snap = snap.join(measured(live), "execution_id", "left")
         st = F.when(F.coalesce("_live", F.lit(False)) & ~F.upper(F.coalesce("_st", F.lit(""))).isin(*PROTECTED),
                     F.lit("ACCEPTED")).otherwise(F.col("_st"))
     else:
         st = F.col("_st")
-    items = snap.select("execution_id", st.alias("snapshot_status"),
-                        F.posexplode(F.coalesce(F.col("d0.invalidValues"), F.array().cast(f"array<{ITEM_T}>")))
-                        .alias("field_pos", "it"))
-    metas = F.array_sort(F.transform(F.col("it.metadata"), lambda m: F.struct(m["name"].alias("name"),
-                                                                             m["value"].alias("value"))))
+    items = snap.select("execution_id", st.alias("snapshot_status"), F.posexplode("_items").alias("field_pos", "it"))
+    metas = F.array_sort(F.col("it.metas"))
     parts = F.concat(F.array(T.py_strip(F.col("it.value"))),
                      F.transform(F.filter(metas, lambda m: T.py_strip(m["value"]) != ""), lambda m: T.py_strip(m["value"])))
     e = items.select("execution_id", "snapshot_status", "field_pos", F.col("it.field").alias("invalid_field"),
                      F.col("it.currentStatus").alias("current_status"), F.col("it.value").alias("value"),
-                     F.map_from_entries(metas).alias("actual"), F.col("it.comparingData").alias("saved"),
+                     F.map_from_entries(metas).alias("actual"), F.col("it.saved").alias("saved"),
                      T.signature(parts).alias("qsig"))
+    e = materialize(e, "detail_items")  # read by the neighbours, the pairs to score and the result
     sigs = rules.signatures
     nn = knn_join(e.select(F.col("invalid_field").alias("field"), "qsig"), sigs, group="field", q_text="qsig",
                   doc_id="ordinal", d_text="signature", order="ordinal", n=n)
     nn = nn.join(sigs.select("field", "ordinal", "primary_value", F.col("metadata").alias("sug_meta")),
                  ["field", "ordinal"]).withColumnRenamed("field", "invalid_field")
     # written, measured and broadcast when small: items of a frequent signature then stay where they are
-    j = e.join(sized_broadcast(materialize(nn, "neighbours")), ["invalid_field", "qsig"])
-    saved = F.get(F.filter(F.coalesce("saved", F.array().cast(f"array<{SUG_T}>")),
+    j = e.join(measured(materialize(nn, "neighbours")), ["invalid_field", "qsig"])
+    saved = F.get(F.filter(F.coalesce("saved", F.array().cast("array<struct<suggestion:string,status:string>>")),
                            lambda s: s["suggestion"] == F.col("primary_value")), 0)["status"]
     j = j.withColumn("status", F.coalesce(saved, F.lit("PENDING")))
     base = ["execution_id", "field_pos", "invalid_field", "current_status", "snapshot_status", "rank",
