@@ -18,11 +18,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hygeia.session import sized_broadcast
+from hygeia.session import measured
 
 _LOG = "_bucket int, version bigint"
 
 
+def digest_of_ties(rows: DataFrame, keys: list, names: list[str]) -> DataFrame:
+    """``rows`` with ``_tie``, a digest of the columns ``names`` where several rows have the same ``keys`` (else 0): few rows need one,
+    and it costs more than the rest of a merge."""
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    digest = F.xxhash64(*[F.to_json(F.struct(n)) for n in names])
+    return rows.withColumn("_same", same).withColumn("_tie", F.when(F.col("_same") > 1, digest).otherwise(F.lit(0))).drop("_same")
+
+
 class KeyedTable:
     """``path``: a folder that all executors share; ``buckets``: fixed for the table's life, at most 100,000."""
 
@@ -79,7 +87,7 @@ class KeyedTable:
         """Stored rows of the changed keys, from the touched buckets only."""
         state = self.state(before)
         own = self._read({b: state[b] for b in self.touched(changes) if b in state})
-        keys = sized_broadcast(changes.select(*self.key).distinct())
+        keys = measured(changes.select(*self.key))
         same = [own[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.key)]
         return own.join(keys.toDF(*[f"_k{i}" for i in range(len(self.key))]), same, "left_semi")
 
@@ -94,11 +102,15 @@ class KeyedTable:
         if hit:
             old = self._read({b: state[b] for b in hit if b in state}).withColumn("_new", F.lit(0))
             rows = old.unionByName(changes.select(*names).withColumn("_new", F.lit(1))).withColumn("_bucket", self._bucket())
-            # one shuffle: rows of a key lie in its bucket, and so does the window
-            rows = rows.repartition(len(hit), "_bucket")
+            # one shuffle: rows of a key lie in a part of its bucket, a task of its own, and so do the windows
+            parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(hit))
+            part = F.pmod(F.shiftright(F.xxhash64(*self.key), 32), F.lit(parts)).cast("int")
+            at = F.array_position(F.lit(hit), F.col("_bucket")).cast("int") - 1
+            rows = rows.withColumn("_part", at * parts + part).repartitionById(len(hit) * parts, F.col("_part"))
+            own = ["_bucket", "_part", *self.key]
+            rows = digest_of_ties(rows, [*own, *([self.order] if self.order else []), "_new"], names)
             first = [F.col(self.order).desc_nulls_last()] if self.order else []
-            tie = F.xxhash64(*[F.to_json(F.struct(n)) for n in names])
-            w = Window.partitionBy("_bucket", *self.key).orderBy(*first, "_new", tie)
+            w = Window.partitionBy(*own).orderBy(*first, "_new", "_tie")
             kept = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*names, "_bucket")
             kept.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/data/version={version}")
         new = state | {b: version for b in hit}

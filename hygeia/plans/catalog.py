@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hygeia.plans import validate as V
 from hygeia.plans.context import run_for
 from hygeia.plans import reports as RP
-from hygeia.session import materialize
+from hygeia.session import materialize, shuffle_cleanup
 
 
 def q_rule_mappings(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,11 +297,14 @@ def q_stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     """S7-S10, ST1, ST3: the executions with their verdicts after a stream of changes in several micro-batches."""
     run = run_for(spark, sf)
     root = f"{checkpoint_dir(spark).rstrip('/')}/changes-{uuid.uuid4().hex}"
-    _changes(run.executions).repartition(4).write.parquet(f"{root}/source")
+    # as many tasks write as there are partitions, whatever the number of files a micro-batch takes: two batches, as half of them each
+    half = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    with shuffle_cleanup(spark):
+        _changes(run.executions).repartition(2 * half).write.parquet(f"{root}/source")
     source = spark.read.parquet(f"{root}/source")
     verdicts = CS.verdict_fields(run.rules, source, F.col("doc"))
     table = CS.executions_table(spark, f"{root}/executions", source.select("exec_id", "change_no", "doc").schema, verdicts, 16)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/source")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", half).parquet(f"{root}/source")
     CS.start(stream, table, F.col("doc"), root, AS_OF, rules=run.rules).awaitTermination()
     return table.read().select("exec_id", "change_no", F.col("isValid").alias("is_valid"),
                                F.size("invalidPayload").cast("bigint").alias("n_invalid_fields"), "validated",

@@ -163,7 +163,7 @@ def test_a_batch_of_decisions_is_one_pass(spark, monkeypatch):
     out = review(own)
     assert plan(out).count("aggregate(") == 1  # folded once
     assert _rows(out) == want[len(own)]
-    status = {r["snapshot_id"]: r["data"][0]["standardization_status"] for r in out.where("size(data) > 0").collect()}
+    status = {r["snapshot_id"]: r["data"][0] and r["data"][0]["standardization_status"] for r in out.where("size(data) > 0").collect()}
     assert status == {"s1": "REJECTED", "s2": "ACCEPTED", "s3": "PENDING", "s4": None, "s5": "REJECTED", "s6": "PENDING", "s7": "ON HOLD", "s8": "ON HOLD"}
 
 
@@ -191,3 +191,46 @@ def test_joins_with_written_tables_go_by_their_rows(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan(spark.range(9).join(session.measured(t), "id", "left"))
     monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 49)
     assert "SortMergeJoin" in plan(spark.range(9).join(session.measured(t), "id", "left"))  # however small the file
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    from hygeia.operators.buckets import KeyedTable
+    rows = spark.range(4000).select("id", F.col("id").alias("n"), F.lit("a").alias("x"))
+    t = KeyedTable(spark, str(tmp_path / "t"), rows.schema, ["id"], "n", 2)
+    assert t.merge(rows, 0) == [0, 1]
+    files = t.read().inputFiles()
+    assert len(files) == 8 and all(sum(f"_bucket={b}/" in f for f in files) == 4 for b in (0, 1))  # 8 partitions, 2 buckets
+    assert t.merge(rows.where("id % 2 = 0").withColumn("n", F.col("n") + F.col("id") % 4 - 1).withColumn("x", F.lit("b")), 1) == [0, 1]
+    got = {r["id"]: r["x"] for r in t.read().collect()}
+    assert len(got) == 4000 and all((x == "b") == (i % 4 == 2) for i, x in got.items())
+
+
+def test_only_tied_rows_have_a_digest(spark):
+    from hygeia.operators.buckets import digest_of_ties
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (2, 1, "d"), (2, 1, "d"), (None, None, "e"), (None, None, "f")],
+                                 "k int, n int, x string")
+    got = {(r["k"], r["x"]): r["_tie"] == r["all"] for r in digest_of_ties(rows, ["k", "n"], ["x"])
+           .withColumn("all", F.xxhash64(F.to_json(F.struct("x")))).collect()}
+    assert got == {(1, "a"): False, (1, "b"): False, (2, "c"): True, (2, "d"): True, (None, "e"): True, (None, "f"): True}
+
+
+def test_changes_are_known_on_disk_and_batches_leave_no_tables(spark, tmp_path, monkeypatch):
+    from hygeia.streaming import change_stream as CS
+    written = []
+    monkeypatch.setattr(CS, "materialize", lambda df, name: written.append(MATERIALIZE(df, name)) or written[-1])
+    monkeypatch.setattr(CS.V, "validate", lambda rules, df, doc: df.withColumn("invalidPayload", F.lit("")).withColumn("isValid", F.lit(True))
+                        .withColumn("fieldStatus", F.lit("")))
+    rows = [(1, 1, "insert", "a"), (1, 2, "update", "b"), (2, 1, "insert", "c"), (1, 2, "update", "b"), (3, 1, "delete", "d"), (4, 1, "insert", None)]
+    src = spark.createDataFrame([(i, n, op, d, None, None) for i, n, op, d in rows],
+                                "exec_id long, change_no long, op string, doc string, isValid boolean, validated boolean")
+    for part in ("0", "1"):  # the second file is a replay
+        src.coalesce(1).write.mode("append").parquet(str(tmp_path / "source"))
+    table = CS.executions_table(spark, str(tmp_path / "t"), src.select("exec_id", "change_no", "doc").schema, CS.verdict_fields({}, src, F.col("doc")), 2)
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "source"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    CS.start(stream, table, F.col("doc"), str(tmp_path), "now", rules={}).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before and "HDFS" in before
+    assert sorted((r["exec_id"], r["change_no"], r["doc"]) for r in table.read().collect()) == [(1, 2, "b"), (2, 1, "c")]
+    assert list((tmp_path / "checkpoint").glob("state/0/*/*.zip")) and not list((tmp_path / "checkpoint").glob("state/0/*/*.delta"))
+    import os
+    assert len(written) >= 4 and not any(os.path.exists(f.removeprefix("file:")) for df in written for f in df.inputFiles())
